@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapline.config import DEFAULT, Config
-from tapline.operators import baseline, explain, features, intel, persistence, scoring
+from tapline.operators import baseline, explain, extractor, features, intel, persistence, scoring
+from tapline.session import materialise
 
 
 def assessed_windows(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = (), online: bool = True,
@@ -15,9 +16,12 @@ def assessed_windows(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str
     """Feature rows with scores, fusion, protocol evidence and risk.
 
     ``means`` fixes the distance model's profile; ``online`` learns it from earlier windows;
-    neither leaves it cold at zero.
+    neither leaves it cold at zero. The online model scans the rows more than once, so they are
+    stored first; there is one row per window, whatever the traffic.
     """
     f = feature_rows if feature_rows is not None else features.window_features(df, cfg, group_cols)
+    if online and means is None:
+        f = materialise(f, "features")
     kitsune = None
     if means is not None:
         kitsune = scoring.baseline_distance(means, features.NUMERIC_FEATURES)
@@ -58,3 +62,9 @@ def window_alerts(assessed: DataFrame, verdicts: DataFrame | None = None, cfg: C
         "top_features", "explanation", "threat_intel", "reasons", "persistent",
         F.lit("1.0.0").alias("feature_schema_version"), F.lit("Multi-Model AI & Anomaly").alias("detection_method"),
         F.lit("Investigate anomalous traffic burst and compare with baseline.").alias("recommended_action"))
+
+
+def volume_anomalies(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Window-level signals of the moving baselines."""
+    x = materialise(extractor.extract(df, cfg), "window-volumes")
+    return baseline.volume_signals(x, baseline.evaluate(baseline.ewma(x, cfg), cfg))
