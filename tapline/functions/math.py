@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,6 +28,20 @@ def floor_div(x: Column, n: int) -> Column:
     return ((x - F.pmod(x, F.lit(n))) / F.lit(n)).cast("bigint")
 
 
+def pin(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """Add columns that later expressions may reference freely without being recomputed.
+
+    A generator over one element is a point the optimiser does not substitute expressions through,
+    so chains of derived columns stay linear in size.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value once inside an expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def merge_moments(parts: Column) -> Column:
     """Fold an array of (n, mean, m2, m3, m4) partials into one, m_k being central power sums.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tapline.functions.math import let
+
 # Flag letters with their bit, in output order.
 TCP_FLAG_BITS = [("F", 0x01), ("S", 0x02), ("R", 0x04), ("P", 0x08), ("A", 0x10), ("U", 0x20)]
 
@@ -98,38 +100,41 @@ def modbus(payload_hex: Column, quantity_check: str = "all") -> Column:
     whose fourth word is a value rather than a count.
     """
     # Spaces between byte pairs are tolerated; everything else must be hex.
-    raw = F.try_to_binary(F.regexp_replace(payload_hex, r"\s", ""), F.lit("hex"))
-    odd = F.length(F.regexp_replace(payload_hex, r"\s", "")) % 2 == 1
-    raw = F.when(odd, F.lit(None).cast("binary")).otherwise(raw)
-    h, size = F.hex(raw), F.length(raw)
+    text = F.regexp_replace(payload_hex, r"\s", "")
+    raw = F.when(F.length(text) % 2 == 0, F.try_to_binary(text, F.lit("hex")))
     empty = payload_hex.isNull() | (payload_hex == "")
-    bad = ~empty & (raw.isNull() | (size < 8))
-    ok = ~empty & ~bad
-    fc = _word(h, 7, 1)
-    addressed = ok & (size >= 12) & fc.isin(MODBUS_ADDRESSED)
-    qty = F.when(addressed, _word(h, 10, 2))
-    checked = ~fc.isin([5, 6]) if quantity_check == "multi_only" else F.lit(True)
-    bad_qty = addressed & checked & ((qty == 0) | (qty > MODBUS_MAX_QUANTITY))
-    bad_header = ok & ((_word(h, 2, 2) != 0) | (_word(h, 4, 2) != size - 6))
-    malformed = (F.when(empty, F.lit(0.2)).when(bad, F.lit(1.0)).when(bad_header, F.lit(0.8))
-                 .when(bad_qty, F.lit(0.7)).otherwise(F.lit(0.0)))
-    unexpected = F.when(ok, F.when(fc.isin(MODBUS_UNEXPECTED), F.lit(1.0)).otherwise(F.lit(0.0)))
-    write = ok & fc.isin(MODBUS_WRITES)
-    anomaly = (F.when(empty, F.lit(0.2)).when(bad, F.lit(0.9))
-               .otherwise(F.least(F.lit(1.0), F.greatest(malformed, unexpected))))
-    return F.struct(
-        F.lit("Modbus/TCP").alias("protocol"),
-        F.when(ok, _word(h, 0, 2)).alias("transaction_id"),
-        F.when(ok, _word(h, 2, 2)).alias("protocol_id"),
-        F.when(ok, _word(h, 4, 2)).alias("mbap_length"),
-        F.when(ok, _word(h, 6, 1)).alias("unit_id"),
-        F.when(ok, fc.bitwiseAND(F.lit(0x7F))).alias("function_code"),
-        F.when(ok, F.when(write, F.lit("write")).otherwise(F.lit("read"))).alias("operation"),
-        F.when(ok & (fc.bitwiseAND(F.lit(0x80)) != 0), F.lit(True)).alias("exception_response"),
-        F.when(addressed, _word(h, 8, 2)).alias("starting_address"),
-        qty.alias("quantity"),
-        malformed.alias("malformed_message_score"),
-        unexpected.alias("unexpected_function_score"),
-        F.when(ok, F.when(write, F.lit(0.7)).otherwise(F.lit(0.0))).alias("write_operation_risk_score"),
-        anomaly.alias("protocol_anomaly_score"),
-    )
+    frame = F.struct(empty.alias("empty"), F.hex(raw).alias("h"), F.length(raw).alias("size"))
+
+    def words(x: Column) -> Column:
+        h = x["h"]
+        ok = ~x["empty"] & F.coalesce(x["size"] >= 8, F.lit(False))
+        fc = _word(h, 7, 1)
+        return F.struct(
+            x["empty"].alias("empty"), ok.alias("ok"), x["size"].alias("size"), F.when(ok, fc).alias("fc"),
+            F.when(ok, _word(h, 0, 2)).alias("transaction"), F.when(ok, _word(h, 2, 2)).alias("protocol"),
+            F.when(ok, _word(h, 4, 2)).alias("length"), F.when(ok, _word(h, 6, 1)).alias("unit"),
+            F.when(ok & (x["size"] >= 12) & fc.isin(MODBUS_ADDRESSED), _word(h, 8, 2)).alias("address"),
+            F.when(ok & (x["size"] >= 12) & fc.isin(MODBUS_ADDRESSED), _word(h, 10, 2)).alias("quantity"))
+
+    def verdict(x: Column) -> Column:
+        ok, fc, qty = x["ok"], x["fc"], x["quantity"]
+        checked = ~fc.isin([5, 6]) if quantity_check == "multi_only" else F.lit(True)
+        bad_qty = qty.isNotNull() & checked & ((qty == 0) | (qty > MODBUS_MAX_QUANTITY))
+        bad_header = (x["protocol"] != 0) | (x["length"] != x["size"] - 6)
+        malformed = (F.when(x["empty"], F.lit(0.2)).when(~ok, F.lit(1.0)).when(bad_header, F.lit(0.8))
+                     .when(bad_qty, F.lit(0.7)).otherwise(F.lit(0.0)))
+        unexpected = F.when(ok, F.when(fc.isin(MODBUS_UNEXPECTED), F.lit(1.0)).otherwise(F.lit(0.0)))
+        write = fc.isin(MODBUS_WRITES)
+        return F.struct(
+            F.lit("Modbus/TCP").alias("protocol"), x["transaction"].alias("transaction_id"),
+            x["protocol"].alias("protocol_id"), x["length"].alias("mbap_length"), x["unit"].alias("unit_id"),
+            fc.bitwiseAND(F.lit(0x7F)).alias("function_code"),
+            F.when(ok, F.when(write, F.lit("write")).otherwise(F.lit("read"))).alias("operation"),
+            F.when(fc >= 0x80, F.lit(True)).alias("exception_response"),
+            x["address"].alias("starting_address"), qty.alias("quantity"),
+            malformed.alias("malformed_message_score"), unexpected.alias("unexpected_function_score"),
+            F.when(ok, F.when(write, F.lit(0.7)).otherwise(F.lit(0.0))).alias("write_operation_risk_score"),
+            F.when(x["empty"], F.lit(0.2)).when(~ok, F.lit(0.9)).otherwise(F.greatest(malformed, unexpected))
+            .alias("protocol_anomaly_score"))
+
+    return let(let(frame, words), verdict)

@@ -143,4 +143,4 @@ def fill(f: DataFrame, df: DataFrame, cfg: Config, group_cols: tuple[str, ...] =
     means = (counts.select(wid.alias("w"), mean.alias("mean")).distinct())
     done = spectra(series, means)
     return (f.withColumn("_w", wid).join(done.withColumnRenamed("w", "_w"), "_w", "left")
-            .withColumn("_sp", F.coalesce("_sp", "_big")).drop("_w", "_big"))
+            .withColumn("_sp", F.when(F.col("_big").isNotNull(), F.col("_big")).otherwise(F.col("_sp"))).drop("_w", "_big"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapline.functions.math import pin
+
 # Explanation weights per model and feature. They differ from the scorers' weights.
 WEIGHTS = {
     "xgboost": {"fan_out": 0.25, "baseline_deviation": 0.20, "protocol_anomaly_score": 0.20,
@@ -69,21 +71,21 @@ def explain(f: DataFrame) -> DataFrame:
     """
     entries = [c for x in _features() for c in (F.lit(x), F.lit(0.0) if x in UNAVAILABLE else F.coalesce(
         F.col(f"`{x}`").cast("double"), F.lit(0.0)))]
-    f = f.withColumn("_values", F.create_map(*entries))
+    f = pin(f, {"_values": F.create_map(*entries)})
     value = lambda x: F.element_at("_values", x)
 
     def contribution(w: Column) -> Column:
         return F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value(w["feature"]) / w["scale"])) * w["weight"], 6)
 
-    f = f.withColumn("_models", F.transform_values(_weights(), lambda m, ws: _ranked(F.transform(
-        ws, lambda w: _item(w["pos"], w["feature"], value(w["feature"]), contribution(w))))))
-    f = f.withColumn("_flat", F.flatten(F.map_values("_models")))
+    f = pin(f, {"_models": F.transform_values(_weights(), lambda m, ws: _ranked(F.transform(
+        ws, lambda w: _item(w["pos"], w["feature"], value(w["feature"]), contribution(w)))))})
+    f = pin(f, {"_flat": F.flatten(F.map_values("_models"))})
     order = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(x).alias("feature")) for i, x in enumerate(_features())])
-    f = f.withColumn("_all", _ranked(F.transform(order, lambda o: _item(
+    f = pin(f, {"_all": _ranked(F.transform(order, lambda o: _item(
         o["pos"], o["feature"], value(o["feature"]),
         F.round(F.aggregate(F.filter("_flat", lambda x: x["feature"] == o["feature"]), F.lit(0.0),
-                            lambda acc, x: acc + x["contribution"]), 6)))))
-    out = f.withColumn("explanation", F.struct(
+                            lambda acc, x: acc + x["contribution"]), 6))))})
+    out = pin(f, {"explanation": F.struct(
         F.lit("1.0.0").alias("schema_version"), F.lit("deterministic-fallback").alias("method"),
         F.transform_values("_models", lambda m, items: F.struct(
             F.lit("deterministic-fallback").alias("method"),
@@ -91,7 +93,7 @@ def explain(f: DataFrame) -> DataFrame:
             _side(items, True, TOP_PER_MODEL).alias("top_positive"),
             _side(items, False, TOP_PER_MODEL).alias("top_negative"))).alias("models"),
         _side(F.col("_all"), True, TOP_OVERALL).alias("top_positive"),
-        _side(F.col("_all"), False, TOP_OVERALL).alias("top_negative")))
+        _side(F.col("_all"), False, TOP_OVERALL).alias("top_negative"))})
     return out.withColumn("top_features", F.col("explanation.top_positive")).drop("_values", "_models", "_flat", "_all")
 
 

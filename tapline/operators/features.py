@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapline.config import DEFAULT, Config
-from tapline.functions.math import merge_moments
+from tapline.functions.math import merge_moments, pin
 from tapline.functions.protocol import modbus
 from tapline.operators import bigfft, windows
 from tapline.operators.spectral import SPECTRAL, spectral_of_times
@@ -195,14 +195,14 @@ def window_features(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str,
     return f.select(
         *keys, "first_us", "last_us", F.col("head.src_ip").alias("src_ip"), F.col("head.dst_ip").alias("dst_ip"),
         F.col("head.src_port").alias("first_src_port"), F.col("head.dst_port").alias("first_dst_port"),
-        F.col("head.asset_id").alias("asset_id"), F.col("tail.data_source").alias("data_source"),
+        *([] if "asset_id" in keys else [F.col("head.asset_id").alias("asset_id")]), F.col("tail.data_source").alias("data_source"),
         F.col("head_modbus.v").alias("modbus_hex"), *[q(c) for c in FEATURES])
 
 
 def with_protocol(f: DataFrame, quantity_check: str = "all") -> DataFrame:
     """Decode the window's first Modbus payload; windows without one get a null struct."""
     decoded = modbus(F.col("modbus_hex"), quantity_check)
-    out = f.withColumn("protocol_evidence", F.when(F.col("modbus_hex").isNotNull(), decoded))
+    out = pin(f, {"protocol_evidence": F.when(F.col("modbus_hex").isNotNull(), decoded)})
     return out.withColumn("protocol_anomaly_score",
                           F.coalesce(F.col("protocol_evidence.protocol_anomaly_score"), F.lit(0.0)))
 

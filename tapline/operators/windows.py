@@ -68,7 +68,7 @@ def slots(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = ()
     false = F.lit(False)
     p = df.select(
         *group_cols, "ts_us", "event_id", "src_ip", "dst_ip", "src_port", "dst_port",
-        "asset_id" if "asset_id" in have else F.lit(None).cast("string").alias("asset_id"),
+        (F.col("asset_id") if "asset_id" in have else F.lit(None).cast("string")).alias("_asset"),
         "data_source" if "data_source" in have else F.lit(None).cast("string").alias("data_source"),
         F.upper("protocol").alias("protocol"), F.coalesce("packet_len", F.lit(0)).alias("packet_len"), "ttl",
         F.coalesce("tcp_flags", F.lit("")).alias("flags"),
@@ -103,7 +103,8 @@ def slots(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = ()
         F.count_if("altered").alias("altered_n"), F.count_if("spoofed").alias("spoofed_n"),
         seen(ot).alias("has_ot"),
         seen(dport.isin(COMMAND_PORTS) | (~ot & (dport > 1024))).alias("has_command"),
-        F.min(F.struct("ts_us", "event_id", "src_ip", "dst_ip", "src_port", "dst_port", "asset_id")).alias("head"),
+        F.min(F.struct("ts_us", "event_id", "src_ip", "dst_ip", "src_port", "dst_port",
+                       F.col("_asset").alias("asset_id"))).alias("head"),
         F.max(F.struct("ts_us", "event_id", "data_source")).alias("tail"),
         first_of("src_port").alias("head_sport"), first_of("dst_port").alias("head_dport"),
         first_of("modbus_hex").alias("head_modbus"),

@@ -554,7 +554,8 @@ def window_baseline_deviation(spark, sf):
 def window_per_asset(spark, sf):
     """Windows of each asset on its own."""
     f = features.window_features(_uneven(spark, sf), group_cols=("asset_id",), spectral=False)
-    return f.select("asset_id", "window_end", "packets", "bytes", "fan_out", "iat_mean")
+    return f.select("asset_id", "window_end", "packets", "bytes", "fan_out",
+                    F.round(F.col("iat_mean") * 1e6, 3).alias("iat_mean_us"))
 
 
 @query
@@ -685,8 +686,8 @@ def _volumes(spark, sf):
 
 @query
 def ewma_zscore(spark, sf):
-    return _pick(baseline.ewma(_volumes(spark, sf)), "metric", "window_end", "x", "obs", "mean", "variance", "zscore",
-                 "anomaly_score")
+    e = baseline.ewma(_volumes(spark, sf)).withColumn("std", F.round(F.sqrt("variance"), 3))
+    return _pick(e, "metric", "window_end", "x", "obs", "mean", "std", "zscore", "anomaly_score")
 
 
 @query

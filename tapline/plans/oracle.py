@@ -411,10 +411,13 @@ def _build() -> None:
       (6, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0.2, NULL, NULL, 0.2),
       (7, 1, 1, 6, 1, 3, 'read', 0, 2, 0.8, 0.0, 0.0, 0.8),
       (8, 1, 0, 6, 1, 3, 'read', NULL, NULL, 0.0, 0.0, 0.0, 0.0),
-      (9, 2, 0, 6, 1, 15, 'write', 16, 0, 0.8, 0.0, 0.7, 0.8),
+      (9, 2, 0, 6, 1, 15, 'write', 16, 0, 0.7, 0.0, 0.7, 0.7),
       (10, 3, 0, 6, 1, 6, 'write', 1, 10, 0.0, 0.0, 0.7, 0.0),
       (11, 4, 0, 6, 1, 8, 'read', NULL, NULL, 0.0, 1.0, 0.0, 1.0))
-      SELECT event_id, m.* EXCLUDE (k) FROM events JOIN m ON event_id % 12 = k"""
+      SELECT event_id, CAST(transaction_id AS BIGINT) AS transaction_id, CAST(protocol_id AS BIGINT) AS protocol_id, CAST(mbap_length AS BIGINT) AS mbap_length,
+      CAST(unit_id AS BIGINT) AS unit_id, CAST(function_code AS BIGINT) AS function_code, operation, CAST(starting_address AS BIGINT) AS starting_address,
+      CAST(quantity AS BIGINT) AS quantity, malformed_message_score, unexpected_function_score, write_operation_risk_score, protocol_anomaly_score
+      FROM events JOIN m ON event_id % 12 = k"""
     o["tls_server_name"] = "SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN 'host' || user_id || '.example' END AS sni FROM events"
     o["dedup_events"] = _with(T, """SELECT min(event_id) AS event_id, ts_us, src_ip, dst_ip, protocol, packet_len,
       CAST(arg_min(src_port, event_id) AS BIGINT) AS src_port FROM t GROUP BY ts_us, src_ip, dst_ip, protocol, packet_len""")
@@ -498,7 +501,7 @@ def _build() -> None:
     o["window_baseline_deviation"] = feat(R("(abs(n - 90) / 91 + abs(bytes - 9000) / 9001 + abs(dsts - 3) / 4 + abs(iat_mean - 0.06) / 1.06) / 26", "baseline_deviation")
                                           + ", 0.0::DOUBLE AS authorized_peer_status")
     o["window_per_asset"] = _with(J, """SELECT asset_id, window_end, round(count(*), 6)::DOUBLE AS packets, round(sum(packet_len), 6)::DOUBLE AS bytes,
-      count(DISTINCT dst_ip)::DOUBLE AS fan_out, round(coalesce(avg(ts_us - pv), 0) / 1e6, 6) AS iat_mean FROM (
+      count(DISTINCT dst_ip)::DOUBLE AS fan_out, round(coalesce(avg(ts_us - pv), 0), 3) AS iat_mean_us FROM (
       SELECT *, lag(ts_us) OVER (PARTITION BY asset_id, window_end ORDER BY ts_us, event_id) AS pv FROM (
       SELECT t.*, ((ts_us - 1) // 1000000 + 1 + i) * 1000000 AS window_end FROM t, range(5) r(i)) WHERE window_end <= (SELECT max(ts_us) FROM t)) GROUP BY 1, 2""")
     cut = [J[0], J[1].replace("FROM evk)", "FROM evk WHERE event_id % 1000 < 600)")]
@@ -565,7 +568,7 @@ def _build() -> None:
                                       f"""SELECT 'win_' || substr(sha256('window|' || gt.window_end || '|' || src_ip), 1, 12) AS alert_id, last_us AS ts_us, src_ip, dst_ip, protocol, attack_category,
       risk_level, {R('risk_score', 'risk_score')}, CASE WHEN (NOT {_local('src_ip')} AND src_ip IN (SELECT indicator FROM iv)) OR (NOT {_local('dst_ip')} AND dst_ip IN (SELECT indicator FROM iv))
       THEN 'match' ELSE 'clean' END AS status, top_feature FROM gt LEFT JOIN xt ON xt.window_end = gt.window_end WHERE risk_level NOT IN ('INFO', 'LOW', 'MEDIUM') OR persistent""")
-    o["ewma_zscore"] = _with(_EWMA, "SELECT metric, window_end, " + ", ".join([R("x", "x"), "obs", R("mean", "mean"), R("variance", "variance"), R("zscore", "zscore"),
+    o["ewma_zscore"] = _with(_EWMA, "SELECT metric, window_end, " + ", ".join([R("x", "x"), "obs", R("mean", "mean"), "round(sqrt(variance), 3) AS std", R("zscore", "zscore"),
                                                                             R("anomaly_score", "anomaly_score")]) + " FROM ew")
     verdict = """ev2 AS (SELECT window_end, max(anomaly_score) AS comp, count(*) FILTER (zscore >= 2.0) AS flags FROM ew GROUP BY 1)"""
     o["ewma_verdicts"] = _with([*_EWMA, verdict], f"SELECT window_end, {R('comp', 'composite_anomaly_score')}, flags, comp >= 0.65 OR flags > 0 AS is_anomaly FROM ev2")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapline.functions.math import pin
 from tapline.schema import with_event_id, with_event_time
 
 # The field list of a tab-separated export, in column order.
@@ -36,22 +37,25 @@ def tshark_rows(df: DataFrame, row: str = "row", source: str = "tshark") -> Data
     def either(*names: str) -> Column:
         return F.coalesce(*[F.nullif(get(n), F.lit("")) for n in names])
 
-    kept = F.map_filter(F.col(row), lambda k, v: ~F.array_contains(F.transform(
-        F.array(*[F.lit(t) for t in PAYLOAD_TOKENS]), lambda t: F.lower(k).contains(t)), True))
-    bad = F.lower(F.coalesce(either("ip.checksum.status", "tcp.checksum.status", "udp.checksum.status"),
-                             F.lit(""))).isin(BAD_CHECKSUM)
-    doc = F.when(bad, F.concat(F.expr("substring(_doc, 1, length(_doc) - 1)"),
-                               F.when(F.col("_doc") == "{}", F.lit("")).otherwise(F.lit(",")),
-                               F.lit('"checksum_valid":false}'))).otherwise(F.col("_doc"))
-    out = df.withColumn("_doc", F.to_json(kept)).select(
-        _epoch(either("frame.time_epoch", "timestamp")).alias("timestamp"),
-        F.coalesce(get("ip.src"), F.lit("0.0.0.0")).alias("src_ip"),
-        F.coalesce(get("ip.dst"), F.lit("0.0.0.0")).alias("dst_ip"),
-        _int(either("tcp.srcport", "udp.srcport")).cast("int").alias("src_port"),
-        _int(either("tcp.dstport", "udp.dstport")).cast("int").alias("dst_port"),
-        F.coalesce(either("_ws.col.Protocol", "protocol"), F.lit("TCP")).alias("protocol"),
-        F.coalesce(_int(get("frame.len")), F.lit(0)).alias("packet_len"),
-        _int(get("ip.ttl")).cast("int").alias("ttl"), _int(get("ip.id")).cast("int").alias("ip_id"),
+    kept = F.map_filter(F.col(row), lambda k, v: ~F.exists(
+        F.array(*[F.lit(t) for t in PAYLOAD_TOKENS]), lambda t: F.lower(k).contains(t)))
+    df = pin(df.select(row), {
+        "_time": either("frame.time_epoch", "timestamp"), "_src": get("ip.src"), "_dst": get("ip.dst"),
+        "_sport": either("tcp.srcport", "udp.srcport"), "_dport": either("tcp.dstport", "udp.dstport"),
+        "_proto": either("_ws.col.Protocol", "protocol"), "_len": get("frame.len"), "_ttl": get("ip.ttl"),
+        "_id": get("ip.id"), "_doc": F.to_json(kept),
+        "_sum": F.lower(F.coalesce(either("ip.checksum.status", "tcp.checksum.status", "udp.checksum.status"), F.lit(""))),
+    })
+    noted = F.concat(F.expr("substring(_doc, 1, length(_doc) - 1)"),
+                     F.when(F.col("_doc") == "{}", F.lit("")).otherwise(F.lit(",")), F.lit('"checksum_valid":false}'))
+    doc = F.when(F.col("_sum").isin(BAD_CHECKSUM), noted).otherwise(F.col("_doc"))
+    out = df.select(
+        _epoch(F.col("_time")).alias("timestamp"),
+        F.coalesce("_src", F.lit("0.0.0.0")).alias("src_ip"), F.coalesce("_dst", F.lit("0.0.0.0")).alias("dst_ip"),
+        _int(F.col("_sport")).cast("int").alias("src_port"), _int(F.col("_dport")).cast("int").alias("dst_port"),
+        F.coalesce("_proto", F.lit("TCP")).alias("protocol"),
+        F.coalesce(_int(F.col("_len")), F.lit(0)).alias("packet_len"),
+        _int(F.col("_ttl")).cast("int").alias("ttl"), _int(F.col("_id")).cast("int").alias("ip_id"),
         F.lit(None).cast("int").alias("ip_flags"), F.lit(None).cast("string").alias("tcp_flags"),
         F.lit(None).cast("int").alias("dscp"), F.lit(None).cast("string").alias("payload_hex"),
         F.lit(source).alias("data_source"), F.lit(None).cast("string").alias("asset_id"),
@@ -79,7 +83,7 @@ def tshark_lines(df: DataFrame, column: str = "value") -> DataFrame:
     parts = F.split(F.regexp_replace(F.col(column), r"[\r\n]+$", ""), "\t", -1)
     names = F.array(*[F.lit(f) for f in TSHARK_FIELDS])
     n = F.least(F.size(parts), F.lit(len(TSHARK_FIELDS)))
-    rows = df.select(F.map_from_arrays(F.slice(names, 1, n), F.slice(parts, 1, n)).alias("row"))
+    rows = pin(df, {"row": F.map_from_arrays(F.slice(names, 1, n), F.slice(parts, 1, n))})
     for name in ("frame.time_epoch", "ip.src", "ip.dst"):
         rows = rows.filter(F.coalesce(F.try_element_at("row", F.lit(name)), F.lit("")) != "")
     return tshark_rows(rows, source="tshark_live")
