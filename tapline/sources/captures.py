@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapline.functions.math import pin
 from tapline.schema import with_event_id, with_event_time
@@ -13,6 +14,7 @@ TSHARK_FIELDS = ["frame.time_epoch", "ip.src", "ip.dst", "tcp.srcport", "tcp.dst
                  "udp.dstport", "_ws.col.Protocol", "frame.len", "ip.ttl", "ip.id", "ip.flags", "tcp.flags"]
 # Metadata keys holding payload, and the statuses of a failed checksum.
 PAYLOAD_TOKENS = ["payload", "data.data", "tcp.segment_data"]
+CHECKSUM_FIELDS = ["ip.checksum.status", "tcp.checksum.status", "udp.checksum.status"]
 BAD_CHECKSUM = ["bad", "invalid", "0", "false"]
 # The columns of a conn.log without a header.
 ZEEK_FIELDS = ["ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "service", "duration",
@@ -44,7 +46,7 @@ def tshark_rows(df: DataFrame, row: str = "row", source: str = "tshark") -> Data
         "_sport": either("tcp.srcport", "udp.srcport"), "_dport": either("tcp.dstport", "udp.dstport"),
         "_proto": either("_ws.col.Protocol", "protocol"), "_len": get("frame.len"), "_ttl": get("ip.ttl"),
         "_id": get("ip.id"), "_doc": F.to_json(kept),
-        "_sum": F.lower(F.coalesce(either("ip.checksum.status", "tcp.checksum.status", "udp.checksum.status"), F.lit(""))),
+        "_sum": F.lower(F.coalesce(either(*CHECKSUM_FIELDS), F.lit(""))),
     })
     noted = F.concat(F.expr("substring(_doc, 1, length(_doc) - 1)"),
                      F.when(F.col("_doc") == "{}", F.lit("")).otherwise(F.lit(",")), F.lit('"checksum_valid":false}'))
@@ -64,10 +66,15 @@ def tshark_rows(df: DataFrame, row: str = "row", source: str = "tshark") -> Data
 
 
 def read_tshark_json(spark: SparkSession, path: str) -> DataFrame:
-    """An analyser JSON export: layer values that are lists count as their first element."""
-    raw = spark.read.option("multiLine", True).option("singleVariantColumn", "v").json(path)
-    layers = F.coalesce(F.try_variant_get("v", "$._source.layers", "map<string,variant>"),
-                        F.try_variant_get("v", "$", "map<string,variant>"))
+    """An analyser JSON export: layer values that are lists count as their first element.
+
+    The reader yields the elements of the exported array one by one. Rows may nest their fields
+    under `_source.layers` or hold them directly.
+    """
+    layers = T.StructType([T.StructField("layers", T.VariantType())])
+    flat = [*TSHARK_FIELDS, "timestamp", "protocol", *CHECKSUM_FIELDS]
+    schema = T.StructType([T.StructField("_source", layers), *[T.StructField(f, T.VariantType()) for f in flat]])
+    raw = spark.read.schema(schema).option("multiLine", True).json(path)
 
     def first(_, x):
         # An empty list has no first element and stays a list, which no typed field accepts.
@@ -75,7 +82,11 @@ def read_tshark_json(spark: SparkSession, path: str) -> DataFrame:
         return F.coalesce(F.when(listed, F.try_variant_get(x, "$[0]", "string")),
                           F.try_variant_get(x, "$", "string"))
 
-    return tshark_rows(raw.select(F.transform_values(layers, first).alias("row")))
+    direct = F.map_from_entries(F.filter(
+        F.array(*[F.struct(F.lit(f).alias("k"), F.col(f"`{f}`").alias("v")) for f in flat]),
+        lambda e: e["v"].isNotNull()))
+    nested = F.try_variant_get("_source.layers", "$", "map<string,variant>")
+    return tshark_rows(pin(raw, {"_m": F.coalesce(nested, direct)}).select(F.transform_values("_m", first).alias("row")))
 
 
 def tshark_lines(df: DataFrame, column: str = "value") -> DataFrame:

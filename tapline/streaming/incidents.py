@@ -13,10 +13,10 @@ def incidents(signals: DataFrame, cfg: Config = DEFAULT, delay: str = "6 seconds
     """One row per incident once the watermark passes its gap.
 
     ``signals`` carry `timestamp`. A gap of exactly the configured length still belongs to the
-    incident, hence the extra microsecond.
+    incident, as in batch.
     """
     s = signals.withWatermark("timestamp", delay).groupBy(
-        F.session_window("timestamp", f"{cfg.incident_gap_us + 1} microseconds"), *KEY).agg(
+        F.session_window("timestamp", f"{cfg.incident_gap_us} microseconds"), *KEY).agg(
         F.unix_micros(F.min("timestamp")).alias("first_us"), F.unix_micros(F.max("timestamp")).alias("last_us"),
         F.count(F.lit(1)).alias("event_count"), F.max(severity_rank(F.col("severity"))).alias("_rank"),
         F.array_sort(F.collect_set("detection_method")).alias("detection_methods"))
