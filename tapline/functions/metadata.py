@@ -23,6 +23,11 @@ HASH_PAIRS = [
 TRUE_TEXT = ["true", "yes", "1"]
 
 
+def _mentions(meta: Column, keys: list[str]) -> Column:
+    """Whether the document's text contains any of the keys: a cheap test that most events fail."""
+    return F.coalesce(F.to_json(meta).rlike('"(' + "|".join(keys) + ')"'), F.lit(False))
+
+
 def _kind(meta: Column, key: str) -> Column:
     return F.schema_of_variant(F.variant_get(meta, f"$.{key}", "variant"))
 
@@ -51,7 +56,8 @@ def identity_mismatch(meta: Column, src_ip: Column) -> Column:
 
 
 def spoofed(meta: Column, src_ip: Column) -> Column:
-    return F.coalesce(identity_mismatch(meta, src_ip) | flag(meta, *SPOOF_MARKERS), F.lit(False))
+    exact = F.coalesce(identity_mismatch(meta, src_ip) | flag(meta, *SPOOF_MARKERS), F.lit(False))
+    return F.when(_mentions(meta, [*OBSERVED_SOURCE_KEYS, *SPOOF_MARKERS]), exact).otherwise(F.lit(False))
 
 
 def altered(meta: Column) -> Column:
@@ -62,4 +68,6 @@ def altered(meta: Column) -> Column:
     for actual, expected in reversed(HASH_PAIRS):
         a, e = text(meta, actual), text(meta, expected)
         pair = F.when(a.isNotNull() & e.isNotNull(), F.lower(a) != F.lower(e)).otherwise(pair)
-    return F.coalesce(flag(meta, *ALTERATION_MARKERS) | checksum_failed | pair, F.lit(False))
+    exact = F.coalesce(flag(meta, *ALTERATION_MARKERS) | checksum_failed | pair, F.lit(False))
+    keys = [*ALTERATION_MARKERS, "checksum_valid", *[a for a, _ in HASH_PAIRS]]
+    return F.when(_mentions(meta, keys), exact).otherwise(F.lit(False))

@@ -180,15 +180,16 @@ def verdict_view(alerts: DataFrame, verified: Column | None = None) -> DataFrame
 def exact_quantiles(df: DataFrame, col: str, qs: list[float], bins: int = 4096) -> DataFrame:
     """Interpolated quantiles of a column, one row ``(q, value)`` each.
 
-    Values are ranked through equal-width bins of their range; only ranks next to a requested
-    quantile are kept, and no task holds the distinct values.
+    Values are ranked through equal-width bins of their range, each cut into as many again so that
+    outliers do not crowd the rest into one task; only ranks next to a quantile are kept.
     """
     x = df.select(F.col(col).cast("double").alias("x")).filter("x IS NOT NULL")
     lo, hi = x.agg(F.min("x")).scalar(), x.agg(F.max("x")).scalar()
     x = x.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
     width = F.greatest((hi - lo) / bins, F.lit(1e-300))
-    x = x.withColumn("_bin", F.floor((F.col("x") - lo) / width))
-    r = ordered.running_totals(x, ["_bin"], ["x"], {"upto": F.col("c")})
+    x = x.withColumns({"_bin": F.floor((F.col("x") - lo) / width),
+                       "_sub": F.floor((F.col("x") - lo) / width * bins)})
+    r = ordered.running_totals(x, ["_bin", "_sub"], ["x"], {"upto": F.col("c")})
     n = x.agg(F.sum("c")).scalar()
     wanted = F.explode(F.array(*[F.lit(q) for q in qs]))
     r = r.withColumn("q", wanted).withColumn("_pos", F.col("q") * (n - 1))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapline.config import DEFAULT, Config
-from tapline.functions.math import bounded, dbl, norm
+from tapline.functions.math import bounded, dbl, norm, pin
 
 MODELS = ["xgboost", "lstm", "fft", "kitsune", "isolation_forest"]
 
@@ -71,13 +71,13 @@ def score(f: DataFrame, kitsune: Column | None = None, extra: dict[str, Column]
     cols.update(extra or {})
     names = [m for m in MODELS if m in cols] + [m for m in cols if m not in MODELS]
     entries = [x for n in names for x in (F.lit(n), cols[n])]
-    return f.withColumn("model_scores", F.create_map(*entries))
+    return pin(f.drop("model_scores"), {"model_scores": F.create_map(*entries)})
 
 
 def fuse(f: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Weighted mean over the models present, with spread and agreement measures, as `fusion`."""
     clean = F.transform_values("model_scores", lambda k, v: bounded(v))
-    f = f.withColumn("model_scores", clean)
+    f = pin(f, {"_clean": clean}).drop("model_scores").withColumnRenamed("_clean", "model_scores")
     s = F.col("model_scores")
     values = F.map_values(s)
     weights = cfg.fusion_weights
@@ -86,18 +86,18 @@ def fuse(f: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     weighted = sum((F.when(has[m], F.element_at(s, m) * w).otherwise(F.lit(0.0)) for m, w in weights.items()), F.lit(0.0))
     n = F.size(values)
     mean = F.when(n > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n).otherwise(F.lit(0.0))
-    f = f.withColumn("_mean", mean)
+    f = pin(f, {"_mean": mean})
     var = F.when(n > 1, F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - F.col("_mean")) * (x - F.col("_mean"))) / n
                  ).otherwise(F.lit(0.0))
-    f = f.withColumn("_var", var)
+    f = pin(f, {"_var": var})
     disagreement = F.least(F.lit(1.0), F.col("_var") * 4)
-    return f.withColumn("fusion", F.struct(
+    return pin(f, {"fusion": F.struct(
         bounded(weighted / F.when(total == 0, F.lit(1.0)).otherwise(total)).alias("score"),
         F.col("_mean").alias("mean_score"), F.col("_var").alias("variance"),
         F.coalesce(F.array_max(values), F.lit(0.0)).alias("max_score"),
         F.coalesce(F.array_min(values), F.lit(0.0)).alias("min_score"),
         disagreement.alias("model_disagreement"),
-        F.greatest(F.lit(0.0), F.col("_mean") * (1 - disagreement)).alias("consensus_score"))).drop("_mean", "_var")
+        F.greatest(F.lit(0.0), F.col("_mean") * (1 - disagreement)).alias("consensus_score"))}).drop("_mean", "_var")
 
 
 def risk_score(cfg: Config = DEFAULT) -> Column:
@@ -159,7 +159,7 @@ def attack_category() -> Column:
 
 def assess(f: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Add risk score, level, confidence, reasons and category to a fused feature row."""
-    f = f.withColumn("risk_score", risk_score(cfg))
+    f = pin(f, {"risk_score": risk_score(cfg)})
     return f.withColumns({
         "risk_level": risk_level(cfg),
         "confidence": F.greatest(F.lit(0.0), 1.0 - F.col("fusion.model_disagreement")),

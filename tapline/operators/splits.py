@@ -19,9 +19,10 @@ def _cut(position: Column, n: Column) -> Column:
 
 
 def temporal(df: DataFrame, time_us: str, row_id: str, chunk_us: int = 60_000_000) -> DataFrame:
-    """Earliest 60 % train, next 20 % calibrate, rest test."""
-    work = df.withColumn("_chunk", F.floor(F.col(time_us) / chunk_us))
-    ranked = ordered.rank(work, ["_chunk"], [time_us, row_id], "_rank").drop("_chunk")
+    """Earliest 60 % train, next 20 % calibrate, rest test. Busy minutes are cut a thousandfold."""
+    work = df.withColumns({"_chunk": F.floor(F.col(time_us) / chunk_us),
+                           "_part": F.floor(F.col(time_us) / (chunk_us / 1000))})
+    ranked = ordered.rank(work, ["_chunk", "_part"], [time_us, row_id], "_rank").drop("_chunk", "_part")
     n = df.agg(F.count(F.lit(1))).scalar()
     return ranked.withColumn("split", _cut(F.col("_rank") - 1, n)).drop("_rank")
 

@@ -181,6 +181,16 @@ def zeek_conn(spark, sf):
         F.sum(F.variant_get("metadata", "$.resp_bytes", "bigint")).alias("resp_bytes"), F.min("ts_us").alias("first_us"))
 
 
+@query
+def indicator_feed(spark, sf):
+    """A feed with comments, blanks, padding and repetitions, one line per traffic row."""
+    t = _traffic(spark, sf)
+    e = F.col("event_id")
+    line = (F.when(e % 50 == 0, F.concat(F.lit("# "), "src_ip")).when(e % 50 == 1, F.lit("  "))
+            .when(e % 3 == 0, F.concat(F.lit(" "), "src_ip", F.lit(" "))).otherwise(F.col("src_ip")))
+    return ev_src.indicator_lines(t.select(line.alias("value")))
+
+
 @query
 def dataset_gates(spark, sf):
     """Contract violations of customer rows read as text, with flags and numbers as features."""

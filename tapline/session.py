@@ -15,6 +15,7 @@ def build(app: str = "tapline", master: str | None = None, partitions: int | Non
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
+         .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # skips call-site capture per column
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false"))
     if master:

@@ -76,8 +76,11 @@ def stream_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return events_from_json(spark.readStream.text(path))
 
 
-def read_indicators(spark: SparkSession, path: str) -> DataFrame:
+def indicator_lines(df: DataFrame, column: str = "value") -> DataFrame:
     """One indicator per line; blank and comment lines dropped, duplicates removed."""
-    lines = spark.read.text(path)
-    return (lines.filter(~F.col("value").startswith("#")).select(F.trim("value").alias("indicator"))
+    return (df.filter(~F.col(column).startswith("#")).select(F.trim(column).alias("indicator"))
             .filter("indicator <> ''").distinct())
+
+
+def read_indicators(spark: SparkSession, path: str) -> DataFrame:
+    return indicator_lines(spark.read.text(path))

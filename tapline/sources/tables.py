@@ -18,11 +18,17 @@ MODBUS_WRITE = "00010000000601050001ff00"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a table stored in fewer pieces than there are cores; larger ones stay put."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = events(spark, sf_dir).schema
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
             .parquet(sf_dir))
 
