@@ -43,7 +43,8 @@ def test_every_sql_has_its_query():
 
 
 def test_behaviours_shuffle_once(spark):
-    p = _plan(behaviors.behavioural_signals(tables.batch_traffic(spark, SF)))
+    stored = tables.traffic(spark.read.parquet(f"{SF}/events.parquet"))
+    p = _plan(behaviors.behavioural_signals(stored))
     assert p.count("Exchange hashpartitioning") == 1
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
