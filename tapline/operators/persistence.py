@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapline.config import DEFAULT, Config
+from tapline.session import materialise
 
 
 def persistent_hits(windows: DataFrame, key: str = "src_ip", cfg: Config = DEFAULT,
@@ -69,8 +70,11 @@ def cooldown(hits: DataFrame, key: str = "src_ip", cfg: Config = DEFAULT) -> Dat
 
 
 def with_persistence(windows: DataFrame, key: str = "src_ip", cfg: Config = DEFAULT) -> DataFrame:
-    """Add `persistent`: a run of high windows outside the key's cool-down."""
-    marked = persistent_hits(windows, key, cfg)
+    """Add `persistent`: a run of high windows outside the key's cool-down.
+
+    The windows are read twice, so they are stored first (one row per window).
+    """
+    marked = materialise(persistent_hits(windows, key, cfg), "persistence")
     emitted = cooldown(marked.filter("hit_run"), key, cfg).withColumn("_emit", F.lit(True))
     return (marked.join(emitted, [key, "window_end"], "left")
             .withColumn("persistent", F.coalesce("_emit", F.lit(False))).drop("_emit", "hit_run"))
