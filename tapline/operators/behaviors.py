@@ -112,9 +112,10 @@ def behaviour_counts(df: DataFrame, cfg: Config = DEFAULT, rules=RULES) -> DataF
         gaps = F.transform(F.sequence(F.lit(2), n), lambda i: (
             F.element_at("_recent", i) - F.element_at("_recent", i - 1)).cast("double"))
         enough = n >= cfg.beacon_min_events
-        out = out.withColumn("_gaps", F.when(enough, gaps))
         mean = F.when(enough, (F.col("ts_us") - F.element_at("_recent", 1)) / (n - 1))
         out = out.withColumns({"beacon_intervals": F.when(enough, n - 1), "_mean": mean})
+        # Dense traffic fails on the mean alone and never has its gaps looked at.
+        out = out.withColumn("_gaps", F.when(F.col("_mean") > cfg.beacon_min_mean_us, gaps))
         var = F.aggregate("_gaps", F.lit(0.0), lambda a, g: a + (g - F.col("_mean")) * (g - F.col("_mean")))
         cv = F.sqrt(var / F.size("_gaps")) / F.col("_mean")
         out = out.withColumns({
