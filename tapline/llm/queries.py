@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapline.llm import exact_dedup, mixing
+from tapline.llm import bitplanes, exact_dedup, mixing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.query,
+    "op4_bitplanes": bitplanes.query,
     "op5_mixing": mixing.query,
     "op10_exact_dedup": exact_dedup.query,
 }
