@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapline.llm import bitplanes, exact_dedup, mixing, toxicity
+from tapline.llm import bitplanes, exact_dedup, hmm, language, mixing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
+    "op2_hmm": hmm.query,
+    "op3_language": language.query,
     "op4_bitplanes": bitplanes.query,
     "op5_mixing": mixing.query,
     "op10_exact_dedup": exact_dedup.query,
