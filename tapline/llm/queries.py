@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapline.llm import bitplanes, chosen_path, exact_dedup, hmm, language, mixing, pii, toxicity
+from tapline.llm import bitplanes, chosen_path, exact_dedup, hmm, language, mixing, pii, sentencepieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": language.query,
     "op4_bitplanes": bitplanes.query,
     "op5_mixing": mixing.query,
+    "op6_sentencepieces": sentencepieces.query,
     "op8_pii": pii.query,
     "op9_chosen_path": chosen_path.query,
     "op10_exact_dedup": exact_dedup.query,
