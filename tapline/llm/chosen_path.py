@@ -119,8 +119,8 @@ def chosen(sets: list[np.ndarray]) -> list[list[list[int]]]:
     return out
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """One row per document: _uid, size, key of the set, the set, chosen tokens per level and all of them packed."""
+def described(docs: DataFrame, uid: str | None = None) -> DataFrame:
+    """One row per document: _uid (the column ``uid`` or new), size, key of the set, the set, chosen tokens per level and all of them packed."""
     state: dict[str, int] = {}
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -130,15 +130,15 @@ def described(docs: DataFrame) -> DataFrame:
         sums = [[int(mix64(s ^ seed).sum(dtype=np.uint64).astype(np.int64)) for s in sets] for seed in _SUMS]
         levels = chosen(sets)
         sketch = [np.sort(np.array(a + b + c, np.int64)).tobytes() for a, b, c in zip(*levels)]
-        return {"_uid": np.arange(start, start + batch.num_rows) if "_uid" not in batch.schema.names else batch.column("_uid"),
+        return {"_uid": batch.column("_uid") if uid else np.arange(start, start + batch.num_rows),
                 "doc_id": batch.column("doc_id"), "n": [len(s) for s in sets], "k1": sums[0], "k2": sums[1],
                 "tokens": [packed(s) for s in sets], "l1": levels[0], "l2": levels[1], "l3": levels[2], "sketch": sketch}
 
-    given = ["_uid"] if "_uid" in docs.columns else []
+    given = [F.col(uid).alias("_uid")] if uid else []
     return saved(mapped(
         docs.select(*given, F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run,
         "_uid long, doc_id long, n long, k1 long, k2 long, tokens binary, l1 array<long>, l2 array<long>, "
-        "l3 array<long>, sketch binary"), "near-sets")
+        "l3 array<long>, sketch binary"), "near-sets", "zstd")
 
 
 def _alike(rows: list[tuple]) -> list[tuple[int, int]]:
@@ -235,9 +235,9 @@ def _verified(rows: list[tuple]) -> list[tuple]:
     return [(a, b, 0) for a, b in _forest_of(ok, rows, i, j)] + [(r[4], None, int(k)) for r, k in zip(rows, links) if k]
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, uid: str | None = None) -> DataFrame:
     """_uid, doc_id, class_id, links, first (the document of the class that stays), n_shingles."""
-    rows = described(docs)
+    rows = described(docs, uid)
     groups = saved(rows.filter("n > 0").groupBy("n", "k1", "k2").agg(
         F.min("_uid").alias("rep"), F.count("*").alias("copies")), "near-groups")
     reps = rows.join(groups.select(F.col("rep").alias("_uid"), "copies"), "_uid")

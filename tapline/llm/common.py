@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapline.session import materialise, scratch
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from tapline.session import scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch: documents may be long, so batches hold few of them.
@@ -17,15 +21,30 @@ BATCH_ROWS = 2000
 P61 = (1 << 61) - 1
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    """Columns of a supplied table; sets the size of Arrow batches for what follows."""
+def prepare(spark: SparkSession) -> None:
+    """Small Arrow batches, and this package on the path of Python workers that run beside it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    """Columns of a supplied table."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
-def saved(df: DataFrame, purpose: str) -> DataFrame:
+def saved(df: DataFrame, purpose: str, codec: str = "snappy") -> DataFrame:
     """Write below spark.checkpoint.dir and read back: cuts the lineage and survives lost executors."""
-    return materialise(df, purpose)
+    path = scratch(df.sparkSession, purpose)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def struct_of(df: DataFrame, columns: tuple[str, ...]) -> StructType:
+    return StructType([df.schema[c] for c in columns])
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -42,12 +61,15 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow with ``fn(batch) -> dict of columns`` (or None for no rows), columns as in ``schema``."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+def mapped(df: DataFrame, fn, schema: str, carried: StructType | None = None) -> DataFrame:
+    """mapInArrow with ``fn(batch) -> dict of columns`` (or None for no rows), columns as in ``schema``.
 
-    fields = to_arrow_schema(StructType.fromDDL(schema))
+    ``carried`` is the type of a struct column _carry that passes through as it is.
+    """
+    shape = StructType.fromDDL(schema)
+    if carried is not None:
+        shape = shape.add("_carry", carried)
+    fields = to_arrow_schema(shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,7 +78,7 @@ def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
                     [c if isinstance(c, pa.Array) else pa.array(c, f.type)
                      for f, c in ((f, cols[f.name]) for f in fields)], schema=fields)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, shape)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

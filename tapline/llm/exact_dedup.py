@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapline.llm.common import mapped, saved, table, texts_of
+from tapline.llm.common import mapped, saved, struct_of, table, texts_of
 
 CHUNK = 1 << 16
 PRIME = (1 << 31) - 1
@@ -80,7 +80,7 @@ def same(a: bytes, b: bytes) -> bool:
 
 def fingerprinted(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: _uid, doc_id, fp, text_sha256, and norm, the text, where the batch has no earlier copy."""
-    kept = [F.to_json(F.struct(*carry), {"ignoreNullFields": "false"}).alias("_carry")] if carry else []
+    kept = [F.struct(*carry).alias("_carry")] if carry else []
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *kept)
     state = {}
 
@@ -96,8 +96,8 @@ def fingerprinted(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                "fp": prints, "text_sha256": [hashlib.sha256(t).hexdigest() for t in texts], "norm": norm}
         return out | ({"_carry": batch.column("_carry")} if carry else {})
 
-    schema = "_uid long, doc_id long, fp long, text_sha256 string, norm binary" + (", _carry string" if carry else "")
-    return saved(mapped(source, run, schema), "fingerprints")
+    schema = "_uid long, doc_id long, fp long, text_sha256 string, norm binary"
+    return saved(mapped(source, run, schema, struct_of(docs, carry) if carry else None), "fingerprints", "zstd")
 
 
 def distinct_texts(rows: DataFrame) -> DataFrame:

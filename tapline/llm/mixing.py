@@ -24,7 +24,7 @@ def sized(docs: DataFrame, seed: str = "mix", carry: tuple[str, ...] = ()) -> Da
     kept = [F.struct(*carry).alias("_carry")] if carry else []
     return saved(docs.select(
         "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), "source", "text")).alias("_key"), *kept), "mix")
+        F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), "source", "text")).alias("_key"), *kept), "mix", "zstd")
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapline.llm import bitplanes, chosen_path, exact_dedup, hmm, language, mixing, pii, sentencepieces, toxicity
+from tapline.llm import bitplanes, chosen_path, exact_dedup, hmm, language, mixing, nn_descent, pii, sentencepieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bitplanes": bitplanes.query,
     "op5_mixing": mixing.query,
     "op6_sentencepieces": sentencepieces.query,
+    "op7_nn_descent": nn_descent.query,
     "op8_pii": pii.query,
     "op9_chosen_path": chosen_path.query,
     "op10_exact_dedup": exact_dedup.query,

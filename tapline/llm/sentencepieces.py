@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapline.llm.common import mapped, saved, table
+from tapline.llm.common import mapped, saved, struct_of, table
 from tapline.llm.graph import streamed_groups
 
 CHUNK = 16_384
@@ -336,15 +336,15 @@ def lattice(path: str) -> Lattice:
 
 def parts(docs: DataFrame, model: str, chunk: int = CHUNK, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per chunk: _uid, doc_id, chunk, chunks, text_sha256, ids; ids null where a scan must follow, then with text."""
-    kept = [F.to_json(F.struct(*carry), {"ignoreNullFields": "false"}).alias("_carry")] if carry else []
+    kept = [F.struct(*carry).alias("_carry")] if carry else []
     names = "_uid long, doc_id long, chunk int, chunks int, text_sha256 string, ids binary, w string, low int, size int, n_chars long"
     state: dict[str, int] = {}
 
     def run(batch: pa.RecordBatch) -> dict:
         model_ = lattice(model)
         uid = state.get("n", 0) + (TaskContext.get().partitionId() << 36)
-        out: dict[str, list] = {c.split()[0]: [] for c in names.split(", ")} | ({"_carry": []} if carry else {})
-        extra = batch.column("_carry").to_pylist() if carry else None
+        out: dict[str, list] = {c.split()[0]: [] for c in names.split(", ")}
+        owner: list[int] = []
         for k, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())):
             text = text or ""
             sha = hashlib.sha256(text.encode()).hexdigest()
@@ -358,13 +358,12 @@ def parts(docs: DataFrame, model: str, chunk: int = CHUNK, carry: tuple[str, ...
             for i, n, ids, w, low, size in rows:
                 for name, x in zip(out, (uid + k, doc_id, i, n, sha, ids, w, low, size, len(text))):
                     out[name].append(x)
-                if carry:
-                    out["_carry"].append(extra[k] if i == 0 else None)
+                owner.append(k)
         state["n"] = state.get("n", 0) + batch.num_rows
-        return out
+        return out | ({"_carry": batch.column("_carry").take(pa.array(owner, pa.int64()))} if carry else {})
 
-    return saved(mapped(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *kept), run,
-                        names + (", _carry string" if carry else "")), "pieces-parts")
+    return saved(mapped(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *kept), run, names,
+                        struct_of(docs, carry) if carry else None), "pieces-parts", "zstd")
 
 
 def scanned(rows: DataFrame, model: str) -> DataFrame:
@@ -425,6 +424,19 @@ def digested(rows: DataFrame, model: str) -> DataFrame:
                   "doc_id long, n_pieces long, ids_crc32 long, decoded_chars long, round_trip boolean")
 
 
+def listed(rows: DataFrame) -> DataFrame:
+    """The carried columns, n_pieces and ids as integers."""
+    def run(batch: pa.RecordBatch) -> dict:
+        held = [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]
+        ends = np.cumsum([0] + [len(x) for x in held])
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(held).astype(np.int32)))
+        return {"doc_id": batch.column("doc_id"), "n_pieces": np.diff(ends), "ids": ids, "_carry": batch.column("_carry")}
+
+    out = mapped(rows.select("doc_id", "ids", "_carry"), run, "doc_id long, n_pieces long, ids array<int>",
+                 rows.schema["_carry"].dataType)
+    return out.select("doc_id", "_carry.*", "n_pieces", "ids")
+
+
 def model_file(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 

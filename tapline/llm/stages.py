@@ -1,27 +1,51 @@
-"""Stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns documents, the last one tokens."""
+"""Stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns documents, the last one their tokens.
+
+All but the last return the columns of ``docs``. An empty table passes through every stage; rows are judged one by
+one, so repeated rows and null ids are kept or dropped by the rules of the operators.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from tapline.llm import exact_dedup, mixing
-from tapline.llm.common import BATCH_ROWS
+from tapline.llm import chosen_path, exact_dedup, mixing, sentencepieces, toxicity
+from tapline.llm.common import prepare, saved, table
 
 
-def _tuned(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below the rejection threshold; the classifier learns from the labelled training fold."""
+    prepare(spark)
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
+    chosen, _, index = toxicity.fit(docs, labels, toxicity.training_rows())
+    score = toxicity.score_column(spark, chosen, index)
+    return docs.filter(score(F.col("text")) < toxicity.REJECT)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of equal normalised texts stays."""
-    _tuned(spark)
-    shape = StructType(docs.schema.fields)
-    rows = exact_dedup.grouped(exact_dedup.fingerprinted(docs, tuple(docs.columns))).filter("kept")
-    return rows.select(F.from_json("_carry", shape).alias("d")).select("d.*")
+    """One document of every group of equal normalised texts."""
+    prepare(spark)
+    rows = exact_dedup.fingerprinted(docs, tuple(docs.columns))
+    return exact_dedup.grouped(rows).filter("kept").select("_carry.*")
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of every near-duplicate class."""
+    prepare(spark)
+    names = docs.columns
+    stamped = saved(docs.select(F.struct(*names).alias("doc"), F.monotonically_increasing_id().alias("_at")), "near-docs", "zstd")
+    classes = chosen_path.near_duplicates(stamped.select("_at", "doc.doc_id", "doc.text"), uid="_at")
+    dropped = classes.filter(~F.col("first")).select(F.col("_uid").alias("_at"))
+    return stamped.join(dropped, "_at", "left_anti").select("doc.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix; a document appears once per epoch that takes it."""
     return mixing.repeated(mixing.mix(mixing.sized(docs, carry=tuple(docs.columns))))
+
+
+def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, the other columns (but text and any named as the new ones), n_pieces and ids of every document."""
+    prepare(spark)
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_pieces", "ids"))
+    return sentencepieces.listed(sentencepieces.encoded(docs, sentencepieces.model_file(), carry=rest))
