@@ -8,8 +8,11 @@ from tapline.llm import stages
 from tapline.session import scratch
 
 STAGES = [
+    ("toxicity", stages.without_toxic),
     ("exact_dedup", stages.without_copies),
+    ("ngram_jaccard", stages.without_near_copies),
     ("mixing", stages.mixed),
+    ("sentencepiece", stages.tokenised),
 ]
 #: The model stages (trained scores, random splits, tokenizer files) have no SQL; tests compare with brute force.
 ORACLE_SQL = None
