@@ -110,7 +110,7 @@ class Model:
         self.costs: dict[int, np.ndarray] = {0: np.full((1, k), 8.0)}
         self.escapes: dict[int, tuple[Table | None, np.ndarray]] = {}
         none = (np.empty(0, np.uint64), np.empty(0))
-        for n in range(1, order + 2):
+        for n in range(1, order + 2) if self.langs else ():
             own = [counts.get((lang, n), none) for lang in self.langs]
             contexts = np.unique(np.concatenate([c >> np.uint64(8) for c, _ in own]))
             windows = np.unique(np.concatenate([c for c, _ in own]))
