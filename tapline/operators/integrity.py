@@ -1,13 +1,21 @@
-"""Hash-chained evidence: verification in parallel, appending in bounded segments."""
+"""Hash-chained evidence: one serial chain per key, continued from stored heads and verified in parallel.
+
+A hash chain is serial by nature, so what runs in parallel is chosen by key columns (a day, a sensor), never by a
+number of rows. Heads (count, last sequence, last hash of each chain) are chained themselves and let
+`verify_chain` report rows removed from the end.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tapline.operators import ordered
 
@@ -67,50 +75,63 @@ def digest(previous: Column, payload: Column, timestamp: Column, style: str = "f
     return F.sha2(F.concat(previous, payload, F.coalesce(timestamp, F.lit(""))), 256)
 
 
-def append_chain(df: DataFrame, order: str, payload: Column, timestamp: Column, segment_rows: int = 10_000,
-                 style: str = "full", start_hash: str = GENESIS, start_sequence: int = 0) -> DataFrame:
-    """Chain rows in the order of the integer column ``order``.
+def append_chain(df: DataFrame, order: str, payload: Column, timestamp: Column, keys: tuple[str, ...] = (),
+                 style: str = "full", heads: DataFrame | None = None) -> DataFrame:
+    """Chain the rows of each key in the order of the column ``order``, after the stored ``heads`` if given.
 
-    A hash chain is serial, so rows are chained inside segments of bounded length; up to
-    ``segment_rows`` rows this is one chain. `segment_heads` chains the segments. Only the payload
-    text and position of a segment's rows enter its task.
+    The rows of a key are streamed sorted through one task, which holds the last hash only.
     """
-    low = df.agg(F.min(order)).scalar()
-    span = F.greatest(F.lit(1), F.ceil((df.agg(F.max(order)).scalar() - low + 1) / 4096))
-    work = df.withColumns({"_payload": payload, "_ts": timestamp})
-    work = work.withColumn("_block", F.floor((F.col(order) - low) / span))
-    work = ordered.rank(work, ["_block"], [order], "_rank").drop("_block")
-    work = work.withColumn("chain_segment", F.floor((F.col("_rank") - 1) / segment_rows))
     sep = ":" if style == "compact" else ""
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rank")
-        prev = start_hash if int(pdf.chain_segment.iloc[0]) == 0 else GENESIS
-        links = []
-        for text, ts in zip(pdf._payload, pdf._ts):
-            tail = "" if style == "compact" else (ts or "")
-            own = hashlib.sha256((prev + sep + text + tail).encode()).hexdigest()
-            links.append((prev, own))
-            prev = own
-        return pd.DataFrame({"_rank": pdf._rank, "previous_hash": [a for a, _ in links],
-                             "evidence_hash": [b for _, b in links]})
-
-    links = work.select("chain_segment", "_rank", "_payload", "_ts").groupBy("chain_segment").applyInPandas(
-        chain, "_rank bigint, previous_hash string, evidence_hash string")
-    return (work.drop("_payload", "_ts").join(links, "_rank")
-            .withColumn("chain_sequence", F.col("_rank") + start_sequence).drop("_rank"))
-
-
-def segment_heads(chained: DataFrame) -> DataFrame:
-    """The last hash of each segment: the rows of the second-level chain."""
-    return chained.groupBy("chain_segment").agg(
-        F.max_by("evidence_hash", "chain_sequence").alias("head_hash"), F.max("chain_sequence").alias("head_sequence"))
+    work = df.withColumns({"_payload": payload, "_ts": F.lit("") if style == "compact" else F.coalesce(timestamp, F.lit(""))})
+    if heads is None:
+        work = work.withColumns({"_head": F.lit(GENESIS), "_base": F.lit(0).cast("bigint")})
+    else:
+        known = heads.select(*keys, F.col("head_hash").alias("_head"), F.col("head_sequence").cast("bigint").alias("_base"))
+        work = work.join(known, list(keys), "left") if keys else work.crossJoin(F.broadcast(known.limit(1)))  # one head
+        work = work.withColumns({"_head": F.coalesce("_head", F.lit(GENESIS)), "_base": F.coalesce("_base", F.lit(0))})
+    work = work.withColumn("_key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit(""))
+    kept = [c for c in df.columns if c not in CHAIN_FIELDS]
+    out_schema = StructType([work.schema[c] for c in kept] + StructType.fromDDL(
+        "previous_hash string, evidence_hash string, chain_sequence bigint").fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = last = None
+        place = 0
+        for batch in batches:
+            links: tuple[list, list, list] = ([], [], [])
+            for k, text, ts, head, base in zip(*(batch.column(c).to_pylist() for c in ("_key", "_payload", "_ts", "_head", "_base"))):
+                if k != key:
+                    key, last, place = k, head, base
+                own = hashlib.sha256((last + sep + text + ts).encode()).hexdigest()
+                place += 1
+                for values, v in zip(links, (last, own, place)):
+                    values.append(v)
+                last = own
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept), pa.array(links[0], pa.string()), pa.array(links[1], pa.string()),
+                 pa.array(links[2], pa.int64())], names=out_schema.names)
+
+    placed = work.repartition("_key") if keys else work.coalesce(1)
+    return placed.sortWithinPartitions("_key", order).mapInArrow(run, out_schema)
+
+
+def chain_heads(chained: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Per key: rows, last sequence and last hash."""
+    return chained.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.max_by("evidence_hash", "chain_sequence").alias("head_hash"),
+        F.max("chain_sequence").alias("head_sequence"))
+
+
+def head_chain(heads: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The heads as one chain over keys, counts, sequences and hashes: a lost or changed head breaks it."""
+    order = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    payload = F.concat_ws("|", order, *[F.col(c).cast("string") for c in ("rows", "head_sequence", "head_hash")])
+    return append_chain(heads.withColumn("_place", order), "_place", payload, F.lit("")).drop("_place")
 
 
 def check_links(df: DataFrame, payload: Column, timestamp: Column, style: str = "full",
-                chunk: int = 10_000, segment: str | None = None) -> DataFrame:
+                chunk: int = 10_000, keys: tuple[str, ...] = ()) -> DataFrame:
     """Per row: whether its link and its payload hold. Links compare neighbours in sequence order."""
-    keys = (segment,) if segment else ()
     work = df.withColumn("_chunk", F.floor(F.coalesce("chain_sequence", F.lit(0)) / chunk))
     work = ordered.previous(work, "_chunk", "chain_sequence", {"_expected": "evidence_hash"}, keys)
     return work.withColumns({
@@ -120,31 +141,42 @@ def check_links(df: DataFrame, payload: Column, timestamp: Column, style: str =
     }).drop("_expected")
 
 
-def verify_chain(df: DataFrame, payload: Column, timestamp: Column, style: str = "full",
-                 chunk: int = 10_000, segment: str | None = None) -> DataFrame:
-    """One row: validity, length, and the first broken position with its reason."""
-    checked = check_links(df, payload, timestamp, style, chunk, segment)
-    counts = checked.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = counts.withColumn("_off", F.sum("_n").over(w) - F.col("_n")).select("_chunk", "_off")
-    inside = Window.partitionBy("_chunk").orderBy("chain_sequence")
-    placed = checked.withColumn("_r", F.row_number().over(inside)).join(offsets, "_chunk")
+def verify_chain(df: DataFrame, payload: Column, timestamp: Column, style: str = "full", chunk: int = 10_000,
+                 keys: tuple[str, ...] = (), heads: DataFrame | None = None) -> DataFrame:
+    """Per key (or one row): validity, length, and the first broken position with its reason.
+
+    With stored ``heads`` a chain that ends before its head, or is gone altogether, is broken as well.
+    """
+    checked = check_links(df, payload, timestamp, style, chunk, keys)
+    counts = checked.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = counts.withColumn("_off", F.sum("_n").over(w) - F.col("_n")).select(*keys, "_chunk", "_off")
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("chain_sequence")
+    placed = checked.withColumn("_r", F.row_number().over(inside)).join(offsets, [*keys, "_chunk"])
     index = F.col("_off") + F.col("_r") - 1
     bad = ~F.col("link_ok") | ~F.col("payload_ok")
-    out = placed.agg(
+    out = placed.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("count"),
         F.min(F.when(bad, F.struct(index.alias("i"), F.col("chain_sequence").alias("s"), F.col("alert_id").alias("a"),
                                    F.col("link_ok").alias("l")))).alias("b"),
         F.max(F.struct("chain_sequence", "evidence_hash")).alias("h"))
+    short = F.lit(False)
+    if heads is not None:
+        known = heads.select(*keys, F.col("head_sequence").alias("_hs"), F.col("head_hash").alias("_hh"))
+        out = out.join(known, list(keys), "full_outer") if keys else out.crossJoin(F.broadcast(known.limit(1)))
+        out = out.withColumn("count", F.coalesce("count", F.lit(0)))
+        short = F.col("_hh").isNotNull() & ~F.coalesce(F.col("h.evidence_hash") == F.col("_hh"), F.lit(False))
     broken = F.col("b").isNotNull()
     seq = F.col("b.s").cast("string")
-    reason = (F.when(F.col("count") == 0, F.lit("empty_chain")).when(~broken, F.lit("verified"))
-              .when(~F.col("b.l"), F.concat(F.lit("Hash chain broken at sequence "), seq, F.lit(
+    reason = (F.when(broken & ~F.col("b.l"), F.concat(F.lit("Hash chain broken at sequence "), seq, F.lit(
                   ": previous_hash does not match preceding evidence_hash")))
-              .otherwise(F.concat(F.lit("Tampered alert payload detected at sequence "), seq,
-                                  F.lit(" (alert_id: "), F.col("b.a"), F.lit(")"))))
+              .when(broken, F.concat(F.lit("Tampered alert payload detected at sequence "), seq,
+                                     F.lit(" (alert_id: "), F.col("b.a"), F.lit(")")))
+              .when(short, F.concat(F.lit("Chain ends before its head at sequence "),
+                                    (F.col("_hs") if heads is not None else F.lit(0)).cast("string")))
+              .when(F.col("count") == 0, F.lit("empty_chain")).otherwise(F.lit("verified")))
+    fine = ~broken & ~short
     return out.select(
-        (~broken).alias("valid"), "count", F.col("b.i").alias("broken_index"), F.col("b.s").alias("broken_sequence"),
+        *keys, fine.alias("valid"), "count", F.col("b.i").alias("broken_index"), F.col("b.s").alias("broken_sequence"),
         F.col("b.a").alias("broken_alert_id"), reason.alias("reason"),
-        F.when(~broken, F.col("h.chain_sequence")).alias("head_sequence"),
-        F.when(~broken, F.col("h.evidence_hash")).alias("head_hash"))
+        F.when(fine, F.col("h.chain_sequence")).alias("head_sequence"), F.when(fine, F.col("h.evidence_hash")).alias("head_hash"))

@@ -62,22 +62,24 @@ def previous(df: DataFrame, chunk: str, order: str, cols: dict[str, str], keys:
 
 
 def decayed(df: DataFrame, keys: tuple[str, ...], rank_col: str, value: Column, decay: float, out: str) -> DataFrame:
-    """Add y with y_n = decay * y_(n-1) + value_n and y_0 = 0, in rank order per key.
+    """Add y with y_n = decay * y_(n-1) + value_n and y_0 = 0, in rank order per key (ranks 1, 2, ... without holes).
 
-    Inside a chunk of ranks y is a running sum of scaled values. A chunk inherits the ends of the
-    three chunks before it; anything older weighs less than a double can hold next to them.
+    Inside a chunk of ranks y is a running sum of scaled values. Chunk ends follow the same recurrence with
+    decay ** size, so they take the same scan, a few thousand times shorter, until what a chunk inherits from
+    all but its predecessor is beyond the range of a double.
     """
-    size = max(64, min(2048, int(600 / -math.log(decay))))
+    if decay < 1e-100:
+        work = previous(df.withColumns({"_x": value, "_c": F.floor(F.col(rank_col) / 4096)}), "_c", rank_col, {"_p": "_x"}, keys)
+        return work.withColumn(out, F.col("_x") + F.lit(decay) * F.coalesce("_p", F.lit(0.0))).drop("_x", "_c", "_p")
+    size = max(1, min(2048, int(600 / -math.log(decay))))
     i = F.pmod(F.col(rank_col) - 1, F.lit(size)).cast("int") + 1
-    work = df.withColumns({"_chunk": F.floor((F.col(rank_col) - 1) / size), "_i": i, "_x": value})
+    work = df.withColumns({"_chunk": F.floor((F.col(rank_col) - 1) / size) + 1, "_i": i, "_x": value})
     inside = (Window.partitionBy(*keys, "_chunk").orderBy(rank_col).rowsBetween(Window.unboundedPreceding, 0))
     scaled = F.sum(F.col("_x") * F.pow(F.lit(decay), -F.col("_i"))).over(inside)
     work = work.withColumn("_local", scaled * F.pow(F.lit(decay), F.col("_i")))
     ends = work.groupBy(*keys, "_chunk").agg(F.max_by("_local", "_i").alias("_end"))
-    back = Window.partitionBy(*keys).orderBy("_chunk")
-    carry = sum((F.coalesce(F.lag("_end", k).over(back), F.lit(0.0)) * (decay ** (size * (k - 1))) for k in (1, 2, 3)),
-                F.lit(0.0))
-    carries = ends.select(*keys, "_chunk", carry.alias("_carry"))
-    return (work.join(carries, [*keys, "_chunk"])
-            .withColumn(out, F.col("_local") + F.col("_carry") * F.pow(F.lit(decay), F.col("_i")))
+    carries = decayed(ends.withColumnRenamed("_chunk", "_rank"), keys, "_rank", F.col("_end"), decay ** size, "_state").select(
+        *keys, (F.col("_rank") + 1).alias("_chunk"), F.col("_state").alias("_carry"))
+    return (work.join(carries, [*keys, "_chunk"], "left")
+            .withColumn(out, F.col("_local") + F.coalesce("_carry", F.lit(0.0)) * F.pow(F.lit(decay), F.col("_i")))
             .drop("_chunk", "_i", "_x", "_local", "_carry"))

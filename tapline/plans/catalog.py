@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapline.config import Config
@@ -825,54 +825,92 @@ def audit_log(spark, sf):
 
 
 def _chain_input(spark, sf):
-    """Orders as alert rows to chain."""
+    """Orders as alert rows to chain, one chain per sensor."""
     return spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.col("o_orderkey").alias("pos")).agg(
         F.concat(F.lit("a-"), F.col("o_orderkey").cast("string")).alias("alert_id"),
         F.min("o_orderpriority").alias("risk_level"), F.min("o_orderstatus").alias("attack_category"),
         F.concat(F.lit("10.0.0."), F.min("o_custkey").cast("string")).alias("src_ip"),
-        F.lit("10.1.0.1").alias("dst_ip"), F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("timestamp"))
+        F.lit("10.1.0.1").alias("dst_ip"), F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("timestamp"),
+        (F.min("o_custkey") % 40).cast("bigint").alias("sensor"))
+
+
+SENSOR = ("sensor",)
+
+
+def _chain_payload(style="full"):
+    return integrity.compact_payload() if style == "compact" else F.concat_ws("|", "alert_id", "risk_level", "src_ip")
 
 
 def _chained(spark, sf, style="full"):
-    rows = _chain_input(spark, sf)
-    payload = integrity.compact_payload() if style == "compact" else F.concat_ws("|", "alert_id", "risk_level", "src_ip")
-    return integrity.append_chain(rows, "pos", payload, F.col("timestamp"), segment_rows=500, style=style)
+    return integrity.append_chain(_chain_input(spark, sf), "pos", _chain_payload(style), F.col("timestamp"), SENSOR, style)
 
 
 @query
 def chain_append(spark, sf):
-    return _pick(_chained(spark, sf), "alert_id", "chain_segment", "chain_sequence", "previous_hash", "evidence_hash")
+    return _pick(_chained(spark, sf), "alert_id", "sensor", "chain_sequence", "previous_hash", "evidence_hash")
+
+
+@query
+def chain_continued(spark, sf):
+    """The same chains appended in two parts, the second from the heads of the stored first."""
+    rows = _chain_input(spark, sf)
+    early = materialise(integrity.append_chain(rows.filter("pos % 4 < 2 AND pos < 30000 OR pos < 9000"), "pos", _chain_payload(),
+                                               F.col("timestamp"), SENSOR), "chain")
+    late = integrity.append_chain(rows.filter("NOT (pos % 4 < 2 AND pos < 30000 OR pos < 9000)"), "pos", _chain_payload(),
+                                  F.col("timestamp"), SENSOR, heads=integrity.chain_heads(early, SENSOR))
+    return _pick(early.unionByName(late), "alert_id", "sensor", "chain_sequence", "evidence_hash")
 
 
 @query
 def chain_compact(spark, sf):
-    return _pick(_chained(spark, sf, "compact"), "alert_id", "chain_sequence", "evidence_hash")
+    return _pick(_chained(spark, sf, "compact"), "alert_id", "sensor", "chain_sequence", "evidence_hash")
+
+
+@query
+def chain_heads(spark, sf):
+    """Heads of all chains, and their own chain."""
+    heads = integrity.head_chain(integrity.chain_heads(_chained(spark, sf), SENSOR), SENSOR)
+    return _pick(heads, "sensor", "rows", "head_sequence", "head_hash", "chain_sequence", "evidence_hash")
 
 
 @query
 def chain_segment_heads(spark, sf):
-    return integrity.segment_heads(_chained(spark, sf))
+    """The last link of each chain."""
+    return _pick(integrity.chain_heads(_chained(spark, sf), SENSOR), "sensor", "head_hash", "head_sequence")
 
 
 @query
 def chain_links(spark, sf):
     """Link and payload checks after some rows were tampered with."""
     c = materialise(_chained(spark, sf), "chain")
-    e = F.col("chain_sequence")
+    e = F.col("pos")
     bad = c.withColumns({
         "risk_level": F.when(e % 101 == 7, F.lit("edited")).otherwise(F.col("risk_level")),
         "previous_hash": F.when(e % 103 == 5, F.repeat(F.lit("f"), 64)).otherwise(F.col("previous_hash"))})
-    out = integrity.check_links(bad, F.concat_ws("|", "alert_id", "risk_level", "src_ip"), F.col("timestamp"),
-                                chunk=64, segment="chain_segment")
+    out = integrity.check_links(bad, _chain_payload(), F.col("timestamp"), chunk=64, keys=SENSOR)
     return _pick(out, "alert_id", "link_ok", "payload_ok")
 
 
 @query
 def chain_first_break(spark, sf):
-    """Verification of the first segment's rows as one chain, one payload edited."""
-    c = materialise(_chained(spark, sf), "chain").filter("chain_segment = 0")
-    bad = c.withColumn("risk_level", F.when(F.col("chain_sequence") == 123, F.lit("edited")).otherwise(F.col("risk_level")))
-    return integrity.verify_chain(bad, F.concat_ws("|", "alert_id", "risk_level", "src_ip"), F.col("timestamp"), chunk=50)
+    """Verification of every chain, with the twelfth row of every third one edited."""
+    c = materialise(_chained(spark, sf), "chain")
+    edit = (F.col("chain_sequence") == 12) & (F.col("sensor") % 3 == 0)
+    bad = c.withColumn("risk_level", F.when(edit, F.lit("edited")).otherwise(F.col("risk_level")))
+    return integrity.verify_chain(bad, _chain_payload(), F.col("timestamp"), chunk=50, keys=SENSOR).drop("head_hash")
+
+
+@query
+def chain_removed_rows(spark, sf):
+    """Verification against stored heads after a middle row, a tail and a whole chain were removed."""
+    c = materialise(_chained(spark, sf), "chain")
+    heads = integrity.chain_heads(c, SENSOR)
+    last = F.max("chain_sequence").over(Window.partitionBy("sensor"))
+    case = F.col("sensor") % 4
+    left = c.withColumn("_last", last).filter(~(
+        (case == 0) & (F.col("chain_sequence") == 5) | (case == 1) & (F.col("chain_sequence") > F.col("_last") - 3)
+        | (F.col("sensor") == 2))).drop("_last")
+    return integrity.verify_chain(left, _chain_payload(), F.col("timestamp"), chunk=64, keys=SENSOR, heads=heads).drop("head_hash")
 
 
 @query

@@ -344,8 +344,8 @@ _SCORED = """sd AS (SELECT doc_id AS row_id, quality AS label, round(n_chars / (
 _EMB = "em AS (SELECT CAST(vec_id AS BIGINT) AS row_id, CAST(label < 2 AS INT) AS label, " + ", ".join(
     f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(8)) + " FROM embeddings)"
 _CHAIN_IN = """ch AS (SELECT o_orderkey AS pos, 'a-' || o_orderkey AS alert_id, min(o_orderpriority) AS risk_level, min(o_orderstatus) AS attack_category,
-  '10.0.0.' || min(o_custkey) AS src_ip, '10.1.0.1' AS dst_ip, 't' || o_orderkey AS ts FROM orders GROUP BY 1),
-cn AS (SELECT *, row_number() OVER (ORDER BY pos) AS seq, (row_number() OVER (ORDER BY pos) - 1) // 500 AS seg FROM ch)"""
+  '10.0.0.' || min(o_custkey) AS src_ip, '10.1.0.1' AS dst_ip, 't' || o_orderkey AS ts, CAST(min(o_custkey) % 40 AS BIGINT) AS sensor FROM orders GROUP BY 1),
+cn AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY pos) AS seq FROM ch)"""
 _PAYLOAD = "alert_id || '|' || risk_level || '|' || src_ip"
 _COMPACT = """'{"alert_id":"' || alert_id || '","category":"' || attack_category || '","dst_ip":"' || dst_ip || '","risk_level":"' || risk_level || '","src_ip":"' || src_ip || '","timestamp":"' || ts || '"}'"""
 
@@ -353,9 +353,9 @@ _COMPACT = """'{"alert_id":"' || alert_id || '","category":"' || attack_category
 def _chain(payload: str, sep: str, tail: str) -> list[str]:
     zero = "0" * 64
     pay = f"cp AS (SELECT *, {payload} AS pay, {tail} AS tl FROM cn)"
-    return [_CHAIN_IN, pay, f"""cc AS (SELECT seg, seq, '{zero}' AS previous_hash, sha256('{zero}{sep}' || pay || tl) AS evidence_hash FROM cp
-  WHERE (seq - 1) % 500 = 0 UNION ALL SELECT p.seg, p.seq, cc.evidence_hash, sha256(cc.evidence_hash || '{sep}' || p.pay || p.tl)
-  FROM cc JOIN cp p ON p.seg = cc.seg AND p.seq = cc.seq + 1)"""]
+    return [_CHAIN_IN, pay, f"""cc AS (SELECT sensor, seq, '{zero}' AS previous_hash, sha256('{zero}{sep}' || pay || tl) AS evidence_hash FROM cp
+  WHERE seq = 1 UNION ALL SELECT p.sensor, p.seq, cc.evidence_hash, sha256(cc.evidence_hash || '{sep}' || p.pay || p.tl)
+  FROM cc JOIN cp p ON p.sensor = cc.sensor AND p.seq = cc.seq + 1)"""]
 
 
 _CHAIN = _chain(_PAYLOAD, "", "ts")
@@ -604,13 +604,32 @@ def _build() -> None:
     o["feedback_split"] = """SELECT label, label IN ('TRUE_POSITIVE', 'FALSE_POSITIVE', 'BENIGN', 'UNKNOWN') AS accepted, count(*) AS n, '' AS comment FROM (
       SELECT CASE event_type WHEN 'click' THEN 'TRUE_POSITIVE' WHEN 'view' THEN 'BENIGN' WHEN 'error' THEN 'UNKNOWN' ELSE upper(event_type) END AS label FROM events) GROUP BY 1"""
     o["audit_log"] = _with(T, "SELECT 'packet' AS event, src_ip, count(*) AS n, max(ts_us) AS last_us FROM t GROUP BY 2")
-    o["chain_append"] = _with(_CHAIN, "SELECT alert_id, cc.seg AS chain_segment, cc.seq AS chain_sequence, previous_hash, evidence_hash FROM cc JOIN cn ON cn.seq = cc.seq")
-    o["chain_compact"] = _with(_chain(_COMPACT, ":", "''"), "SELECT alert_id, cc.seq AS chain_sequence, evidence_hash FROM cc JOIN cn ON cn.seq = cc.seq")
-    o["chain_segment_heads"] = _with(_CHAIN, "SELECT seg AS chain_segment, arg_max(evidence_hash, seq) AS head_hash, max(seq) AS head_sequence FROM cc GROUP BY 1")
-    o["chain_links"] = _with([_CHAIN_IN], "SELECT alert_id, seq % 103 <> 5 AS link_ok, seq % 101 <> 7 AND seq % 103 <> 5 AS payload_ok FROM cn")
-    o["chain_first_break"] = _with([_CHAIN_IN], """SELECT false AS valid, least(500, count(*)) AS count, 122::BIGINT AS broken_index, 123::BIGINT AS broken_sequence,
-      max(alert_id) FILTER (seq = 123) AS broken_alert_id, 'Tampered alert payload detected at sequence 123 (alert_id: ' || max(alert_id) FILTER (seq = 123) || ')' AS reason,
-      NULL::BIGINT AS head_sequence, NULL::VARCHAR AS head_hash FROM cn""")
+    of = "FROM cc JOIN cn ON cn.seq = cc.seq AND cn.sensor = cc.sensor"
+    o["chain_append"] = _with(_CHAIN, f"SELECT alert_id, cc.sensor, cc.seq AS chain_sequence, previous_hash, evidence_hash {of}")
+    again = """ORDER BY NOT (pos % 4 < 2 AND pos < 30000 OR pos < 9000), pos"""  # the first part, then the second
+    o["chain_continued"] = _with([x.replace("PARTITION BY sensor ORDER BY pos", f"PARTITION BY sensor {again}") for x in _CHAIN],
+                                 f"SELECT alert_id, cc.sensor, cc.seq AS chain_sequence, evidence_hash {of}")
+    o["chain_compact"] = _with(_chain(_COMPACT, ":", "''"), f"SELECT alert_id, cc.sensor, cc.seq AS chain_sequence, evidence_hash {of}")
+    zero = "0" * 64
+    o["chain_heads"] = _with([*_CHAIN, """hd AS (SELECT sensor, count(*) AS rows, max(seq) AS head_sequence, arg_max(evidence_hash, seq) AS head_hash FROM cc GROUP BY 1)""",
+      """hn AS (SELECT *, row_number() OVER (ORDER BY CAST(sensor AS VARCHAR)) AS seq, sensor || '|' || rows || '|' || head_sequence || '|' || head_hash AS pay FROM hd)""",
+      f"""hc AS (SELECT seq, sha256('{zero}' || pay) AS evidence_hash FROM hn WHERE seq = 1 UNION ALL
+      SELECT p.seq, sha256(hc.evidence_hash || p.pay) FROM hc JOIN hn p ON p.seq = hc.seq + 1)"""],
+      "SELECT sensor, rows, head_sequence, head_hash, hc.seq AS chain_sequence, hc.evidence_hash FROM hc JOIN hn ON hn.seq = hc.seq")
+    o["chain_segment_heads"] = _with(_CHAIN, "SELECT sensor, arg_max(evidence_hash, seq) AS head_hash, max(seq) AS head_sequence FROM cc GROUP BY 1")
+    o["chain_links"] = _with([_CHAIN_IN], "SELECT alert_id, pos % 103 <> 5 AS link_ok, pos % 101 <> 7 AND pos % 103 <> 5 AS payload_ok FROM cn")
+    o["chain_first_break"] = _with([_CHAIN_IN], """SELECT sensor, NOT hit AS valid, n AS count, CASE WHEN hit THEN 11 END::BIGINT AS broken_index,
+      CASE WHEN hit THEN 12 END::BIGINT AS broken_sequence, CASE WHEN hit THEN a END AS broken_alert_id,
+      CASE WHEN hit THEN 'Tampered alert payload detected at sequence 12 (alert_id: ' || a || ')' ELSE 'verified' END AS reason,
+      CASE WHEN NOT hit THEN n END AS head_sequence FROM (SELECT sensor, count(*) AS n, max(alert_id) FILTER (seq = 12) AS a,
+        sensor % 3 = 0 AND count(*) >= 12 AS hit FROM cn GROUP BY 1)""")
+    o["chain_removed_rows"] = _with([_CHAIN_IN], """SELECT sensor, sensor <> 2 AND k > 1 AS valid,
+      CASE WHEN sensor = 2 THEN 0 WHEN k = 0 THEN n - 1 WHEN k = 1 THEN n - 3 ELSE n END AS count, CASE WHEN k = 0 THEN 4 END::BIGINT AS broken_index,
+      CASE WHEN k = 0 THEN 6 END::BIGINT AS broken_sequence, CASE WHEN k = 0 THEN a END AS broken_alert_id,
+      CASE WHEN sensor = 2 OR k = 1 THEN 'Chain ends before its head at sequence ' || n
+           WHEN k = 0 THEN 'Hash chain broken at sequence 6: previous_hash does not match preceding evidence_hash' ELSE 'verified' END AS reason,
+      CASE WHEN sensor <> 2 AND k > 1 THEN n END AS head_sequence
+      FROM (SELECT sensor, sensor % 4 AS k, count(*) AS n, max(alert_id) FILTER (seq = 6) AS a FROM cn GROUP BY 1)""")
     o["alert_verdict_view"] = _with(_ALERTS, "SELECT alert_id, attack_category AS category, risk_level, src_ip AS source, dst_ip AS destination FROM alerts")
     o["roc_auc"] = _with([_SCORED], """SELECT round((SELECT avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0.0 END) FROM sd p, sd n
       WHERE p.label = 1 AND n.label <> 1), 6)::DOUBLE AS roc_auc""")

@@ -21,7 +21,7 @@ def test_running_totals_and_previous(spark):
     assert prev == {b: a for a, b in zip([None, *ids], ids)}
 
 
-@pytest.mark.parametrize("decay", [0.9, 0.5])
+@pytest.mark.parametrize("decay", [0.9, 0.5, 0.999, 0.9995, 0.05, 1e-7])
 def test_decayed_scan_equals_the_recurrence(spark, decay):
     x = np.random.default_rng(1).normal(size=5000)
     df = spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(x)], "r long, x double")
@@ -33,6 +33,12 @@ def test_decayed_scan_equals_the_recurrence(spark, decay):
     assert got == pytest.approx(expect, abs=1e-9)
 
 
+def test_decayed_scan_keeps_all_history(spark):
+    df = spark.range(1, 20_001).withColumn("x", F.lit(1.0))
+    last = ordered.decayed(df, (), "id", F.col("x"), 0.9995, "y").orderBy(F.desc("id")).first().y
+    assert last == pytest.approx((1 - 0.9995 ** 20_000) / 0.0005, rel=1e-9)
+
+
 def _volumes(spark, rows):
     cols = ["window_end", *baseline.TRACKED]
     return spark.createDataFrame([(T0 + i * 1_000_000, *r) for i, r in enumerate(rows)],
@@ -209,3 +215,24 @@ def test_tampering_is_located(spark):
     beheaded = integrity.verify_chain(c.filter("pos > 3"), payload, ts).first()
     assert beheaded.broken_index == 0
     assert integrity.verify_chain(c.limit(0), payload, ts).first().reason == "empty_chain"
+
+
+def test_long_chains_verify_and_continue(spark):
+    rows = spark.range(15_000).select(F.col("id").alias("pos"), F.concat(F.lit("a-"), F.col("id")).alias("alert_id"),
+                                      F.lit("t").alias("timestamp"), (F.col("id") % 3).alias("day"))
+    payload, ts = F.col("alert_id"), F.col("timestamp")
+    whole = integrity.append_chain(rows.repartition(7), "pos", payload, ts)
+    ok = integrity.verify_chain(whole, payload, ts, chunk=1000).first()
+    assert ok.valid and ok["count"] == 15_000 and ok.head_sequence == 15_000
+    first = integrity.append_chain(rows.filter("pos < 7000"), "pos", payload, ts)
+    rest = integrity.append_chain(rows.filter("pos >= 7000"), "pos", payload, ts, heads=integrity.chain_heads(first))
+    assert integrity.chain_heads(rest).first().head_hash == ok.head_hash
+    days = integrity.append_chain(rows, "pos", payload, ts, ("day",))
+    heads = integrity.chain_heads(days, ("day",))
+    cut = days.filter("NOT (day = 0 AND pos = 600) AND NOT (day = 1 AND pos > 14000)")
+    got = {r.day: r for r in integrity.verify_chain(cut, payload, ts, keys=("day",), heads=heads).collect()}
+    assert [got[d].valid for d in (0, 1, 2)] == [False, False, True] and got[0].broken_sequence == 202
+    assert got[1].reason.startswith("Chain ends before its head")
+    chained = integrity.head_chain(heads, ("day",))
+    sums = F.concat_ws("|", *[F.col(c).cast("string") for c in ("day", "rows", "head_sequence", "head_hash")])
+    assert integrity.verify_chain(chained.withColumn("alert_id", F.col("day").cast("string")), sums, F.lit("")).first().valid
