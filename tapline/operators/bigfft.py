@@ -107,21 +107,24 @@ def spectra(series: DataFrame, means: DataFrame) -> DataFrame:
         F.when(flat, F.lit(0.0)).otherwise(v).alias(c) for v, c in zip(vals, SPECTRAL)]).alias("_big"))
 
 
-def oversized(df: DataFrame, cfg: Config, group_cols: tuple[str, ...] = ()) -> DataFrame:
+def oversized(df: DataFrame, cfg: Config, group_cols: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """Windows with a slot beyond the array bound."""
     n = df.groupBy(*group_cols, windows.slot_of(cfg).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     big = n.filter(F.col("n") > windows.slot_capacity(cfg))
-    return windows.explode_slots(big, cfg, False).select(*group_cols, "window_end").distinct()
+    return windows.explode_slots(big, cfg, whole).select(*group_cols, "window_end").distinct()
 
 
-def fill(f: DataFrame, df: DataFrame, cfg: Config, group_cols: tuple[str, ...] = ()) -> DataFrame:
-    """Complete the null `_sp` of oversized windows; one small job decides whether there are any."""
-    big = oversized(df, cfg, group_cols)
+def fill(f: DataFrame, df: DataFrame, cfg: Config, group_cols: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+    """Complete the null `_sp` of oversized windows; one small job decides whether there are any.
+
+    Fewer than four gaps, or gaps equal in whole microseconds, have no spectrum, as for windows held as arrays.
+    """
+    big = oversized(df, cfg, group_cols, whole)
     if not big.take(1):
         return f
     keys = [*group_cols, "window_end"]
     ev = windows.explode_slots(df.select(*group_cols, "ts_us", "event_id", windows.slot_of(cfg).alias("slot")),
-                               cfg, False).join(big, keys, "left_semi")
+                               cfg, whole).join(big, keys, "left_semi")
     in_slot = Window.partitionBy(*keys, "slot").orderBy("ts_us", "event_id")
     ev = ev.withColumns({"_r": F.row_number().over(in_slot), "_prev": F.lag("ts_us").over(in_slot)})
     counts = ev.groupBy(*keys, "slot").agg(F.count(F.lit(1)).alias("_n"), F.min("ts_us").alias("_first"),
@@ -141,6 +144,10 @@ def fill(f: DataFrame, df: DataFrame, cfg: Config, group_cols: tuple[str, ...] =
     series = rows.filter(prev.isNotNull()).select(
         wid.alias("w"), n.alias("n"), (F.col("_off") + F.col("_r") - 2).cast("bigint").alias("j"), (iat - mean).alias("x"))
     means = (counts.select(wid.alias("w"), mean.alias("mean")).distinct())
-    done = spectra(series, means)
+    gap = F.col("ts_us") - prev
+    flat = rows.filter(prev.isNotNull()).groupBy(wid.alias("w")).agg(
+        ((F.count(gap) < 4) | ((F.min(gap) == F.max(gap)) if cfg.iat_mode != "double" else F.lit(False))).alias("_flat"))
+    zeros = F.struct(*[F.lit(0.0).alias(c) for c in SPECTRAL])
+    done = spectra(series, means).join(flat, "w").select("w", F.when(F.col("_flat"), zeros).otherwise(F.col("_big")).alias("_big"))
     return (f.withColumn("_w", wid).join(done.withColumnRenamed("w", "_w"), "_w", "left")
             .withColumn("_sp", F.when(F.col("_big").isNotNull(), F.col("_big")).otherwise(F.col("_sp"))).drop("_w", "_big"))

@@ -157,8 +157,7 @@ def window_features(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str,
         f = f.withColumn("baseline_deviation", F.lit(0.0))
     if spectral:
         f = f.withColumn("_sp", spectral_of_times(F.col("times"), cfg.iat_mode)).drop("times")
-        if not whole:
-            f = bigfft.fill(f, df, cfg, group_cols)
+        f = bigfft.fill(f, df, cfg, group_cols, whole)
         f = f.select("*", *[F.col(f"_sp.{c}").alias(c) for c in SPECTRAL]).drop("_sp")
     else:
         f = f.withColumns({c: F.lit(0.0) for c in SPECTRAL})

@@ -181,6 +181,26 @@ def zeek_conn(spark, sf):
         F.sum(F.variant_get("metadata", "$.resp_bytes", "bigint")).alias("resp_bytes"), F.min("ts_us").alias("first_us"))
 
 
+@query
+def zeek_folder(spark, sf):
+    """A folder of connection logs with two different headers, one without uid and in another order, row by row."""
+    t = _traffic(spark, sf)
+    e = F.col("event_id")
+    cell = {"ts": (F.col("ts_us") / 1e6).cast("decimal(20,6)").cast("string"), "uid": F.concat(F.lit("C"), e.cast("string")),
+            "id.orig_h": F.col("src_ip"), "id.orig_p": F.col("src_port").cast("string"), "id.resp_h": F.col("dst_ip"),
+            "id.resp_p": F.col("dst_port").cast("string"), "proto": F.lower("protocol"),
+            "orig_bytes": F.col("packet_len").cast("string"), "resp_bytes": (e % 7).cast("string")}
+    folder = scratch(spark, "zeek")
+    for k, names in enumerate((list(cell), ["proto", "id.resp_p", "id.resp_h", "id.orig_p", "id.orig_h", "resp_bytes", "orig_bytes", "ts"])):
+        lines = t.filter(e % 2 == k).select(F.pmod(e, F.lit(4)).alias("k"), F.lit(1).alias("o"), F.concat_ws(
+            "\t", *[F.coalesce(cell[n], F.lit("-")) for n in names]).alias("value"))
+        heads = spark.range(4).select(F.col("id").alias("k"), F.lit(0).alias("o"), F.lit("#fields\t" + "\t".join(names)).alias("value"))
+        lines.unionByName(heads).repartitionByRange(4, "k").sortWithinPartitions("k", "o").select("value").write.text(f"{folder}/{k}")
+    out = captures.read_zeek(spark, f"{folder}/*")
+    return out.select("src_ip", "dst_ip", "protocol", "packet_len", "ts_us", F.variant_get("metadata", "$.uid", "string").alias("uid"),
+                      F.coalesce("src_port", F.lit(0)).alias("src_port"), F.coalesce("dst_port", F.lit(0)).alias("dst_port"))
+
+
 @query
 def indicator_feed(spark, sf):
     """A feed with comments, blanks, padding and repetitions, one line per traffic row."""

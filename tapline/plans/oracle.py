@@ -376,6 +376,9 @@ def _build() -> None:
     o["zeek_conn"] = _with(T, """SELECT src_ip, dst_ip, lower(protocol) AS protocol, count(*) AS n,
       CAST(sum(CASE WHEN event_id % 11 = 0 THEN 0 ELSE packet_len END + event_id % 7) AS BIGINT) AS bytes, count(*) FILTER (event_id % 9 <> 0) AS ports,
       CAST(sum(event_id % 7) AS BIGINT) AS resp_bytes, min(ts_us) AS first_us FROM t WHERE event_id % 100 <> 0 GROUP BY 1, 2, 3""")
+    o["zeek_folder"] = _with(T, """SELECT src_ip, dst_ip, lower(protocol) AS protocol, packet_len + event_id % 7 AS packet_len, ts_us,
+      CASE WHEN event_id % 2 = 0 THEN 'C' || event_id ELSE '' END AS uid, CAST(coalesce(src_port, 0) AS BIGINT) AS src_port,
+      CAST(coalesce(dst_port, 0) AS BIGINT) AS dst_port FROM t""")
     o["indicator_feed"] = _with(T, "SELECT DISTINCT src_ip AS indicator FROM t WHERE event_id % 50 > 1")
     o["dataset_gates"] = """WITH x AS (SELECT CASE WHEN c_custkey % 97 = 0 THEN 'x' WHEN c_custkey % 89 = 0 THEN '2' ELSE CAST(c_nationkey % 2 AS VARCHAR) END AS l,
       c_custkey % 31 = 0 AS inf, c_custkey % 3 <> 0 AND c_custkey % 53 = 0 AS bad FROM customer)

@@ -104,16 +104,20 @@ def read_tshark_fields(spark: SparkSession, path: str) -> DataFrame:
     return tshark_lines(spark.read.text(path))
 
 
-def zeek_lines(df: DataFrame, fields: list[str] | None = None, column: str = "value") -> DataFrame:
-    """Connection log lines to events. Bad numbers count as zero and port zero as none."""
+def zeek_lines(df: DataFrame, fields: list[str] | None = None, column: str = "value", names: str | None = None) -> DataFrame:
+    """Connection log lines to events. Bad numbers count as zero and port zero as none.
+
+    Columns are named by ``fields``, or row by row by the array column ``names`` (null: the defaults).
+    """
     fields = fields or ZEEK_FIELDS
     parts = F.split(F.regexp_replace(F.col(column), r"[\r\n]+$", ""), "\t", -1)
-    lines = df.filter(~F.col(column).startswith("#") & (F.trim(column) != "")).select(parts.alias("p"))
+    known = F.array(*[F.lit(x) for x in fields])
+    named = F.coalesce(names, known) if names else known
+    lines = df.filter(~F.col(column).startswith("#") & (F.trim(column) != "")).select(parts.alias("p"), named.alias("names"))
 
     def get(name: str) -> Column:
-        if name not in fields:
-            return F.lit(None).cast("string")
-        return F.try_element_at("p", F.lit(fields.index(name) + 1))
+        at = F.array_position("names", F.lit(name)).cast("int")
+        return F.when(at > 0, F.try_element_at("p", F.greatest(at, F.lit(1))))
 
     def number(name: str) -> Column:
         x = F.trim(get(name)).try_cast("double")
@@ -141,11 +145,10 @@ def zeek_lines(df: DataFrame, fields: list[str] | None = None, column: str = "va
     return with_event_id(with_event_time(out))
 
 
-def zeek_fields(spark: SparkSession, path: str) -> list[str]:
-    """Column names from the log's header line, or the defaults."""
-    head = spark.read.text(path).filter(F.col("value").startswith("#fields")).take(1)
-    return head[0].value.rstrip("\r\n").split("\t")[1:] if head else ZEEK_FIELDS
-
-
 def read_zeek(spark: SparkSession, path: str) -> DataFrame:
-    return zeek_lines(spark.read.text(path), zeek_fields(spark, path))
+    """Connection logs of a file or folder; every file is read by its own header line, or by the defaults."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
+    header = F.split(F.regexp_replace("value", r"[\r\n]+$", ""), "\t")
+    heads = lines.filter(F.col("value").startswith("#fields")).groupBy("_file").agg(
+        F.min(F.slice(header, 2, 10_000)).alias("names"))  # one row per file
+    return zeek_lines(lines.join(heads, "_file", "left"), names="names")

@@ -103,6 +103,19 @@ def test_oversized_windows_take_the_distributed_transform(spark):
         assert list(x) == pytest.approx(list(y), abs=1e-7)
 
 
+@pytest.mark.parametrize("whole", [False, True])
+def test_both_transforms_agree_on_even_and_uneven_gaps(spark, whole):
+    even = [{"at": 0.05 + 0.07 * i} for i in range(60)]
+    uneven = [{"at": 20.05 + 0.07 * i + 0.01 * (i * i % 5)} for i in range(60)]
+    t = tables.flagged(traffic(spark, even + ([] if whole else uneven)).withColumn("asset_id", F.lit("a")))
+    cols = ["window_end", *spectral.SPECTRAL]
+    a, b = (sorted(features.window_features(t, Config(fft_array_limit=n), whole=whole, emit_partial=True).select(cols).collect())
+            for n in (1 << 20, 50))
+    assert len(a) == len(b) > 0
+    for x, y in zip(a, b):
+        assert list(x) == pytest.approx(list(y), abs=1e-7) and None not in y
+
+
 def test_empty_windows(spark):
     t = traffic(spark, [{"at": 0.5}, {"at": 20.5}])
     f = features.with_empty_windows(features.window_features(t, spectral=False, emit_partial=True))
