@@ -3,8 +3,8 @@
 A text is the set of its runs of five lower-cased words (shorter texts: one run of all words). Equal sets are joined first
 and go on as one set with a count. In each of R runs a set chooses shared tokens by hash, on average
 ``CHOICES`` / similarity of them, and every choice is a bucket. A bucket above ``SPLIT`` sets is split on further chosen
-tokens, up to three deep, unless its sets are alike: when most of what a split deals out stays together, the bucket is
-dense and its sets are joined at once. Small buckets are compared by brute force on the chosen tokens alone, whose
+tokens, up to three deep, unless its sets are alike: when most of what a split would deal out stays together (judged on a
+probe), the bucket is dense and all its sets are joined at once. Small buckets are compared by brute force on the chosen tokens alone, whose
 overlap estimates the similarity; what cannot be excluded is linked into families. Families are compared exactly, on
 whole sets, in blocks of ``PART`` x ``PART`` sets per task, which emit link counts and a spanning forest, never all pairs.
 R follows from the target recall: a run finds a pair of the threshold similarity with chance at least
@@ -38,6 +38,7 @@ SPLIT = 256
 PART = 128
 ALIKE = 0.5  # share of chosen tokens; sets of similarity 0.8 are some five standard deviations above it
 DENSE = 0.6
+PROBE = 256
 SLICE = 1 << 19  # bytes of text hashed together
 _RNG = np.random.default_rng(20)
 _ODD = _RNG.integers(1, 1 << 63, 1 << 12, dtype=np.uint64) | np.uint64(1)
@@ -186,6 +187,19 @@ def _in_parts(df: DataFrame, key: str, size: str, part: int) -> DataFrame:
             .withColumns({"i": F.least("part", "_o"), "j": F.greatest("part", "_o")}).drop("_o"))
 
 
+def _dense(big: DataFrame, further: DataFrame) -> DataFrame:
+    """Buckets whose sets are alike, judged by how the next tokens would deal some ``PROBE`` of them.
+
+    The probe only decides how a bucket is worked on: a dense one is joined whole, any other is split whole.
+    """
+    probe = big.filter(F.pmod(F.xxhash64("uid", "bucket"), F.col("m")) < PROBE).join(further, ["uid", "run"])
+    sizes = probe.groupBy("bucket", "token").agg(F.count("*").alias("c"))
+    n = probe.groupBy("bucket").agg(F.countDistinct("uid").alias("n"))
+    stays = F.sum(F.when(F.col("c") * 2 >= F.col("n"), F.col("c")).otherwise(0)) / F.sum("c")
+    return saved(sizes.join(n, "bucket").groupBy("bucket").agg(stays.alias("stays")).filter(
+        F.col("stays") >= DENSE).select("bucket"), "near-dense")
+
+
 def families(reps: DataFrame) -> DataFrame:
     """node, root: sets that may be similar, by chosen paths."""
     now = reps.select(F.explode("l1").alias("bucket"), F.col("_uid").alias("uid"))
@@ -200,16 +214,14 @@ def families(reps: DataFrame) -> DataFrame:
             small.append(now.join(kept, "bucket").select("bucket", "uid", "m"))
             break
         small.append(now.join(kept.filter(F.col("m") <= SPLIT), "bucket").select("bucket", "uid", "m"))
-        big = saved(now.join(kept.filter(F.col("m") > SPLIT), "bucket"), "near-big")
-        further = reps.select(F.col("_uid").alias("uid"), F.explode(f"l{level}").alias("token"),
-                              F.expr("token & 7L").alias("run"))
-        dealt = big.withColumn("run", F.expr("bucket & 7L")).join(further, ["uid", "run"])
-        dealt = saved(dealt.withColumn("child", F.expr("(xxhash64(bucket, token) & ~7L) | run")), "near-dealt")
-        sizes = dealt.groupBy("bucket", "m", "child").agg(F.count("*").alias("c"))
-        stays = F.sum(F.when(F.col("c") * 2 >= F.col("m"), F.col("c")).otherwise(0)) / F.sum("c")
-        dense = sizes.groupBy("bucket").agg(stays.alias("stays")).filter(F.col("stays") >= DENSE).select("bucket")
+        big = saved(now.join(kept.filter(F.col("m") > SPLIT), "bucket").withColumn("run", F.expr("bucket & 7L")), "near-big")
+        further = reps.select(F.col("_uid").alias("uid"), F.explode(f"l{level}").alias("token")).withColumn(
+            "run", F.expr("token & 7L"))
+        dense = _dense(big, further)
         edges.append(big.join(dense, "bucket", "left_semi").select(F.col("uid").alias("u"), F.col("least").alias("v")))
-        now = dealt.join(dense, "bucket", "left_anti").select(F.col("child").alias("bucket"), "uid")
+        # all sets of a run that are in a bucket still too large are dealt anew, once each
+        again = big.join(dense, "bucket", "left_anti").select("uid", "run").distinct()
+        now = again.join(further, ["uid", "run"]).select(F.expr(f"(xxhash64({level}, token) & ~7L) | run").alias("bucket"), "uid")
     members = small[0]
     for more in small[1:]:
         members = members.unionByName(more)
