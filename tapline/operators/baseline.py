@@ -21,12 +21,6 @@ HOUR_US = 3_600_000_000
 RANK_CHUNK_US = HOUR_US
 
 
-def _unpivot(df: DataFrame, ids: list[str], cols: list[str], name: str) -> DataFrame:
-    return df.select(*ids, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("pos"), F.lit(c).alias(name), F.col(f"`{c}`").cast("double").alias("x"))
-        for i, c in enumerate(cols)])).alias("_e")).select(*ids, "_e.*")
-
-
 def _ranked(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     work = df.withColumn("_hour", F.floor(F.col("window_end") / RANK_CHUNK_US))
     return ordered.rank(work, ["_hour"], ["window_end"], "obs", keys).drop("_hour")
@@ -39,13 +33,17 @@ def ewma(windows: DataFrame, cfg: Config = DEFAULT, scope: Column | None = None)
     """
     a, w = cfg.ewma_alpha, 1.0 - cfg.ewma_alpha
     base = windows.withColumn("scope", scope if scope is not None else F.lit("global"))
-    base = _ranked(base.select("scope", "window_end", *TRACKED), ("scope",))
-    long = _unpivot(base, ["scope", "window_end", "obs"], TRACKED, "metric")
-    key = ("scope", "metric")
+    base = _ranked(base.select("scope", "window_end", *[F.col(c).cast("double").alias(c) for c in TRACKED]), ("scope",))
     first = F.col("obs") == 1
-    m = ordered.decayed(long, key, "obs", F.when(first, F.col("x")).otherwise(F.col("x") * a), w, "mean")
-    step = (F.col("x") - F.col("mean")) / w  # distance to the mean before the update
-    v = ordered.decayed(m, key, "obs", F.when(first, F.lit(1.0)).otherwise(w * a * step * step), w, "variance")
+    m = ordered.decayed(base, ("scope",), "obs", {
+        f"_m_{c}": F.when(first, F.col(c)).otherwise(F.col(c) * a) for c in TRACKED}, w)
+    step = {c: (F.col(c) - F.col(f"_m_{c}")) / w for c in TRACKED}  # distance to the mean before the update
+    v = ordered.decayed(m, ("scope",), "obs", {
+        f"_v_{c}": F.when(first, F.lit(1.0)).otherwise(w * a * step[c] * step[c]) for c in TRACKED}, w)
+    v = v.select("scope", "window_end", "obs", F.explode(F.array(*[F.struct(
+        F.lit(i).alias("pos"), F.lit(c).alias("metric"), F.col(c).alias("x"), F.col(f"_m_{c}").alias("mean"),
+        F.col(f"_v_{c}").alias("variance")) for i, c in enumerate(TRACKED)])).alias("_e")).select(
+        "scope", "window_end", "obs", "_e.*")
     z = F.when(first, F.lit(0.0)).otherwise(
         (F.col("x") - F.col("mean")) / F.sqrt(F.greatest(F.lit(1e-4), F.col("variance"))))
     v = v.withColumn("_z", z)
@@ -103,12 +101,18 @@ def online_distance(features: DataFrame, cfg: Config = DEFAULT, group_cols: tupl
     """
     d = cfg.kitsune_decay
     ids = [*group_cols, "window_end"]
-    base = _ranked(features.select(*ids, *[f"`{c}`" for c in NUMERIC_FEATURES]), group_cols)
-    long = _unpivot(base, [*ids, "obs"], NUMERIC_FEATURES, "feature")
-    x = F.col("x")
-    m = ordered.decayed(long, (*group_cols, "feature"), "obs",
-                        F.when(F.col("obs") == 1, x).otherwise(x * (1.0 - d)), d, "_mean")
-    before = (F.col("_mean") - x * (1.0 - d)) / d  # the mean this window was compared with
-    dist = F.when(F.col("obs") == 1, F.lit(0.0)).otherwise(F.abs(x - before) / (F.abs(before) + 1))
-    finite = ~F.isnan(x) & (F.abs(x) != float("inf"))
-    return m.groupBy(*ids).agg(bounded(F.coalesce(F.avg(F.when(finite, dist)), F.lit(0.0))).alias("kitsune"))
+    names = {c: f"_f{i}" for i, c in enumerate(NUMERIC_FEATURES)}
+    base = _ranked(features.select(*ids, *[F.col(f"`{c}`").cast("double").alias(n) for c, n in names.items()]), group_cols)
+    first = F.col("obs") == 1
+    m = ordered.decayed(base, group_cols, "obs", {
+        f"_m{n}": F.when(first, F.col(n)).otherwise(F.col(n) * (1.0 - d)) for n in names.values()}, d)
+    terms, counted = [], []
+    for n in names.values():
+        x = F.col(n)
+        before = (F.col(f"_m{n}") - x * (1.0 - d)) / d  # the mean this window was compared with
+        finite = ~F.isnan(x) & (F.abs(x) != float("inf"))
+        terms.append(F.when(finite & ~first, F.abs(x - before) / (F.abs(before) + 1)).otherwise(F.lit(0.0)))
+        counted.append(F.when(finite, F.lit(1)).otherwise(F.lit(0)))
+    n = F.aggregate(F.array(*counted), F.lit(0), lambda a, x: a + x)
+    total = F.aggregate(F.array(*terms), F.lit(0.0), lambda a, x: a + x)
+    return m.select(*ids, bounded(F.when(n > 0, total / n).otherwise(F.lit(0.0))).alias("kitsune"))

@@ -61,25 +61,29 @@ def previous(df: DataFrame, chunk: str, order: str, cols: dict[str, str], keys:
         "_first", *[f"_t_{n}" for n in cols])
 
 
-def decayed(df: DataFrame, keys: tuple[str, ...], rank_col: str, value: Column, decay: float, out: str) -> DataFrame:
-    """Add y with y_n = decay * y_(n-1) + value_n and y_0 = 0, in rank order per key (ranks 1, 2, ... without holes).
+def decayed(df: DataFrame, keys: tuple[str, ...], rank_col: str, values: dict[str, Column], decay: float) -> DataFrame:
+    """Add, per name, y with y_n = decay * y_(n-1) + value_n and y_0 = 0, in rank order per key (1, 2, ... without holes).
 
     Inside a chunk of ranks y is a running sum of scaled values. Chunk ends follow the same recurrence with
-    decay ** size, so they take the same scan, a few thousand times shorter, until what a chunk inherits from
-    all but its predecessor is beyond the range of a double.
+    decay ** size, so they take the same scan, up to two thousand times shorter, until what a chunk inherits
+    from all but its predecessor is beyond the range of a double. All names share the scans.
     """
     if decay < 1e-100:
-        work = previous(df.withColumns({"_x": value, "_c": F.floor(F.col(rank_col) / 4096)}), "_c", rank_col, {"_p": "_x"}, keys)
-        return work.withColumn(out, F.col("_x") + F.lit(decay) * F.coalesce("_p", F.lit(0.0))).drop("_x", "_c", "_p")
+        work = df.withColumns({**{f"_x_{n}": c for n, c in values.items()}, "_c": F.floor(F.col(rank_col) / 4096)})
+        work = previous(work, "_c", rank_col, {f"_p_{n}": f"_x_{n}" for n in values}, keys)
+        work = work.withColumns({n: F.col(f"_x_{n}") + F.lit(decay) * F.coalesce(f"_p_{n}", F.lit(0.0)) for n in values})
+        return work.drop("_c", *[f"_x_{n}" for n in values], *[f"_p_{n}" for n in values])
     size = max(1, min(2048, int(600 / -math.log(decay))))
     i = F.pmod(F.col(rank_col) - 1, F.lit(size)).cast("int") + 1
-    work = df.withColumns({"_chunk": F.floor((F.col(rank_col) - 1) / size) + 1, "_i": i, "_x": value})
+    work = df.withColumns({"_chunk": F.floor((F.col(rank_col) - 1) / size) + 1, "_i": i,
+                           **{f"_x_{n}": c for n, c in values.items()}})
+    work = work.withColumns({"_up": F.pow(F.lit(decay), -F.col("_i")), "_down": F.pow(F.lit(decay), F.col("_i"))})
     inside = (Window.partitionBy(*keys, "_chunk").orderBy(rank_col).rowsBetween(Window.unboundedPreceding, 0))
-    scaled = F.sum(F.col("_x") * F.pow(F.lit(decay), -F.col("_i"))).over(inside)
-    work = work.withColumn("_local", scaled * F.pow(F.lit(decay), F.col("_i")))
-    ends = work.groupBy(*keys, "_chunk").agg(F.max_by("_local", "_i").alias("_end"))
-    carries = decayed(ends.withColumnRenamed("_chunk", "_rank"), keys, "_rank", F.col("_end"), decay ** size, "_state").select(
-        *keys, (F.col("_rank") + 1).alias("_chunk"), F.col("_state").alias("_carry"))
-    return (work.join(carries, [*keys, "_chunk"], "left")
-            .withColumn(out, F.col("_local") + F.coalesce("_carry", F.lit(0.0)) * F.pow(F.lit(decay), F.col("_i")))
-            .drop("_chunk", "_i", "_x", "_local", "_carry"))
+    work = work.withColumns({f"_x_{n}": F.sum(F.col(f"_x_{n}") * F.col("_up")).over(inside) * F.col("_down") for n in values})
+    ends = work.groupBy(*keys, "_chunk").agg(F.max_by(F.struct(*[F.col(f"_x_{n}").alias(n) for n in values]), "_i").alias("_end"))
+    ends = ends.select(*keys, F.col("_chunk").alias("_rank"), "_end")
+    carries = decayed(ends, keys, "_rank", {f"_y_{n}": F.col("_end")[n] for n in values}, decay ** size).select(
+        *keys, (F.col("_rank") + 1).alias("_chunk"), *[f"_y_{n}" for n in values])
+    out = work.join(carries, [*keys, "_chunk"], "left").withColumns({
+        n: F.col(f"_x_{n}") + F.coalesce(f"_y_{n}", F.lit(0.0)) * F.col("_down") for n in values})
+    return out.drop("_chunk", "_i", "_up", "_down", *[f"_x_{n}" for n in values], *[f"_y_{n}" for n in values])

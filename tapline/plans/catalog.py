@@ -75,8 +75,8 @@ def _alerts(spark: SparkSession, sf: str) -> DataFrame:
     return detection.alerts(_traffic(spark, sf), _verdicts(spark))
 
 
-def _assessed(spark: SparkSession, sf: str, online: bool = False) -> DataFrame:
-    return window_alerts.assessed_windows(_uneven(spark, sf), online=online)
+def _assessed(spark: SparkSession, sf: str) -> DataFrame:
+    return window_alerts.assessed_windows(_uneven(spark, sf))
 
 
 def _labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
@@ -626,7 +626,7 @@ def _model(name: str) -> Column:
 
 @query
 def scores_by_model(spark, sf):
-    return _assessed(spark, sf).select("window_end", *[_model(m) for m in ("xgboost", "lstm", "fft", "isolation_forest")])
+    return _assessed(spark, sf).select("window_end", *[_model(m) for m in scoring.MODELS])
 
 
 @query
@@ -649,9 +649,10 @@ def risk_levels(spark, sf):
 
 @query
 def fixed_profile_distance(spark, sf):
-    means = {"packets": 90.0, "bytes": 9000.0, "fan_out": 3.0}
-    f = _features(spark, sf)
-    return f.select("window_end", scoring.baseline_distance(means, ["packets", "bytes", "fan_out", "udp_ratio"]).alias("distance"))
+    """All numeric features against one fixed profile."""
+    means = dict.fromkeys(features.NUMERIC_FEATURES, 2.5)
+    return _features(spark, sf, True).select(
+        "window_end", scoring.baseline_distance(means, features.NUMERIC_FEATURES).alias("distance"))
 
 
 @query
@@ -689,7 +690,7 @@ def emission_gate(spark, sf):
 @query
 def window_alerts_report(spark, sf):
     """Window alerts with the online model, endpoint reputation and top evidence."""
-    out = window_alerts.window_alerts(_assessed(spark, sf, online=True), _verdicts(spark))
+    out = window_alerts.window_alerts(_assessed(spark, sf), _verdicts(spark))
     return out.select("alert_id", "ts_us", "src_ip", "dst_ip", "protocol", "attack_category", "risk_level", "risk_score",
                       "threat_intel.status", F.element_at("top_features", 1)["feature"].alias("top_feature"))
 

@@ -276,11 +276,30 @@ def _b(x: str) -> str:
     return f"greatest(0.0, least(1.0, {x}))"
 
 
-_SCORE = [*_FEAT, f"""sc0 AS (SELECT *,
+# Decayed means of all numeric features, window by window.
+_NUMERIC = {
+    "packets": "n", "bytes": "bytes", "pps": "n / dur", "bps": "bytes / dur", "flows": "flow_count", "ports": "ports", "dsts": "dsts",
+    "srcs": "srcs", "fan_out": "dsts", "fan_in": "srcs", "nir": "dsts / n", "subnets": "subnets", "lm": "lm", "ls": "ls", "ttl_mean": "ttl_mean",
+    "ttl_delta": "ttl_delta", "e1": "ip_id_entropy", "e2": "ip_flags_entropy", "e3": "tcp_flags_entropy", "e4": "dscp_entropy",
+    "i1": "iat_mean", "i2": "iat_variance", "i3": "iat_std", "i4": "iat_skewness", "i5": "iat_kurtosis", "i6": "iat_cv", "bd": "0.0",
+    "s1": "dominant_frequency", "s2": "spectral_flatness", "s3": "harmonic_ratio", "s4": "spectral_centroid", "s5": "periodicity_score",
+    "auth": "1.0", "lat": "least(1.0, dsts / 10.0)", "udp": "udp_ratio", "ub": "udp_burst", "ta": "ttl_anom", "pi": "altered", "pal": "altered",
+    "sp": "spoofed", "id": "spoofed", "be": "beacon", "bh": "behavior", "ps": "lm", "it": "iat_mean", "pc": "n", "mp": "lm",
+    "se": "spectral_flatness", "fb": "harmonic_ratio", "pt": "CAST(protocol = 'TCP' AS DOUBLE)", "pu": "CAST(protocol = 'UDP' AS DOUBLE)",
+    "sport": "src_port", "dport": "dst_port", "z1": "0.0", "z2": "0.0", "z3": "0.0", "z4": "0.0", "z5": "0.0", "z6": "0.0", "z7": "0.0"}
+_KITSUNE = [
+    "kw AS (SELECT *, row_number() OVER (ORDER BY window_end) AS obs FROM f)",
+    "kl AS (" + " UNION ".join(f"SELECT window_end, obs, '{k}' AS feature, CAST({e} AS DOUBLE) AS x FROM kw" for k, e in _NUMERIC.items()) + ")",
+    """kr AS (SELECT feature, obs, window_end, x, x AS mean, 0.0::DOUBLE AS d FROM kl WHERE obs = 1 UNION ALL
+  SELECT l.feature, l.obs, l.window_end, l.x, kr.mean * 0.95 + l.x * 0.05, abs(l.x - kr.mean) / (abs(kr.mean) + 1)
+  FROM kr JOIN kl l ON l.feature = kr.feature AND l.obs = kr.obs + 1)""",
+    "ks AS (SELECT window_end, greatest(0.0, least(1.0, avg(d))) AS kitsune FROM kr GROUP BY 1)"]
+
+_SCORE = [*_FEAT, *_KITSUNE, f"""sc0 AS (SELECT f.*, kitsune,
   {_b(f"0.25 * {_n('dsts', 10)} + 0.15 * {_n('bytes / dur', 5000)} + 0.15 * {_n('least(1.0, dsts / 10.0)', 1)} + 0.05 * udp_burst + 0.1 * spoofed + 0.1 * altered")} AS xgboost,
   {_b(f"0.4 * beacon + 0.25 * {_n('iat_cv', 1)} + 0.15 * {_n('periodicity_score', 5)} + 0.15 * {_n('behavior', 1)}")} AS lstm,
   {_b(f"0.5 * greatest({_n('periodicity_score', 5)}, beacon) + 0.25 * {_n('dsts / n', 0.5)} + 0.25 * {_n('dsts', 10)}")} AS fft,
-  {_b(f"0.2 * {_n('dsts', 10)} + 0.2 * udp_burst + 0.15 * spoofed + 0.15 * altered")} AS isolation_forest, 0.0 AS kitsune FROM f)"""]
+  {_b(f"0.2 * {_n('dsts', 10)} + 0.2 * udp_burst + 0.15 * spoofed + 0.15 * altered")} AS isolation_forest FROM f JOIN ks USING (window_end))"""]
 
 
 def _risk(src: str = "sc0") -> list[str]:
@@ -301,25 +320,6 @@ def _risk(src: str = "sc0") -> list[str]:
 
 _RISK = [*_SCORE, *_risk()]
 
-# Decayed means of all numeric features, window by window.
-_NUMERIC = {
-    "packets": "n", "bytes": "bytes", "pps": "n / dur", "bps": "bytes / dur", "flows": "flow_count", "ports": "ports", "dsts": "dsts",
-    "srcs": "srcs", "fan_out": "dsts", "fan_in": "srcs", "nir": "dsts / n", "subnets": "subnets", "lm": "lm", "ls": "ls", "ttl_mean": "ttl_mean",
-    "ttl_delta": "ttl_delta", "e1": "ip_id_entropy", "e2": "ip_flags_entropy", "e3": "tcp_flags_entropy", "e4": "dscp_entropy",
-    "i1": "iat_mean", "i2": "iat_variance", "i3": "iat_std", "i4": "iat_skewness", "i5": "iat_kurtosis", "i6": "iat_cv", "bd": "0.0",
-    "s1": "dominant_frequency", "s2": "spectral_flatness", "s3": "harmonic_ratio", "s4": "spectral_centroid", "s5": "periodicity_score",
-    "auth": "1.0", "lat": "least(1.0, dsts / 10.0)", "udp": "udp_ratio", "ub": "udp_burst", "ta": "ttl_anom", "pi": "altered", "pal": "altered",
-    "sp": "spoofed", "id": "spoofed", "be": "beacon", "bh": "behavior", "ps": "lm", "it": "iat_mean", "pc": "n", "mp": "lm",
-    "se": "spectral_flatness", "fb": "harmonic_ratio", "pt": "CAST(protocol = 'TCP' AS DOUBLE)", "pu": "CAST(protocol = 'UDP' AS DOUBLE)",
-    "sport": "src_port", "dport": "dst_port", "z1": "0.0", "z2": "0.0", "z3": "0.0", "z4": "0.0", "z5": "0.0", "z6": "0.0", "z7": "0.0"}
-_KITSUNE = [
-    "kw AS (SELECT *, row_number() OVER (ORDER BY window_end) AS obs FROM f)",
-    "kl AS (" + " UNION ".join(f"SELECT window_end, obs, '{k}' AS feature, CAST({e} AS DOUBLE) AS x FROM kw" for k, e in _NUMERIC.items()) + ")",
-    """kr AS (SELECT feature, obs, window_end, x, x AS mean, 0.0::DOUBLE AS d FROM kl WHERE obs = 1 UNION ALL
-  SELECT l.feature, l.obs, l.window_end, l.x, kr.mean * 0.95 + l.x * 0.05, abs(l.x - kr.mean) / (abs(kr.mean) + 1)
-  FROM kr JOIN kl l ON l.feature = kr.feature AND l.obs = kr.obs + 1)""",
-    "ks AS (SELECT window_end, greatest(0.0, least(1.0, avg(d))) AS kitsune FROM kr GROUP BY 1)"]
-
 # Second feature set.
 _EXTRACT = [*W, _AGG, _IAT, _entropy("dst_port", "ep"),
             """xb AS (SELECT w.window_end, max(c) AS peak, count(*) AS bins FROM (SELECT w.window_end, (ts_us - first_us) // 100000 AS bin, count(*) AS c
@@ -523,7 +523,7 @@ def _build() -> None:
         R("CASE WHEN iat_mean > 0 THEN iat_std / iat_mean ELSE 0 END", "beacon_jitter_cv"), R("port_entropy", "port_entropy"), R("burst", "burst_ratio"),
         "CASE WHEN srcs = 1 THEN src_ip ELSE 'multiple' END AS src_ip", "CASE WHEN dsts = 1 THEN dst_ip ELSE 'multiple' END AS dst_ip",
         "CASE WHEN tcp_n = n THEN 'TCP' WHEN udp_n = n THEN 'UDP' ELSE 'MIXED' END AS protocol"]) + " FROM x")
-    o["scores_by_model"] = _with(_SCORE, "SELECT window_end, " + ", ".join(R(m, m) for m in ("xgboost", "lstm", "fft", "isolation_forest")) + " FROM sc0")
+    o["scores_by_model"] = _with(_SCORE, "SELECT window_end, " + ", ".join(R(m, m) for m in ("xgboost", "lstm", "fft", "kitsune", "isolation_forest")) + " FROM sc0")
     o["scores_fused"] = _with(_RISK, "SELECT window_end, " + ", ".join([
         R("fused", "score"), R("mean_score", "mean_score"), R("variance", "variance"), R("greatest(xgboost, lstm, fft, kitsune, isolation_forest)", "max_score"),
         R("least(xgboost, lstm, fft, kitsune, isolation_forest)", "min_score"), R("disagreement", "model_disagreement"),
@@ -539,7 +539,8 @@ def _build() -> None:
     texts = ", ".join(f"CASE WHEN {c} THEN '{x}' END" for c, x in reasons)
     o["risk_levels"] = _with(_RISK, f"""SELECT window_end, {R('risk_score', 'risk_score')}, risk_level, {R('greatest(0, 1 - disagreement)', 'confidence')}, attack_category,
       array_to_string(list_filter([{texts}], lambda x: x IS NOT NULL), '; ') AS reasons FROM r""")
-    o["fixed_profile_distance"] = feat(R("least(1.0, (abs(n - 90) / 91 + abs(bytes - 9000) / 9001 + abs(dsts - 3) / 4) / 4)", "distance"))
+    o["fixed_profile_distance"] = _with([*_FEAT, *_KITSUNE], f"""SELECT window_end, {R('greatest(0.0, least(1.0, avg(abs(x - 2.5) / 3.5)))', 'distance')}
+      FROM kl GROUP BY 1""")
     o["kitsune_online"] = _with([*_FEAT, *_KITSUNE], f"SELECT window_end, {R('kitsune', 'kitsune')} FROM ks")
     o["flow_summary"] = _with(_RISK, f"""SELECT last_us AS ts_us, src_ip, dst_ip, protocol, n::DOUBLE AS packets, bytes, {R('risk_score', 'anomaly_score')}, asset_id FROM r""")
     streak = """st AS (SELECT *, sum(CASE WHEN risk_score < 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY src_ip ORDER BY window_end ROWS UNBOUNDED PRECEDING) AS isl FROM r),
@@ -565,7 +566,7 @@ def _build() -> None:
       row_number() OVER (PARTITION BY window_end ORDER BY contribution DESC, feature) AS position FROM xc WHERE contribution > 0) WHERE position <= 10""")
     o["explain_nested"] = _with([*_FEAT, contrib], """SELECT window_end, position, feature, contribution FROM (SELECT *,
       row_number() OVER (PARTITION BY window_end ORDER BY contribution DESC, pos) AS position FROM xc WHERE contribution > 0) WHERE position <= 10""")
-    kit = [*_SCORE, *_KITSUNE, "sk AS (SELECT sc0.* REPLACE (ks.kitsune AS kitsune) FROM sc0 JOIN ks USING (window_end))", *_risk("sk")]
+    kit = _RISK
     o["window_alerts_report"] = _with([*kit, streak, "hh AS (SELECT src_ip, window_end FROM sn WHERE run >= 3)", _cool("hh", 30_000_000),
                                        "gt AS (SELECT r.*, ce.window_end IS NOT NULL AS persistent FROM r LEFT JOIN ce ON ce.src_ip = r.src_ip AND ce.window_end = r.window_end)",
                                        _INTEL, contrib, "xt AS (SELECT window_end, arg_max(feature, {'c': contribution, 'p': -pos}) AS top_feature FROM xc WHERE contribution > 0 GROUP BY 1)"],

@@ -25,7 +25,7 @@ def test_running_totals_and_previous(spark):
 def test_decayed_scan_equals_the_recurrence(spark, decay):
     x = np.random.default_rng(1).normal(size=5000)
     df = spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(x)], "r long, x double")
-    got = [r.y for r in ordered.decayed(df, (), "r", F.col("x"), decay, "y").orderBy("r").collect()]
+    got = [r.y for r in ordered.decayed(df, (), "r", {"y": F.col("x")}, decay).orderBy("r").collect()]
     y, expect = 0.0, []
     for v in x:
         y = decay * y + v
@@ -35,7 +35,7 @@ def test_decayed_scan_equals_the_recurrence(spark, decay):
 
 def test_decayed_scan_keeps_all_history(spark):
     df = spark.range(1, 20_001).withColumn("x", F.lit(1.0))
-    last = ordered.decayed(df, (), "id", F.col("x"), 0.9995, "y").orderBy(F.desc("id")).first().y
+    last = ordered.decayed(df, (), "id", {"y": F.col("x")}, 0.9995).orderBy(F.desc("id")).first().y
     assert last == pytest.approx((1 - 0.9995 ** 20_000) / 0.0005, rel=1e-9)
 
 
