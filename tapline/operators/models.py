@@ -188,22 +188,21 @@ def profile(train: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def calibrate_steps(rows: DataFrame, raw: str = "raw", label: str = "label", steps: int = 300,
-                    rate: float = 0.1) -> tuple[float, float]:
+                    rate: float = 0.1, max_scores: int = 200_000) -> tuple[float, float]:
     """Sigmoid calibration by a fixed number of gradient steps from (1, 0).
 
-    Each step is one aggregate over counts per distinct score, written once beforehand.
+    Counts per distinct score are summed in Spark; the two parameters are then fitted to at most
+    ``max_scores`` of them (those of smallest hash, should there be more).
     """
-    from tapline.session import materialise
-
-    counts = materialise(rows.groupBy(F.col(raw).alias("x")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("pos")), "calibration")
-    w, b = 1.0, 0.0
-    for _ in range(steps):
-        z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(w) * F.col("x") + F.lit(b)))
-        residual = F.col("n") / (1.0 + F.exp(-z)) - F.col("pos")
-        g = counts.agg(F.sum(residual * F.col("x")).alias("gw"), F.sum(residual).alias("gb"), F.sum("n").alias("n")).first()
-        w, b = w - g.gw / g.n * rate, b - g.gb / g.n * rate
-    return round(w, 8), round(b, 8)
+    counts = rows.groupBy(F.col(raw).cast("double").alias("x")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("pos"))
+    held = counts.orderBy(F.xxhash64("x"), "x").limit(max_scores).toPandas().sort_values("x")
+    x, n, pos = (held[c].to_numpy(float) for c in ("x", "n", "pos"))
+    w, b, total = 1.0, 0.0, n.sum()
+    for _ in range(steps if total else 0):
+        residual = n / (1.0 + np.exp(-np.clip(w * x + b, -30.0, 30.0))) - pos
+        w, b = w - (residual * x).sum() / total * rate, b - residual.sum() / total * rate
+    return round(float(w), 8), round(float(b), 8)
 
 
 def calibrate_optimum(rows: DataFrame, raw: str = "raw", label: str = "label") -> tuple[float, float]:

@@ -81,7 +81,7 @@ def _assessed(spark: SparkSession, sf: str) -> DataFrame:
 
 def _labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     """Embedding components as features; the two lowest labels form the positive class."""
-    cols = [f"f{i}" for i in range(8)]
+    cols = [f"f{i}" for i in range(64)]
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(
         F.col("vec_id").cast("bigint").alias("row_id"), (F.col("label") < 2).cast("int").alias("label"),
         *[F.element_at("embedding", i + 1).cast("double").alias(c) for i, c in enumerate(cols)])
@@ -990,7 +990,7 @@ def stratified_split(spark, sf):
 @query
 def profile_fit(spark, sf):
     rows, cols = _labelled(spark, sf)
-    return models.profile(rows, cols[:3])
+    return models.profile(rows, cols)
 
 
 @query
@@ -1014,7 +1014,7 @@ def calibrated_probability(spark, sf):
 
 @query
 def calibration_steps(spark, sf):
-    w, b = models.calibrate_steps(_scored(spark, sf), raw="score", steps=20)
+    w, b = models.calibrate_steps(_scored(spark, sf), raw="score")
     return _scored(spark, sf).agg(F.count(F.lit(1)).alias("rows"), F.lit(w).alias("weight"), F.lit(b).alias("bias"))
 
 
@@ -1022,14 +1022,14 @@ def calibration_steps(spark, sf):
 def gbt_scores(spark, sf):
     rows, cols = _labelled(spark, sf)
     s = splits.stratified(rows, "label", "row_id")
-    model = models.fit_boosted(s.filter("split = 'train'"), cols, trees=8, depth=4)
+    model = models.fit_boosted(s.filter("split = 'train'"), cols, trees=30, depth=6)
     return models.score_model(model, s.filter("split = 'test'"), cols).select("row_id", "score")
 
 
 @query
 def isolation_forest(spark, sf):
     rows, cols = _labelled(spark, sf)
-    model = models.fit_isolation(rows.filter("label = 0"), cols, "row_id", trees=50)
+    model = models.fit_isolation(rows.filter("label = 0"), cols, "row_id")
     return rows.select("row_id", models.isolation_score(model).alias("score"))
 
 
@@ -1038,7 +1038,7 @@ def ml_cluster_signals(spark, sf):
     """A fitted model over window rows, flagging clusters of high scores."""
     x = _volumes(spark, sf)
     cols = ["pps", "bps", "unique_dst_ports", "tcp_ratio", "udp_ratio", "syn_ratio", "mean_len", "iat_mean", "port_entropy"]
-    model = models.fit_boosted(x.withColumn("label", (F.col("unique_dst_ports") > 8).cast("int")), cols, trees=3, depth=3)
+    model = models.fit_boosted(x.withColumn("label", (F.col("unique_dst_ports") > 8).cast("int")), cols, trees=20, depth=4)
     return _pick(models.cluster_signals(model, x, 0.6), "ts_us", "category", "severity", "score")
 
 
@@ -1062,7 +1062,7 @@ def branch_training(spark, sf):
     """Train, calibrate, pick a threshold and evaluate the distance branch."""
     rows, cols = _labelled(spark, sf)
     s = materialise(splits.stratified(rows, "label", "row_id"), "split")
-    r = training.train_branch("kitsune", s, cols, calibration_steps=10)
+    r = training.train_branch("kitsune", s, cols)
     m = r["metrics"]
     return s.agg(F.count(F.lit(1)).alias("rows"), F.lit(r["threshold"]).alias("threshold"),
                  *[F.lit(float(m[k])).alias(k) for k in ("precision", "recall", "f1", "roc_auc", "pr_auc")])

@@ -342,7 +342,7 @@ _EWMA = [*_EXTRACT, "xo AS (SELECT *, row_number() OVER (ORDER BY window_end) AS
 
 _SCORED = """sd AS (SELECT doc_id AS row_id, quality AS label, round(n_chars / (n_chars + 1000.0), 2) AS score FROM labels JOIN documents USING (doc_id))"""
 _EMB = "em AS (SELECT CAST(vec_id AS BIGINT) AS row_id, CAST(label < 2 AS INT) AS label, " + ", ".join(
-    f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(8)) + " FROM embeddings)"
+    f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(64)) + " FROM embeddings)"
 _CHAIN_IN = """ch AS (SELECT o_orderkey AS pos, 'a-' || o_orderkey AS alert_id, min(o_orderpriority) AS risk_level, min(o_orderstatus) AS attack_category,
   '10.0.0.' || min(o_custkey) AS src_ip, '10.1.0.1' AS dst_ip, 't' || o_orderkey AS ts, CAST(min(o_custkey) % 40 AS BIGINT) AS sensor FROM orders GROUP BY 1),
 cn AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY pos) AS seq FROM ch)"""
@@ -656,12 +656,12 @@ def _build() -> None:
       SELECT g, CASE WHEN pos < floor(tot * 0.6) THEN 'train' WHEN pos < floor(tot * 0.8) THEN 'calibration' ELSE 'test' END AS split, n FROM p"""
     o["stratified_split"] = _with([_EMB], """SELECT label::BIGINT AS label, split, CAST(CASE split WHEN 'train' THEN floor(n * 0.6) WHEN 'calibration' THEN floor(n * 0.8) - floor(n * 0.6)
       ELSE n - floor(n * 0.8) END AS BIGINT) AS n FROM (SELECT label, count(*) AS n FROM em GROUP BY 1), (VALUES ('train'), ('calibration'), ('test')) v(split)""")
-    o["profile_fit"] = _with([_EMB], "SELECT " + ", ".join([R(f"avg(f{i})", f"mean_{i}") for i in range(3)] + [R(f"stddev_pop(f{i}) + 1e-9", f"std_{i}") for i in range(3)])
+    o["profile_fit"] = _with([_EMB], "SELECT " + ", ".join([R(f"avg(f{i})", f"mean_{i}") for i in range(64)] + [R(f"stddev_pop(f{i}) + 1e-9", f"std_{i}") for i in range(64)])
                              + " FROM em WHERE label = 0")
-    dist = " + ".join(f"abs(f{i} - m{i}) / s{i}" for i in range(8))
-    o["profile_score"] = _with([_EMB, "pm AS (SELECT " + ", ".join(f"avg(f{i}) AS m{i}, stddev_pop(f{i}) + 1e-9 AS s{i}" for i in range(8)) + " FROM em WHERE label = 0)"],
-                               f"SELECT row_id, round(least(1.0, ({dist}) / 8 / 5), 6) AS score FROM em, pm")
-    o["row_robust_score"] = _with([_EMB, "lo AS (SELECT row_id, unnest([" + ", ".join(f"f{i}" for i in range(8)) + "]) AS x FROM em)",
+    dist = " + ".join(f"abs(f{i} - m{i}) / s{i}" for i in range(64))
+    o["profile_score"] = _with([_EMB, "pm AS (SELECT " + ", ".join(f"avg(f{i}) AS m{i}, stddev_pop(f{i}) + 1e-9 AS s{i}" for i in range(64)) + " FROM em WHERE label = 0)"],
+                               f"SELECT row_id, round(least(1.0, ({dist}) / 64 / 5), 6) AS score FROM em, pm")
+    o["row_robust_score"] = _with([_EMB, "lo AS (SELECT row_id, unnest([" + ", ".join(f"f{i}" for i in range(64)) + "]) AS x FROM em)",
                                    "md AS (SELECT row_id, median(x) AS md, stddev_pop(x) AS sd FROM lo GROUP BY 1)",
                                    "ce AS (SELECT row_id, abs(x - md) AS c, sd FROM lo JOIN md USING (row_id))",
                                    "sl AS (SELECT row_id, median(c) + any_value(sd) + 1e-9 AS s FROM ce GROUP BY 1)"],
@@ -671,8 +671,8 @@ def _build() -> None:
                                     "cl AS (SELECT list(x) AS xs, list(n) AS ns, list(pos) AS ps, sum(n) AS tot FROM ct)",
                                     """gd AS (SELECT 0 AS i, 1.0::DOUBLE AS w, 0.0::DOUBLE AS b UNION ALL SELECT i + 1,
       w - 0.1 * list_sum(list_transform(generate_series(1, len(xs)), lambda k: (ns[k] / (1 + exp(-(w * xs[k] + b))) - ps[k]) * xs[k])) / tot,
-      b - 0.1 * list_sum(list_transform(generate_series(1, len(xs)), lambda k: ns[k] / (1 + exp(-(w * xs[k] + b))) - ps[k])) / tot FROM gd, cl WHERE i < 20)"""],
-                                   "SELECT (SELECT count(*) FROM sd) AS rows, round(w, 6) AS weight, round(b, 6) AS bias FROM gd WHERE i = 20")
+      b - 0.1 * list_sum(list_transform(generate_series(1, len(xs)), lambda k: ns[k] / (1 + exp(-(w * xs[k] + b))) - ps[k])) / tot FROM gd, cl WHERE i < 300)"""],
+                                   "SELECT (SELECT count(*) FROM sd) AS rows, round(w, 6) AS weight, round(b, 6) AS bias FROM gd WHERE i = 300")
     scen = f"'k' || (((window_end - {BASE}) // 20000000) % 5)"
     models = ["xgboost", "lstm", "fft", "kitsune", "isolation_forest"]
     o["window_score_profile"] = _with([*_RISK, "lg AS (" + " UNION ALL ".join(
