@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from tapline.llm.common import mapped, saved, struct_of, table
 from tapline.llm.graph import streamed_groups
 
-CHUNK = 16_384
-CACHE = 400_000
+CHUNK = 65_536
+CACHE = 700_000
 BAR = "▁"
 FRESH = 0  # the unknown piece: nothing merges with it, as at a word's start
 _SEGMENT = re.compile(f"{BAR}+[^{BAR}]*")
@@ -65,6 +65,7 @@ class Lattice:
         self.alone: dict[int, bool] = {}
         self.spines: dict[int, tuple[list, list] | None] = {}
         self.words: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
 
     def _merged(self, text: str) -> list[str]:
         """BPE of a short string: the best-scored adjacent pair first, the leftmost of equals."""
@@ -138,7 +139,7 @@ class Lattice:
 
     def chain(self, w: str, start: int, last: int, stop: int) -> tuple[list[int | None], list[int]]:
         """The last piece and its start for the one path from ``start`` to each position up to ``stop``."""
-        n, get, pairs, longest = stop - start, self.begun.get, self.pairs, self.longest
+        n, get, pairs, alone, longest = stop - start, self.begun.get, self.pairs, self.alone, self.longest
         ends: list[int | None] = [None] * (n + 1)
         back = [0] * (n + 1)
         ends[0] = last
@@ -154,7 +155,7 @@ class Lattice:
             most = min(n, s + longest)
             while True:
                 if piece > 0 and ends[e] is None:
-                    ok = pairs.get(left << 20 | piece) if left else None
+                    ok = pairs.get(left << 20 | piece) if left else alone.get(piece)
                     if ok or ok is None and self.fits(left, piece):
                         ends[e], back[e] = piece, s
                 if e == most:
@@ -180,21 +181,22 @@ class Lattice:
         return b"".join([self.codes[self.bytes[b]] for b in char.encode("utf-8", "replace")])
 
     def word(self, w: str) -> bytes:
-        ids = self.words.get(w)
+        """Ids of a word; words of letters and words with more to them are cached apart."""
+        cache = self.words if w[-1].isalpha() else self.others
+        ids = cache.get(w)
         if ids is None:
-            if len(self.words) > CACHE:
-                self.words.clear()
+            if len(cache) > (CACHE if cache is self.words else CACHE // 3):
+                cache.clear()
             if len(self.pairs) > CACHE:
                 self.pairs.clear()
-            head, *lines = w.split("\n")  # a line feed is unknown: nothing merges across it
-            if lines:
-                ids = self.code(FRESH, "\n").join([self.word(head) if head else b"", *[self.word(x) if x else b"" for x in lines]])
+            if "\n" in w:  # a line feed is unknown: nothing merges across it
+                ids = self.code(FRESH, "\n").join([self.word(x) if x else b"" for x in w.split("\n")])
             else:
                 ids = self._core_and_tail(w)
                 if ids is None:
                     ends, back = self.chain(w, 0, FRESH, len(w))
                     ids = self.trace(w, 0, back, ends, len(w))
-            self.words[w] = ids
+            cache[w] = ids
         return ids
 
     def _core_and_tail(self, w: str) -> bytes | None:
@@ -211,8 +213,8 @@ class Lattice:
         if not text:
             return b""
         segments = _SEGMENT.findall(prepared(text))
-        get = self.words.get
-        return b"".join([get(w) or self.word(w) for w in segments])
+        get, also = self.words.get, self.others.get
+        return b"".join([get(w) or also(w) or self.word(w) for w in segments])
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 text of ids, with the dummy leading space."""
