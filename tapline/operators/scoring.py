@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapline.config import DEFAULT, Config
-from tapline.functions.math import bounded, dbl, norm, pin
+from tapline.functions.math import bounded, dbl, let, norm, pin
 
 MODELS = ["xgboost", "lstm", "fft", "kitsune", "isolation_forest"]
 
@@ -184,12 +184,18 @@ def row_robust_score(columns: list[str]) -> Column:
             return F.element_at(s, k // 2 + 1)
         return (F.element_at(s, k // 2) + F.element_at(s, k // 2 + 1)) / 2.0
 
-    med = median(xs)
-    centred = F.transform(xs, lambda x: F.abs(x - med))
-    mean = F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / k
-    std = F.sqrt(F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / k)
-    scale = median(centred) + std + 1e-9
-    return bounded(F.aggregate(centred, F.lit(0.0), lambda a, x: a + x / scale) / k / 3.0)
+    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
+
+    def spread(arr: Column) -> Column:
+        return let(total(arr) / k, lambda mean: F.sqrt(total(F.transform(arr, lambda x: (x - mean) * (x - mean))) / k))
+
+    def score(arr: Column) -> Column:
+        centred = let(median(arr), lambda med: F.transform(arr, lambda x: F.abs(x - med)))
+        return let(centred, lambda c: let(spread(arr), lambda std: let(
+            median(c) + std + 1e-9, lambda scale: total(F.transform(c, lambda x: x / scale)) / k / 3.0)))
+
+    # every intermediate is bound once: written out, the expression would be evaluated per feature
+    return bounded(let(xs, score))
 
 
 def calibrated(raw: Column, weight: float, bias: float) -> Column:
