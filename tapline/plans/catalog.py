@@ -1101,6 +1101,20 @@ def _stream_signals(spark, sf):
     return f"{base}/out"
 
 
+@query
+def stream_signals_late(spark, sf):
+    """Behaviour signals of four micro-batches whose rows arrive up to six seconds late."""
+    late, t = 6_000_000, _traffic(spark, sf)
+    arrival = t.withColumn("_at", F.col("ts_us") + F.pmod(F.xxhash64("event_id"), F.lit(late)))
+    cut = arrival.agg(F.percentile_approx("_at", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).first().q or []
+    base = scratch(spark, "late")
+    for i in range(len(cut) + 1):
+        part = arrival.filter((F.col("_at") > (cut[i - 1] if i else -1)) & (F.col("_at") <= (cut[i] if i < len(cut) else 1 << 62)))
+        detect.behaviour_batch(part.drop("_at"), f"{base}/state", i, lateness_us=late).write.parquet(f"{base}/out/batch={i}")
+    detect.flush(spark, t.drop("metadata").schema, f"{base}/state", len(cut) + 1, late).write.parquet(f"{base}/out/batch=99")
+    return _pick(spark.read.parquet(f"{base}/out"), "event_id", "ts_us", "category", "src_ip", "dst_ip", "evidence")
+
+
 @query
 def stream_signals(spark, sf):
     out = spark.read.parquet(_stream_signals(spark, sf))

@@ -458,6 +458,7 @@ def _build() -> None:
     o["rst_storm"] = _with(beh, "SELECT event_id, ts_us, src_ip, dst_ip, evidence FROM bsig WHERE category = 'CONNECTION_ANOMALY'")
     o["beacon"] = _with([*T, *_BEHAVIOUR], """SELECT event_id, src_ip, dst_ip, CAST(dst_port AS BIGINT) AS dst_port, intervals AS beacon_intervals,
       round(mean_us / 1e6, 6) AS beacon_mean_s, round(cv, 6) AS beacon_cv FROM bc JOIN t USING (event_id)""")
+    o["stream_signals_late"] = _with(beh, "SELECT event_id, ts_us, category, src_ip, dst_ip, evidence FROM bsig")
     o["behaviour_counts"] = _with([*T, *_BEHAVIOUR], "SELECT event_id, port_count, host_count, rst_count FROM bh")
     o["all_signals"] = _with(_SIGNALS, """SELECT method AS detection_method, category, severity, count(*) AS n, count(DISTINCT src_ip) AS sources,
       round(sum(CAST(score AS DOUBLE)), 6) AS score FROM s GROUP BY 1, 2, 3""")

@@ -35,6 +35,21 @@ def test_signals_over_micro_batches_equal_batch(spark):
     assert rows_of(got) == rows_of(detection.signals(t).select(got.columns))
 
 
+def test_late_rows_equal_batch(spark):
+    t = tables.traffic(tables.events(spark, SF)).drop("metadata")
+    late = 6_000_000
+    arrival = t.withColumn("_at", F.col("ts_us") + F.pmod(F.xxhash64("event_id"), F.lit(late)))
+    edges = [r[0] for r in arrival.selectExpr("percentile_approx(_at, array(0.25, 0.5, 0.75)) AS q").selectExpr("explode(q)").collect()]
+    state, got, low = scratch(spark, "late"), [], None
+    for i, high in enumerate([*edges, None]):
+        part = arrival if low is None else arrival.filter(F.col("_at") > low)
+        part = part if high is None else part.filter(F.col("_at") <= high)
+        got += rows_of(detect.behaviour_batch(part.drop("_at"), state, i, lateness_us=late).select("category", "event_id", "src_ip", "score"))
+        low = high
+    got += rows_of(detect.flush(spark, t.schema, state, 4, late).select("category", "event_id", "src_ip", "score"))
+    assert sorted(got) == sorted(rows_of(behaviors.behavioural_signals(t).select("category", "event_id", "src_ip", "score")))
+
+
 def test_flows_over_micro_batches_equal_batch(spark):
     c = tables.conversations_traffic(tables.events(spark, SF))
     got = run.drain(stream_flows.flow_stream(_batches(spark, c, 4, "flows-in")), "flows")
