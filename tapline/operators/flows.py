@@ -193,19 +193,22 @@ def flow_sessions(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         pick("_ab_len", "_ba_len").alias("fwd_lengths"), pick("_ba_len", "_ab_len").alias("bwd_lengths"))
 
 
-def mark_active(flows: DataFrame, now_us: int | None = None, cfg: Config = DEFAULT) -> DataFrame:
-    """Flag flows still open at ``now_us`` (default: the newest packet seen)."""
-    now = F.lit(now_us) if now_us is not None else flows.agg(F.max("last_us")).scalar()
+def mark_active(flows: DataFrame, now_us: int | Column | None = None, cfg: Config = DEFAULT) -> DataFrame:
+    """Flag flows still open at ``now_us`` (default: the newest packet seen).
+
+    The default computes the flows twice; the newest packet of the traffic as a scalar column does not.
+    """
+    now = flows.agg(F.max("last_us")).scalar() if now_us is None else now_us if isinstance(now_us, Column) else F.lit(now_us)
     open_ = ((now - F.col("last_us") <= cfg.flow_idle_us) & (now - F.col("start_us") <= cfg.flow_age_us)
              & ~F.col("tcp_state").isin("RESET", "CLOSED"))
     return flows.withColumn("active", open_)
 
 
-def active_flows(flows: DataFrame, limit: int = 100, now_us: int | None = None, cfg: Config = DEFAULT) -> DataFrame:
+def active_flows(flows: DataFrame, limit: int = 100, now_us: int | Column | None = None, cfg: Config = DEFAULT) -> DataFrame:
     return (mark_active(flows, now_us, cfg).filter("active").drop("active")
             .orderBy(F.desc("last_us"), "flow_id").limit(limit))
 
 
-def flow_stats(flows: DataFrame, now_us: int | None = None, cfg: Config = DEFAULT) -> DataFrame:
+def flow_stats(flows: DataFrame, now_us: int | Column | None = None, cfg: Config = DEFAULT) -> DataFrame:
     return mark_active(flows, now_us, cfg).agg(
         F.count_if("active").alias("active_flow_count"), F.count_if(~F.col("active")).alias("completed_flow_count"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapline.config import DEFAULT, Config
 from tapline.operators import ordered
 from tapline.schema import RISK_LEVELS
+from tapline.session import materialise
+
+PER_TASK = 10_000  # rows a task may keep for a merged top-n
 
 
 def filter_alerts(df: DataFrame, severity: str | None = None, category: str | None = None,
@@ -43,12 +46,13 @@ def evidence_chain(df: DataFrame, limit: int = 100) -> DataFrame:
 def keep_newest(df: DataFrame, n: int, order: str = "ts_us", tie: str = "alert_id") -> DataFrame:
     """Retention: the newest n rows.
 
-    The cut-off is found from counts per minute; only the minute that straddles it is ordered.
+    Up to ``PER_TASK`` rows every task keeps its own newest n before the merge. Beyond, the input is stored once, the
+    cut-off is found from counts per minute, and only the minute that straddles it is ordered.
     """
-    work = df.withColumn("_min", -F.floor(F.col(order) / 60_000_000))
+    if n <= PER_TASK:
+        return df.orderBy(F.desc(order), tie).limit(n)
+    work = materialise(df, "retention").withColumn("_min", -F.floor(F.col(order) / 60_000_000))
     counts = work.groupBy("_min").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-
     w = Window.orderBy("_min").rowsBetween(Window.unboundedPreceding, 0)
     edges = counts.withColumn("_upto", F.sum("_n").over(w)).withColumn("_before", F.col("_upto") - F.col("_n"))
     kept = work.join(edges.filter(F.col("_before") < n), "_min")
@@ -93,9 +97,7 @@ def dashboard(df: DataFrame, top: int = 10, newest_only: int | None = None) -> D
         bit = full ^ (1 << (len(dims) - 1 - i))
         section = section.when(F.col("g") == bit, F.lit(d))
         name = F.when(F.col("g") == bit, F.col(d)).otherwise(name)
-    counted = counted.select(section.alias("section"), name.alias("name"), "count")
-    from pyspark.sql import Window
-
+    counted = materialise(counted.select(section.alias("section"), name.alias("name"), "count"), "dashboard")
     w = Window.partitionBy("section").orderBy(F.desc("count"), "name")
     ranked = counted.filter(F.col("section").isin("source", "destination"))
     ranked = ranked.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top).drop("_r")

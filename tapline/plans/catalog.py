@@ -510,12 +510,14 @@ def flow_packet_lists(spark, sf):
 
 @query
 def flow_stats(spark, sf):
-    return flows.flow_stats(flows.flow_sessions(_conversations(spark, sf)))
+    c = _conversations(spark, sf)
+    return flows.flow_stats(flows.flow_sessions(c), c.agg(F.max("ts_us")).scalar())
 
 
 @query
 def active_flows(spark, sf):
-    return _pick(flows.active_flows(flows.flow_sessions(_conversations(spark, sf)), 25), "flow_id", "src_ip", "last_us",
+    c = _conversations(spark, sf)
+    return _pick(flows.active_flows(flows.flow_sessions(c), 25, c.agg(F.max("ts_us")).scalar()), "flow_id", "src_ip", "last_us",
                  "total_packets")
 
 

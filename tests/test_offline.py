@@ -236,3 +236,12 @@ def test_long_chains_verify_and_continue(spark):
     chained = integrity.head_chain(heads, ("day",))
     sums = F.concat_ws("|", *[F.col(c).cast("string") for c in ("day", "rows", "head_sequence", "head_hash")])
     assert integrity.verify_chain(chained.withColumn("alert_id", F.col("day").cast("string")), sums, F.lit("")).first().valid
+
+
+def test_retention_by_cutoff_equals_the_merged_top(spark, monkeypatch):
+    from tapline.operators import reporting
+
+    df = spark.range(3000).select((F.col("id") * 7919 % 100_000 * 1_000_000).alias("ts_us"), F.col("id").cast("string").alias("alert_id"))
+    want = sorted(tuple(r) for r in reporting.keep_newest(df, 1234).collect())
+    monkeypatch.setattr(reporting, "PER_TASK", 10)
+    assert sorted(tuple(r) for r in reporting.keep_newest(df, 1234).select("ts_us", "alert_id").collect()) == want
