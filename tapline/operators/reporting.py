@@ -28,7 +28,7 @@ def filter_alerts(df: DataFrame, severity: str | None = None, category: str | No
     return df
 
 
-def alert_by_id(df: DataFrame, alert_id: str) -> DataFrame:
+def alert_by_id(df: DataFrame, alert_id: str | Column) -> DataFrame:
     return df.filter(F.col("alert_id") == alert_id)
 
 

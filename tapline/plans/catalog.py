@@ -790,8 +790,40 @@ def alert_filter(spark, sf):
 def alert_lookup(spark, sf):
     """The first alert, found again by its id."""
     a = _alerts(spark, sf)
-    wanted = a.agg(F.min("alert_id")).scalar()
-    return a.filter(F.col("alert_id") == wanted).select("alert_id", "attack_category", "risk_level")
+    return reporting.alert_by_id(a, a.agg(F.min("alert_id")).scalar()).select("alert_id", "attack_category", "risk_level")
+
+
+@query
+def newest_incidents(spark, sf):
+    inc = correlate.incidents(detection.signals(_traffic(spark, sf), _verdicts(spark)))
+    return _pick(reporting.newest(inc, 60, "last_us", "incident_id"), "incident_id", "src_ip", "category", "last_us", "event_count")
+
+
+@query
+def newest_flows(spark, sf):
+    f = flows.flow_sessions(_conversations(spark, sf))
+    return _pick(reporting.newest(f, 80, "last_us", "flow_id"), "flow_id", "src_ip", "last_us", "total_packets")
+
+
+@query
+def evidence_chain_newest(spark, sf):
+    """The newest links of one sensor's chain."""
+    c = _chained(spark, sf).filter("sensor = 0").withColumn("ts_us", F.col("pos"))
+    return _pick(reporting.evidence_chain(c, 100), "chain_sequence", "alert_id", "risk_level", "previous_hash", "evidence_hash")
+
+
+@query
+def signal_rows(spark, sf):
+    """Every signal of the per-event path, row by row."""
+    s = detection.signals(_traffic(spark, sf), _verdicts(spark))
+    return _pick(s, "event_id", "ts_us", "category", "detection_method", "severity", "src_ip", "dst_ip", "score", "evidence")
+
+
+@query
+def direction_rows(spark, sf):
+    t = _traffic(spark, sf)
+    local = ["10.0.0.1", "10.0.0.2", "10.0.0.3", "10.0.0.100", "10.0.3.1"]
+    return t.select("event_id", pr.direction(F.col("src_ip"), F.col("dst_ip"), local).alias("direction"))
 
 
 @query

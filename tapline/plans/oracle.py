@@ -485,6 +485,14 @@ def _build() -> None:
       FROM flows, (SELECT max(last_us) AS mx FROM flows)""")
     o["active_flows"] = _with(_CONV, f"""SELECT {_FLOW_ID} AS flow_id, src_ip, last_us, n AS total_packets FROM flows, (SELECT max(last_us) AS mx FROM flows)
       WHERE {act} ORDER BY last_us DESC, flow_id LIMIT 25""")
+    o["newest_flows"] = _with(_CONV, f"SELECT {_FLOW_ID} AS flow_id, src_ip, last_us, n AS total_packets FROM flows ORDER BY last_us DESC, flow_id LIMIT 80")
+    o["newest_incidents"] = _with(_INC, "SELECT incident_id, src_ip, category, last_us, event_count FROM inc ORDER BY last_us DESC, incident_id LIMIT 60")
+    o["evidence_chain_newest"] = _with(_CHAIN, """SELECT cc.seq AS chain_sequence, alert_id, risk_level, previous_hash, evidence_hash
+      FROM cc JOIN cn ON cn.seq = cc.seq AND cn.sensor = cc.sensor WHERE cc.sensor = 0 ORDER BY cc.seq DESC LIMIT 100""")
+    o["signal_rows"] = _with(_SIGNALS, """SELECT event_id, ts_us, category, method AS detection_method, severity, src_ip, dst_ip,
+      CAST(score AS DOUBLE) AS score, evidence FROM s""")
+    o["direction_rows"] = _with(T, f"""SELECT event_id, CASE WHEN src_ip IN {loc} AND dst_ip IN {loc} THEN 'LOCAL' WHEN src_ip IN {loc} THEN 'OUTBOUND'
+      WHEN dst_ip IN {loc} THEN 'INBOUND' ELSE 'TRANSIT' END AS direction FROM t""")
     o["rate_1s"] = _with(J, """SELECT ts_us - ts_us % 1000000 AS interval_us, round(count(*), 2)::DOUBLE AS current_pps, round(sum(packet_len) * 8, 2)::DOUBLE AS current_bps
       FROM t GROUP BY 1""")
     R = lambda e, a: f"round({e}, 6)::DOUBLE AS {a}"
