@@ -66,9 +66,9 @@ def decayed(df: DataFrame, keys: tuple[str, ...], rank_col: str, values: dict[st
 
     Inside a chunk of ranks y is a running sum of scaled values. Chunk ends follow the same recurrence with
     decay ** size, so they take the same scan, up to two thousand times shorter, until what a chunk inherits
-    from all but its predecessor is beyond the range of a double. All names share the scans.
+    from all but its predecessor is far below the last digit of a double. All names share the scans.
     """
-    if decay < 1e-100:
+    if decay < 1e-30:  # what lies two steps back weighs less than 1e-60
         work = df.withColumns({**{f"_x_{n}": c for n, c in values.items()}, "_c": F.floor(F.col(rank_col) / 4096)})
         work = previous(work, "_c", rank_col, {f"_p_{n}": f"_x_{n}" for n in values}, keys)
         work = work.withColumns({n: F.col(f"_x_{n}") + F.lit(decay) * F.coalesce(f"_p_{n}", F.lit(0.0)) for n in values})

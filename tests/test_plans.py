@@ -59,3 +59,11 @@ def test_no_join_without_keys(spark):
     for df in (correlate.incidents(behaviors.behavioural_signals(t)), features.window_features(tables.flagged(t))):
         p = _plan(df)
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_inputs_are_not_recomputed(spark):
+    def scans(name):
+        return QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+    assert scans("retention_topn") <= 3 and scans("all_signals") <= 3
+    assert scans("flow_stats") <= scans("flow_sessions") + 2
