@@ -25,12 +25,12 @@ def test_jsonl(spark, tmp_path):
 
 
 def test_tshark_row_and_export(spark, tmp_path):
-    row = {"frame.time_epoch": "1704067200", "ip.src": "10.0.0.1", "ip.dst": "10.0.0.2", "frame.len": "64",
-           "ip.checksum.status": "Bad", "tcp.payload": "secret"}
-    docs = [{"_source": {"layers": {**row, "tcp.srcport": ["1234", "9"], "_ws.col.Protocol": ["MODBUS"]}}}, row]
+    row = {"frame.time_epoch": "1718000111.25", "ip.src": "172.20.5.9", "ip.dst": "172.20.7.31", "frame.len": "211",
+           "ip.checksum.status": "Bad", "tcp.payload": "0a1b2c"}
+    docs = [{"_source": {"layers": {**row, "tcp.srcport": ["40117", "9"], "_ws.col.Protocol": ["MODBUS"]}}}, row]
     (tmp_path / "x.json").write_text(json.dumps(docs, indent=1))
     got = captures.read_tshark_json(spark, str(tmp_path / "x.json")).orderBy("protocol").collect()
-    assert [(r.protocol, r.src_port, r.packet_len) for r in got] == [("MODBUS", 1234, 64), ("TCP", None, 64)]
+    assert [(r.protocol, r.src_port, r.packet_len) for r in got] == [("MODBUS", 40117, 211), ("TCP", None, 211)]
     for r in got:
         doc = json.loads(r.metadata.toJson())
         assert doc["checksum_valid"] is False and "tcp.payload" not in doc
@@ -48,12 +48,21 @@ def test_tshark_field_lines(spark, tmp_path):
 
 def test_zeek_header_and_defaults(spark, tmp_path):
     head = "#fields\tts\tuid\tid.orig_h\tid.orig_p\tid.resp_h\tid.resp_p\tproto\tservice\tduration\torig_bytes\tresp_bytes\n"
-    body = "1704067200.0\tC1\t10.0.0.1\t1234\t10.0.0.2\t502\ttcp\tmodbus\t1.0\t10\t20\n#close\n1704067201\tC2\ta\t0\tb\t-\tudp\t-\t-\t-\t5\n"
+    body = ("1718000111.25\tCq7\t172.20.5.9\t40117\t172.20.7.31\t20000\ttcp\tdnp3\t0.4\t113\t98\n#close\n"
+            "1718000112\tCq8\ta\t0\tb\t-\tudp\t-\t-\t-\t5\n")
     (tmp_path / "conn.log").write_text("#separator x\n" + head + body)
     (tmp_path / "bare.log").write_text(body)
     for name in ("conn.log", "bare.log"):
         got = captures.read_zeek(spark, str(tmp_path / name)).orderBy("ts_us").collect()
-        assert [(r.packet_len, r.src_port, r.dst_port) for r in got] == [(30, 1234, 502), (5, None, None)]
+        assert [(r.packet_len, r.src_port, r.dst_port) for r in got] == [(211, 40117, 20000), (5, None, None)]
+
+
+def test_zeek_folder_reads_each_file_by_its_own_header(spark, tmp_path):
+    (tmp_path / "a.log").write_text("#fields\tts\tuid\tid.orig_h\tproto\n1718000111\tU1\t172.20.5.9\ttcp\n")
+    (tmp_path / "b.log").write_text("#fields\tproto\tid.orig_h\tts\nudp\t172.20.5.8\t1718000112\n")
+    got = captures.read_zeek(spark, str(tmp_path)).orderBy("ts_us").collect()
+    assert [(r.src_ip, r.protocol, json.loads(r.metadata.toJson())["uid"]) for r in got] == [
+        ("172.20.5.9", "tcp", "U1"), ("172.20.5.8", "udp", "")]
 
 
 def test_indicator_feed(spark, tmp_path):
