@@ -39,6 +39,7 @@ PART = 128
 ALIKE = 0.5  # share of chosen tokens; sets of similarity 0.8 are some five standard deviations above it
 DENSE = 0.6
 PROBE = 256
+BROADCAST_ROWS = 1_000_000
 SLICE = 1 << 19  # bytes of text hashed together
 _RNG = np.random.default_rng(20)
 _ODD = _RNG.integers(1, 1 << 63, 1 << 12, dtype=np.uint64) | np.uint64(1)
@@ -61,7 +62,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets_of(texts: list[bytes]) -> list[np.ndarray]:
-    """Sorted distinct 48-bit hashes of the word runs of each text."""
+    """Sorted distinct 40-bit hashes of the word runs of each text."""
     out: list[np.ndarray] = []
     at = 0
     while at < len(texts):
@@ -75,13 +76,13 @@ def sets_of(texts: list[bytes]) -> list[np.ndarray]:
         runs = np.zeros(max(0, len(hashes) - WORDS + 1), np.uint64)
         for k in range(WORDS):
             runs += hashes[k:k + len(runs)] * _ODD[k]
-        runs = mix64(runs) >> np.uint64(16)
+        runs = mix64(runs) >> np.uint64(24)
         for a, b in zip(edges[:-1], edges[1:]):
             if b - a >= WORDS:
                 out.append(np.unique(runs[a:b - WORDS + 1]))
             elif b > a:
                 short = (hashes[a:b] * _ODD[:b - a]).sum(dtype=np.uint64) + np.uint64(b - a)
-                out.append(mix64(np.array([short], np.uint64)) >> np.uint64(16))
+                out.append(mix64(np.array([short], np.uint64)) >> np.uint64(24))
             else:
                 out.append(np.empty(0, np.uint64))
         at = end
@@ -89,12 +90,12 @@ def sets_of(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def packed(values: np.ndarray) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
     return wide.view("<u8").ravel()
 
 
@@ -247,15 +248,31 @@ def _verified(rows: list[tuple]) -> list[tuple]:
     return [(a, b, 0) for a, b in _forest_of(ok, rows, i, j)] + [(r[4], None, int(k)) for r, k in zip(rows, links) if k]
 
 
+def _slot(uid: str):
+    """Sixteen slots, so that the rows of one large group meet in many tasks."""
+    return F.pmod(F.xxhash64(uid), F.lit(16)).cast("int")
+
+
+def fitting(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of a few numbers a row, broadcast if it has at most ``rows`` rows; else the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def near_duplicates(docs: DataFrame, uid: str | None = None) -> DataFrame:
     """_uid, doc_id, class_id, links, first (the document of the class that stays), n_shingles."""
     rows = described(docs, uid)
     groups = saved(rows.filter("n > 0").groupBy("n", "k1", "k2").agg(
         F.min("_uid").alias("rep"), F.count("*").alias("copies")), "near-groups")
-    reps = rows.join(groups.select(F.col("rep").alias("_uid"), "copies"), "_uid")
+    many = groups.filter("copies > 1")
+    salted = many.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15)).cast("array<int>")))
+    again = saved(rows.select("_uid", "n", "k1", "k2", _slot("_uid").alias("_salt")).join(
+        salted, ["n", "k1", "k2", "_salt"]).filter("_uid <> rep").select("_uid"), "near-again")
+    reps = rows.filter("n > 0").join(fitting(again), "_uid", "left_anti")
     family = saved(families(reps).withColumnRenamed("node", "uid"), "near-families")
     sizes = family.groupBy("root").agg(F.count("*").alias("m"))
-    whole = (family.join(sizes, "root").join(reps.select(F.col("_uid").alias("uid"), "n", "copies", "tokens"), "uid"))
+    member = saved(family.join(sizes, "root").join(many.select(F.col("rep").alias("uid"), "copies"), "uid", "left").withColumn(
+        "copies", F.coalesce("copies", F.lit(1))), "near-members")
+    whole = reps.select(F.col("_uid").alias("uid"), "n", "tokens").join(fitting(member), "uid")
     whole = _in_parts(whole, "root", "m", PART).select("root", "i", "j", "part", "uid", "n", "copies", "tokens")
     found = saved(streamed_groups(whole, ["root", "i", "j"], _verified, "u long, v long, links long"), "near-links")
     classes = components(found.filter("v IS NOT NULL").select("u", "v"))
@@ -265,8 +282,7 @@ def near_duplicates(docs: DataFrame, uid: str | None = None) -> DataFrame:
         F.col("n").alias("_n"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "copies",
         F.coalesce("root", "rep").alias("_class"), F.coalesce("_links", F.lit(0)).alias("_links"))
     busy = known.filter("copies > 1 OR _links > 0").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    out = rows.select("_uid", "doc_id", "n", "k1", "k2").withColumn(
-        "_slot", F.pmod(F.xxhash64("_uid"), F.lit(16)).cast("int")).join(
+    out = rows.select("_uid", "doc_id", "n", "k1", "k2").withColumn("_slot", _slot("_uid")).join(
         busy, (F.col("n") == F.col("_n")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
         & (F.col("_slot") == F.col("_salt")), "left")
     out = out.withColumn("_class", F.coalesce("_class", "_uid"))

@@ -35,8 +35,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     names = docs.columns
     stamped = saved(docs.select(F.struct(*names).alias("doc"), F.monotonically_increasing_id().alias("_at")), "near-docs", "zstd")
     classes = chosen_path.near_duplicates(stamped.select("_at", "doc.doc_id", "doc.text"), uid="_at")
-    dropped = classes.filter(~F.col("first")).select(F.col("_uid").alias("_at"))
-    return stamped.join(dropped, "_at", "left_anti").select("doc.*")
+    dropped = saved(classes.filter(~F.col("first")).select(F.col("_uid").alias("_at")), "near-dropped")
+    return stamped.join(chosen_path.fitting(dropped), "_at", "left_anti").select("doc.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
