@@ -524,6 +524,15 @@ def _build() -> None:
       CASE WHEN g.window_end IS NULL THEN 1.0::DOUBLE ELSE 0.0 END AS empty_window
       FROM (SELECT unnest(generate_series((SELECT min(window_end) FROM g), (SELECT max(window_end) FROM g), 1000000)) AS window_end) s LEFT JOIN g USING (window_end)""")
     o["window_partial_tail"] = _with(_windows(J, True), "SELECT window_end, count(*)::DOUBLE AS packets FROM w GROUP BY 1")
+    o["arrival_spectrum"] = _with([*_EXTRACT, """hb AS (SELECT window_end, bins, d, least(bins - 1, ((ts_us - f_us) * bins) // span) AS bin, count(*) AS c
+      FROM (SELECT w.window_end, ts_us, x.first_us AS f_us, x.last_us - x.first_us AS span, x.d,
+        least(256, greatest(16, (x.last_us - x.first_us) // 20000)) AS bins FROM w JOIN x USING (window_end) WHERE x.n >= 8 AND x.last_us > x.first_us)
+      GROUP BY 1, 2, 3, 4)""",
+      """hm AS (SELECT window_end, d, k, round(sqrt(pow(sum(c * cos(2 * pi() * ((k * bin) % bins) / bins)), 2) + pow(sum(c * sin(2 * pi() * ((k * bin) % bins) / bins)), 2)), 6) AS mag
+      FROM hb, generate_series(1, 128) AS g(k) WHERE k <= bins // 2 GROUP BY 1, 2, 3)""",
+      "hp AS (SELECT window_end, max(mag) AS top FROM hm GROUP BY 1)",
+      "hk AS (SELECT hm.window_end, min(k) AS k, any_value(hm.d) AS d FROM hm JOIN hp USING (window_end) WHERE hm.mag = hp.top GROUP BY 1)"],
+      f"SELECT x.window_end, {R('coalesce(hk.k / hk.d, 0)', 'dominant_frequency')} FROM x LEFT JOIN hk USING (window_end)")
     o["burst_ratio"] = _with(_EXTRACT, f"SELECT window_end, {R('burst', 'burst_ratio')} FROM x")
     o["extracted_features"] = _with(_EXTRACT, "SELECT window_end, n AS packets, CAST(bytes AS BIGINT) AS bytes, " + ", ".join([
         R("d", "duration"), R("n / d", "pps"), R("bytes * 8 / d", "bps"), "srcs AS unique_src_ips", "dsts AS unique_dst_ips", "ports AS unique_dst_ports",
