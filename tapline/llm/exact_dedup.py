@@ -79,7 +79,10 @@ def same(a: bytes, b: bytes) -> bool:
 
 
 def fingerprinted(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: _uid, doc_id, fp, text_sha256, and norm, the text, where the batch has no earlier copy."""
+    """One row per document: _uid, doc_id, fp, text_sha256, first (the batch has no earlier copy) and, for first rows, norm.
+
+    Norm is the normalised text; it is left out where the text is among the carried columns.
+    """
     kept = [F.struct(*carry).alias("_carry")] if carry else []
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *kept)
     state = {}
@@ -93,10 +96,11 @@ def fingerprinted(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         first: dict[int, bytes] = {}
         norm = [t if first.setdefault(p, t) is t or not same(first[p], t) else None for p, t in zip(prints, texts)]
         out = {"_uid": np.arange(start, start + batch.num_rows) + (part << 36), "doc_id": batch.column("doc_id"),
-               "fp": prints, "text_sha256": [hashlib.sha256(t).hexdigest() for t in texts], "norm": norm}
+               "fp": prints, "text_sha256": [hashlib.sha256(t).hexdigest() for t in texts],
+               "first": [t is not None for t in norm], "norm": [None] * len(norm) if "text" in carry else norm}
         return out | ({"_carry": batch.column("_carry")} if carry else {})
 
-    schema = "_uid long, doc_id long, fp long, text_sha256 string, norm binary"
+    schema = "_uid long, doc_id long, fp long, text_sha256 string, first boolean, norm binary"
     return saved(mapped(source, run, schema, struct_of(docs, carry) if carry else None), "fingerprints", "zstd")
 
 
@@ -109,6 +113,7 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             out = ([], [], [])
             for p, sha, text in zip(*(batch.column(c).to_pylist() for c in ("fp", "text_sha256", "norm"))):
+                text = normalise(text)
                 if p != fp:
                     fp, seen = p, []
                 if not any(same(text, s) for s in seen):
@@ -117,7 +122,10 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()),
                                               pa.array(out[2], pa.int32())], names=["fp", "text_sha256", "variant"])
 
-    carried = rows.filter("norm IS NOT NULL").select("fp", "text_sha256", "norm")
+    text = F.col("norm")
+    if "_carry" in rows.columns and "text" in rows.schema["_carry"].dataType.names:
+        text = F.coalesce(F.col("_carry.text").cast("binary"), F.lit(b""))
+    carried = rows.filter("first").select("fp", "text_sha256", text.alias("norm"))
     return carried.repartition("fp").sortWithinPartitions("fp").mapInArrow(run, schema)
 
 

@@ -46,21 +46,23 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
 
 def mix(rows: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """Add source_size, target and taken (words the mix takes of the document) to rows of ``sized``."""
-    rows = rows.withColumn("_chunk", F.substring("_key", 1, CHUNK_DIGITS))
-    chunks = rows.groupBy("source", "_chunk").agg(F.sum("size").alias("_sum"))
-    along = Window.partitionBy("source").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
+    # plain keys that tell null from empty, so that the join and the window share one shuffle of the rows
+    keys = ["_src", "_none", "_chunk"]
+    rows = rows.withColumns({"_src": F.coalesce("source", F.lit("")), "_none": F.col("source").isNull(),
+                             "_chunk": F.substring("_key", 1, CHUNK_DIGITS)})
+    chunks = rows.groupBy(*keys).agg(F.sum("size").alias("_sum"))
+    along = Window.partitionBy("_src", "_none").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
     chunks = chunks.withColumn("_offset", F.sum("_sum").over(along) - F.col("_sum")).drop("_sum")
-    goals = targets(rows, weights, share, cap).withColumnRenamed("source", "_source")
-    chunks = (chunks.join(goals, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-              .withColumnsRenamed({"source": "_s", "_chunk": "_c"}))
-    out = rows.join(chunks, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_chunk") == F.col("_c")))
-    inside = Window.partitionBy("source", "_chunk").orderBy("_key", "doc_id", "size")
+    goals = targets(rows, weights, share, cap).select(
+        F.coalesce("source", F.lit("")).alias("_src"), F.col("source").isNull().alias("_none"), "source_size", "target")
+    out = rows.join(chunks.join(goals, ["_src", "_none"]), keys)
+    inside = Window.partitionBy(*keys).orderBy("_key", "doc_id", "size")
     before = F.col("_offset") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     out = out.withColumns({"_before": before, "_budget": F.floor("target")})
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("_budget") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.greatest(F.lit(0), F.least("size", F.col("_budget") - epochs * F.col("source_size") - F.col("_before")))
     return out.withColumn("taken", (epochs * F.col("size") + rest).cast("bigint")).drop(
-        "_s", "_c", "_chunk", "_offset", "_before", "_budget")
+        *keys, "_offset", "_before", "_budget")
 
 
 def repeated(mixed: DataFrame) -> DataFrame:

@@ -92,6 +92,15 @@ def test_exact_groups(spark):
     assert sorted(r.text_sha256 for r in got if r.kept) == sorted(set(sha))
 
 
+def test_exact_groups_carrying_columns(spark):
+    texts, more = awkward(12)
+    docs = documents(spark, texts, more)
+    plain = exact_dedup.grouped(exact_dedup.fingerprinted(docs)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    carried = exact_dedup.grouped(exact_dedup.fingerprinted(docs, tuple(docs.columns)))
+    assert carried.select("_carry.*").columns == docs.columns
+    assert sorted(map(str, carried.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
 def test_exact_empty(spark):
     assert exact_dedup.grouped(exact_dedup.fingerprinted(documents(spark, []))).count() == 0
 
@@ -116,8 +125,8 @@ def test_fingerprints_compose():
 
 def test_equal_fingerprints_of_different_texts_stay_apart(spark):
     rows = spark.createDataFrame(
-        [(1, 10, 5, "s1", b"one"), (2, 11, 5, "s2", b"two"), (3, 12, 5, "s1", b"one")],
-        "_uid long, doc_id long, fp long, text_sha256 string, norm binary")
+        [(1, 10, 5, "s1", True, b"one"), (2, 11, 5, "s2", True, b"two"), (3, 12, 5, "s1", True, b"one")],
+        "_uid long, doc_id long, fp long, text_sha256 string, first boolean, norm binary")
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.grouped(rows).collect()}
     assert got == {10: (10, 2, True), 12: (10, 2, False), 11: (11, 1, True)}
 
