@@ -35,7 +35,7 @@ DEPTH = 3
 TARGET = 0.9999
 RUNS = math.ceil(math.log(1 - TARGET) / math.log(1 - (1 - math.exp(-CHOICES)) ** DEPTH))
 SPLIT = 256
-PART = 128
+PART = 512
 ALIKE = 0.5  # share of chosen tokens; sets of similarity 0.8 are some five standard deviations above it
 DENSE = 0.6
 PROBE = 256
