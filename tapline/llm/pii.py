@@ -1,12 +1,13 @@
 """Personal data: pattern spans, and terms that the corpus shows to reveal them.
 
-Protected entities are e-mail addresses, IP addresses, payment cards and phone numbers. For every word within
-``WINDOW`` words of a mention, documents are counted that hold the entity near the word (c(t, e)), the entity (c(e)) and the
-word (c(t), over the whole corpus). A word discloses an entity if it was seen near it in at least ``MIN_DOCS`` documents,
-P(e | t) = c(t, e) / c(t) reaches ``POSTERIOR`` and log2(P(e | t) / P(e)) reaches ``BITS``. Disclosing words become spans
-wherever they occur, also far from the entity; ``sanitised`` generalises them to a mark and removes those of
-``REMOVE_BITS`` or more. Words are runs of ASCII letters, digits and non-ASCII characters, ASCII-lower-cased, of four
-bytes at least and not all digits. Disclosing words reach the tasks in broadcast blocks of at most ``BLOCK_TERMS``.
+Protected entities are e-mail addresses, IP addresses, payment cards and phone numbers. For every word that shares a
+document with an entity, documents are counted that hold both (c(t, e)), the entity (c(e)) and the word (c(t), over the
+whole corpus). A word discloses an entity if P(e | t) = c(t, e) / (c(t) + ``PRIOR``) reaches ``POSTERIOR`` and
+log2(P(e | t) / P(e)) reaches ``BITS``. The prior discounts small counts without cutting them: a word of one document
+discloses an entity of that document (2/3), one of two documents needs the entity in both. Disclosing words become spans
+wherever they occur; ``sanitised`` generalises them to a mark and removes those of ``REMOVE_BITS`` or more. Words are runs
+of ASCII letters, digits and non-ASCII characters of any length, ASCII-lower-cased, those inside mentions too. Disclosing
+words reach the tasks in broadcast blocks of at most ``BLOCK_TERMS``. A document costs its entities times its words.
 
 Defined results: null and empty texts have no spans; a word span that touches a pattern span is dropped; repeated
 rows count as documents of their own; an empty table gives an empty table.
@@ -27,9 +28,7 @@ from pyspark.sql import functions as F
 from tapline.llm.common import mapped, saved, table, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW = 8
-REACH = 240  # characters to either side that hold the window
-MIN_DOCS = 3
+PRIOR = 0.5  # documents without the entity that every word is taken to have besides its own
 POSTERIOR = 0.5
 BITS = 4.0
 REMOVE_BITS = 12.0
@@ -83,7 +82,7 @@ def joined(spans: list[Span]) -> str:
 
 
 def plain_words(data: bytes) -> list[bytes]:
-    return [w for w in data.translate(_PLAIN).split() if len(w) > 3 and not w.isdigit()]
+    return data.translate(_PLAIN).split()
 
 
 def entity(text: str, span: Span) -> int:
@@ -94,33 +93,29 @@ def entity(text: str, span: Span) -> int:
     return int.from_bytes(hashlib.blake2b(f"{span[0]}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def near_words(text: str, spans: list[Span]) -> set[tuple[int, bytes | None]]:
-    """(entity, word) of the words around each mention, and (entity, None) for the mention itself."""
-    out: set[tuple[int, bytes | None]] = set()
-    for span in spans:
-        e = entity(text, span)
-        out.add((e, None))
-        left, right = text[max(0, span[1] - REACH):span[1]], text[span[2]:span[2] + REACH]
-        before = left.encode().translate(_PLAIN).split()[1 if span[1] > REACH else 0:]
-        after = right.encode().translate(_PLAIN).split()
-        if len(text) > span[2] + REACH:
-            after = after[:-1]
-        out.update((e, w) for w in before[-WINDOW:] + after[:WINDOW] if len(w) > 3 and not w.isdigit())
-    return out
-
-
 def mention_counts(docs: DataFrame) -> DataFrame:
-    """entity, term (null: the entity itself), docs: documents that hold the entity near the term."""
-    def run(batch: pa.RecordBatch) -> dict:
+    """entity, term (null: the entity itself), docs: documents that hold the entity and the term."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
-        for text in texts_of(batch):
-            text = text.decode("utf-8", "replace")
-            spans = base_spans(text)
-            if spans:
-                held.update(near_words(text, spans))
-        return {"entity": [k[0] for k in held], "term": [k[1] for k in held], "docs": list(held.values())}
 
-    return mapped(docs.select("text"), run, "entity long, term binary, docs long").groupBy("entity", "term").agg(
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({
+                "entity": pa.array([k[0] for k in held], pa.int64()), "term": pa.array([k[1] for k in held], pa.binary()),
+                "docs": pa.array(list(held.values()), pa.int64())})
+
+        for batch in batches:
+            for data in texts_of(batch):
+                text = data.decode("utf-8", "replace")
+                spans = base_spans(text)
+                found = {None, *plain_words(data)} if spans else ()
+                for e in {entity(text, span) for span in spans}:
+                    held.update((e, w) for w in found)
+                    if len(held) > COUNTER:
+                        yield out()
+                        held.clear()
+        yield out()
+
+    return docs.select("text").mapInArrow(run, "entity long, term binary, docs long").groupBy("entity", "term").agg(
         F.sum("docs").alias("docs"))
 
 
@@ -146,12 +141,15 @@ def document_counts(docs: DataFrame) -> DataFrame:
 
 def disclosing(docs: DataFrame) -> DataFrame:
     """term, bits: words that reveal a protected entity, with the most they reveal."""
-    counts = saved(mention_counts(docs).filter(F.col("docs") >= MIN_DOCS), "pii-mentions")
-    own = counts.filter("term IS NULL").select("entity", F.col("docs").alias("own"))
-    n = docs.select(F.lit(1)).count()
-    pairs = counts.filter("term IS NOT NULL").join(own, "entity").join(document_counts(docs), "term")
-    posterior = F.col("docs") / F.greatest("df", "docs")
-    pairs = pairs.withColumns({"posterior": posterior, "bits": F.log2(posterior / (F.col("own") / F.lit(max(1, n))))})
+    counts = saved(mention_counts(docs), "pii-mentions")
+    n = max(1, docs.select(F.lit(1)).count())
+    # an entity in more documents than this cannot reach BITS whatever the word
+    own = counts.filter("term IS NULL").filter(F.col("docs") * 2.0 ** BITS <= n).select("entity", F.col("docs").alias("own"))
+    # of equal counts the rarest entity is disclosed most, so a word common to all entities keeps few rows
+    pairs = counts.filter("term IS NOT NULL").join(own, "entity").groupBy("term", "docs").agg(F.min("own").alias("own"))
+    posterior = F.col("docs") / (F.col("df") + F.lit(PRIOR))
+    pairs = pairs.join(document_counts(docs), "term").withColumn("posterior", posterior)
+    pairs = pairs.withColumn("bits", F.log2(F.col("posterior") / (F.col("own") / F.lit(n))))
     return saved(pairs.filter((F.col("posterior") >= POSTERIOR) & (F.col("bits") >= BITS)).groupBy("term").agg(
         F.max("bits").alias("bits")), "pii-terms")
 

@@ -296,6 +296,18 @@ def test_disclosing_terms(spark):
     assert pii.spans(documents(spark, []), []).count() == 0
 
 
+def test_terms_of_entities_in_one_document(spark):
+    """An address of one document is disclosed by that document's own words: short, of digits, far away."""
+    rng = random.Random(9)
+    words = ["river", "stone", "cloud", "green", "small", "house", "light"]
+    fill = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [f"Jo, file 77120 {fill(400)} ann@mail.example.org {fill(40)}", f"{fill(5)} Kim {fill(5)}"]
+    texts += [f"{fill(60)}" for _ in range(200)]
+    found = {bytes(r["term"]): r["bits"] for r in pii.disclosing(documents(spark, texts)).collect()}
+    assert found.keys() == {b"jo", b"file", b"77120", b"ann", b"mail", b"example", b"org"}
+    assert found[b"jo"] == pytest.approx(math.log2(1 / 1.5 * len(texts)))
+
+
 # --- near duplicates --------------------------------------------------------------------------
 
 
