@@ -146,6 +146,15 @@ def test_language_model_is_a_distribution(spark):
     assert np.allclose(inside + hmm.SMOOTH / mass, 1)  # the rest is an unknown word
 
 
+def test_expectation_steps_grow_with_the_corpus(spark, monkeypatch):
+    docs = documents(spark, [f"a b{i % 7} c{i % 11}" for i in range(3000)])
+    vocabulary = hmm.Vocabulary(hmm.word_counts(docs, F.lit(True)), 3000, head=8)
+    rows, seen, plain = hmm.encoded(docs, vocabulary, F.lit(False)), [], hmm.step
+    monkeypatch.setattr(hmm, "step", lambda r, p, u: seen.append(r.count()) or plain(r, p, u))
+    hmm.train(rows, vocabulary, states=2, sample_texts=10)
+    assert seen[-2:] == [3000, 3000] and all(60 <= n <= 140 for n in seen[:-2])
+
+
 # --- language identification ------------------------------------------------------------------
 
 
