@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tapline.functions.math import bounded
 from tapline.operators import reporting
+from tapline.session import materialise
 
 SAMPLE = 256
 
@@ -191,17 +192,26 @@ def calibrate_steps(rows: DataFrame, raw: str = "raw", label: str = "label", ste
                     rate: float = 0.1, max_scores: int = 200_000) -> tuple[float, float]:
     """Sigmoid calibration by a fixed number of gradient steps from (1, 0).
 
-    Counts per distinct score are summed in Spark; the two parameters are then fitted to at most
-    ``max_scores`` of them (those of smallest hash, should there be more).
+    Counts per distinct score are summed in Spark. Up to ``max_scores`` of them are fitted on the driver; of more,
+    every step sums all counts in Spark.
     """
-    counts = rows.groupBy(F.col(raw).cast("double").alias("x")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("pos"))
-    held = counts.orderBy(F.xxhash64("x"), "x").limit(max_scores).toPandas().sort_values("x")
-    x, n, pos = (held[c].to_numpy(float) for c in ("x", "n", "pos"))
-    w, b, total = 1.0, 0.0, n.sum()
+    counts = materialise(rows.groupBy(F.col(raw).cast("double").alias("x")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("pos")), "calibration")
+    size = counts.agg(F.count(F.lit(1)).alias("scores"), F.sum("n").alias("n")).first()
+    total, small = size.n or 0, size.scores <= max_scores
+    if small:
+        held = counts.toPandas().sort_values("x")
+        x, n, pos = (held[c].to_numpy(float) for c in ("x", "n", "pos"))
+    w, b = 1.0, 0.0
     for _ in range(steps if total else 0):
-        residual = n / (1.0 + np.exp(-np.clip(w * x + b, -30.0, 30.0))) - pos
-        w, b = w - (residual * x).sum() / total * rate, b - residual.sum() / total * rate
+        if small:
+            residual = n / (1.0 + np.exp(-np.clip(w * x + b, -30.0, 30.0))) - pos
+            dw, db = (residual * x).sum(), residual.sum()
+        else:
+            z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("x") * F.lit(float(w)) + F.lit(float(b))))
+            residual = F.col("n") / (1.0 + F.exp(-z)) - F.col("pos")
+            dw, db = counts.agg(F.sum(residual * F.col("x")), F.sum(residual)).first()
+        w, b = w - dw / total * rate, b - db / total * rate
     return round(float(w), 8), round(float(b), 8)
 
 

@@ -141,6 +141,17 @@ def test_calibration_steps(spark):
     assert models.calibrate_steps(df, steps=5) == pytest.approx((w, b), abs=1e-7)
 
 
+def test_calibration_steps_beyond_the_driver(spark):
+    """More scores than the driver holds, one of them a third of all rows: every row counts."""
+    y, s = np.append(np.arange(200) % 2, np.ones(100, int)), np.append(np.linspace(0, 1, 200), np.full(100, 0.77))
+    df = _scored(spark, y, s).withColumnRenamed("score", "raw")
+    w, b = 1.0, 0.0
+    for _ in range(5):
+        p = 1 / (1 + np.exp(-(w * s + b)))
+        w, b = w - np.mean((p - y) * s) * 0.1, b - np.mean(p - y) * 0.1
+    assert models.calibrate_steps(df, steps=5, max_scores=50) == pytest.approx((w, b), abs=1e-7)
+
+
 def test_isolation_forest_ranks_outliers(spark):
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal(size=(300, 3)), rng.normal(8, 1, size=(10, 3))])
