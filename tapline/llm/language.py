@@ -6,8 +6,8 @@ context that has not adds an escape of -log2(d / (n + d)); below order 0 all byt
 language with the shortest code; the score is the posterior of that language under equal priors, from the
 code lengths divided by ``TEMPERATURE`` (bytes of a text are not independent draws).
 
-Trees are fitted on a bounded hash sample of whole training texts (``train_chars`` characters a language), which
-bounds the broadcast tables; every text is scored whole. All cost vectors of known n-grams are computed once; a
+Trees are fitted on a hash sample of ``CHUNK``-byte chunks of all training texts (``train_chars`` characters a language, at
+most a chunk more), which bounds the broadcast tables whatever the size of a text and leaves out no language; every text is scored whole. All cost vectors of known n-grams are computed once; a
 position is looked up in an open-addressing table per order, longest first.
 
 Defined results: ``und`` with score 0 if the text is null, empty or without a letter, or nothing was learned; ties
@@ -21,13 +21,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapline.llm.common import fold, mapped, mix64, table, texts_of
 
 ORDER = 3
 TRAIN_CHARS = 1_500_000
+CHUNK = 4096
 TEMPERATURE = 8.0
 SLICE = 1 << 18  # positions scored at once
 _LETTER = re.compile(r"[^\W\d_]").search
@@ -42,21 +43,40 @@ def grams(data: np.ndarray, n: int) -> np.ndarray:
 
 
 def training_counts(docs: DataFrame, learn, order: int = ORDER, train_chars: int = TRAIN_CHARS) -> DataFrame:
-    """lang, n, code, count of the windows of up to order + 1 bytes in the sampled training texts."""
-    known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = known.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).collect()  # one row per language
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, train_chars / max(1, r["chars"])))]) if sizes else None
-    if share is None:
+    """lang, n, code, count of the windows of up to order + 1 bytes that begin in the sampled chunks."""
+    known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    sizes = known.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"),
+                                      F.sum(F.octet_length("text")).alias("bytes")).collect()  # one row per language
+    wanted = {r["lang"]: train_chars * r["bytes"] / r["chars"] for r in sizes if r["chars"]}
+    if not wanted:
         return docs.sparkSession.createDataFrame([], "lang string, n int, code long, count long")
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.filter(draw < share[F.col("lang")])
+    # somewhat more than wanted is drawn, 16 chunks at least, and cut to what is wanted
+    share = {r["lang"]: min(1.0, (1.25 * wanted[r["lang"]] + 16 * CHUNK) / r["bytes"]) for r in sizes if r["chars"]}
+
+    def draw(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"lang": [], "draw": [], "size": [], "text": []}
+        for text, lang, row in zip(texts_of(batch), batch.column("lang").to_pylist(), batch.column("row").to_pylist()):
+            keys = mix64(mix64(np.array([row + 1], np.uint64)) + np.arange(-(-len(text) // CHUNK), dtype=np.uint64))
+            keys = (keys >> np.uint64(2)).astype(np.int64)
+            for j in np.flatnonzero(keys < share[lang] * 2.0 ** 62) if len(text) else ():
+                out["lang"].append(lang)
+                out["draw"].append(int(keys[j]))
+                out["size"].append(min(CHUNK, len(text) - int(j) * CHUNK))
+                out["text"].append(text[int(j) * CHUNK:(int(j) + 1) * CHUNK + order])
+        return out
+
+    drawn = mapped(known.withColumn("row", F.monotonically_increasing_id()), draw, "lang string, draw long, size int, text binary")
+    before = F.sum("size").over(Window.partitionBy("lang").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1))
+    most = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])
+    sample = drawn.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < most[F.col("lang")])
+    sample = sample.select("lang", "size", "text")
 
     def count(batch: pa.RecordBatch) -> dict:
         held: dict[tuple[str, int], list[np.ndarray]] = {}
-        for text, lang in zip(texts_of(batch), batch.column("lang").to_pylist()):
+        for text, lang, size in zip(texts_of(batch), batch.column("lang").to_pylist(), batch.column("size").to_pylist()):
             data = np.frombuffer(text, np.uint8)
             for n in range(1, order + 2):
-                held.setdefault((lang, n), []).append(grams(data, n))
+                held.setdefault((lang, n), []).append(grams(data[:size + n - 1], n))
         out: dict[str, list] = {"lang": [], "n": [], "code": [], "count": []}
         for (lang, n), parts in held.items():
             codes, counts = np.unique(np.concatenate(parts), return_counts=True)

@@ -215,6 +215,20 @@ def test_language_predictions(spark):
     assert language.identified(none, language.fit(none, fold(4) != 2)).count() == 0
 
 
+def test_training_chunks_of_giant_and_repeated_texts(spark):
+    """A giant text neither passes the bound nor hides its language's other texts; copies are drawn apart."""
+    rows = [(i, "le eau que " * 20, "fr") for i in range(40)] + [(99, "the thing of " * 60_000, "en")]
+    rows += [(i, "with then " * 20, "en") for i in range(100, 140)] + [(7, "oder aber nicht " * 60, "de")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = language.training_counts(docs, F.lit(True), train_chars=20_000).filter("n = 1").groupBy("lang").agg(
+        F.sum("count").alias("n")).collect()
+    got = {r["lang"]: r["n"] for r in counts}
+    assert got.keys() == {"de", "en", "fr"} and got["fr"] == 40 * 220
+    assert all(20_000 <= got[k] <= 20_000 + language.CHUNK for k in ("de", "en"))
+    whole = language.training_counts(docs, F.lit(True)).filter("lang = 'en' AND n = 4").agg(F.sum("count")).first()[0]
+    assert whole == 60_000 * 13 - 3 + 40 * 197
+
+
 # --- neighbours -------------------------------------------------------------------------------
 
 
