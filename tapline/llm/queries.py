@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapline.llm import bitplanes, chosen_path, exact_dedup, hmm, language, mixing, nn_descent, pii, sentencepieces, toxicity
+from tapline.llm import (
+    bitplanes, chosen_path, collocations, decontaminate, exact_dedup, hmm, language, mixing, nn_descent, pii, sentencepieces,
+    toxicity, whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -19,5 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": pii.query,
     "op9_chosen_path": chosen_path.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_whitening": whitening.query,
+    "op12_decontamination": decontaminate.query,
+    "op13_collocations": collocations.query,
 }
-ORACLE = {"op5_mixing": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL}
+ORACLE = {"op5_mixing": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL, "op12_decontamination": decontaminate.SQL,
+          "op13_collocations": collocations.SQL}
