@@ -30,8 +30,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from tapline.llm.common import saved, table
 
@@ -44,8 +43,9 @@ SHARD = 12 << 20
 HELD = 4
 CUTS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes(10 if i in CUTS else 32 if i == 9 else i + 32 if 65 <= i <= 90 else i for i in range(256))
-ROWS = StructType.fromDDL("shard long, lang string, at int, gram string, c long, fwd binary, rev binary, words binary")
-_ARROW = to_arrow_schema(ROWS)
+_ARROW = pa.schema({"shard": pa.int64(), "lang": pa.string(), "at": pa.int32(), "gram": pa.string(), "c": pa.int64(),
+                    "fwd": pa.binary(), "rev": pa.binary(), "words": pa.binary()})
+ROWS = from_arrow_schema(_ARROW)
 
 
 # --- one shard ---------------------------------------------------------------------------------

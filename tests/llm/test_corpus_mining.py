@@ -128,7 +128,7 @@ def test_contamination_equals_brute_force(spark):
 def test_contaminated_spans_lead_to_the_original(spark):
     text = "Ä ñ; The QUICK-brown… fox, ÜBER 日本!"
     out = decontaminate.hits(documents(spark, [text]), benchmark(spark, [(1, "quick brown"), (2, "日本")])).first()
-    assert [text[s.a:s.b] for s in out.spans] == ["QUICK-brown…", "日本"] or [text[s.a:s.b] for s in out.spans] == ["日本"]
+    assert [text[s.a:s.b] for s in out.spans] == ["日本"]  # "brown…" is one word
     out = decontaminate.hits(documents(spark, [text]), benchmark(spark, [(1, "the quick")])).first()
     assert [text[s.a:s.b] for s in out.spans] == ["The QUICK"]
 
