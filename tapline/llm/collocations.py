@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,14 +37,17 @@ LEAST = 30
 LONGEST = 4
 TOP = 2000
 COVER = 80
-SHARD = 12 << 20
+SHARD = 8 << 20
+#: Rows of a table that may be broadcast.
+SMALL = 1_000_000
 #: Shard sizes of text that a task holds for all languages before it closes the largest shard.
 HELD = 4
 CUTS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes(10 if i in CUTS else 32 if i == 9 else i + 32 if 65 <= i <= 90 else i for i in range(256))
-_ARROW = pa.schema({"shard": pa.int64(), "lang": pa.string(), "at": pa.int32(), "gram": pa.string(), "c": pa.int64(),
-                    "fwd": pa.binary(), "rev": pa.binary(), "words": pa.binary()})
-ROWS = from_arrow_schema(_ARROW)
+#: A word of a shard, or (at is null) its ids.
+WORDS = pa.schema({"shard": pa.int64(), "lang": pa.string(), "at": pa.int32(), "gram": pa.string(), "c": pa.int64(), "ids": pa.binary()})
+#: A phrase of a shard as two pairs of word numbers, or (at is null) its index.
+PHRASES = pa.schema({"shard": pa.int64(), "at": pa.int32(), "k1": pa.int64(), "k2": pa.int64(), "c": pa.int64(), "ids": pa.binary(), "words": pa.binary()})
 
 
 # --- one shard ---------------------------------------------------------------------------------
@@ -147,23 +149,17 @@ def level(fwd: np.ndarray, rev: np.ndarray, width: int, flags: list[np.ndarray])
 
 # --- shards as rows ------------------------------------------------------------------------------
 
-def _rows(cols: dict, n: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(n, f.type) for f in _ARROW], schema=_ARROW)
+def _rows(schema: pa.Schema, cols: dict, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-def _listed(shard: int, lang: str, grams: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    n = len(grams)
-    whole = _rows({"shard": pa.array(np.full(n, shard)), "lang": pa.array([lang] * n, pa.string()), "at": pa.array(np.arange(n, dtype=np.int32)),
-                   "gram": grams, "c": pa.array(counts.astype(np.int64))}, n)
+def _listed(schema: pa.Schema, shard: int, counts: np.ndarray, **cols) -> Iterator[pa.RecordBatch]:
+    n = len(counts)
+    whole = _rows(schema, {"shard": np.full(n, shard), "at": np.arange(n), "c": counts, **cols}, n)
     for i in range(0, n, 50_000):
         yield whole.slice(i, 50_000)
 
 
-def _index_row(shard: int, lang: str, **blobs: bytes) -> pa.RecordBatch:
-    return _rows({"shard": pa.array([shard]), "lang": pa.array([lang], pa.string()),
-                  **{k: pa.array([v], pa.binary()) for k, v in blobs.items()}}, 1)
-
-
 def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
     """Per shard its words with counts, and one row (at is null) with its ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,8 +172,8 @@ def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
             ids, words, counts = tokens(b"\n".join(held.pop(lang)))
             sizes.pop(lang)
             if len(words):
-                yield from _listed(number, lang, pa.array(words, pa.binary()).cast(pa.string()), counts)
-                yield _index_row(number, lang, fwd=packed(ids))
+                yield from _listed(WORDS, number, counts, gram=pa.array(words, pa.binary()).cast(pa.string()), lang=[lang] * len(words))
+                yield _rows(WORDS, {"shard": [number], "lang": [lang], "ids": [packed(ids)]}, 1)
                 number += 1
 
         def add(lang: str, part: bytes) -> Iterator[pa.RecordBatch]:
@@ -203,39 +199,55 @@ def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
             yield from close(lang)
 
     rows = docs.filter(F.col("text") != "").select("text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    return saved(rows.mapInArrow(run, ROWS), "phrase-shards", "zstd")
+    return saved(rows.mapInArrow(run, from_arrow_schema(WORDS)), "phrase-shards", "zstd")
+
+
+def fitting(df: DataFrame) -> DataFrame:
+    """Broadcast a stored table if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def frequent(rows: DataFrame, least: int) -> DataFrame:
-    """lang, gram, f: counts over all shards, from the least on."""
+def frequent_words(rows: DataFrame, least: int) -> DataFrame:
+    """lang, gram, f and a dense number of the words that reach ``least`` over all shards."""
     sums = rows.filter("at IS NOT NULL").groupBy("lang", "gram").agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
+    at = saved(sums.withColumn("_at", F.monotonically_increasing_id()), "phrase-words")
+    part = F.shiftright("_at", 33).cast("int")
+    sizes = sorted(tuple(r) for r in at.groupBy(part.alias("p")).count().collect())  # a number per partition
+    offsets, total = [], 0
+    for p, n in sizes:
+        offsets += [F.lit(p), F.lit(total).cast("long")]
+        total += n
+    offset = F.element_at(F.create_map(*offsets), part) if offsets else F.lit(0)
+    return saved(at.withColumn("number", offset + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at"), "phrase-words")
+
+
+def frequent(rows: DataFrame, least: int, *key: str) -> DataFrame:
+    """Phrases that reach ``least`` over all shards."""
+    sums = rows.filter("at IS NOT NULL").groupBy(*key).agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
     return saved(sums, "phrases")
 
 
-def _flagged(rows: DataFrame, known: DataFrame, *cols: str) -> DataFrame:
-    """Per shard the positions (and phrases) that are frequent over all shards."""
-    found = rows.filter("at IS NOT NULL").select("shard", "lang", "at", "gram").join(known.select("lang", "gram"), ["lang", "gram"], "left_semi")
-    return found.groupBy("shard").agg(F.collect_list(F.struct(*cols)).alias("found"))
+def _flagged(rows: DataFrame, known: DataFrame, key: list[str], *more: str) -> DataFrame:
+    """Per shard the positions (and more) that are frequent over all shards."""
+    found = rows.filter("at IS NOT NULL").select("shard", "at", *key).join(fitting(known.select(*key, *more)), key)
+    return found.groupBy("shard").agg(F.collect_list(F.struct("at", *more)).alias("found"))
 
 
 def indexed(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Builds the index of every shard over frequent words; lists the phrases of two words."""
+    """The text of every shard over frequent words, and its phrases of two words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                shard, lang = batch.column("shard")[k].as_py(), batch.column("lang")[k].as_py()
                 found = batch.column("found")[k].values
-                at, words = np.asarray(found.field("at")), found.field("gram").cast(pa.binary())
-                old = unpacked(batch.column("fwd")[k].as_py())
+                at, numbers = np.asarray(found.field("at")), np.asarray(found.field("number"))
+                old = unpacked(batch.column("ids")[k].as_py())
                 new = np.zeros(int(max(old.max(), at.max() + 1)) + 1, np.int64)
                 new[at + 1] = np.arange(1, len(at) + 1)
-                ids = gapped(new[old])
-                fwd, rev = transform(ids), transform(ids[::-1])
-                yield _index_row(shard, lang, fwd=packed(fwd), rev=packed(rev), words=packed(b"\n".join(words.to_pylist())))
-                yield from _phrases(shard, lang, fwd, rev, words, [])
+                ids, shard = gapped(new[old]), batch.column("shard")[k].as_py()
+                yield _rows(PHRASES, {"shard": [shard], "ids": [packed(ids)], "words": [packed(numbers)]}, 1)
+                yield from _phrases(shard, ids, numbers, [])
 
-    flags = _flagged(rows, known, "at", "gram")
-    return _next(rows.select("shard", "lang", "fwd", "at"), flags, run, "phrases-2")
+    return _next(rows.select("shard", "ids", "at"), _flagged(rows, known, ["lang", "gram"], "number"), run, "phrases-2")
 
 
 def extended(index: DataFrame, *lists: tuple[DataFrame, DataFrame]) -> DataFrame:
@@ -245,57 +257,87 @@ def extended(index: DataFrame, *lists: tuple[DataFrame, DataFrame]) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                shard, lang = batch.column("shard")[k].as_py(), batch.column("lang")[k].as_py()
-                words = pa.array(zstandard.ZstdDecompressor().decompress(batch.column("words")[k].as_py()).split(b"\n"), pa.binary())
                 flags = [np.asarray(batch.column(n)[k].values.field("at")) for n in names]
-                yield from _phrases(shard, lang, unpacked(batch.column("fwd")[k].as_py()), unpacked(batch.column("rev")[k].as_py()), words, flags)
+                yield from _phrases(batch.column("shard")[k].as_py(), unpacked(batch.column("ids")[k].as_py()).astype(np.int64),
+                                    unpacked(batch.column("words")[k].as_py()), flags)
 
     flags = None
-    for name, (rows, known) in zip(names, lists):
-        one = _flagged(rows, known, "at").withColumnRenamed("found", name)
+    for i, (name, (rows, known)) in enumerate(zip(names, lists)):
+        one = _flagged(rows, known, ["k1", "k2"][:i + 1]).withColumnRenamed("found", name)
         flags = one if flags is None else flags.join(one, "shard")
-    return _next(index.select("shard", "lang", "fwd", "rev", "words", "at"), flags, run, f"phrases-{len(lists) + 2}")
+    return _next(index.select("shard", "ids", "words", "at"), flags, run, f"phrases-{len(lists) + 2}")
 
 
 def _next(index: DataFrame, flags: DataFrame, run, name: str) -> DataFrame:
-    held = index.filter("at IS NULL").drop("at").join(flags.hint("shuffle_hash"), "shard")
-    return saved(held.mapInArrow(run, ROWS), name, "zstd")
+    # the flags of a shard are an array, so their total decides
+    flags = saved(flags, "phrase-flags", "zstd")
+    total = flags.agg(F.sum(F.size(flags.columns[1]))).first()[0] or 0
+    side = F.broadcast(flags) if total <= 4 * SMALL else flags.hint("shuffle_hash")
+    held = index.filter("at IS NULL").drop("at").join(side, "shard")
+    return saved(held.mapInArrow(run, from_arrow_schema(PHRASES)), name, "zstd")
 
 
-def _phrases(shard: int, lang: str, fwd: np.ndarray, rev: np.ndarray, words: pa.Array, flags: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    grams, counts = level(fwd.astype(np.int64), rev.astype(np.int64), len(words) + 1, flags)
+def _phrases(shard: int, ids: np.ndarray, numbers: np.ndarray, flags: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The index of a shard's text in both directions, and its phrases as word numbers."""
+    grams, counts = level(transform(ids), transform(ids[::-1]), len(numbers) + 1, flags)
     if len(grams):
-        text = pc.binary_join_element_wise(*[words.take(pa.array(g - 1)) for g in grams.T], b" ")
-        yield from _listed(shard, lang, text.cast(pa.string()), counts)
+        words = [numbers.astype(np.int64)[g - 1] for g in grams.T]
+        pairs = {"k1": words[0] << 32 | words[1]}
+        if len(words) > 2:
+            pairs["k2"] = words[2] << 32 | (words[3] + 1 if len(words) > 3 else 0)
+        yield from _listed(PHRASES, shard, counts, **pairs)
 
 
 # --- scores --------------------------------------------------------------------------------------
 
-def counted(docs: DataFrame, least: int = LEAST, size: int = SHARD) -> tuple[DataFrame, list[DataFrame]]:
-    """(lang and n, the frequent phrases of one to four words)."""
-    words = shards(docs, size)
-    totals = saved(words.filter("at IS NOT NULL").groupBy("lang").agg(F.sum("c").alias("n")), "phrase-totals")
-    known = [frequent(words, least)]
-    two = indexed(words, known[0])
-    known.append(frequent(two, least))
-    three = extended(two, (two, known[1]))
-    known.append(frequent(three, least))
-    four = extended(two, (two, known[1]), (three, known[2]))
-    known.append(frequent(four, least))
-    return totals, known
+def counted(docs: DataFrame, least: int = LEAST, size: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lang and n; words with f and number; phrases of two to four words with f, as numbers)."""
+    spark = docs.sparkSession
+    text = shards(docs, size)
+    totals = saved(text.filter("at IS NOT NULL").groupBy("lang").agg(F.sum("c").alias("n")), "phrase-totals")
+    words = frequent_words(text, least)
+    two = indexed(text, words)
+    given_up(spark, text)
+    known = [frequent(two, least, "k1")]
+    given_up(spark)
+    three = extended(two, (two, known[0]))
+    known.append(frequent(three, least, "k1", "k2"))
+    given_up(spark)
+    four = extended(two, (two, known[0]), (three, known[1]))
+    known.append(frequent(four, least, "k1", "k2"))
+    given_up(spark, two, three, four)
+    return totals, words, known[0].withColumn("k2", F.lit(None).cast("long")).unionByName(known[1]).unionByName(known[2])
+
+
+def given_up(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove stored tables that are read no more, and let the session drop the shuffles of finished queries."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    spark.sparkContext._jvm.System.gc()
+
+
+def spelled(words: DataFrame, phrases: DataFrame) -> DataFrame:
+    """lang, phrase, its words and a."""
+    low = F.lit((1 << 32) - 1)
+    numbers = F.filter(F.array(
+        F.shiftright("k1", 32), F.col("k1").bitwiseAND(low), F.shiftright("k2", 32),
+        F.when(F.col("k2").bitwiseAND(low) > 0, F.col("k2").bitwiseAND(low) - 1)), lambda x: x.isNotNull())
+    long = phrases.select("k1", "k2", "f", F.posexplode(numbers).alias("pos", "number")).join(
+        words.select("number", "lang", "gram"), "number")
+    return long.groupBy("k1", "k2", "f").agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("pos", "gram"))).alias("_p")).select(
+        "lang", F.transform("_p", lambda x: x["gram"]).alias("_w"), F.col("f").alias("a")).withColumn("phrase", F.array_join("_w", " "))
 
 
 def _part(first: Column | int, length: Column | int) -> Column:
     return F.array_join(F.slice("_w", first, length), " ")
 
 
-def scored(totals: DataFrame, known: list[DataFrame], top: int = TOP, cover: int = COVER) -> DataFrame:
+def scored(totals: DataFrame, words: DataFrame, phrases: DataFrame, top: int = TOP, cover: int = COVER) -> DataFrame:
     """Candidates by their lowest-scoring cut, without covered ones, the first ``top`` of every language."""
-    phrases = known[1]
-    for k in known[2:]:
-        phrases = phrases.unionByName(k)
-    phrases = phrases.select("lang", F.col("gram").alias("phrase"), F.col("f").alias("a"), F.split("gram", " ", -1).alias("_w"))
-    parts = known[0].unionByName(phrases.select("lang", F.col("phrase").alias("gram"), F.col("a").alias("f")))
+    phrases = saved(spelled(words, phrases), "phrases")
+    parts = words.select("lang", "gram", "f").unionByName(phrases.select("lang", F.col("phrase").alias("gram"), F.col("a").alias("f")))
     whole = "decimal(20,0)"
     cuts = (phrases.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("_w") - 1)))
             .withColumns({"_l": _part(F.lit(1), F.col("k")), "_r": _part(F.col("k") + 1, F.size("_w") - F.col("k"))})
