@@ -23,6 +23,8 @@ class Config:
     # A hot source is split into time chunks of this length; each chunk also receives the
     # rows of the preceding horizon, so per-chunk answers are exact.
     chunk_us: int = 40 * SECOND
+    # For sources too dense for a chunk: counts on two levels, in slots no longer than a horizon (0: by chunks).
+    behaviour_slot_us: int = 0
 
     # correlation, flows
     incident_gap_us: int = 10 * SECOND
@@ -30,6 +32,7 @@ class Config:
     flow_idle_us: int = 60 * SECOND
     flow_age_us: int = 300 * SECOND
     flow_sweep_us: int = 5 * SECOND
+    flow_slice_us: int = SECOND  # packets of a pair are first reduced per slice; must divide the sweep
     flow_iat_keep: int = 100
     flow_len_keep: int = 50
 

@@ -99,20 +99,35 @@ def online_distance(features: DataFrame, cfg: Config = DEFAULT, group_cols: tupl
 
     Returns the window keys with `kitsune`; the first window scores zero.
     """
+    return continued_distance(features, None, cfg, group_cols)[0]
+
+
+def continued_distance(features: DataFrame, before: DataFrame | None, cfg: Config = DEFAULT,
+                       group_cols: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(distances, means after the last window) of windows that follow the means ``before``.
+
+    Means have one row per group with the newest `window_end`. They enter the recurrence as a window of their own that comes first.
+    """
     d = cfg.kitsune_decay
     ids = [*group_cols, "window_end"]
     names = {c: f"_f{i}" for i, c in enumerate(NUMERIC_FEATURES)}
-    base = _ranked(features.select(*ids, *[F.col(f"`{c}`").cast("double").alias(n) for c, n in names.items()]), group_cols)
+    rows = features.select(*ids, *[F.col(f"`{c}`").cast("double").alias(n) for c, n in names.items()], F.lit(False).alias("_old"))
+    if before is not None:
+        rows = rows.unionByName(before.withColumn("_old", F.lit(True)))
+    base = _ranked(rows, group_cols)
     first = F.col("obs") == 1
     m = ordered.decayed(base, group_cols, "obs", {
         f"_m{n}": F.when(first, F.col(n)).otherwise(F.col(n) * (1.0 - d)) for n in names.values()}, d)
     terms, counted = [], []
     for n in names.values():
         x = F.col(n)
-        before = (F.col(f"_m{n}") - x * (1.0 - d)) / d  # the mean this window was compared with
+        before_ = (F.col(f"_m{n}") - x * (1.0 - d)) / d  # the mean this window was compared with
         finite = ~F.isnan(x) & (F.abs(x) != float("inf"))
-        terms.append(F.when(finite & ~first, F.abs(x - before) / (F.abs(before) + 1)).otherwise(F.lit(0.0)))
+        terms.append(F.when(finite & ~first, F.abs(x - before_) / (F.abs(before_) + 1)).otherwise(F.lit(0.0)))
         counted.append(F.when(finite, F.lit(1)).otherwise(F.lit(0)))
     n = F.aggregate(F.array(*counted), F.lit(0), lambda a, x: a + x)
     total = F.aggregate(F.array(*terms), F.lit(0.0), lambda a, x: a + x)
-    return m.select(*ids, bounded(F.when(n > 0, total / n).otherwise(F.lit(0.0))).alias("kitsune"))
+    distance = m.filter(~F.col("_old")).select(*ids, bounded(F.when(n > 0, total / n).otherwise(F.lit(0.0))).alias("kitsune"))
+    last = m.groupBy(*group_cols).agg(F.max_by(F.struct("window_end", *[f"_m{n}" for n in names.values()]), "obs").alias("_l"))
+    after = last.filter("_l IS NOT NULL").select(*group_cols, "_l.window_end", *[F.col(f"_l._m{n}").alias(n) for n in names.values()])
+    return distance, after

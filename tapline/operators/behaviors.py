@@ -2,11 +2,17 @@
 
 Rows are judged in arrival order ``(ts_us, event_id)``: a row sees itself and earlier rows.
 
-One shuffle on (source, time chunk) serves all four rules. Distinct counts over a trailing range
+Rows are handed over in one of two ways, with equal results. By default one shuffle on (source, time chunk) serves all four rules. Distinct counts over a trailing range
 are not recomputed per row; a value contributes +1 where it enters the range and -1 where its last
 occurrence leaves it, so a running sum gives the exact distinct count in linear time. Each chunk
 carries the rows of the preceding horizon, which makes chunks independent: a source that sends a
 third of all rows is spread over as many tasks as it has chunks.
+
+With ``behaviour_slot_us`` the counts work on two levels, for sources too dense for a chunk: traffic is first reduced,
+with map-side combine, to the first and last occurrence of every (source, host, port) per slot. A slot is no longer
+than a horizon, so these alone tell when a value enters or leaves the trailing range. Rows then meet, per (source,
+slot), the entries and exits of that slot and what was in range as it began. No row is carried into another slot, and the
+largest task holds one slot of a source; the price is that the traffic is read three times instead of once.
 """
 
 from __future__ import annotations
@@ -39,13 +45,94 @@ def chunked(df: DataFrame, horizon_us: int, chunk_us: int) -> DataFrame:
                                             .otherwise(F.array(F.col("_home"))))))
 
 
-def behaviour_counts(df: DataFrame, cfg: Config = DEFAULT, rules=RULES) -> DataFrame:
-    """Every traffic row with the trailing counts the requested rules compare to thresholds."""
-    base = df.select(
+def _base(df: DataFrame) -> DataFrame:
+    return df.select(
         "ts_us", "event_id", "src_ip", "dst_ip", "src_port", "dst_port",
         F.upper("protocol").alias("protocol"), port("dst_port").alias("_dport"),
         F.coalesce(F.col("tcp_flags").contains("R"), F.lit(False)).alias("_rst"))
-    rows = chunked(base, _horizon(cfg, rules), cfg.chunk_us).repartition("src_ip", "_chunk")
+
+
+def _change(at: Column, slot: Column, delta: Column | int, eid: Column | None = None) -> Column:
+    """Something that happens to a count: before the row ``eid`` of the same time, or before all rows of that time."""
+    return F.struct(at.alias("at"), slot.alias("_slot"), (eid if eid is not None else F.lit(-(1 << 63))).cast("bigint").alias("eid"),
+                    (delta if isinstance(delta, Column) else F.lit(delta)).cast("bigint").alias("d"))
+
+
+def _changes(df: DataFrame, keys: list[str], changes: list[Column], began: Column, name: str) -> DataFrame:
+    """Rows of ``changes`` (null: none) and ``began`` (an array), as the count ``name`` of the keys."""
+    found = F.concat(F.filter(F.array(*changes), lambda x: x.isNotNull()), began)
+    return df.select(*keys, F.explode(found).alias("_e")).select(
+        *keys, "_e.at", "_e._slot", "_e.eid", F.col("_e.d").alias(name), F.lit(0).alias("is_row"))
+
+
+def _in_range(first: Column, last: Column, slot_us: int, n: Column | int) -> Column:
+    """A change at the start of every slot from ``first`` to ``last``."""
+    none = F.array().cast("array<struct<at:bigint,_slot:bigint,eid:bigint,d:bigint>>")
+    starts = F.transform(F.sequence(first, last), lambda k: _change(k * slot_us, k, n))
+    return F.when(last >= first, starts).otherwise(none)
+
+
+def _value_changes(spans: DataFrame, key: str, h: int, slot_us: int, name: str) -> DataFrame:
+    """Changes of the number of values in range, per source and ``key``."""
+    slot = lambda t: floor_div(t, slot_us)
+    gone = F.col("last") + h
+    enters = F.col("_prev").isNull() | (F.col("first.ts_us") - F.col("_prev") > h)
+    leaves = (F.col("_next").isNull() | (F.col("_next") > gone)) & (slot(gone + 1) == slot(gone))  # else the next slot begins without it
+    return _changes(spans, ["src_ip", key], [
+        F.when(enters, _change(F.col("first.ts_us"), F.col("_slot"), 1, F.col("first.event_id"))),
+        F.when(leaves, _change(gone + 1, slot(gone), -1)),
+    ], _in_range(F.col("_slot") + 1, slot(F.least(gone, F.coalesce(F.col("_next"), gone))), slot_us, 1), name)
+
+
+def slot_counts(df: DataFrame, cfg: Config, rules) -> DataFrame:
+    """Every traffic row with its trailing counts, on two levels."""
+    slot_us = cfg.behaviour_slot_us
+    if slot_us > min({"scan": cfg.port_scan_us, "sweep": cfg.host_sweep_us, "rst": cfg.rst_storm_us}[r] for r in rules):
+        raise ValueError("a slot must not be longer than a horizon")
+    base = _base(df).withColumn("_slot", floor_div(F.col("ts_us"), slot_us))
+    parts, counts = [base.withColumns({"at": F.col("ts_us"), "eid": F.col("event_id"), "is_row": F.lit(1)})], {}
+    if "scan" in rules or "sweep" in rules:
+        value = ["src_ip", "dst_ip", "_dport"]
+        spans = base.groupBy(*value, "_slot").agg(F.min(F.struct("ts_us", "event_id")).alias("first"), F.max("ts_us").alias("last"))
+        in_time = Window.partitionBy(*value).orderBy("_slot")
+        spans = spans.withColumns({"_prev": F.lag("last").over(in_time), "_next": F.lead("first.ts_us").over(in_time)})
+        if "scan" in rules:
+            parts.append(_value_changes(spans, "dst_ip", cfg.port_scan_us, slot_us, "d_scan"))
+            counts["port_count"] = ("d_scan", "dst_ip")
+        if "sweep" in rules:
+            parts.append(_value_changes(spans, "_dport", cfg.host_sweep_us, slot_us, "d_sweep"))
+            counts["host_count"] = ("d_sweep", "_dport")
+    if "rst" in rules:
+        gone = F.col("ts_us") + cfg.rst_storm_us
+        until = floor_div(gone, slot_us)
+        resets = base.filter("_rst")
+        parts[0] = parts[0].withColumn("d_rst", F.col("_rst").cast("bigint"))
+        ends = resets.filter(floor_div(gone + 1, slot_us) == until)
+        parts.append(ends.groupBy("src_ip", (gone + 1).alias("at"), until.alias("_slot")).agg((-F.count(F.lit(1))).alias("d_rst"))
+                     .withColumns({"eid": F.lit(-(1 << 63)).cast("bigint"), "is_row": F.lit(0)}))
+        held = resets.groupBy("src_ip", "_slot", until.alias("_until")).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(_changes(held, ["src_ip"], [F.lit(None).cast("struct<at:bigint,_slot:bigint,eid:bigint,d:bigint>")],
+                              _in_range(F.col("_slot") + 1, F.col("_until"), slot_us, F.col("n")), "d_rst"))
+        counts["rst_count"] = ("d_rst", None)
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    rows = rows.repartition("src_ip", "_slot")
+
+    def running(delta: str, key: str | None) -> Column:
+        w = Window.partitionBy("src_ip", "_slot", *([key] if key else [])).orderBy("at", "eid", "is_row")
+        return F.coalesce(F.sum(delta).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+
+    for name, (delta, key) in counts.items():
+        rows = rows.withColumn(name, running(delta, key))
+    return rows.filter("is_row = 1").select("ts_us", "event_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "_dport", *counts)
+
+
+def behaviour_counts(df: DataFrame, cfg: Config = DEFAULT, rules=RULES) -> DataFrame:
+    """Every traffic row with the trailing counts the requested rules compare to thresholds."""
+    if cfg.behaviour_slot_us and "beacon" not in rules:
+        return slot_counts(df, cfg, rules)
+    rows = chunked(_base(df), _horizon(cfg, rules), cfg.chunk_us).repartition("src_ip", "_chunk")
 
     pair_port = Window.partitionBy("src_ip", "_chunk", "dst_ip", "_dport").orderBy("ts_us", "event_id")
     prev_us, next_us = F.lag("ts_us").over(pair_port), F.lead("ts_us").over(pair_port)
@@ -53,9 +140,8 @@ def behaviour_counts(df: DataFrame, cfg: Config = DEFAULT, rules=RULES) -> DataF
         # A mean interval above the minimum bounds how many events can share the horizon, so a
         # fixed number of preceding rows decides the rule exactly.
         reach = cfg.beacon_us // cfg.beacon_min_mean_us
-        recent = F.collect_list("ts_us").over(pair_port.rowsBetween(-reach, 0))
-        rows = rows.withColumn("_recent", F.filter(
-            recent, lambda t: t >= F.col("ts_us") - cfg.beacon_us))
+        recent = F.filter(F.collect_list("ts_us").over(pair_port.rowsBetween(-reach, 0)), lambda t: t >= F.col("ts_us") - cfg.beacon_us)
+        rows = with_beacons(rows.withColumn("_recent", recent), cfg)
     rows = rows.withColumns({"_prev": prev_us, "_next": next_us})
 
     def enters(h: int) -> Column:
@@ -107,24 +193,27 @@ def behaviour_counts(df: DataFrame, cfg: Config = DEFAULT, rules=RULES) -> DataF
         out = out.withColumns(counts).filter("is_row = 1")
 
     out = out.filter(F.col("_chunk") == F.col("_home"))
-    if "beacon" in rules:
-        n = F.size("_recent")
-        gaps = F.transform(F.sequence(F.lit(2), n), lambda i: (
-            F.element_at("_recent", i) - F.element_at("_recent", i - 1)).cast("double"))
-        enough = n >= cfg.beacon_min_events
-        mean = F.when(enough, (F.col("ts_us") - F.element_at("_recent", 1)) / (n - 1))
-        out = out.withColumns({"beacon_intervals": F.when(enough, n - 1), "_mean": mean})
-        # Dense traffic fails on the mean alone and never has its gaps looked at.
-        out = out.withColumn("_gaps", F.when(F.col("_mean") > cfg.beacon_min_mean_us, gaps))
-        var = F.aggregate("_gaps", F.lit(0.0), lambda a, g: a + (g - F.col("_mean")) * (g - F.col("_mean")))
-        cv = F.sqrt(var / F.size("_gaps")) / F.col("_mean")
-        out = out.withColumns({
-            "beacon_mean_s": F.col("_mean") / 1e6,
-            "beacon_cv": F.when(F.col("_mean") > cfg.beacon_min_mean_us, cv),
-        }).drop("_recent", "_gaps", "_mean")
     return out.drop("_home", "_chunk", "_rst", "is_row", "d_scan", "d_sweep", "d_rst", "_prev", "_next")
 
 
+def with_beacons(rows: DataFrame, cfg: Config) -> DataFrame:
+    """Reduce `_recent`, the times of a service's preceding events, to the measures of the beacon rule."""
+    n = F.size("_recent")
+    gaps = F.transform(F.sequence(F.lit(2), n), lambda i: (
+        F.element_at("_recent", i) - F.element_at("_recent", i - 1)).cast("double"))
+    enough = n >= cfg.beacon_min_events
+    mean = F.when(enough, (F.col("ts_us") - F.element_at("_recent", 1)) / (n - 1))
+    out = rows.withColumns({"beacon_intervals": F.when(enough, n - 1), "_mean": mean})
+    # Dense traffic fails on the mean alone and never has its gaps looked at.
+    out = out.withColumn("_gaps", F.when(F.col("_mean") > cfg.beacon_min_mean_us, gaps))
+    var = F.aggregate("_gaps", F.lit(0.0), lambda a, g: a + (g - F.col("_mean")) * (g - F.col("_mean")))
+    cv = F.sqrt(var / F.size("_gaps")) / F.col("_mean")
+    return out.withColumns({
+        "beacon_mean_s": F.col("_mean") / 1e6,
+        "beacon_cv": F.when(F.col("_mean") > cfg.beacon_min_mean_us, cv),
+    }).drop("_recent", "_gaps", "_mean")
+
+
 def _signal(category: str, severity: str, score: float, seq: int, dst: Column, dport: Column,
             protocol: Column, evidence: Column) -> Column:
     return F.struct(
@@ -141,7 +230,14 @@ def _seconds(us: int) -> str:
 
 def behavioural_signals(df: DataFrame, cfg: Config = DEFAULT, rules=RULES) -> DataFrame:
     """Zero to four signals per traffic row."""
-    c = behaviour_counts(df, cfg, rules)
+    counted = tuple(r for r in rules if r != "beacon")
+    if not cfg.behaviour_slot_us or not counted or "beacon" not in rules:
+        return _hits(behaviour_counts(df, cfg, rules), cfg, rules)
+    return _hits(behaviour_counts(df, cfg, counted), cfg, counted).unionByName(
+        _hits(behaviour_counts(df, cfg, ("beacon",)), cfg, ("beacon",)))
+
+
+def _hits(c: DataFrame, cfg: Config, rules) -> DataFrame:
     proto, none = F.col("protocol"), F.lit(None).cast("int")
     hits = []
     if "scan" in rules:

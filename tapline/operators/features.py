@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapline.config import DEFAULT, Config
-from tapline.functions.math import merge_moments, pin
+from tapline.functions.math import floor_div, merge_moments, pin
 from tapline.functions.protocol import modbus
 from tapline.operators import bigfft, windows
 from tapline.operators.spectral import SPECTRAL, spectral_of_times
@@ -125,13 +125,22 @@ def window_features(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str,
 
     ``df`` is traffic with the `altered` and `spoofed` booleans (absent means false).
     """
-    baseline = baseline or {}
-    keys = [*group_cols, "window_end"]
     w = combine_slots(windows.slots(df, cfg, group_cols, times=spectral), cfg, group_cols, whole, times=spectral)
     v = value_features(windows.value_counts(df, cfg, group_cols, whole=whole), group_cols)
-    f = w.join(v, keys)
+    f = w.join(v, [*group_cols, "window_end"])
     if not whole:
         f = windows.complete_only(f, df, emit_partial)
+    return feature_columns(f, df, cfg, group_cols, whole, baseline, spectral)
+
+
+def feature_columns(f: DataFrame, df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = (), whole: bool = False,
+                    baseline: dict[str, float] | None = None, spectral: bool = True) -> DataFrame:
+    """The feature contract over joined rows of `combine_slots` and `value_features`.
+
+    ``df`` has the times of the windows' events; only windows beyond the array bound read them.
+    """
+    baseline = baseline or {}
+    keys = [*group_cols, "window_end"]
     n = F.col("n").cast("double")
     duration = F.greatest((F.col("last_us") - F.col("first_us")) / 1e6, F.lit(1.0))
     some_ttl = F.col("ttl_n") > 0
@@ -206,25 +215,39 @@ def with_protocol(f: DataFrame, quantity_check: str = "all") -> DataFrame:
                           F.coalesce(F.col("protocol_evidence.protocol_anomaly_score"), F.lit(0.0)))
 
 
+#: Windows of a calendar chunk of silence; the longest array a silence makes has about as many entries.
+SILENT_CHUNK = 3600
+
+
+def _on_grid(t: Column, start: Column, step: int) -> Column:
+    """The first point from ``t`` on that is a whole number of steps from ``start``."""
+    return t + F.pmod(start - t, F.lit(step))
+
+
 def with_empty_windows(f: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Add a zero row for every silent window between the first and the last (ungrouped windows).
 
-    Runs of silence are generated from each window's gap to its predecessor, in time chunks that
-    carry their predecessor over, so no global ordering is needed.
+    Runs of silence are generated from each window's gap to its predecessor, in time chunks that carry their
+    predecessor over, so no global ordering is needed. A silence of any length is cut into calendar chunks
+    before its windows are written out.
     """
     from pyspark.sql import Window
 
-    chunk = 3600 * cfg.slide_us
-    ends = f.select("window_end", F.floor(F.col("window_end") / chunk).alias("_c"))
+    chunk = SILENT_CHUNK * cfg.slide_us
+    ends = f.select("window_end", floor_div(F.col("window_end"), chunk).alias("_c"))
     heads = ends.groupBy("_c").agg(F.max("window_end").alias("_last"))
     prior = heads.withColumn("_prior", F.lag("_last").over(Window.orderBy("_c"))).select("_c", "_prior")
     w = Window.partitionBy("_c").orderBy("window_end")
     gaps = (ends.join(prior, "_c")
             .withColumn("_prev", F.coalesce(F.lag("window_end").over(w), F.col("_prior")))
-            .filter(F.col("window_end") - F.col("_prev") > cfg.slide_us))
-    silent = gaps.select(F.explode(F.sequence(
-        F.col("_prev") + cfg.slide_us, F.col("window_end") - cfg.slide_us, F.lit(cfg.slide_us).cast("bigint")))
-        .alias("window_end"))
+            .filter(F.col("window_end") - F.col("_prev") > cfg.slide_us)
+            .select((F.col("_prev") + cfg.slide_us).alias("_a"), (F.col("window_end") - cfg.slide_us).alias("_b")))
+    # a long silence is cut at calendar bounds and dealt out, coarse pieces first
+    for size in (chunk * SILENT_CHUNK, chunk):
+        pieces = gaps.withColumn("_k", F.explode(F.sequence(floor_div(F.col("_a"), size), floor_div(F.col("_b"), size))))
+        first, last = F.greatest("_a", _on_grid(F.col("_k") * size, F.col("_a"), cfg.slide_us)), F.least("_b", F.col("_k") * size + (size - 1))
+        gaps = pieces.select(first.alias("_a"), last.alias("_b")).filter("_a <= _b").repartition("_a")
+    silent = gaps.select(F.explode(F.sequence(F.col("_a"), F.col("_b"), F.lit(cfg.slide_us).cast("bigint"))).alias("window_end"))
     zero = silent.withColumns({c: F.lit(0.0) for c in (
         "packets", "bytes", "packets_per_sec", "bytes_per_sec", "flow_count", "periodicity_score")})
     return (f.withColumn("empty_window", F.lit(0.0))

@@ -4,9 +4,10 @@ A flow ends after an idle gap, after a reset, or when a sweep finds it too old.
 fixed grid (every five seconds), so whether a flow is too old at a sweep depends only on the sweep
 interval in which it began; the age rule therefore needs one row per key and interval.
 
-Packets are reduced to fragments first: one per (endpoint pair, sweep interval, reset segment),
-with map-side combine where the aggregate allows it. Sessions are then built from fragments, of
-which a key has at most one per interval and reset, however many packets it carries.
+Packets are reduced to fragments first: one per (endpoint pair, second, reset segment), in one shuffle and one
+sort, so a pair that sends a third of all packets is spread over the seconds it sends in. Sessions are then
+built from fragments, of which a key has one per second and reset, however many packets it carries. Fragments
+are ordered by their first packet and may be cut anywhere, which lets a stream hand on those of open flows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tapline.config import DEFAULT, Config
 from tapline.functions.math import floor_div
+from tapline.operators import greedy
 from tapline.schema import port
 
 KEY = ["ip_a", "port_a", "ip_b", "port_b", "proto"]
@@ -50,29 +52,41 @@ def _last_text(name: str) -> Column:
     return F.max(F.when(F.col(name) != "", F.struct("ts_us", "event_id", F.col(name).alias("v")))).alias(name)
 
 
-def fragments(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def with_fields(df: DataFrame) -> DataFrame:
+    """Application fields as columns, taken from the metadata where they are not there yet."""
     for name in ("app_protocol", "tls_sni", "dns_query"):
         if name not in df.columns:
             from_meta = (F.try_variant_get("metadata", f"$.{name}", "string") if "metadata" in df.columns
                          else F.lit(None).cast("string"))
             df = df.withColumn(name, from_meta)
-    p = canonical(df).withColumn("_pane", floor_div(F.col("ts_us"), cfg.flow_sweep_us))
-    p = p.select(*KEY, "_pane", "ts_us", "event_id", "_ab", "_op", "packet_len", "tcp_flags",
+    return df
+
+
+def fragments(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    df = with_fields(df)
+    p = canonical(df).withColumn("_slice", floor_div(F.col("ts_us"), cfg.flow_slice_us))
+    p = p.select(*KEY, "_slice", "ts_us", "event_id", "_ab", "_op", "packet_len", "tcp_flags",
                  "app_protocol", "tls_sni", "dns_query")
-    w = Window.partitionBy(*KEY, "_pane").orderBy("ts_us", "event_id")
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    resets_before = F.coalesce(F.sum(F.when(F.col("_op") == SET_RST, 1).otherwise(0)).over(
-        w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    p = p.withColumn("_seg", resets_before)
-    ws = Window.partitionBy(*KEY, "_pane", "_seg").orderBy("ts_us", "event_id")
-    wd = Window.partitionBy(*KEY, "_pane", "_seg", "_ab").orderBy("ts_us", "event_id")
-    ops = ws.rowsBetween(Window.unboundedPreceding, -1)
+    # Segments end with a reset. All their values are running values of the slice, less those at the segment's start.
+    w = Window.partitionBy(*KEY, "_slice").orderBy("ts_us", "event_id")
+    running, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
     p = p.withColumns({
-        "_iat": F.col("ts_us") - F.lag("ts_us").over(ws),
-        "_n": F.row_number().over(ws),
-        "_before": F.last("_op", ignorenulls=True).over(ops),
+        "_seg": F.coalesce(one(F.col("_op") == SET_RST).over(earlier), F.lit(0)),
+        "_starts": F.coalesce(F.lag("_op").over(w) == SET_RST, F.row_number().over(w) == 1),
+        "_row": F.row_number().over(w), "_prev_us": F.lag("ts_us").over(w), "_abs": one(F.col("_ab")).over(running),
+        "_op_before": F.last("_op", ignorenulls=True).over(earlier),
     })
-    p = p.withColumn("_nd", F.row_number().over(wd))
+    p = p.withColumns({
+        "_row0": F.max(F.when(F.col("_starts"), F.col("_row") - 1)).over(running),
+        "_ab0": F.max(F.when(F.col("_starts"), F.col("_abs") - F.when(F.col("_ab"), 1).otherwise(0))).over(running),
+        "_iat": F.when(~F.col("_starts"), F.col("ts_us") - F.col("_prev_us")),
+        "_before": F.when(F.col("_op_before") != SET_RST, F.col("_op_before")),
+    })
+    forward = F.col("_abs") - F.col("_ab0")
+    p = p.withColumns({"_n": F.col("_row") - F.col("_row0")}).withColumn(
+        "_nd", F.when(F.col("_ab"), forward).otherwise(F.col("_n") - forward)).withColumn(
+        "_pane", floor_div(F.col("ts_us"), cfg.flow_sweep_us))
     order = F.struct("ts_us", "event_id")
     size = F.coalesce("packet_len", F.lit(0))
     isop = lambda *names: F.col("_op").isin(*names)
@@ -81,8 +95,8 @@ def fragments(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         return F.array_sort(F.collect_list(F.when(
             (F.col("_ab") == ab) & (F.col("_nd") <= cfg.flow_len_keep), F.struct("_nd", size.alias("v")))))
 
-    return p.groupBy(*KEY, "_pane", "_seg").agg(
-        F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"),
+    return p.groupBy(*KEY, "_slice", "_seg").agg(
+        F.min("_pane").alias("_pane"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"),
         F.min(F.struct("ts_us", "event_id", "_ab")).alias("_open"),
         F.count(F.when(F.col("_ab"), 1)).alias("ab_packets"), F.count(F.when(~F.col("_ab"), 1)).alias("ba_packets"),
         F.sum(F.when(F.col("_ab"), size).otherwise(0)).alias("ab_bytes"),
@@ -102,7 +116,7 @@ def fragments(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         F.max(F.when(isop(ACK), order)).alias("_ack_at"),
         F.collect_set(F.when((F.col("proto") == "TCP") & (F.col("tcp_flags") != ""), F.col("tcp_flags")))
         .alias("_flags"),
-        _last_text("app_protocol"), _last_text("tls_sni"), _last_text("dns_query"))
+        _last_text("app_protocol"), _last_text("tls_sni"), _last_text("dns_query")).drop("_slice", "_seg")
 
 
 def _age_starts(base: DataFrame, cfg: Config) -> DataFrame:
@@ -113,33 +127,38 @@ def _age_starts(base: DataFrame, cfg: Config) -> DataFrame:
     reach = cfg.flow_age_us // cfg.flow_sweep_us + 1
     bkey = [*KEY, "_base"]
     long_lived = base.groupBy(*bkey).agg(F.min("_pane").alias("_p0"), F.max("_pane").alias("_p1"))
-    # Sequential only over the occupied intervals of sessions that outlive the age limit.
-    panes = (base.select(*bkey, "_pane").distinct()
-             .join(long_lived.filter(F.col("_p1") - F.col("_p0") >= reach), bkey)
-             .groupBy(*bkey).agg(F.array_sort(F.collect_list("_pane")).alias("_panes")))
-    starts = F.aggregate("_panes", F.array().cast("array<bigint>"), lambda acc, pane: F.when(
-        (F.size(acc) == 0) | (pane >= F.coalesce(F.try_element_at(acc, F.lit(-1)), pane) + reach),
-        F.concat(acc, F.array(pane))).otherwise(acc))
-    spans = panes.select(*bkey, F.explode(starts).alias("_flow_pane"))
+    # Only sessions that outlive the age limit are looked at, by their occupied intervals.
+    panes = (base.join(long_lived.filter(F.col("_p1") - F.col("_p0") >= reach), bkey).select(*bkey, "_pane").distinct())
+    spans = greedy.spaced(panes, bkey, "_pane", reach).withColumnRenamed("_pane", "_flow_pane")
     marked = spans.withColumn("_pane", F.col("_flow_pane"))
     joined = base.join(marked, [*bkey, "_pane"], "left")
-    w = (Window.partitionBy(*bkey).orderBy("_pane", "_seg", "first_us")
+    w = (Window.partitionBy(*bkey).orderBy("_open")
          .rowsBetween(Window.unboundedPreceding, 0))
     first_pane = F.min("_pane").over(w)
     return joined.withColumn("_flow_pane", F.coalesce(F.last("_flow_pane", ignorenulls=True).over(w), first_pane))
 
 
-def flow_sessions(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """One row per flow session."""
-    frag = fragments(df, cfg)
-    w = Window.partitionBy(*KEY).orderBy("_pane", "_seg")
+def assigned(frag: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Add `_base` and `_flow_pane`, which with the key name the session of a fragment."""
+    w = Window.partitionBy(*KEY).orderBy("_open")
     prev_last, prev_rst = F.lag("last_us").over(w), F.lag("rst_count").over(w)
     opens = F.coalesce((F.col("first_us") - prev_last > cfg.flow_idle_us) | (prev_rst > 0), F.lit(True))
-    base = frag.withColumn("_base", F.last(F.when(opens, F.struct("_pane", "_seg")), ignorenulls=True).over(
+    base = frag.withColumn("_base", F.last(F.when(opens, F.col("_open")), ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, 0)))
-    aged = _age_starts(base, cfg)
-    fkey = [*KEY, "_base", "_flow_pane"]
-    wf = Window.partitionBy(*fkey).orderBy("_pane", "_seg")
+    return _age_starts(base, cfg)
+
+
+SESSION = [*KEY, "_base", "_flow_pane"]
+
+
+def flow_sessions(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """One row per flow session."""
+    return sessions(assigned(fragments(df, cfg), cfg), cfg)
+
+
+def sessions(aged: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Flow rows from the fragments of `assigned`."""
+    wf = Window.partitionBy(*SESSION).orderBy("_open")
     before = F.last("_last_op", ignorenulls=True).over(wf.rowsBetween(Window.unboundedPreceding, -1))
     gap = F.col("first_us") - F.lag("last_us").over(wf)
     aged = aged.withColumns({
@@ -147,17 +166,16 @@ def flow_sessions(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         "_lead": F.coalesce(gap, F.lit(0).cast("bigint")),
         "_ack_join": F.when((F.col("_first_op") == ACK) & F.coalesce(before == SET_SYNACK, F.lit(True)), 1).otherwise(0),
     })
-    order = F.struct("_pane", "_seg")
-    pieces = lambda name: F.flatten(F.transform(  # noqa: E731  (at most one fragment per interval of the age limit)
-        F.array_sort(F.collect_list(F.struct("_pane", "_seg", F.col(name).alias("x")))), lambda s: s["x"]))
+    pieces = lambda name: F.flatten(F.transform(  # noqa: E731  (at most one fragment per second of the age limit, and per reset)
+        F.array_sort(F.collect_list(F.struct("_open", F.col(name).alias("x")))), lambda s: s["x"]))
     aged = aged.withColumns({
         "_all_iats": F.concat(F.array("_lead"), F.transform("_iats", lambda x: x["v"])),
         "_ab_len": F.transform("ab_lengths", lambda x: x["v"]),
         "_ba_len": F.transform("ba_lengths", lambda x: x["v"]),
     })
-    g = aged.groupBy(*fkey).agg(
+    g = aged.groupBy(*SESSION).agg(
         F.min("first_us").alias("start_us"), F.max("last_us").alias("last_us"),
-        F.min_by(F.col("_open._ab"), order).alias("_open_ab"),
+        F.min("_open")["_ab"].alias("_open_ab"),
         *[F.sum(c).alias(c) for c in ("ab_packets", "ba_packets", "ab_bytes", "ba_bytes",
                                       "syn_count", "rst_count", "fin_count")],
         (F.sum("_acks") + F.sum("_ack_join")).cast("bigint").alias("ack_count"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapline.config import DEFAULT, Config
+from tapline.operators import greedy
 from tapline.session import materialise
 
 
@@ -35,38 +36,8 @@ def island_counts(windows: DataFrame, key: str = "src_ip", cfg: Config = DEFAULT
 
 
 def cooldown(hits: DataFrame, key: str = "src_ip", cfg: Config = DEFAULT) -> DataFrame:
-    """The hits ``(key, window_end)`` that are emitted, each silencing its key for the cool-down.
-
-    A hit that follows its predecessor by the cool-down or more is always emitted, so stretches
-    between such gaps are independent. Inside a stretch hits are first reduced to runs of adjacent
-    windows; the greedy pass walks runs, and a run emits an arithmetic sequence however long it is.
-    """
-    slide, cool = cfg.slide_us, cfg.cooldown_us
-    step = max(slide, -(-cool // slide) * slide)
-    w = Window.partitionBy(key).orderBy("window_end")
-    gap = F.col("window_end") - F.lag("window_end").over(w)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    h = hits.select(key, "window_end").withColumn("_gap", gap)
-    h = h.withColumns({
-        "_stretch": F.sum(F.when(F.coalesce(F.col("_gap") >= cool, F.lit(True)), 1).otherwise(0)).over(upto),
-        "_run": F.sum(F.when(F.coalesce(F.col("_gap") != slide, F.lit(True)), 1).otherwise(0)).over(upto),
-    })
-    runs = h.groupBy(key, "_stretch", "_run").agg(F.min("window_end").alias("s"), F.max("window_end").alias("e"))
-    per = runs.groupBy(key, "_stretch").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_runs"))
-    empty = F.array().cast("array<struct<a:bigint,b:bigint>>")
-    start = F.struct(F.lit(-(1 << 62)).cast("bigint").alias("last"), empty.alias("out"))
-
-    def visit(acc, run):
-        free = F.greatest(run["s"], acc["last"] + cool)
-        first = run["s"] + F.ceil((free - run["s"]) / F.lit(slide)).cast("bigint") * slide
-        last = first + F.floor((run["e"] - first) / F.lit(step)).cast("bigint") * step
-        return F.when(first <= run["e"], F.struct(
-            last.alias("last"),
-            F.concat(acc["out"], F.array(F.struct(first.alias("a"), last.alias("b")))).alias("out"))).otherwise(acc)
-
-    emitted = per.select(key, F.explode(F.aggregate("_runs", start, visit)["out"]).alias("_p"))
-    return emitted.select(key, F.explode(F.sequence(
-        F.col("_p.a"), F.col("_p.b"), F.lit(step).cast("bigint"))).alias("window_end"))
+    """The hits ``(key, window_end)`` that are emitted, each silencing its key for the cool-down."""
+    return greedy.spaced(hits.select(key, "window_end"), [key], "window_end", cfg.cooldown_us)
 
 
 def with_persistence(windows: DataFrame, key: str = "src_ip", cfg: Config = DEFAULT) -> DataFrame:
@@ -75,11 +46,34 @@ def with_persistence(windows: DataFrame, key: str = "src_ip", cfg: Config = DEFA
     The windows are read twice, so they are stored first (one row per window).
     """
     marked = materialise(persistent_hits(windows, key, cfg), "persistence")
-    emitted = cooldown(marked.filter("hit_run"), key, cfg).withColumn("_emit", F.lit(True))
-    return (marked.join(emitted, [key, "window_end"], "left")
+    return _with_emitted(marked, cooldown(marked.filter("hit_run"), key, cfg), key)
+
+
+def _with_emitted(marked: DataFrame, emitted: DataFrame, key: str) -> DataFrame:
+    return (marked.join(emitted.withColumn("_emit", F.lit(True)), [key, "window_end"], "left")
             .withColumn("persistent", F.coalesce("_emit", F.lit(False))).drop("_emit", "hit_run"))
 
 
+def continued(windows: DataFrame, recent: DataFrame | None, emitted: DataFrame | None, due_us: int, key: str = "src_ip",
+              cfg: Config = DEFAULT, score: str = "risk_score") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(windows with `persistent`, recent scores, newest emissions) where earlier windows left ``recent`` and ``emitted``.
+
+    A key is remembered while one of its last windows scored high, or while its cool-down reaches past ``due_us``.
+    """
+    n = max(1, cfg.persistence_windows)
+    scores = windows.select(key, "window_end", score)
+    both = scores if recent is None else scores.unionByName(recent)
+    marked = persistent_hits(both, key, cfg, score).select(key, "window_end", score, "hit_run")
+    hits = marked.join(windows.select(key, "window_end"), [key, "window_end"], "left_semi").filter("hit_run").select(key, "window_end")
+    chosen = cooldown(hits if emitted is None else hits.unionByName(emitted), key, cfg)
+    out = _with_emitted(windows.withColumn("hit_run", F.lit(True)), chosen, key)
+    newest_first = Window.partitionBy(key).orderBy(F.desc("window_end"))
+    tail = both.withColumn("_r", F.row_number().over(newest_first)).filter(F.col("_r") < n)
+    alive = tail.filter(F.col(score) >= cfg.persistence_score).select(key).distinct()
+    last = chosen.groupBy(key).agg(F.max("window_end").alias("window_end")).filter(F.col("window_end") + cfg.cooldown_us > due_us)
+    return out, tail.drop("_r").join(alive, key, "left_semi"), last
+
+
 def emission_gate(windows: DataFrame) -> DataFrame:
     """Quiet levels pass only when persistent."""
     return windows.filter(~F.col("risk_level").isin("INFO", "LOW", "MEDIUM") | F.col("persistent"))

@@ -43,6 +43,13 @@ def evidence_chain(df: DataFrame, limit: int = 100) -> DataFrame:
     return rows.orderBy(F.desc("chain_sequence")).limit(max(1, min(limit, 1000)))
 
 
+def evidence_chains(df: DataFrame, keys: list[str], limit: int = 100) -> DataFrame:
+    """The newest links of every chain, newest first; a task keeps ``limit`` links a chain before they meet."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("chain_sequence"))
+    return (df.filter("evidence_hash IS NOT NULL").withColumn("newest", F.row_number().over(w))
+            .filter(F.col("newest") <= max(1, min(limit, 1000))))
+
+
 def keep_newest(df: DataFrame, n: int, order: str = "ts_us", tie: str = "alert_id") -> DataFrame:
     """Retention: the newest n rows.
 

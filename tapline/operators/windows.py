@@ -41,7 +41,7 @@ def _ends(first_pane: Column, cfg: Config) -> Column:
 
 
 def ends_of_slot(slot: Column, cfg: Config) -> Column:
-    return _ends(floor_div(slot - 1, cfg.slide_us // cfg.slot_us) + 1, cfg)
+    return _ends(pane_of_slot(slot, cfg), cfg)
 
 
 def explode_slots(slots: DataFrame, cfg: Config, whole: bool) -> DataFrame:
@@ -117,9 +117,9 @@ def slots(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = ()
     return p.groupBy(*group_cols, "slot").agg(*aggs)
 
 
-def value_counts(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = (),
-                 fields: list[str] | None = None, whole: bool = False) -> DataFrame:
-    """Occurrences per (window, field, value); all fields share one pass and one shuffle per level."""
+def pane_counts(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = (),
+                fields: list[str] | None = None, whole: bool = False) -> DataFrame:
+    """Occurrences per (slide interval, field, value); all fields share one pass."""
     _check(cfg)
     text = {
         "flow": F.concat_ws("|", "src_ip", "dst_ip", F.coalesce(F.col("src_port").cast("string"), F.lit("-")),
@@ -141,15 +141,32 @@ def value_counts(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ..
     pane = F.lit(0).cast("bigint") if whole else floor_div(F.col("ts_us") - cfg.origin_us - 1, cfg.slide_us) + 1
     rows = (df.select(*group_cols, pane.alias("pane"), F.explode(F.array(*entries)).alias("e"))
             .select(*group_cols, "pane", "e.*").filter("value IS NOT NULL"))
-    per_pane = rows.groupBy(*group_cols, "pane", "field", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.min("seen").alias("seen"))
-    if whole:
-        return per_pane.withColumnRenamed("pane", "window_end")
+    return rows.groupBy(*group_cols, "pane", "field", "value").agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("seen"))
+
+
+def window_counts(per_pane: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Occurrences per (window, field, value) from those of its slide intervals."""
     return (per_pane.withColumn("window_end", F.explode(_ends(F.col("pane"), cfg)))
             .groupBy(*group_cols, "window_end", "field", "value").agg(
                 F.sum("n").alias("n"), F.min("seen").alias("seen")))
 
 
+def value_counts(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = (),
+                 fields: list[str] | None = None, whole: bool = False) -> DataFrame:
+    """Occurrences per (window, field, value), with one shuffle per level."""
+    per_pane = pane_counts(df, cfg, group_cols, fields, whole)
+    return per_pane.withColumnRenamed("pane", "window_end") if whole else window_counts(per_pane, cfg, group_cols)
+
+
+def last_end(pane: Column, cfg: Config) -> Column:
+    """End of the last window that holds a slide interval."""
+    return (pane + (cfg.window_us // cfg.slide_us - 1)) * cfg.slide_us + cfg.origin_us
+
+
+def pane_of_slot(slot: Column, cfg: Config) -> Column:
+    return floor_div(slot - 1, cfg.slide_us // cfg.slot_us) + 1
+
+
 def entropy_bits(n: Column, when: Column) -> Column:
     """Aggregate: Shannon entropy of counts, as log2(total) - sum(n log2 n) / total."""
     total = F.sum(F.when(when, n))

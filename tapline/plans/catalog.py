@@ -23,10 +23,13 @@ from tapline.plans import detection, training, window_alerts
 from tapline.session import materialise, scratch
 from tapline.sources import captures, labelled, sinks, tables
 from tapline.sources import events as ev_src
-from tapline.streaming import detect, run
+from tapline.sources.keyed import KeyedTable
+from tapline.streaming import alerts as stream_alerts
+from tapline.streaming import detect, publish, run
 from tapline.streaming import flows as stream_flows
 from tapline.streaming import incidents as stream_incidents
 from tapline.streaming import windows as stream_windows
+from tapline.streaming.state import State
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,6 +107,36 @@ def _pick(df: DataFrame, *cols: str) -> DataFrame:
 # --- sources ----------------------------------------------------------------------------------
 
 
+@query
+def tshark_export(spark, sf):
+    """An analyser export, one indented JSON array with nested layers, read by several tasks."""
+    t = _traffic(spark, sf)
+    status = F.when(F.col("event_id") % 40 == 0, F.lit("Bad")).otherwise(F.lit("Good"))
+    layers = F.struct(*[F.array(v.cast("string")).alias(n) for n, v in (
+        ("frame.time_epoch", (F.col("ts_us") / 1e6).cast("decimal(20,6)")), ("ip.src", F.col("src_ip")), ("ip.dst", F.col("dst_ip")),
+        ("frame.len", F.col("packet_len")), ("ip.checksum.status", status), ("tcp.payload", F.lit('a "]}{[" \\')))])
+    doc = F.to_json(F.struct(F.struct(layers.alias("layers")).alias("_source")), {"pretty": "true"})
+    path = scratch(spark, "export")
+    rows = t.select("event_id", F.concat(F.when(F.col("event_id") == 0, F.lit("[\n")).otherwise(F.lit(",\n")), doc).alias("value"))
+    end = spark.range(1).select(F.lit((1 << 62)).alias("event_id"), F.lit("]").alias("value"))
+    rows.unionByName(end).orderBy("event_id").coalesce(1).select("value").write.text(path)
+    out = captures.read_tshark_json(spark, path)
+    return out.groupBy("src_ip", "protocol", md.altered(F.col("metadata")).alias("altered")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("packet_len").alias("bytes"), F.max("ts_us").alias("last_us"))
+
+
+@query
+def dataset_checksums(spark, sf):
+    """SHA-256 of CSV files, one per nation, as the dataset contract checks them."""
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    path = scratch(spark, "checksums")
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment")
+    (c.select(F.col("c_nationkey").cast("int").alias("nation"), "c_custkey", line.alias("value")).repartition("nation")
+     .sortWithinPartitions("nation", "c_custkey").select("nation", "value").write.partitionBy("nation").text(path))
+    return labelled.checksums(spark, path).select(
+        F.regexp_extract("path", r"nation=(\d+)/", 1).cast("bigint").alias("nation"), F.col("bytes"), "sha256")
+
+
 @query
 def traffic_view(spark, sf):
     return _traffic(spark, sf).drop("metadata", "timestamp")
@@ -433,6 +466,13 @@ def rst_storm(spark, sf):
     return _pick(behaviors.rst_storms(_traffic(spark, sf)), "event_id", "ts_us", "src_ip", "dst_ip", "evidence")
 
 
+@query
+def behaviour_counts_slots(spark, sf):
+    """The same counts on two levels, as for a source too dense for a chunk."""
+    return _pick(behaviors.behaviour_counts(_traffic(spark, sf), Config(behaviour_slot_us=1_000_000), rules=("scan", "sweep", "rst")),
+                 "event_id", "port_count", "host_count", "rst_count")
+
+
 @query
 def behaviour_counts(spark, sf):
     """Trailing counts of every row, not only of those past a threshold."""
@@ -598,6 +638,22 @@ def window_empty_rows(spark, sf):
     return _pick(f, "window_end", "packets", "flow_count", "empty_window")
 
 
+@query
+def window_silences(spark, sf):
+    """All events, blocks of a thousand moved ninety seconds apart; the silences between come back as zero rows."""
+    moved = F.col("ts_us") + F.expr("event_id div 1000") * 90_000_000
+    t = _uneven(spark, sf).withColumn("ts_us", moved)
+    f = features.with_empty_windows(features.window_features(t, spectral=False))
+    return _pick(f, "window_end", "packets", "flow_count", "empty_window")
+
+
+@query
+def window_spectrum_distributed(spark, sf):
+    """Spectra of windows beyond the array bound, which is set below the size of these windows."""
+    return _pick(features.window_features(_uneven(spark, sf), Config(fft_array_limit=50)), "window_end", "dominant_frequency",
+                 "spectral_flatness", "harmonic_ratio", "spectral_centroid", "periodicity_score")
+
+
 @query
 def window_partial_tail(spark, sf):
     return _pick(_features(spark, sf, emit_partial=True), "window_end", "packets")
@@ -812,6 +868,13 @@ def evidence_chain_newest(spark, sf):
     return _pick(reporting.evidence_chain(c, 100), "chain_sequence", "alert_id", "risk_level", "previous_hash", "evidence_hash")
 
 
+@query
+def evidence_chains_newest(spark, sf):
+    """The newest links of every sensor's chain."""
+    return _pick(reporting.evidence_chains(_chained(spark, sf), ["sensor"], 10), "sensor", "newest", "chain_sequence", "alert_id", "risk_level",
+                 "previous_hash", "evidence_hash")
+
+
 @query
 def signal_rows(spark, sf):
     """Every signal of the per-event path, row by row."""
@@ -843,6 +906,47 @@ def assets_latest(spark, sf):
     return sinks.latest(t, "asset_id", "_version").drop("_version").orderBy("asset_id")
 
 
+@query
+def assets_upserted(spark, sf):
+    """Assets merged into hash buckets by four batches, one of them twice; later events win whatever the batch."""
+    t = _traffic(spark, sf).select("asset_id", "src_ip", "protocol", "event_id")
+    table = KeyedTable(spark, scratch(spark, "assets"), "asset_id", 8)
+    for version, part in ((1, 2), (2, 0), (3, 3), (3, 3), (4, 1)):
+        table.merge(t.filter(F.col("event_id") % 4 == part), version, "event_id")
+    table.vacuum()
+    return table.read().select("asset_id", "src_ip", "protocol")
+
+
+@query
+def incidents_upserted(spark, sf):
+    """Incidents stored in their first state, then updated to the final one and read back."""
+    s = materialise(detection.signals(_traffic(spark, sf), _verdicts(spark)), "signals")
+    table = KeyedTable(spark, scratch(spark, "incidents"), "incident_id", 16)
+    for version, state in ((1, "first"), (2, "final")):
+        table.merge(correlate.incidents(s, state=state), version)
+    return table.read().select("incident_id", "src_ip", "dst_ip", "category", "first_us", "last_us", "max_severity", "confidence",
+                               "event_count", F.array_join("detection_methods", "+").alias("methods"))
+
+
+@query
+def flows_stored(spark, sf):
+    """Flow summaries of windows, stored by day and read back."""
+    path = scratch(spark, "stored-flows")
+    sinks.save_flows(window_alerts.flow_summary(_assessed(spark, sf)), path, batch_id=0)
+    return sinks.read(spark, f"{path}/flows").drop("day", "batch")
+
+
+@query
+def newest_model_scores(spark, sf):
+    """Model scores stored by day; the newest hundred windows read back, one column per model."""
+    path = scratch(spark, "stored-scores")
+    sinks.save_scores(_assessed(spark, sf), path, batch_id=0)
+    stored = reporting.newest(sinks.read(spark, f"{path}/model_scores"), 100, "last_us", "window_end")
+    return stored.select("window_end", *[F.element_at(F.from_json("scores", "map<string,double>") if
+                                                      stored.schema["scores"].dataType.typeName() == "string" else F.col("scores"), m).alias(m)
+                                         for m in scoring.MODELS])
+
+
 @query
 def alerts_stored_latest(spark, sf):
     """Alerts stored in both states, read back by latest version with their JSON evidence."""
@@ -1046,6 +1150,13 @@ def calibrated_probability(spark, sf):
     return s.select("row_id", scoring.calibrated(F.col("score"), 0.97, -0.17).alias("probability"))
 
 
+@query
+def calibration_newton(spark, sf):
+    """The optimum of the calibration likelihood."""
+    w, b = models.calibrate_newton(_scored(spark, sf), raw="score")
+    return _scored(spark, sf).agg(F.count(F.lit(1)).alias("rows"), F.lit(w).alias("weight"), F.lit(b).alias("bias"))
+
+
 @query
 def calibration_steps(spark, sf):
     w, b = models.calibrate_steps(_scored(spark, sf), raw="score")
@@ -1126,6 +1237,10 @@ def stream_dedup(spark, sf):
     return run.drain(stream_windows.dedup(twice).select("ts_us", "src_ip", "dst_ip", "packet_len"), "dedup")
 
 
+def _stream_columns(t):
+    return t.drop("metadata")
+
+
 def _stream_signals(spark, sf):
     base = scratch(spark, "signals")
     writer = detect.signals_writer(
@@ -1156,6 +1271,41 @@ def stream_signals(spark, sf):
         F.count(F.lit(1)).alias("n"), F.countDistinct("src_ip").alias("sources"), F.sum("score").alias("score"))
 
 
+@query
+def stream_published(spark, sf):
+    """Two tables published per micro-batch; one batch is repeated and one never commits."""
+    path, t = scratch(spark, "published"), _stream_columns(_traffic(spark, sf))
+    views = {"volumes": lambda d: d.groupBy("protocol").agg(F.count(F.lit(1)).alias("n"), F.sum("packet_len").alias("bytes")),
+             "sources": lambda d: d.select("protocol", "src_ip").distinct()}
+
+    def failing(d):
+        raise RuntimeError("this table is not written")
+
+    for i in (0, 1, 1, 2):
+        publish.publish(t.filter(F.col("event_id") % 3 == i), i, path, views)
+    try:
+        publish.publish(t, 3, path, {**views, "failing": failing})
+    except RuntimeError:
+        pass
+    v = publish.published(spark, path, "volumes").groupBy("protocol").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    s = publish.published(spark, path, "sources").select("protocol", "src_ip").distinct().groupBy("protocol").agg(F.count(F.lit(1)).alias("sources"))
+    return v.join(s, "protocol")
+
+
+@query
+def stream_health(spark, sf):
+    """Counters of a stream's micro-batches, as the health view shows them."""
+    health = run.watch(spark, "health")
+    try:
+        arriving = tables.arriving(_stream_columns(_traffic(spark, sf)), f"{scratch(spark, 'health')}/in", 3)
+        run.drain(run.observed(arriving, "health").select("event_id"), "health-out")
+        run.settled(health)
+        return spark.createDataFrame([(health.packets, health.last_event)], "packets long, last_event timestamp").select(
+            "packets", F.unix_micros("last_event").alias("last_us"))
+    finally:
+        spark.streams.removeListener(health)
+
+
 @query
 def stream_incidents_closed(spark, sf):
     """Signals of a stream, streamed again into sessions."""
@@ -1167,9 +1317,81 @@ def stream_incidents_closed(spark, sf):
                       F.array_join("detection_methods", "+").alias("methods"), "confidence")
 
 
+def _flow_stream(spark, sf, **arrival):
+    """Flows of a stream of conversations, written per micro-batch; (folder, next batch number, schema of the packets)."""
+    base, batches = scratch(spark, "stream-flows"), []
+    t = tables.conversations_traffic(tables.events(spark, sf))
+    packets = tables.arriving(t, f"{base}/in", **arrival) if arrival else tables.conversations_traffic(tables.events_stream(spark, sf))
+
+    def sink(found, i):
+        found.write.mode("overwrite").parquet(f"{base}/out/batch={i}")
+        batches.append(i)
+
+    run.drain_writer(stream_flows.flows_writer(packets, f"{base}/state", sink), f"{base}/checkpoint")
+    return base, max(batches, default=-1) + 1, t.schema
+
+
 @query
 def stream_flows_closed(spark, sf):
-    t = tables.conversations_traffic(tables.events_stream(spark, sf))
-    return run.drain(stream_flows.flow_stream(t), "flows")
+    base, n, _ = _flow_stream(spark, sf)
+    return _pick(spark.read.parquet(*[f"{base}/out/batch={i}" for i in range(n)]), "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
+                 "start_us", "last_us", "fwd_packets", "bwd_packets", "fwd_bytes", "bwd_bytes", "tcp_state")
 
 
+@query
+def stream_flow_sessions(spark, sf):
+    """All columns of all flows, from four micro-batches with packets up to five seconds late, and the flush."""
+    base, n, schema = _flow_stream(spark, sf, late_us=5_000_000)
+    stream_flows.flush(spark, schema, f"{base}/state", n).write.mode("overwrite").parquet(f"{base}/out/batch={n}")
+    f = spark.read.parquet(*[f"{base}/out/batch={i}" for i in range(n + 1)])
+    return _pick(f, "flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "start_us", "last_us", "duration",
+                 "fwd_packets", "bwd_packets", "fwd_bytes", "bwd_bytes", "pps", "bps", "tcp_state", "flags", "syn_count", "ack_count",
+                 "rst_count", "fin_count", "app_protocol", "tls_sni", "dns_query")
+
+
+
+
+def _alert_stream(spark, sf, emit_partial=False, late=5_000_000):
+    """Window alerts of four micro-batches, rows up to five seconds out of order, and of the final flush; the folder of the state."""
+    base = scratch(spark, "stream-alerts")
+    t = _uneven(spark, sf).drop("metadata")
+    arriving = tables.arriving(t, f"{base}/in", late_us=late)
+    batches = []
+
+    def sink(found, i):
+        found.write.mode("overwrite").parquet(f"{base}/out/batch={i}")
+        batches.append(i)
+
+    run.drain_writer(stream_alerts.alerts_writer(arriving, f"{base}/state", sink, _verdicts(spark)), f"{base}/checkpoint")
+    last = max(batches, default=-1) + 1
+    tail = stream_alerts.flush(spark, t.schema, f"{base}/state", last, _verdicts(spark), emit_partial=emit_partial)
+    tail.write.mode("overwrite").parquet(f"{base}/out/batch={last}")
+    return base, last
+
+
+@query
+def stream_window_alerts(spark, sf):
+    """Alerts of a stream: features, online model, risk, persistence and cool-down carried across micro-batches."""
+    base, last = _alert_stream(spark, sf)
+    out = spark.read.parquet(*[f"{base}/out/batch={i}" for i in range(last + 1)])
+    return out.select("alert_id", "ts_us", "src_ip", "dst_ip", "protocol", "attack_category", "risk_level", "risk_score",
+                      "threat_intel.status", F.element_at("top_features", 1)["feature"].alias("top_feature"))
+
+
+@query
+def stream_window_tail(spark, sf):
+    """Windows of a stream with those that its flush closes before their time."""
+    base = scratch(spark, "stream-tail")
+    t = _uneven(spark, sf).drop("metadata")
+    found = []
+
+    def features_of(batch, i, flush=False):
+        state = State(spark, f"{base}/state", i)
+        f, _ = stream_alerts.closed_features(batch, state, flush=flush, emit_partial=flush)
+        f.select("window_end", "packets").write.mode("overwrite").parquet(f"{base}/out/batch={i}")
+        found.append(i)
+
+    writer = tables.arriving(t, f"{base}/in", late_us=5_000_000).writeStream.foreachBatch(features_of)
+    run.drain_writer(writer, f"{base}/checkpoint")
+    features_of(spark.createDataFrame([], t.schema), max(found, default=-1) + 1, flush=True)
+    return spark.read.parquet(*[f"{base}/out/batch={i}" for i in sorted(set(found))])

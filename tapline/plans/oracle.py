@@ -489,6 +489,8 @@ def _build() -> None:
     o["newest_incidents"] = _with(_INC, "SELECT incident_id, src_ip, category, last_us, event_count FROM inc ORDER BY last_us DESC, incident_id LIMIT 60")
     o["evidence_chain_newest"] = _with(_CHAIN, """SELECT cc.seq AS chain_sequence, alert_id, risk_level, previous_hash, evidence_hash
       FROM cc JOIN cn ON cn.seq = cc.seq AND cn.sensor = cc.sensor WHERE cc.sensor = 0 ORDER BY cc.seq DESC LIMIT 100""")
+    o["evidence_chains_newest"] = _with(_CHAIN, """SELECT cc.sensor, row_number() OVER (PARTITION BY cc.sensor ORDER BY cc.seq DESC) AS newest, cc.seq AS chain_sequence,
+      alert_id, risk_level, previous_hash, evidence_hash FROM cc JOIN cn ON cn.seq = cc.seq AND cn.sensor = cc.sensor QUALIFY newest <= 10""")
     o["signal_rows"] = _with(_SIGNALS, """SELECT event_id, ts_us, category, method AS detection_method, severity, src_ip, dst_ip,
       CAST(score AS DOUBLE) AS score, evidence FROM s""")
     o["direction_rows"] = _with(T, f"""SELECT event_id, CASE WHEN src_ip IN {loc} AND dst_ip IN {loc} THEN 'LOCAL' WHEN src_ip IN {loc} THEN 'OUTBOUND'
@@ -710,6 +712,36 @@ def _build() -> None:
     o["stream_window_values"] = _with([*W, _AGG, _entropy("tcp_flags", "e3", "<> ''")], f"""SELECT window_end, ports AS port_diversity, dsts AS destination_diversity,
       srcs AS source_diversity, {R('coalesce(e, 0)', 'tcp_flags_entropy')} FROM wa LEFT JOIN e3 USING (window_end) {closed}""")
     o["stream_dedup"] = _with(T, "SELECT ts_us, src_ip, dst_ip, packet_len FROM t")
+    moved = [J[0], J[1].replace("event_id * 50000", "event_id * 50000 + (event_id // 1000) * 90000000")]
+    o["window_silences"] = o["window_empty_rows"].replace(cut[1], moved[1])
+    o["window_spectrum_distributed"] = o["window_spectrum"]
+    o["behaviour_counts_slots"] = o["behaviour_counts"]
+    o["assets_upserted"] = o["assets_latest"]
+    o["incidents_upserted"] = o["incidents"]
+    o["flows_stored"] = o["flow_summary"]
+    o["newest_model_scores"] = _with(_SCORE, "SELECT window_end, " + ", ".join(R(m, m) for m in (
+        "xgboost", "lstm", "fft", "kitsune", "isolation_forest")) + " FROM sc0 ORDER BY last_us DESC, window_end LIMIT 100")
+    o["tshark_export"] = _with(T, """SELECT src_ip, 'TCP' AS protocol, event_id % 40 = 0 AS altered, count(*) AS n,
+      CAST(sum(packet_len) AS BIGINT) AS bytes, max(ts_us) AS last_us FROM t GROUP BY 1, 3""")
+    o["dataset_checksums"] = """SELECT CAST(c_nationkey AS BIGINT) AS nation, CAST(strlen(f) AS BIGINT) AS bytes, sha256(f) AS sha256 FROM (
+      SELECT c_nationkey, string_agg(concat_ws(',', c_custkey::VARCHAR, c_name, c_mktsegment) || chr(10), '' ORDER BY c_custkey) AS f FROM customer GROUP BY 1)"""
+    o["stream_published"] = _with(T, """SELECT protocol, count(*) AS n, CAST(sum(packet_len) AS BIGINT) AS bytes, count(DISTINCT src_ip) AS sources FROM t GROUP BY 1""")
+    o["stream_health"] = _with(T, "SELECT count(*) AS packets, max(ts_us) AS last_us FROM t")
+    o["calibration_newton"] = _with([_SCORED, "ct AS (SELECT score AS x, CAST(count(*) AS DOUBLE) AS n, CAST(sum(label) AS DOUBLE) AS pos FROM sd GROUP BY 1)",
+                                     "cl AS (SELECT list(x) AS xs, list(n) AS ns, list(pos) AS ps FROM ct)",
+                                     """nw AS (SELECT 0 AS i, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b UNION ALL
+      SELECT i + 1, w - (gw * hbb - gb * hwb) / (hww * hbb - hwb * hwb), b - (gb * hww - gw * hwb) / (hww * hbb - hwb * hwb) FROM (
+        SELECT i, w, b, list_sum(list_transform(k, lambda j: (ns[j] * q[j] - ps[j]) * xs[j])) AS gw, list_sum(list_transform(k, lambda j: ns[j] * q[j] - ps[j])) AS gb,
+          list_sum(list_transform(k, lambda j: ns[j] * q[j] * (1 - q[j]) * xs[j] * xs[j])) AS hww, list_sum(list_transform(k, lambda j: ns[j] * q[j] * (1 - q[j]) * xs[j])) AS hwb,
+          list_sum(list_transform(k, lambda j: ns[j] * q[j] * (1 - q[j]))) AS hbb
+        FROM (SELECT i, w, b, xs, ns, ps, generate_series(1, len(xs)) AS k, list_transform(xs, lambda x: 1 / (1 + exp(-(w * x + b)))) AS q FROM nw, cl WHERE i < 12)))"""],
+                                    "SELECT (SELECT count(*) FROM sd) AS rows, round(w, 6) AS weight, round(b, 6) AS bias FROM nw WHERE i = 12")
+    o["stream_flow_sessions"] = _with(_CONV, f"""SELECT {_FLOW_ID} AS flow_id, src_ip, dst_ip, CAST(src_port AS BIGINT) AS src_port, CAST(dst_port AS BIGINT) AS dst_port,
+      proto AS protocol, start_us, last_us, round(duration, 6) AS duration, fwd_packets, bwd_packets, fwd_bytes, bwd_bytes,
+      round(CASE WHEN duration > 0 THEN n / duration ELSE n END, 6) AS pps, round(CASE WHEN duration > 0 THEN bytes / duration ELSE bytes END, 6) AS bps,
+      tcp_state, coalesce(flags, '') AS flags, syn_count, ack_count, rst_count, fin_count, app_protocol, tls_sni, dns_query FROM flows""")
+    o["stream_window_alerts"] = o["window_alerts_report"]
+    o["stream_window_tail"] = o["window_partial_tail"]
     o["stream_signals"] = o["all_signals"]
     o["stream_incidents_closed"] = _with(_INC, f"""SELECT src_ip, dst_ip, category, first_us, last_us, event_count, {_LEVEL} AS max_severity, array_to_string(methods, '+') AS methods,
       {_FINAL_CONF}::DOUBLE AS confidence FROM inc WHERE last_us + 10000000 < (SELECT max(ts_us) - 6000000 FROM s)""")

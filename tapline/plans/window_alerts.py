@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapline.config import DEFAULT, Config
@@ -22,13 +22,16 @@ def assessed_windows(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str
     f = feature_rows if feature_rows is not None else features.window_features(df, cfg, group_cols)
     if online and means is None:
         f = materialise(f, "features")
-    kitsune = None
     if means is not None:
-        kitsune = scoring.baseline_distance(means, features.NUMERIC_FEATURES)
-    elif online:
-        d = baseline.online_distance(f, cfg, group_cols)
-        f = f.join(d, [*group_cols, "window_end"])
-        kitsune = F.col("kitsune")
+        return assessed(f, scoring.baseline_distance(means, features.NUMERIC_FEATURES), cfg, extra_scores)
+    if not online:
+        return assessed(f, None, cfg, extra_scores)
+    f = f.join(baseline.online_distance(f, cfg, group_cols), [*group_cols, "window_end"])
+    return assessed(f, F.col("kitsune"), cfg, extra_scores)
+
+
+def assessed(f: DataFrame, kitsune: Column | None, cfg: Config = DEFAULT, extra_scores=None) -> DataFrame:
+    """Scores, fusion, protocol evidence and risk over feature rows."""
     f = scoring.fuse(scoring.score(f, kitsune, extra_scores), cfg)
     return scoring.assess(features.with_protocol(f), cfg)
 
@@ -42,8 +45,12 @@ def flow_summary(assessed: DataFrame) -> DataFrame:
 
 def window_alerts(assessed: DataFrame, verdicts: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
     """Alerts for windows that pass the emission gate."""
-    w = persistence.emission_gate(persistence.with_persistence(assessed, "src_ip", cfg))
-    w = explain.explain(w)
+    return alert_rows(persistence.with_persistence(assessed, "src_ip", cfg), verdicts, cfg)
+
+
+def alert_rows(marked: DataFrame, verdicts: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
+    """Alerts for assessed windows that carry `persistent`."""
+    w = explain.explain(persistence.emission_gate(marked))
     if verdicts is not None:
         w = intel.enrich_endpoints(w, verdicts)
     else:

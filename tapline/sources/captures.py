@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tapline.functions.math import pin
 from tapline.schema import with_event_id, with_event_time
+from tapline.sources import files
 
 # The field list of a tab-separated export, in column order.
 TSHARK_FIELDS = ["frame.time_epoch", "ip.src", "ip.dst", "tcp.srcport", "tcp.dstport", "udp.srcport",
@@ -68,13 +68,10 @@ def tshark_rows(df: DataFrame, row: str = "row", source: str = "tshark") -> Data
 def read_tshark_json(spark: SparkSession, path: str) -> DataFrame:
     """An analyser JSON export: layer values that are lists count as their first element.
 
-    The reader yields the elements of the exported array one by one. Rows may nest their fields
-    under `_source.layers` or hold them directly.
+    Elements of the exported array are found at line starts, so one export is read by as many tasks as it has splits.
+    Rows may nest their fields under `_source.layers` or hold them directly.
     """
-    layers = T.StructType([T.StructField("layers", T.VariantType())])
-    flat = [*TSHARK_FIELDS, "timestamp", "protocol", *CHECKSUM_FIELDS]
-    schema = T.StructType([T.StructField("_source", layers), *[T.StructField(f, T.VariantType()) for f in flat]])
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    element = F.col("element")
 
     def first(_, x):
         # An empty list has no first element and stays a list, which no typed field accepts.
@@ -82,10 +79,12 @@ def read_tshark_json(spark: SparkSession, path: str) -> DataFrame:
         return F.coalesce(F.when(listed, F.try_variant_get(x, "$[0]", "string")),
                           F.try_variant_get(x, "$", "string"))
 
+    flat = [*TSHARK_FIELDS, "timestamp", "protocol", *CHECKSUM_FIELDS]
     direct = F.map_from_entries(F.filter(
-        F.array(*[F.struct(F.lit(f).alias("k"), F.col(f"`{f}`").alias("v")) for f in flat]),
+        F.array(*[F.struct(F.lit(f).alias("k"), F.try_variant_get(element, f"$['{f}']", "variant").alias("v")) for f in flat]),
         lambda e: e["v"].isNotNull()))
-    nested = F.try_variant_get("_source.layers", "$", "map<string,variant>")
+    nested = F.try_variant_get(element, "$._source.layers", "map<string,variant>")
+    raw = files.json_elements(spark, path)
     return tshark_rows(pin(raw, {"_m": F.coalesce(nested, direct)}).select(F.transform_values("_m", first).alias("row")))
 
 

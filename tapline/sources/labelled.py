@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapline.sources import files
+
 MIN_ROWS = 20
 
 
@@ -93,9 +95,8 @@ def read_labelled(spark: SparkSession, path: str, contract: Contract) -> tuple[D
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 per file."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """SHA-256 per file, of any size."""
+    return files.digests(spark, path)
 
 
 def verify_checksum(spark: SparkSession, path: str, expected: str) -> None:

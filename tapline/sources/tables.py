@@ -138,3 +138,20 @@ def ioc_seed(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [("203.0.113.1", "exit", None, None), ("198.51.100.4", "abuse", 72, 9), ("10.0.0.55", "exit", None, None)],
         "indicator string, kind string, abuse_score int, reports int")
+
+
+def arriving(df: DataFrame, path: str, parts: int = 4, late_us: int = 0, files: int = 4) -> DataFrame:
+    """The rows as a stream of ``parts`` micro-batches, each up to ``late_us`` out of event-time order.
+
+    The rows are written in order of arrival, a micro-batch as ``files`` files.
+    """
+    spark = df.sparkSession
+    at = F.col("ts_us") + (F.pmod(F.xxhash64("event_id"), F.lit(late_us)) if late_us else F.lit(0))
+    rows = df.withColumn("_at", at)
+    share = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    cuts = rows.agg(F.percentile_approx("_at", share, F.lit(1000)).alias("q")).first().q or []
+    edges = [-(1 << 62), *cuts, 1 << 62]
+    for low, high in zip(edges, edges[1:]):
+        part = rows.filter((F.col("_at") > low) & (F.col("_at") <= high)).drop("_at")
+        part.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)

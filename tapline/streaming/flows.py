@@ -1,66 +1,67 @@
-"""Flow sessions on a stream, with event-time timeouts.
+"""Flow sessions on a stream, with all columns of the batch.
 
-Packets of one endpoint pair reach one state, which holds counters only. A flow is emitted when a
-later packet closes it (idle gap, age sweep, reset) or when the watermark passes its idle limit.
+A packet is judged when the watermark (newest packet less the lateness) has passed it; then it becomes part of a native
+fragment, one per endpoint pair, second and reset. Fragments of open flows are the state: at most one per second of the
+age limit and reset, however many packets a pair sends. The batch operators name the session of every
+fragment. A flow is emitted when a later packet of its pair opened another one (idle gap, age sweep, reset), or when
+the watermark passes its idle limit; `flush` emits the rest. State is read by batch number, so a repeated
+batch gives the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StructType
 
-from tapline.config import DEFAULT, Config
-from tapline.operators.flows import ACK, KEY, SET_RST, SET_SYNACK, canonical
+from tapline.config import DEFAULT, SECOND, Config
+from tapline.operators import flows
+from tapline.streaming.state import State
 
-OUT = ("src_ip string, dst_ip string, src_port int, dst_port int, protocol string, start_us long, last_us long, "
-       "fwd_packets long, bwd_packets long, fwd_bytes long, bwd_bytes long, tcp_state string")
-STATE = "start long, last long, open_ab boolean, ab_p long, ba_p long, ab_b long, ba_b long, tcp string"
+LATENESS_US = 6 * SECOND
+WAITING = ["ts_us", "event_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "packet_len", "tcp_flags",
+           "app_protocol", "tls_sni", "dns_query"]
 
 
-def _closed(key: tuple, s: list) -> tuple:
-    ip_a, port_a, ip_b, port_b, proto = key
-    start, last, open_ab, ab_p, ba_p, ab_b, ba_b, tcp = s
-    if open_ab:
-        return ip_a, ip_b, port_a, port_b, proto, start, last, ab_p, ba_p, ab_b, ba_b, tcp
-    return ip_b, ip_a, port_b, port_a, proto, start, last, ba_p, ab_p, ba_b, ab_b, tcp
+def flow_batch(batch: DataFrame, path: str, batch_id: int, cfg: Config = DEFAULT, lateness_us: int = LATENESS_US,
+               flush: bool = False) -> DataFrame:
+    """Flows that end with one micro-batch; writes the state for the next."""
+    state = State(batch.sparkSession, path, batch_id)
+    clock = state.before("clock")
+    clock = clock.first() if clock is not None else None
+    rows = flows.with_fields(batch).select(*WAITING)
+    if clock is not None and clock.due is not None:
+        rows = rows.filter(F.col("ts_us") > clock.due)
+    both = state.joined("rows", rows)
+    newest = max((t for t in (both.agg(F.max("ts_us")).first()[0], clock and clock.newest) if t is not None), default=None)
+    due = None if newest is None else newest if flush else newest - lateness_us
+    if due is not None and clock is not None and clock.due is not None:
+        due = max(due, clock.due)
+    state.keep("clock", state.spark.createDataFrame([(newest, due)], "newest long, due long"))
+    limit = -(1 << 62) if due is None else due
+    state.keep("rows", both.filter(F.col("ts_us") > limit))
+    frag = state.joined("open", flows.fragments(both.filter(F.col("ts_us") <= limit), cfg))
+    aged = state.keep("fragments", flows.assigned(frag, cfg))
+    per_key = Window.partitionBy(*flows.KEY).orderBy("_from")
+    known = aged.groupBy(*flows.SESSION).agg(F.min("_open").alias("_from"), F.max("last_us").alias("_to"))
+    # timers have millisecond resolution
+    idle = F.floor((F.col("_to") + cfg.flow_idle_us) / 1000) + 1 <= F.lit(limit // 1000)
+    ended = F.lead("_from").over(per_key).isNotNull() | idle | F.lit(flush)
+    known = state.keep("sessions", known.withColumn("_ended", ended).select(*flows.SESSION, "_ended"))
+    marked = aged.join(known, flows.SESSION)
+    state.keep("open", marked.filter(~F.col("_ended")).drop("_base", "_flow_pane", "_ended"))
+    return flows.sessions(marked.filter("_ended").drop("_ended"), cfg)
 
 
-def flow_stream(df: DataFrame, cfg: Config = DEFAULT, delay: str = "6 seconds") -> DataFrame:
-    idle, sweep = cfg.flow_idle_us, cfg.flow_sweep_us
-    reach = cfg.flow_age_us // sweep + 1
+def flush(spark: SparkSession, schema: StructType, path: str, batch_id: int, cfg: Config = DEFAULT) -> DataFrame:
+    """Flows still open after the last batch; ``batch_id`` is one more than the last."""
+    return flow_batch(spark.createDataFrame([], schema), path, batch_id, cfg, flush=True)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done = []
-        cur = list(state.get) if state.exists else None
-        if state.hasTimedOut:
-            done.append(_closed(key, cur))
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values(["ts_us", "event_id"])
-            for ts, ab, size, op in zip(rows.ts_us, rows._ab, rows.size_, rows._op):
-                ts, size = int(ts), int(size)
-                if cur and (ts - cur[1] > idle or ts // sweep >= cur[0] // sweep + reach or cur[7] == SET_RST):
-                    done.append(_closed(key, cur))
-                    cur = None
-                if cur is None:
-                    cur = [ts, ts, bool(ab), 0, 0, 0, 0, "UNKNOWN"]
-                cur[1] = max(cur[1], ts)
-                cur[3 if ab else 4] += 1
-                cur[5 if ab else 6] += size
-                if op == ACK:
-                    cur[7] = "ESTABLISHED" if cur[7] in (SET_SYNACK, "UNKNOWN") else cur[7]
-                elif op:
-                    cur[7] = op
-            state.update(tuple(cur))
-            due = (cur[1] + idle) // 1000 + 1
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(done, columns=[c.split()[0] for c in OUT.split(", ")])
 
-    rows = canonical(df).select("timestamp", *KEY, "ts_us", "event_id", "_ab", "_op",
-                                F.coalesce("packet_len", F.lit(0)).alias("size_"))
-    return (rows.withWatermark("timestamp", delay).groupBy(*KEY)
-            .applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout))
+def flows_writer(df: DataFrame, path: str, sink: Callable[[DataFrame, int], None], cfg: Config = DEFAULT,
+                 lateness_us: int = LATENESS_US) -> DataStreamWriter:
+    """Flows of a stream, handed to ``sink(flows, batch_id)``."""
+    return df.writeStream.foreachBatch(lambda batch, i: sink(flow_batch(batch, path, i, cfg, lateness_us), i))

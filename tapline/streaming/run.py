@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
@@ -51,6 +53,15 @@ class Health(StreamingQueryListener):
         pass
 
 
+def settled(health: Health, seconds: float = 5.0) -> Health:
+    """Wait until the totals stand still: progress reaches listeners a moment after the query ended."""
+    end, seen = time.monotonic() + seconds, None
+    while time.monotonic() < end and (seen is None or health.packets != seen or not health.packets):
+        seen = health.packets
+        time.sleep(0.5)
+    return health
+
+
 def watch(spark: SparkSession, name: str = "stream_health") -> Health:
     listener = Health(name)
     spark.streams.addListener(listener)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import T0, traffic
+from helpers import T0, rows_of, traffic
 from tapline.config import Config
 from tapline.functions import metadata as md
 from tapline.functions import protocol as pr
@@ -59,6 +59,42 @@ def test_trailing_counts_equal_brute_force(spark, chunk):
     assert sorted(tuple(r) for r in got.select("event_id", "port_count", "host_count", "rst_count").collect()) == _brute(events)
 
 
+@pytest.mark.parametrize("slot", [250_000, 700_001, 1_000_000, 2_000_000])
+def test_two_level_counts_equal_brute_force(spark, slot):
+    """Equal times, values that stay, leave and come back, slot and horizon edges, null endpoints."""
+    rows = [{"at": (i * 7 % 11) * 0.25 + (i // 11) * 1.0, "src_ip": "10.0.0.1" if i % 9 else "10.0.0.2",
+             "dst_ip": f"10.0.1.{i * 5 % 7}", "dst_port": i * 3 % 13, "tcp_flags": "R" if i % 4 == 0 else "S"} for i in range(300)]
+    rows += [{"at": 40 + i * 2.0, "dst_ip": "10.0.1.9", "dst_port": 1, "tcp_flags": "R", "src_ip": "10.0.0.3"} for i in range(12)]
+    rows += [{"at": 70 + i * 2.000001, "dst_ip": "10.0.1.9", "dst_port": i % 2, "tcp_flags": "R", "src_ip": "10.0.0.3"} for i in range(12)]
+    rows += [{"at": 90 + i * 0.001, "dst_ip": f"10.0.2.{i % 40}", "dst_port": i % 50, "tcp_flags": "S", "src_ip": "10.0.0.4"} for i in range(300)]
+    rows.sort(key=lambda r: r["at"])
+    cfg = Config(behaviour_slot_us=slot)
+    got = behaviors.behaviour_counts(traffic(spark, rows), cfg, ("scan", "sweep", "rst"))
+    events = [{**r, "us": round(r["at"] * 1e6)} for r in rows]
+    assert sorted(tuple(r) for r in got.select("event_id", "port_count", "host_count", "rst_count").collect()) == _brute(events)
+    t = traffic(spark, [{**r, "dst_ip": None if i % 5 == 0 else r["dst_ip"], "dst_port": None if i % 7 == 0 else r["dst_port"]}
+                        for i, r in enumerate(rows)])
+    cols = ["event_id", "port_count", "host_count", "rst_count"]
+    assert rows_of(behaviors.behaviour_counts(t, cfg, ("scan", "sweep", "rst")).select(cols)) == rows_of(
+        behaviors.behaviour_counts(t, Config(), ("scan", "sweep", "rst")).select(cols))
+    assert rows_of(behaviors.behavioural_signals(t, cfg)) == rows_of(behaviors.behavioural_signals(t))
+
+
+def test_two_level_counts_split_a_hot_source(spark):
+    """Half of all rows come from one source within one chunk: no task of the row shuffle holds over a sixth of its rows."""
+    rows = [{"at": i * 0.01, "src_ip": "10.0.0.1" if i % 2 else f"10.0.0.{i % 90}", "dst_port": i % 40} for i in range(3900)]
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = behaviors.behaviour_counts(traffic(spark, rows), Config(behaviour_slot_us=1_000_000), ("scan", "sweep", "rst"))
+        per_task = got.filter("src_ip = '10.0.0.1'").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert per_task <= 1950 // 6  # forty slots over 64 tasks; chunks would leave all 1,950 to one
+
+
 def test_signature_fixtures(spark):
     t = traffic(spark, [
         {"at": 0, "tcp_flags": "FPU"}, {"at": 1, "tcp_flags": "", "packet_len": 40},

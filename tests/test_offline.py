@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import T0
-from tapline.operators import baseline, integrity, metrics, models, ordered, reporting, scoring, splits
+from tapline.config import Config
+from tapline.operators import baseline, greedy, integrity, metrics, models, ordered, persistence, reporting, scoring, splits
 from tapline.plans import training
 
 
@@ -256,3 +257,66 @@ def test_retention_by_cutoff_equals_the_merged_top(spark, monkeypatch):
     want = sorted(tuple(r) for r in reporting.keep_newest(df, 1234).collect())
     monkeypatch.setattr(reporting, "PER_TASK", 10)
     assert sorted(tuple(r) for r in reporting.keep_newest(df, 1234).select("ts_us", "alert_id").collect()) == want
+
+
+def test_newton_reaches_the_optimum(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=3000)
+    y = (rng.random(3000) < 1 / (1 + np.exp(-(2.5 * x - 1)))).astype(int)
+    rows = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "raw double, label int")
+    passes, real = [0], models.materialise
+    w, b = models.calibrate_newton(rows)
+    p = 1 / (1 + np.exp(-(w * x + b)))
+    assert abs(((p - y) * x).sum()) < 1e-6 and abs((p - y).sum()) < 1e-6
+    ml = models.calibrate_optimum(rows)
+    assert abs(w - ml[0]) < 1e-3 and abs(b - ml[1]) < 1e-3
+
+    class Counted:
+        def __init__(self, df):
+            self.df = df
+
+        def agg(self, *cols):
+            passes[0] += 1
+            return self.df.agg(*cols)
+
+    models.materialise = lambda df, name: Counted(real(df, name))
+    try:
+        models.calibrate_newton(rows)
+    finally:
+        models.materialise = real
+    assert passes[0] <= 10
+    assert models.calibrate_newton(rows.limit(0)) == (1.0, 0.0)
+    one = spark.createDataFrame([(2.0, i % 4 == 0) for i in range(40)], "raw double, label boolean").withColumn("label", F.col("label").cast("int"))
+    w, b = models.calibrate_newton(one)
+    assert abs(1 / (1 + np.exp(-(w * 2 + b))) - 0.25) < 1e-6
+
+
+def test_greedy_choices_equal_a_loop(spark):
+    rng = np.random.default_rng(6)
+    rows = sorted({(f"k{rng.integers(0, 5)}", int(t)) for t in rng.integers(0, 4000, 1500)})
+    df = spark.createDataFrame([(k if k != "k0" else None, t) for k, t in rows], "key string, at long").repartition(5)
+    for step in (1, 7, 100, 5000):
+        want, last = [], {}
+        for k, t in rows:
+            if k not in last or t - last[k] >= step:
+                last[k] = t
+                want.append((k if k != "k0" else None, t))
+        got = [tuple(r) for r in greedy.spaced(df, ["key"], "at", step).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert greedy.spaced(df.limit(0), ["key"], "at", 3).collect() == []
+
+
+def test_long_chains_in_bounded_memory(spark):
+    """A stretch of a million runs, and a session of a million intervals: one key, one hit every other window."""
+    n = 1_000_000
+    hits = spark.range(n).select(F.lit("k").alias("src_ip"), (F.col("id") * 2_000_000).alias("window_end"))
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")  # what a task holds at a time
+    try:
+        out = persistence.cooldown(hits, cfg=Config(cooldown_us=5_000_000))
+        assert [tuple(r) for r in out.agg(F.count("*"), F.max("window_end"), F.sum(F.col("window_end") % 6_000_000)).collect()] == [
+            (333_334, 1_999_998_000_000, 0)]
+        panes = spark.range(n).select(F.lit("a").alias("k"), F.col("id").alias("_pane"))
+        assert greedy.spaced(panes, ["k"], "_pane", 61).count() == -(-n // 61)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)

@@ -1,11 +1,13 @@
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from tapline.functions import metadata as md
-from tapline.sources import captures, events, labelled, sinks
+from tapline.sources import captures, events, files, labelled, sinks
+from tapline.sources.keyed import KeyedTable
 
 
 def test_jsonl(spark, tmp_path):
@@ -136,3 +138,70 @@ def test_model_registry_and_report(spark, tmp_path):
     assert json.loads(row.metrics) == {"f1": 0.2}
     sinks.write_report(spark.createDataFrame([(1,)], "n int"), str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).first().n == 1
+
+
+def test_digests_equal_the_files(spark, tmp_path):
+    cases = {"a b.csv": b"x,y\n1,2\n", "b+c.csv": b"x,y\r\n1,2", "d%20e.csv": b"\xef\xbb\xbfx\n\n\ny\n", "e.csv": b"\n",
+             "f.bin": b"\xff\xfe\x00\nq" + b"z" * 100_000 + b"\n\n", "g.csv": b"".join(b"%d,row\n" % i for i in range(20_000))}
+    for name, content in cases.items():
+        (tmp_path / name).write_bytes(content)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # several splits a file
+    try:
+        assert files.lines(spark, str(tmp_path / "g.csv")).rdd.getNumPartitions() > 3
+        got = {os.path.basename(r.path): (r.bytes, r.sha256) for r in files.digests(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in cases.items()}
+
+
+def test_json_elements_in_every_layout(spark, tmp_path):
+    docs = [{"i": i, "_source": {"layers": {"ip.src": ["10.0.0.1"], "x": '}{][\\" \\\\', "n": [[1], {"a": [None]}]}}} for i in range(400)]
+    layouts = {"pretty": json.dumps(docs, indent=2), "one": json.dumps(docs), "lines": "\n".join(map(json.dumps, docs)),
+               "rows": "[\n" + ",\n".join(map(json.dumps, docs)) + "\n]\n", "tabs": "\n\n" + json.dumps(docs, indent="\t") + "\n",
+               "single": json.dumps(docs[0], indent=1), "none": "[]",
+               "odd": '[\n{"i":\n1},{"i":2}\n,\n{"i":3,"q":[{},\n{}]}]'}
+    for name, text in layouts.items():
+        (tmp_path / name).write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = {n: sorted(json.loads(r[0])["i"] for r in files.json_elements(spark, str(tmp_path / n)).select(F.to_json("element")).collect())
+               for n in layouts}
+        assert files.lines(spark, str(tmp_path / "pretty")).rdd.getNumPartitions() > 3
+        whole = [json.loads(r[0]) for r in files.json_elements(spark, str(tmp_path / "pretty")).select(F.to_json("element")).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    every = list(range(400))
+    assert got == {"pretty": every, "one": every, "lines": every, "rows": every, "tabs": every, "single": [0], "none": [], "odd": [1, 2, 3]}
+    assert sorted(whole, key=lambda d: d["i"]) == docs
+
+
+def test_keyed_table_merges_by_bucket(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), "id", 4)
+
+    def rows(*data):
+        return spark.createDataFrame(data, "id string, v int, m map<string,int>")
+
+    def stored(version=None):
+        return sorted(((r.id, r.v) for r in table.read(version).collect()), key=str)
+
+    assert table.read() is None
+    table.merge(rows(("a", 1, {"x": 1}), ("b", 1, None), ("a", 0, None)), 1, "v")
+    table.merge(rows(("a", 5, None), ("c", 2, None), (None, 7, None)), 2, "v")
+    for _ in range(2):  # a repeated merge replaces itself, an older value does not win
+        table.merge(rows(("a", 4, None)), 3, "v")
+    assert stored() == [("a", 5), ("b", 1), ("c", 2), (None, 7)] and stored(1) == [("a", 1), ("b", 1)]
+    bad = spark.createDataFrame([("b", 9)], "id string, v int").withColumn("v", F.expr("IF(v = 9, raise_error('lost'), v)").cast("int"))
+    try:
+        table.merge(bad, 4, "v")
+        raise AssertionError("the merge must fail")
+    except Exception as e:  # noqa: BLE001
+        assert "lost" in str(e)
+    assert table.versions() == [1, 2, 3] and stored() == [("a", 5), ("b", 1), ("c", 2), (None, 7)]
+    table.merge(rows(("b", 0, None)).withColumn("more", F.lit("x")), 5)  # without an order the new row wins; columns may grow
+    assert stored()[1] == ("b", 0) and {r.more for r in table.read().collect()} == {"x", None}
+    table.vacuum()
+    assert table.versions() == [5] and stored()[1] == ("b", 0)
+    table.merge(rows(), 6)
+    assert len(stored()) == 4
