@@ -6,11 +6,11 @@ Burrows-Wheeler transforms of the text and of its reverse, sorted by four words,
 A phrase is a pair of intervals of one size. Extending it to the left takes the next words from the transform
 (new interval: C[word] + rank) and moves the reverse interval by the smaller words; to the right the roles are
 swapped. All intervals of a level are extended at once with array operations. Words are extended to the left,
-two-word phrases to the right, three-word phrases to the left.
+two-word phrases to the right, three-word phrases to the left; the reverse index is built where it is used.
 
-Counts are summed across shards level by level. A phrase reaches ``least`` only if all its parts do, so a shard
-extends just those intervals whose phrase is frequent over all shards, and reports an extension only if its other
-part is frequent too; nothing is estimated and no count below the bound decides. What a shard learns comes back by joins,
+Counts are summed across shards. A phrase reaches ``least`` only if all its parts do, so a shard indexes the words that
+are frequent over all shards, extends the two-word intervals that are, and reports a longer phrase only if all its
+two-word parts are; nothing is estimated and no count of one shard decides. What a shard learns comes back by joins,
 whose sizes Spark sees at run time.
 
 Defined results: null text is empty, a null lang is ``und`` (and joins a lang of that name); repeated rows count again;
@@ -37,7 +37,7 @@ LEAST = 30
 LONGEST = 4
 TOP = 2000
 COVER = 80
-SHARD = 8 << 20
+SHARD = 16 << 20
 #: Rows of a table that may be broadcast.
 SMALL = 1_000_000
 #: Shard sizes of text that a task holds for all languages before it closes the largest shard.
@@ -121,30 +121,31 @@ def within(low: np.ndarray, known_low: np.ndarray, known_size: np.ndarray) -> np
     return (at >= 0) & (low < known_low[at_] + known_size[at_])
 
 
-def level(fwd: np.ndarray, rev: np.ndarray, width: int, flags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(phrases as word ids, counts) with two more words than there are lists of ``flags``.
-
-    ``flags[i]`` are the positions of the phrases of i + 2 words, as this function listed them, that are frequent over all shards.
-    """
-    left, right = Index(fwd, width), Index(rev, width)
-    words = np.arange(1, width)
-    low = other = left.start[1:width]
-    size = np.diff(left.start)[1:]
-    grams = words[:, None]
-    for depth in range(2, len(flags) + 3):
-        if depth == 3:
-            parent, word, new_other, new_low, count = right.extended(other, low, size)
-            ok = within(new_other, other, size)  # its last words, read backwards
+def two_words(fwd: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Phrases of two words: (word ids, low, low in the reverse index, size)."""
+    left = Index(fwd, width)
+    begin, size = left.start[1:width], np.diff(left.start)[1:]
+    parent, word, low, other, count = left.extended(begin, begin, size)
+    return np.column_stack([word, parent + 1]), low, other, count
+
+
+def longer(fwd: np.ndarray, rev: np.ndarray, width: int, chosen: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(word ids, counts) of the phrases of three and of four words whose two-word parts are all ``chosen`` of `two_words`."""
+    chosen = np.sort(chosen)
+    grams, low, other, size = (x[chosen] for x in two_words(fwd, width))
+    out = []
+    for index, at, opposite in ((Index(rev, width), other, low), (Index(fwd, width), None, None)):
+        if at is not None:  # to the right: its last words, read backwards, must be chosen
+            parent, word, new_other, new_low, count = index.extended(at, opposite, size)
+            ok = within(new_other, other, size)
             new = np.column_stack([grams[parent], word])
-        else:
-            parent, word, new_low, new_other, count = left.extended(low, other, size)
-            ok = within(new_low, low, size)  # its first words
+        else:  # to the left: its first words must be
+            parent, word, new_low, new_other, count = index.extended(low, other, size)
+            ok = within(new_low, low, size)
             new = np.column_stack([word, grams[parent]])
         grams, low, other, size = new[ok], new_low[ok], new_other[ok], count[ok]
-        if depth - 2 < len(flags):
-            chosen = np.sort(flags[depth - 2])
-            grams, low, other, size = grams[chosen], low[chosen], other[chosen], size[chosen]
-    return grams, size
+        out.append((grams, size))
+    return out
 
 
 # --- shards as rows ------------------------------------------------------------------------------
@@ -245,41 +246,33 @@ def indexed(rows: DataFrame, known: DataFrame) -> DataFrame:
                 new[at + 1] = np.arange(1, len(at) + 1)
                 ids, shard = gapped(new[old]), batch.column("shard")[k].as_py()
                 yield _rows(PHRASES, {"shard": [shard], "ids": [packed(ids)], "words": [packed(numbers)]}, 1)
-                yield from _phrases(shard, ids, numbers, [])
+                grams, _, _, counts = two_words(transform(ids), len(numbers) + 1)
+                yield from _phrases(shard, numbers, grams, counts)
 
     return _next(rows.select("shard", "ids", "at"), _flagged(rows, known, ["lang", "gram"], "number"), run, "phrases-2")
 
 
-def extended(index: DataFrame, *lists: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """Phrases one word longer than the last of ``lists`` (rows of a level and its frequent phrases)."""
-    names = [f"found{i}" for i in range(len(lists))]
-
+def extended(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Phrases of three and four words over the frequent ones of two."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                flags = [np.asarray(batch.column(n)[k].values.field("at")) for n in names]
-                yield from _phrases(batch.column("shard")[k].as_py(), unpacked(batch.column("ids")[k].as_py()).astype(np.int64),
-                                    unpacked(batch.column("words")[k].as_py()), flags)
+                ids, numbers = unpacked(batch.column("ids")[k].as_py()).astype(np.int64), unpacked(batch.column("words")[k].as_py())
+                chosen = np.asarray(batch.column("found")[k].values.field("at"))
+                for grams, counts in longer(transform(ids), transform(ids[::-1]), len(numbers) + 1, chosen):
+                    yield from _phrases(batch.column("shard")[k].as_py(), numbers, grams, counts)
 
-    flags = None
-    for i, (name, (rows, known)) in enumerate(zip(names, lists)):
-        one = _flagged(rows, known, ["k1", "k2"][:i + 1]).withColumnRenamed("found", name)
-        flags = one if flags is None else flags.join(one, "shard")
-    return _next(index.select("shard", "ids", "words", "at"), flags, run, f"phrases-{len(lists) + 2}")
+    return _next(rows.select("shard", "ids", "words", "at"), _flagged(rows, known, ["k1"]), run, "phrases-4")
 
 
 def _next(index: DataFrame, flags: DataFrame, run, name: str) -> DataFrame:
-    # the flags of a shard are an array, so their total decides
-    flags = saved(flags, "phrase-flags", "zstd")
-    total = flags.agg(F.sum(F.size(flags.columns[1]))).first()[0] or 0
-    side = F.broadcast(flags) if total <= 4 * SMALL else flags.hint("shuffle_hash")
-    held = index.filter("at IS NULL").drop("at").join(side, "shard")
+    """Shards and what they learned meet by a shuffle at every size: both grow with the text."""
+    held = index.filter("at IS NULL").drop("at").join(flags.hint("shuffle_hash"), "shard")
     return saved(held.mapInArrow(run, from_arrow_schema(PHRASES)), name, "zstd")
 
 
-def _phrases(shard: int, ids: np.ndarray, numbers: np.ndarray, flags: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The index of a shard's text in both directions, and its phrases as word numbers."""
-    grams, counts = level(transform(ids), transform(ids[::-1]), len(numbers) + 1, flags)
+def _phrases(shard: int, numbers: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Phrases as pairs of word numbers; the fourth number is one more, so that none is zero."""
     if len(grams):
         words = [numbers.astype(np.int64)[g - 1] for g in grams.T]
         pairs = {"k1": words[0] << 32 | words[1]}
@@ -298,15 +291,13 @@ def counted(docs: DataFrame, least: int = LEAST, size: int = SHARD) -> tuple[Dat
     words = frequent_words(text, least)
     two = indexed(text, words)
     given_up(spark, text)
-    known = [frequent(two, least, "k1")]
-    given_up(spark)
-    three = extended(two, (two, known[0]))
-    known.append(frequent(three, least, "k1", "k2"))
+    pairs = frequent(two, least, "k1")
     given_up(spark)
-    four = extended(two, (two, known[0]), (three, known[1]))
-    known.append(frequent(four, least, "k1", "k2"))
-    given_up(spark, two, three, four)
-    return totals, words, known[0].withColumn("k2", F.lit(None).cast("long")).unionByName(known[1]).unionByName(known[2])
+    more = extended(two, pairs)
+    given_up(spark, two)
+    known = pairs.withColumn("k2", F.lit(None).cast("long")).unionByName(frequent(more, least, "k1", "k2"))
+    given_up(spark, more)
+    return totals, words, known
 
 
 def given_up(spark: SparkSession, *tables: DataFrame) -> None:

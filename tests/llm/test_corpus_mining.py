@@ -198,12 +198,12 @@ def test_index_extends_both_ways():
     ids = collocations.gapped(rng.integers(0, 5, 400).astype(np.int32))
     text = ids.tolist()
     fwd, rev, width = collocations.transform(ids), collocations.transform(ids[::-1]), 5
-    flags = []
-    for k in (2, 3, 4):
-        grams, counts = collocations.level(fwd, rev, width, flags)
+    grams, _, _, counts = collocations.two_words(fwd, width)
+    found = [(grams, counts), *collocations.longer(fwd, rev, width, np.arange(len(grams)))]
+    for k, (grams, counts) in zip((2, 3, 4), found):
         want = Counter(tuple(text[i:i + k]) for i in range(len(text) - k + 1) if 0 not in text[i:i + k])
-        got = dict(zip(map(tuple, grams.tolist()), counts.tolist()))
-        if k == 2:
-            assert got == want
-        flags.append(np.arange(len(grams)))
-        assert got == want and len(grams) == len(want)
+        assert dict(zip(map(tuple, grams.tolist()), counts.tolist())) == want and len(grams) == len(want)
+    some = {tuple(g) for g in found[0][0][::2].tolist()}
+    for k, (grams, counts) in zip((3, 4), collocations.longer(fwd, rev, width, np.arange(0, len(found[0][0]), 2))):
+        want = Counter(tuple(text[i:i + k]) for i in range(len(text) - k + 1) if all(tuple(text[j:j + 2]) in some for j in range(i, i + k - 1)))
+        assert dict(zip(map(tuple, grams.tolist()), counts.tolist())) == want
