@@ -228,10 +228,14 @@ def frequent(rows: DataFrame, least: int, *key: str) -> DataFrame:
     return saved(sums, "phrases")
 
 
-def _flagged(rows: DataFrame, known: DataFrame, key: list[str], *more: str) -> DataFrame:
-    """Per shard the positions (and more) that are frequent over all shards."""
-    found = rows.filter("at IS NOT NULL").select("shard", "at", *key).join(fitting(known.select(*key, *more)), key)
-    return found.groupBy("shard").agg(F.collect_list(F.struct("at", *more)).alias("found"))
+def shared_pairs(rows: DataFrame, least: int) -> DataFrame:
+    """shard, at, k1, f of the two-word phrases that reach ``least`` over all shards.
+
+    The rows of a phrase, one a shard at most, meet once: the same shuffle gives the sum and tells the shards.
+    """
+    f = F.sum("c").over(Window.partitionBy("k1"))
+    held = rows.filter("at IS NOT NULL").select("shard", "at", "k1", "c").withColumn("f", f).filter(F.col("f") >= least)
+    return saved(held.drop("c"), "phrase-pairs", "zstd")
 
 
 def indexed(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -249,10 +253,13 @@ def indexed(rows: DataFrame, known: DataFrame) -> DataFrame:
                 grams, _, _, counts = two_words(transform(ids), len(numbers) + 1)
                 yield from _phrases(shard, numbers, grams, counts)
 
-    return _next(rows.select("shard", "ids", "at"), _flagged(rows, known, ["lang", "gram"], "number"), run, "phrases-2")
+    here = rows.filter("at IS NOT NULL").select("shard", "at", "lang", "gram").join(
+        fitting(known.select("lang", "gram", "number")), ["lang", "gram"])
+    flags = here.groupBy("shard").agg(F.collect_list(F.struct("at", "number")).alias("found"))
+    return _next(rows.select("shard", "ids", "at"), flags, run, "phrases-2")
 
 
-def extended(rows: DataFrame, known: DataFrame) -> DataFrame:
+def extended(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Phrases of three and four words over the frequent ones of two."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,7 +269,8 @@ def extended(rows: DataFrame, known: DataFrame) -> DataFrame:
                 for grams, counts in longer(transform(ids), transform(ids[::-1]), len(numbers) + 1, chosen):
                     yield from _phrases(batch.column("shard")[k].as_py(), numbers, grams, counts)
 
-    return _next(rows.select("shard", "ids", "words", "at"), _flagged(rows, known, ["k1"]), run, "phrases-4")
+    flags = pairs.groupBy("shard").agg(F.collect_list(F.struct("at")).alias("found"))
+    return _next(rows.select("shard", "ids", "words", "at"), flags, run, "phrases-4")
 
 
 def _next(index: DataFrame, flags: DataFrame, run, name: str) -> DataFrame:
@@ -291,11 +299,13 @@ def counted(docs: DataFrame, least: int = LEAST, size: int = SHARD) -> tuple[Dat
     words = frequent_words(text, least)
     two = indexed(text, words)
     given_up(spark, text)
-    pairs = frequent(two, least, "k1")
+    pairs = shared_pairs(two, least)
     given_up(spark)
     more = extended(two, pairs)
     given_up(spark, two)
-    known = pairs.withColumn("k2", F.lit(None).cast("long")).unionByName(frequent(more, least, "k1", "k2"))
+    found = saved(pairs.groupBy("k1").agg(F.first("f").alias("f")), "phrases")
+    given_up(spark, pairs)
+    known = found.withColumn("k2", F.lit(None).cast("long")).unionByName(frequent(more, least, "k1", "k2"))
     given_up(spark, more)
     return totals, words, known
 
