@@ -6,6 +6,8 @@ whole history of a metric.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from tapline.functions.math import bounded
 from tapline.operators import ordered
 from tapline.operators.features import NUMERIC_FEATURES
 from tapline.schema import SIGNAL_COLUMNS
+from tapline.session import materialise
 
 # Metrics with a baseline, in reporting order.
 TRACKED = ["pps", "bps", "unique_dst_ports", "syn_ratio", "rst_ratio", "burst_ratio"]
@@ -102,11 +105,12 @@ def online_distance(features: DataFrame, cfg: Config = DEFAULT, group_cols: tupl
     return continued_distance(features, None, cfg, group_cols)[0]
 
 
-def continued_distance(features: DataFrame, before: DataFrame | None, cfg: Config = DEFAULT,
-                       group_cols: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def continued_distance(features: DataFrame, before: DataFrame | None, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = (),
+                       store: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(distances, means after the last window) of windows that follow the means ``before``.
 
     Means have one row per group with the newest `window_end`. They enter the recurrence as a window of their own that comes first.
+    ``store(rows, name)`` may write what both results read.
     """
     d = cfg.kitsune_decay
     ids = [*group_cols, "window_end"]
@@ -117,7 +121,7 @@ def continued_distance(features: DataFrame, before: DataFrame | None, cfg: Confi
     base = _ranked(rows, group_cols)
     first = F.col("obs") == 1
     m = ordered.decayed(base, group_cols, "obs", {
-        f"_m{n}": F.when(first, F.col(n)).otherwise(F.col(n) * (1.0 - d)) for n in names.values()}, d)
+        f"_m{n}": F.when(first, F.col(n)).otherwise(F.col(n) * (1.0 - d)) for n in names.values()}, d, store or materialise)
     terms, counted = [], []
     for n in names.values():
         x = F.col(n)
@@ -127,7 +131,9 @@ def continued_distance(features: DataFrame, before: DataFrame | None, cfg: Confi
         counted.append(F.when(finite, F.lit(1)).otherwise(F.lit(0)))
     n = F.aggregate(F.array(*counted), F.lit(0), lambda a, x: a + x)
     total = F.aggregate(F.array(*terms), F.lit(0.0), lambda a, x: a + x)
-    distance = m.filter(~F.col("_old")).select(*ids, bounded(F.when(n > 0, total / n).otherwise(F.lit(0.0))).alias("kitsune"))
-    last = m.groupBy(*group_cols).agg(F.max_by(F.struct("window_end", *[f"_m{n}" for n in names.values()]), "obs").alias("_l"))
-    after = last.filter("_l IS NOT NULL").select(*group_cols, "_l.window_end", *[F.col(f"_l._m{n}").alias(n) for n in names.values()])
+    distance = bounded(F.when(n > 0, total / n).otherwise(F.lit(0.0))).alias("kitsune")
+    m = m.select(*ids, "obs", "_old", distance, *[F.col(f"_m{n}").alias(n) for n in names.values()])
+    m = store(m, "distances") if store else m
+    last = m.groupBy(*group_cols).agg(F.max_by(F.struct("window_end", *names.values()), "obs").alias("_l"))
+    distance, after = m.filter(~F.col("_old")).select(*ids, "kitsune"), last.filter("_l IS NOT NULL").select(*group_cols, "_l.*")
     return distance, after

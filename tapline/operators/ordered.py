@@ -8,10 +8,13 @@ chunk. Only chunk summaries ever meet in one task.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapline.session import materialise
+
 
 def running_totals(df: DataFrame, levels: list[str], order: list, sums: dict[str, Column],
                    keys: tuple[str, ...] = ()) -> DataFrame:
@@ -61,12 +64,14 @@ def previous(df: DataFrame, chunk: str, order: str, cols: dict[str, str], keys:
         "_first", *[f"_t_{n}" for n in cols])
 
 
-def decayed(df: DataFrame, keys: tuple[str, ...], rank_col: str, values: dict[str, Column], decay: float) -> DataFrame:
+def decayed(df: DataFrame, keys: tuple[str, ...], rank_col: str, values: dict[str, Column], decay: float,
+            store: Callable[[DataFrame, str], DataFrame] = materialise) -> DataFrame:
     """Add, per name, y with y_n = decay * y_(n-1) + value_n and y_0 = 0, in rank order per key (1, 2, ... without holes).
 
     Inside a chunk of ranks y is a running sum of scaled values. Chunk ends follow the same recurrence with
     decay ** size, so they take the same scan, up to two thousand times shorter, until what a chunk inherits
-    from all but its predecessor is far below the last digit of a double. All names share the scans.
+    from all but its predecessor is far below the last digit of a double. All names share the scans. ``store(rows,
+    name)`` writes the chunk ends, so that the levels above do not repeat the scan.
     """
     if decay < 1e-30:  # what lies two steps back weighs less than 1e-60
         work = df.withColumns({**{f"_x_{n}": c for n, c in values.items()}, "_c": F.floor(F.col(rank_col) / 4096)})
@@ -81,8 +86,8 @@ def decayed(df: DataFrame, keys: tuple[str, ...], rank_col: str, values: dict[st
     inside = (Window.partitionBy(*keys, "_chunk").orderBy(rank_col).rowsBetween(Window.unboundedPreceding, 0))
     work = work.withColumns({f"_x_{n}": F.sum(F.col(f"_x_{n}") * F.col("_up")).over(inside) * F.col("_down") for n in values})
     ends = work.groupBy(*keys, "_chunk").agg(F.max_by(F.struct(*[F.col(f"_x_{n}").alias(n) for n in values]), "_i").alias("_end"))
-    ends = ends.select(*keys, F.col("_chunk").alias("_rank"), "_end")
-    carries = decayed(ends, keys, "_rank", {f"_y_{n}": F.col("_end")[n] for n in values}, decay ** size).select(
+    ends = store(ends.select(*keys, F.col("_chunk").alias("_rank"), "_end"), f"ends-{size}-{decay:.3g}")
+    carries = decayed(ends, keys, "_rank", {f"_y_{n}": F.col("_end")[n] for n in values}, decay ** size, store).select(
         *keys, (F.col("_rank") + 1).alias("_chunk"), *[f"_y_{n}" for n in values])
     out = work.join(carries, [*keys, "_chunk"], "left").withColumns({
         n: F.col(f"_x_{n}") + F.coalesce(f"_y_{n}", F.lit(0.0)) * F.col("_down") for n in values})

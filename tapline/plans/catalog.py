@@ -1321,13 +1321,14 @@ def _flow_stream(spark, sf, **arrival):
     """Flows of a stream of conversations, written per micro-batch; (folder, next batch number, schema of the packets)."""
     base, batches = scratch(spark, "stream-flows"), []
     t = tables.conversations_traffic(tables.events(spark, sf))
+    in_order = {} if arrival else {"lateness_us": 0, "grace_us": 6_000_000}
     packets = tables.arriving(t, f"{base}/in", **arrival) if arrival else tables.conversations_traffic(tables.events_stream(spark, sf))
 
     def sink(found, i):
         found.write.mode("overwrite").parquet(f"{base}/out/batch={i}")
         batches.append(i)
 
-    run.drain_writer(stream_flows.flows_writer(packets, f"{base}/state", sink), f"{base}/checkpoint")
+    run.drain_writer(stream_flows.flows_writer(packets, f"{base}/state", sink, **in_order), f"{base}/checkpoint")
     return base, max(batches, default=-1) + 1, t.schema
 
 
@@ -1352,10 +1353,10 @@ def stream_flow_sessions(spark, sf):
 
 
 def _alert_stream(spark, sf, emit_partial=False, late=5_000_000):
-    """Window alerts of four micro-batches, rows up to five seconds out of order, and of the final flush; the folder of the state."""
+    """Window alerts of three micro-batches, rows up to five seconds out of order, and of the final flush; the folder of the state."""
     base = scratch(spark, "stream-alerts")
     t = _uneven(spark, sf).drop("metadata")
-    arriving = tables.arriving(t, f"{base}/in", late_us=late)
+    arriving = tables.arriving(t, f"{base}/in", 3, late_us=late)
     batches = []
 
     def sink(found, i):
@@ -1391,7 +1392,7 @@ def stream_window_tail(spark, sf):
         f.select("window_end", "packets").write.mode("overwrite").parquet(f"{base}/out/batch={i}")
         found.append(i)
 
-    writer = tables.arriving(t, f"{base}/in", late_us=5_000_000).writeStream.foreachBatch(features_of)
+    writer = tables.arriving(t, f"{base}/in", 3, late_us=5_000_000).writeStream.foreachBatch(features_of)
     run.drain_writer(writer, f"{base}/checkpoint")
     features_of(spark.createDataFrame([], t.schema), max(found, default=-1) + 1, flush=True)
     return spark.read.parquet(*[f"{base}/out/batch={i}" for i in sorted(set(found))])

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
@@ -54,20 +54,23 @@ def closed_features(batch: DataFrame, state: State, cfg: Config = DEFAULT, laten
         [(newest, due, (clock.late if clock else 0) + behind)], "newest long, due long, late long"))
     judged = both.filter(F.col("ts_us") <= judged_to)
     state.keep("rows", both.filter(F.col("ts_us") > judged_to))
-    horizon = due if due is not None else -(1 << 62)
-    slots = state.joined("slots", windows.slots(judged, cfg, group_cols, times=True))
-    panes = state.joined("panes", windows.pane_counts(judged, cfg, group_cols))
-    times = state.joined("times", judged.select(*group_cols, "ts_us", "event_id"))
     begun = clock.due if clock is not None and clock.due is not None else -(1 << 62)
+
+    def held(name: str, new: DataFrame, alive: Column) -> DataFrame:
+        """What open windows still need of the preceding batches, with what this one adds; written before it is read twice."""
+        old = state.before(name)
+        return state.keep(name, new if old is None else old.filter(alive).unionByName(new))
+
+    slots = held("slots", windows.slots(judged, cfg, group_cols, times=True), windows.last_end(windows.pane_of_slot(F.col("slot"), cfg), cfg) > begun)
+    panes = held("panes", windows.pane_counts(judged, cfg, group_cols), windows.last_end(F.col("pane"), cfg) > begun)
+    times = held("times", judged.select(*group_cols, "ts_us", "event_id"), F.col("ts_us") > begun - cfg.window_us)
+    horizon = due if due is not None else -(1 << 62)
     ends_at = (1 << 62) if flush and emit_partial else horizon
     fresh = (F.col("window_end") > begun) & (F.col("window_end") <= ends_at)
     w = features.combine_slots(slots, cfg, group_cols, times=True).filter(fresh)
     v = features.value_features(windows.window_counts(panes, cfg, group_cols).filter(fresh), group_cols)
-    out = state.keep("features", features.feature_columns(w.join(v, [*group_cols, "window_end"]), times, cfg, group_cols))
-    state.keep("slots", slots.filter(windows.last_end(windows.pane_of_slot(F.col("slot"), cfg), cfg) > horizon))
-    state.keep("panes", panes.filter(windows.last_end(F.col("pane"), cfg) > horizon))
-    state.keep("times", times.filter(F.col("ts_us") > horizon - cfg.window_us))
-    return out, horizon
+    out = features.feature_columns(w.join(v, [*group_cols, "window_end"]), times, cfg, group_cols)
+    return state.keep("features", out), horizon
 
 
 def assessed_batch(batch: DataFrame, path: str, batch_id: int, cfg: Config = DEFAULT, lateness_us: int | None = None,
@@ -75,7 +78,7 @@ def assessed_batch(batch: DataFrame, path: str, batch_id: int, cfg: Config = DEF
     """Windows that close with one micro-batch, scored, with risk and `persistent`; writes the state for the next."""
     state = State(batch.sparkSession, path, batch_id)
     f, horizon = closed_features(batch, state, cfg, lateness_us, group_cols, flush, emit_partial)
-    distance, means = baseline.continued_distance(f, state.before("means"), cfg, group_cols)
+    distance, means = baseline.continued_distance(f, state.before("means"), cfg, group_cols, lambda df, name: state.keep(name, df))
     state.keep("means", means)
     scored = window_alerts.assessed(f.join(distance, [*group_cols, "window_end"]), F.col("kitsune"), cfg)
     scored = state.keep("assessed", scored.drop("kitsune"))

@@ -27,8 +27,11 @@ WAITING = ["ts_us", "event_id", "src_ip", "dst_ip", "src_port", "dst_port", "pro
 
 
 def flow_batch(batch: DataFrame, path: str, batch_id: int, cfg: Config = DEFAULT, lateness_us: int = LATENESS_US,
-               flush: bool = False) -> DataFrame:
-    """Flows that end with one micro-batch; writes the state for the next."""
+               flush: bool = False, grace_us: int = 0) -> DataFrame:
+    """Flows that end with one micro-batch; writes the state for the next.
+
+    ``grace_us`` keeps idle flows open for so long beyond their limit.
+    """
     state = State(batch.sparkSession, path, batch_id)
     clock = state.before("clock")
     clock = clock.first() if clock is not None else None
@@ -48,7 +51,7 @@ def flow_batch(batch: DataFrame, path: str, batch_id: int, cfg: Config = DEFAULT
     per_key = Window.partitionBy(*flows.KEY).orderBy("_from")
     known = aged.groupBy(*flows.SESSION).agg(F.min("_open").alias("_from"), F.max("last_us").alias("_to"))
     # timers have millisecond resolution
-    idle = F.floor((F.col("_to") + cfg.flow_idle_us) / 1000) + 1 <= F.lit(limit // 1000)
+    idle = F.floor((F.col("_to") + cfg.flow_idle_us) / 1000) + 1 <= F.lit((limit - grace_us) // 1000)
     ended = F.lead("_from").over(per_key).isNotNull() | idle | F.lit(flush)
     known = state.keep("sessions", known.withColumn("_ended", ended).select(*flows.SESSION, "_ended"))
     marked = aged.join(known, flows.SESSION)
@@ -62,6 +65,6 @@ def flush(spark: SparkSession, schema: StructType, path: str, batch_id: int, cfg
 
 
 def flows_writer(df: DataFrame, path: str, sink: Callable[[DataFrame, int], None], cfg: Config = DEFAULT,
-                 lateness_us: int = LATENESS_US) -> DataStreamWriter:
+                 lateness_us: int = LATENESS_US, grace_us: int = 0) -> DataStreamWriter:
     """Flows of a stream, handed to ``sink(flows, batch_id)``."""
-    return df.writeStream.foreachBatch(lambda batch, i: sink(flow_batch(batch, path, i, cfg, lateness_us), i))
+    return df.writeStream.foreachBatch(lambda batch, i: sink(flow_batch(batch, path, i, cfg, lateness_us, grace_us=grace_us), i))
