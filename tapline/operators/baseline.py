@@ -1,22 +1,23 @@
 """Moving baselines over the window series: EWMA z-scores and the online distance model.
 
-Both are linear recurrences, evaluated with chunked scans (ordered.py) rather than a fold over the
-whole history of a metric.
+The z-scores are linear recurrences, evaluated with chunked scans (ordered.py) rather than a fold over the
+whole history of a metric; the distance model passes through tasks in chunks that begin with the history that still counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapline.config import DEFAULT, Config
-from tapline.functions.math import bounded
 from tapline.operators import ordered
 from tapline.operators.features import NUMERIC_FEATURES
 from tapline.schema import SIGNAL_COLUMNS
-from tapline.session import materialise
 
 # Metrics with a baseline, in reporting order.
 TRACKED = ["pps", "bps", "unique_dst_ports", "syn_ratio", "rst_ratio", "burst_ratio"]
@@ -106,34 +107,57 @@ def online_distance(features: DataFrame, cfg: Config = DEFAULT, group_cols: tupl
 
 
 def continued_distance(features: DataFrame, before: DataFrame | None, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = (),
-                       store: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+                       store: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> tuple[DataFrame, DataFrame]:
     """(distances, means after the last window) of windows that follow the means ``before``.
 
-    Means have one row per group with the newest `window_end`. They enter the recurrence as a window of their own that comes first.
-    ``store(rows, name)`` may write what both results read.
+    Means have one row per group with the newest `window_end`; they enter as a window of their own that comes first.
+    The windows of a group (one row per slide, whatever the traffic) are cut into chunks by rank. A chunk also receives the
+    windows before it, until what lies further back weighs less than 1e-24 of a mean, and passes through a task as
+    a stream that holds one vector of means. ``store(rows, name)`` may write what both results read.
     """
     d = cfg.kitsune_decay
     ids = [*group_cols, "window_end"]
-    names = {c: f"_f{i}" for i, c in enumerate(NUMERIC_FEATURES)}
-    rows = features.select(*ids, *[F.col(f"`{c}`").cast("double").alias(n) for c, n in names.items()], F.lit(False).alias("_old"))
+    values = F.array(*[F.col(f"`{c}`").cast("double") for c in NUMERIC_FEATURES]).alias("x")
+    rows = features.select(*ids, values, F.lit(False).alias("old"))
     if before is not None:
-        rows = rows.unionByName(before.withColumn("_old", F.lit(True)))
-    base = _ranked(rows, group_cols)
-    first = F.col("obs") == 1
-    m = ordered.decayed(base, group_cols, "obs", {
-        f"_m{n}": F.when(first, F.col(n)).otherwise(F.col(n) * (1.0 - d)) for n in names.values()}, d, store or materialise)
-    terms, counted = [], []
-    for n in names.values():
-        x = F.col(n)
-        before_ = (F.col(f"_m{n}") - x * (1.0 - d)) / d  # the mean this window was compared with
-        finite = ~F.isnan(x) & (F.abs(x) != float("inf"))
-        terms.append(F.when(finite & ~first, F.abs(x - before_) / (F.abs(before_) + 1)).otherwise(F.lit(0.0)))
-        counted.append(F.when(finite, F.lit(1)).otherwise(F.lit(0)))
-    n = F.aggregate(F.array(*counted), F.lit(0), lambda a, x: a + x)
-    total = F.aggregate(F.array(*terms), F.lit(0.0), lambda a, x: a + x)
-    distance = bounded(F.when(n > 0, total / n).otherwise(F.lit(0.0))).alias("kitsune")
-    m = m.select(*ids, "obs", "_old", distance, *[F.col(f"_m{n}").alias(n) for n in names.values()])
-    m = store(m, "distances") if store else m
-    last = m.groupBy(*group_cols).agg(F.max_by(F.struct("window_end", *names.values()), "obs").alias("_l"))
-    distance, after = m.filter(~F.col("_old")).select(*ids, "kitsune"), last.filter("_l IS NOT NULL").select(*group_cols, "_l.*")
-    return distance, after
+        rows = rows.unionByName(before.withColumn("old", F.lit(True)))
+    reach = max(1, math.ceil(55 / -math.log(d))) if d > 0 else 1
+    size = max(8192, 8 * reach)
+    at = F.col("obs") - 1
+    chunk = F.floor(at / size).cast("bigint")
+    spills = at % size >= size - reach
+    base = _ranked(rows, group_cols).withColumn("chunk", F.explode(F.when(spills, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))))
+    base = base.withColumns({"own": F.col("chunk") == chunk, "kitsune": F.lit(0.0)})
+    keys = [*group_cols, "chunk"]
+    base = base.withColumn("key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, means = None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+            null = np.asarray(batch.column("x").flatten().is_null()).reshape(n, -1)
+            names, first = batch.column("key").to_pylist(), np.asarray(batch.column("obs")) == 1
+            distance, after = np.zeros(n), np.zeros_like(x)
+            for i in range(n):
+                v = np.where(null[i], 0.0, x[i])
+                if names[i] != key:
+                    key, means = names[i], v.copy()
+                else:
+                    ok = np.isfinite(v) & ~null[i]
+                    if ok.any():
+                        terms = np.abs(v[ok] - means[ok]) / (np.abs(means[ok]) + 1.0)
+                        distance[i] = min(1.0, max(0.0, np.nansum(terms) / ok.sum()))
+                    means = d * means + (1.0 - d) * v
+                if first[i]:
+                    distance[i] = 0.0
+                after[i] = means
+            out = batch.set_column(batch.schema.get_field_index("x"), "x", pa.array(list(after), pa.list_(pa.float64())))
+            yield out.set_column(out.schema.get_field_index("kitsune"), "kitsune", pa.array(distance))
+
+    scanned = base.repartition(*keys).sortWithinPartitions("key", "obs").mapInArrow(run, base.schema)
+    scanned = store(scanned.filter("own").select(*ids, "obs", "old", "kitsune", "x"), "distances")
+    newest = scanned.groupBy(*group_cols).agg(F.max_by(F.struct("window_end", "x"), "obs").alias("_l"))
+    return scanned.filter("NOT old").select(*ids, "kitsune"), newest.filter("_l IS NOT NULL").select(*group_cols, "_l.*")
