@@ -32,7 +32,7 @@ class Config:
     flow_idle_us: int = 60 * SECOND
     flow_age_us: int = 300 * SECOND
     flow_sweep_us: int = 5 * SECOND
-    flow_slice_us: int = SECOND  # packets of a pair are first reduced per slice; must divide the sweep
+    flow_slice_us: int = 5 * SECOND  # packets of a pair are reduced per slice, which divides the sweep; shorter ones spread a dense pair
     flow_iat_keep: int = 100
     flow_len_keep: int = 50
 

@@ -4,9 +4,9 @@ A flow ends after an idle gap, after a reset, or when a sweep finds it too old.
 fixed grid (every five seconds), so whether a flow is too old at a sweep depends only on the sweep
 interval in which it began; the age rule therefore needs one row per key and interval.
 
-Packets are reduced to fragments first: one per (endpoint pair, second, reset segment), in one shuffle and one
-sort, so a pair that sends a third of all packets is spread over the seconds it sends in. Sessions are then
-built from fragments, of which a key has one per second and reset, however many packets it carries. Fragments
+Packets are reduced to fragments first: one per (endpoint pair, time slice, reset segment), in one shuffle and one
+sort, so a pair that sends a third of all packets is spread over the slices it sends in. Sessions are then
+built from fragments, of which a key has one per slice and reset, however many packets it carries. Fragments
 are ordered by their first packet and may be cut anywhere, which lets a stream hand on those of open flows.
 """
 
@@ -166,7 +166,7 @@ def sessions(aged: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         "_lead": F.coalesce(gap, F.lit(0).cast("bigint")),
         "_ack_join": F.when((F.col("_first_op") == ACK) & F.coalesce(before == SET_SYNACK, F.lit(True)), 1).otherwise(0),
     })
-    pieces = lambda name: F.flatten(F.transform(  # noqa: E731  (at most one fragment per second of the age limit, and per reset)
+    pieces = lambda name: F.flatten(F.transform(  # noqa: E731  (at most one fragment per slice of the age limit, and per reset)
         F.array_sort(F.collect_list(F.struct("_open", F.col(name).alias("x")))), lambda s: s["x"]))
     aged = aged.withColumns({
         "_all_iats": F.concat(F.array("_lead"), F.transform("_iats", lambda x: x["v"])),

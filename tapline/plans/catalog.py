@@ -647,13 +647,6 @@ def window_silences(spark, sf):
     return _pick(f, "window_end", "packets", "flow_count", "empty_window")
 
 
-@query
-def window_spectrum_distributed(spark, sf):
-    """Spectra of windows beyond the array bound, which is set below the size of these windows."""
-    return _pick(features.window_features(_uneven(spark, sf), Config(fft_array_limit=50)), "window_end", "dominant_frequency",
-                 "spectral_flatness", "harmonic_ratio", "spectral_centroid", "periodicity_score")
-
-
 @query
 def window_partial_tail(spark, sf):
     return _pick(_features(spark, sf, emit_partial=True), "window_end", "packets")

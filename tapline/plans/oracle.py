@@ -714,7 +714,6 @@ def _build() -> None:
     o["stream_dedup"] = _with(T, "SELECT ts_us, src_ip, dst_ip, packet_len FROM t")
     moved = [J[0], J[1].replace("event_id * 50000", "event_id * 50000 + (event_id // 1000) * 90000000")]
     o["window_silences"] = o["window_empty_rows"].replace(cut[1], moved[1])
-    o["window_spectrum_distributed"] = o["window_spectrum"]
     o["behaviour_counts_slots"] = o["behaviour_counts"]
     o["assets_upserted"] = o["assets_latest"]
     o["incidents_upserted"] = o["incidents"]

@@ -1,7 +1,7 @@
 """Flow sessions on a stream, with all columns of the batch.
 
 A packet is judged when the watermark (newest packet less the lateness) has passed it; then it becomes part of a native
-fragment, one per endpoint pair, second and reset. Fragments of open flows are the state: at most one per second of the
+fragment, one per endpoint pair, slice and reset. Fragments of open flows are the state: at most one per slice of the
 age limit and reset, however many packets a pair sends. The batch operators name the session of every
 fragment. A flow is emitted when a later packet of its pair opened another one (idle gap, age sweep, reset), or when
 the watermark passes its idle limit; `flush` emits the rest. State is read by batch number, so a repeated

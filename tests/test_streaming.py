@@ -101,8 +101,9 @@ def test_flows_cut_at_awkward_places(spark):
     t = traffic(spark, sorted(rows, key=lambda r: r["at"])).drop("metadata")
     for parts, late in ((4, 4_000_000),):
         stream = tables.arriving(t, scratch(spark, "cuts"), parts, late, 2)
-        got = _union(_collected(spark, lambda state, sink, stream=stream: stream_flows.flows_writer(stream, state, sink),
-                                lambda state, i: stream_flows.flush(spark, t.schema, state, i), "cut-flows"))
+        cfg = Config(flow_slice_us=1_000_000)  # the batch below keeps its slices of five seconds
+        got = _union(_collected(spark, lambda state, sink, stream=stream: stream_flows.flows_writer(stream, state, sink, cfg),
+                                lambda state, i: stream_flows.flush(spark, t.schema, state, i, cfg), "cut-flows"))
         assert rows_of(got) == rows_of(flows.flow_sessions(t).select(got.columns))
 
 
