@@ -40,8 +40,9 @@ class Encoder:
     """The tokenizers library behind a cache of space-delimited pieces.
 
     The pre-tokenizer never joins a non-space with a following space, so a text whose spaces all follow
-    non-spaces is the sequence of its pieces " x"; any other text goes to the library whole. Unknown pieces are
-    encoded many at a time: no id inside a piece begins with a space, so ids that do mark where pieces start.
+    non-spaces is the sequence of its pieces " x"; any other text, and any that holds an added token's string
+    (the library takes that out before it splits), goes to the library whole. Unknown pieces are encoded many at a
+    time: no id inside a piece begins with a space, so ids that do mark where pieces start.
     """
 
     def __init__(self, path: str):
@@ -49,11 +50,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
         size = self.lib.get_vocab_size()
         self.starts = np.array([(self.lib.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.known: dict[str, bytes] = {}
-        self.uneasy = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
+        added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.uneasy = [c + " " for c in map(chr, range(0x3001)) if c.isspace()] + added
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
