@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapline.llm.common import mapped, mix64, saved, table, texts_of
+from tapline.llm.common import fitting, mapped, mix64, saved, table, texts_of
 from tapline.llm.graph import components, forest, streamed_groups
 
 WORDS = 5
@@ -39,7 +39,6 @@ PART = 512
 ALIKE = 0.5  # share of chosen tokens; sets of similarity 0.8 are some five standard deviations above it
 DENSE = 0.6
 PROBE = 256
-BROADCAST_ROWS = 1_000_000
 SLICE = 1 << 19  # bytes of text hashed together
 _RNG = np.random.default_rng(20)
 _ODD = _RNG.integers(1, 1 << 63, 1 << 12, dtype=np.uint64) | np.uint64(1)
@@ -253,11 +252,6 @@ def _slot(uid: str):
     return F.pmod(F.xxhash64(uid), F.lit(16)).cast("int")
 
 
-def fitting(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored table of a few numbers a row, broadcast if it has at most ``rows`` rows; else the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def near_duplicates(docs: DataFrame, uid: str | None = None) -> DataFrame:
     """_uid, doc_id, class_id, links, first (the document of the class that stays), n_shingles."""
     rows = described(docs, uid)

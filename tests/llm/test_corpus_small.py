@@ -123,12 +123,45 @@ def test_fingerprints_compose():
     assert not exact_dedup.same(b"a" * 70_000, b"a" * 69_999 + b"b")
 
 
+FINGERPRINTED = "_uid long, doc_id long, fp long, text_sha256 string, _like long, first boolean, norm binary"
+
+
 def test_equal_fingerprints_of_different_texts_stay_apart(spark):
+    """One fingerprint and one digest for all rows: the comparison alone can tell the two texts."""
     rows = spark.createDataFrame(
-        [(1, 10, 5, "s1", True, b"one"), (2, 11, 5, "s2", True, b"two"), (3, 12, 5, "s1", True, b"one")],
-        "_uid long, doc_id long, fp long, text_sha256 string, first boolean, norm binary")
+        [(1, 10, 5, "s", 1, True, b"one"), (2, 11, 5, "s", 2, True, b"two"), (3, 12, 5, "s", 3, True, b"one"),
+         (4, 13, 5, "s", 2, False, None), (5, 14, 6, "s", 5, True, b"two")], FINGERPRINTED)
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.grouped(rows).collect()}
-    assert got == {10: (10, 2, True), 12: (10, 2, False), 11: (11, 1, True)}
+    assert got == {10: (10, 2, True), 12: (10, 2, False), 11: (11, 2, True), 13: (11, 2, False), 14: (14, 1, True)}
+
+
+def test_hot_fingerprints_are_compared_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT", 3)
+    texts = [[b"one", b"two", b"three"][i % 3 if i % 7 else 0] for i in range(60)]
+    rows = spark.createDataFrame([(i, i, 5, "s", i, True, t) for i, t in enumerate(texts)], FINGERPRINTED)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.grouped(rows).collect()}
+    assert got == {i: (texts.index(t), texts.count(t)) for i, t in enumerate(texts)}
+
+
+def test_long_texts_are_hashed_in_chunks(spark, monkeypatch):
+    """Chunks hashed apart give the fingerprint of the whole text, and the same groups."""
+    rng = random.Random(8)
+    long = "".join(rng.choice("ab c\n") for _ in range(200_000))
+    texts = [long, long + "x", long.replace("\n", " \n"), "short", None, "y" * 65_536 * 3, "short "]
+    docs = documents(spark, texts, [(50, long, "en", "src0")])
+    plain = exact_dedup.fingerprinted(docs).select("doc_id", "fp").collect()
+    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    want = exact_dedup.grouped(exact_dedup.fingerprinted(docs)).select(columns).collect()
+    monkeypatch.setattr(exact_dedup, "LONG", 60_000)
+    apart = exact_dedup.fingerprinted(docs, tuple(docs.columns))
+    assert sorted(apart.select("doc_id", "fp").collect()) == sorted(plain)
+    assert sorted(exact_dedup.grouped(apart).select(columns).collect()) == sorted(want)
+
+
+def test_recent_texts_fall_out_by_size():
+    seen = exact_dedup.Recent(1000)
+    assert [seen.first(k, t, u) for u, (k, t) in enumerate([(1, b"a"), (1, b"a"), (1, b"b"), (2, b"c" * 900), (1, b"a")])] == [
+        0, 0, 2, 3, 4]
 
 
 # --- planes -----------------------------------------------------------------------------------
@@ -154,21 +187,40 @@ def test_encoder_equals_the_library():
     e, rng = bitplanes.Encoder(bitplanes.tokenizer_file()), random.Random(4)
     bits = ["a", "bc", "é", " ", " ", "  ", "\n", "x's", "'ll", ".", "!!", "12", "²", "日本", "<|endoftext|>", "\x1c", "I'm "]
     texts = ["".join(rng.choices(bits, k=rng.randint(0, 25))) for _ in range(3000)]
-    assert e.encode(texts) == e.whole(texts)
+    assert e.encode(texts) == library_ids(texts)
+
+
+def library_ids(texts):
+    """Ids by the library as it comes."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bitplanes.tokenizer_file())
+    return [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_encoder_special_strings_and_generations(monkeypatch):
+    monkeypatch.setattr(bitplanes, "CACHE", 40)
+    e, rng = bitplanes.Encoder(bitplanes.tokenizer_file()), random.Random(6)
+    special = ["<|endoftext|>", "a<|endoftext|>b", "a <|endoftext|> b", "<|endoftext", "<|endoftext|><|endoftext|>  x"]
+    assert e.encode(special) == library_ids(special)
+    assert 50256 in np.frombuffer(e.encode(["a <|endoftext|>"])[0], "<u4")
+    for _ in range(30):  # batches that fill the cache several times
+        texts = [" ".join(str(int(rng.expovariate(0.02))) for _ in range(12)) for _ in range(3)]
+        assert e.encode(texts) == library_ids(texts)
+        assert len(e.known) <= 40 and len(e.older) <= 40
 
 
 def test_planes_query_rows(spark):
     texts, more = awkward(5, 30)
-    texts = [t for t in texts if t is None or len(t) < 60_000]
+    texts += ["one <|endoftext|> two"]
     docs = documents(spark, texts, more)
     from tapline.llm.common import saved, shared_folder
 
     folder = shared_folder(spark, "planes")
     got = bitplanes.read(saved(bitplanes.write(docs, folder, bitplanes.tokenizer_file()), "m"), folder).collect()
-    e = bitplanes.Encoder(bitplanes.tokenizer_file())
     rows = [(i, t or "") for i, t, _ in all_rows(texts, more)]
     want = {}
-    for (i, t), ids in zip(rows, e.whole([t for _, t in rows])):
+    for (i, t), ids in zip(rows, library_ids([t for _, t in rows])):
         ids += bitplanes.END_ID.to_bytes(4, "little")
         want.setdefault(i, []).append((len(ids) // 4, zlib.crc32(ids)))
     assert {k: sorted(v) for k, v in want.items()} == {
