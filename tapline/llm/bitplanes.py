@@ -33,7 +33,8 @@ from tapline.llm.common import mapped, saved, shared_folder, table
 MAGIC = b"TPL1"
 BLOCK = 1 << 16
 END_ID = 2
-CACHE = 500_000
+CACHE = 500_000  # pieces of a generation
+READ_ROWS = 8192
 
 
 class Encoder:
@@ -42,7 +43,8 @@ class Encoder:
     The pre-tokenizer never joins a non-space with a following space, so a text whose spaces all follow
     non-spaces is the sequence of its pieces " x"; any other text, and any that holds an added token's string
     (the library takes that out before it splits), goes to the library whole. Unknown pieces are encoded many at a
-    time: no id inside a piece begins with a space, so ids that do mark where pieces start.
+    time: no id inside a piece begins with a space, so ids that do mark where pieces start. The cache has two
+    generations: when the newer one is full it becomes the older, and pieces still in use move on.
     """
 
     def __init__(self, path: str):
@@ -53,6 +55,7 @@ class Encoder:
         size = self.lib.get_vocab_size()
         self.starts = np.array([(self.lib.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.uneasy = [c + " " for c in map(chr, range(0x3001)) if c.isspace()] + added
 
@@ -87,9 +90,10 @@ class Encoder:
             need.update(pieces)
         new = [p for p in need if p not in self.known]
         if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(need)
-        self._learn(new)
+            self.known, self.older, new = {}, self.known, list(need)
+        held = {p: ids for p, ids in zip(new, map(self.older.get, new)) if ids is not None}
+        self.known.update(held)
+        self._learn([p for p in new if p not in held])
         heads = list({s[0] for s in split})
         heads = dict(zip(heads, self.whole(heads)))
         get = self.known.__getitem__
@@ -250,6 +254,11 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 out, start = ([], [], [], []), row["first"]
+
+                def emit() -> pa.RecordBatch:
+                    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out],
+                                                      names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
                 with where.open_input_file(row["path"]) as file:
                     for doc_id, n, parts in Reader(file, file.size()).documents():
                         crc = 0
@@ -258,10 +267,12 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                         for column, value in zip(out, (doc_id, start, n, crc)):
                             column.append(value)
                         start += n
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out],
-                                                 names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        if len(out[0]) >= READ_ROWS:
+                            yield emit()
+                            out = ([], [], [], [])
+                yield emit()
 
-    files = manifest.repartition(F.col("part"))
+    files = manifest.repartition(max(1, manifest.count()), F.col("part"))  # as many tasks as files, not coalesced
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
