@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -81,27 +82,40 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes | None] = [None] * len(texts)
         odd = [i for i, t in enumerate(texts) if any(map(t.__contains__, self.uneasy))]
         easy = sorted(set(range(len(texts))) - set(odd))
-        split = [texts[i].split(" ") for i in easy]
-        need: set[str] = set()
-        for pieces in split:
-            need.update(pieces)
-        new = [p for p in need if p not in self.known]
+        out = dict(zip(odd, self.whole([texts[i] for i in odd])))
+        out.update(zip(easy, self._pieced([texts[i] for i in easy])))
+        return [out[i] for i in range(len(texts))]
+
+    def _pieced(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of texts cut at spaces: every distinct piece is looked up once, its ids are gathered by position."""
+        if not texts:
+            return
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        pieces, edges = coded.dictionary.to_pylist(), split.offsets.to_numpy()
+        at = coded.indices.to_numpy().astype(np.int64)
+        names, head = np.unique(at[edges[:-1]], return_inverse=True)  # first pieces follow no space
+        at[edges[:-1]] = len(pieces) + head
+        self._know(pieces)
+        raw = list(map(self.known.__getitem__, pieces)) + self.whole([pieces[i] for i in names])
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        begins, n = np.cumsum(sizes) - sizes, sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(raw), "<u4")[np.arange(ends[-1]) + np.repeat(begins[at] - ends[:-1], n)]
+        bounds = ends[edges]
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            yield ids[a:b].tobytes()
+
+    def _know(self, pieces: list[str]) -> None:
+        """Put all the pieces into the newer generation."""
+        new = [p for p in pieces if p not in self.known]
         if len(self.known) + len(new) > CACHE:
-            self.known, self.older, new = {}, self.known, list(need)
+            self.known, self.older, new = {}, self.known, pieces
         held = {p: ids for p, ids in zip(new, map(self.older.get, new)) if ids is not None}
         self.known.update(held)
         self._learn([p for p in new if p not in held])
-        heads = list({s[0] for s in split})
-        heads = dict(zip(heads, self.whole(heads)))
-        get = self.known.__getitem__
-        for i, pieces in zip(easy, split):
-            out[i] = heads[pieces[0]] + b"".join(map(get, pieces[1:]))
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
-            out[i] = ids
-        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
