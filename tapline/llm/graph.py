@@ -12,14 +12,19 @@ from pyspark.sql.types import StructType
 
 from tapline.llm.common import saved
 
+SALTS = 64
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Every node hands its smallest neighbour to its larger (or, small star, its smaller) neighbours."""
     both = edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
     if large:
         both = both.union(edges.select("v", "u"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    out = both.join(least, "a")
+    # edges of a node meet in SALTS parts, so that the root of a large family is the work of many tasks
+    both = both.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    parts = both.groupBy("a", "_salt").agg(F.min("b").alias("m"))
+    least = parts.groupBy("a").agg(F.min("m").alias("m")).withColumn("m", F.least("a", "m"))
+    out = both.join(parts.select("a", "_salt").join(least, "a"), ["a", "_salt"])
     if large:
         out = out.filter("b > a").select(F.col("b").alias("u"), F.col("m").alias("v"))
     else:
