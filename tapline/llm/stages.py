@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapline.llm import chosen_path, exact_dedup, mixing, sentencepieces, toxicity
-from tapline.llm.common import prepare, saved, table
+from tapline.llm.common import fitting, prepare, saved, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,19 +29,27 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return exact_dedup.grouped(rows).filter("kept").select("_carry.*")
 
 
+def _stamped(docs: DataFrame, purpose: str) -> DataFrame:
+    """Rows as one struct column doc with a stored number _at."""
+    return saved(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("_at")), purpose, "zstd")
+
+
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of every near-duplicate class."""
     prepare(spark)
-    names = docs.columns
-    stamped = saved(docs.select(F.struct(*names).alias("doc"), F.monotonically_increasing_id().alias("_at")), "near-docs", "zstd")
+    stamped = _stamped(docs, "near-docs")
     classes = chosen_path.near_duplicates(stamped.select("_at", "doc.doc_id", "doc.text"), uid="_at")
     dropped = saved(classes.filter(~F.col("first")).select(F.col("_uid").alias("_at")), "near-dropped")
-    return stamped.join(chosen_path.fitting(dropped), "_at", "left_anti").select("doc.*")
+    return stamped.join(fitting(dropped), "_at", "left_anti").select("doc.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix; a document appears once per epoch that takes it."""
-    return mixing.repeated(mixing.mix(mixing.sized(docs, carry=tuple(docs.columns))))
+    prepare(spark)
+    stamped = _stamped(docs, "mix-docs")
+    thin = stamped.select("doc.doc_id", "doc.source", "doc.text", "_at")
+    taken = saved(mixing.repeated(mixing.mix(mixing.sized(thin, carry=("_at",)))), "mix-taken")
+    return stamped.join(fitting(taken), "_at").select("doc.*")
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
