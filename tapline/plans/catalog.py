@@ -177,7 +177,7 @@ def tshark_fields(spark, sf):
     out = captures.tshark_lines(t.select(line.alias("value")))
     return out.groupBy("src_ip", "protocol", "data_source").agg(
         F.count(F.lit(1)).alias("n"), F.sum("packet_len").alias("bytes"), F.sum("dst_port").alias("ports"),
-        F.count("ip_id").alias("ids"), F.sum("ts_us").cast("string").alias("times"))
+        F.count("ip_id").alias("ids"), F.sum(F.col("ts_us").cast("decimal(38,0)")).cast("string").alias("times"))  # past 64 bits
 
 
 @query

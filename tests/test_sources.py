@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapline.functions import metadata as md
-from tapline.sources import captures, events, files, labelled, sinks
+from tapline.plans import catalog
+from tapline.sources import captures, events, files, labelled, sinks, tables
 from tapline.sources.keyed import KeyedTable
 
 
@@ -205,3 +206,14 @@ def test_keyed_table_merges_by_bucket(spark, tmp_path):
     assert table.versions() == [5] and stored()[1] == ("b", 0)
     table.merge(rows(), 6)
     assert len(stored()) == 4
+
+
+def test_tshark_fields_sum_past_64_bits(spark, tmp_path):
+    """One source with more lines than a 64-bit sum of microseconds holds."""
+    rows = spark.range(8000).select(F.expr("id div 399 * 2000 + id % 399 + 1").alias("event_id"), F.lit(0).cast("bigint").alias("user_id"),
+                                    F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 2}').alias("props"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.QUERIES["tshark_fields"](spark, str(tmp_path)).collect()
+    ids = [i // 399 * 2000 + i % 399 + 1 for i in range(8000)]
+    want = sum(tables.BASE_US + i * tables.STEP_US for i in ids if i % 20)
+    assert want > 1 << 63 and [(r.src_ip, r.times) for r in got] == [("10.0.0.1", str(want))]
