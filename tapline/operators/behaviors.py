@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tapline.config import DEFAULT, Config
 from tapline.functions.math import floor_div
 from tapline.schema import SIGNAL_COLUMNS, port
+from tapline.session import tasks_for
 
 RULES = ("scan", "sweep", "beacon", "rst")
 METHOD = "Behavioral Detection"
@@ -90,12 +91,13 @@ def slot_counts(df: DataFrame, cfg: Config, rules) -> DataFrame:
     if slot_us > min({"scan": cfg.port_scan_us, "sweep": cfg.host_sweep_us, "rst": cfg.rst_storm_us}[r] for r in rules):
         raise ValueError("a slot must not be longer than a horizon")
     base = _base(df).withColumn("_slot", floor_div(F.col("ts_us"), slot_us))
+    n = tasks_for(df)
     parts, counts = [base.withColumns({"at": F.col("ts_us"), "eid": F.col("event_id"), "is_row": F.lit(1)})], {}
     if "scan" in rules or "sweep" in rules:
         value = ["src_ip", "dst_ip", "_dport"]
         spans = base.groupBy(*value, "_slot").agg(F.min(F.struct("ts_us", "event_id")).alias("first"), F.max("ts_us").alias("last"))
         in_time = Window.partitionBy(*value).orderBy("_slot")
-        spans = spans.withColumns({"_prev": F.lag("last").over(in_time), "_next": F.lead("first.ts_us").over(in_time)})
+        spans = spans.repartition(n, *value).withColumns({"_prev": F.lag("last").over(in_time), "_next": F.lead("first.ts_us").over(in_time)})
         if "scan" in rules:
             parts.append(_value_changes(spans, "dst_ip", cfg.port_scan_us, slot_us, "d_scan"))
             counts["port_count"] = ("d_scan", "dst_ip")
@@ -117,7 +119,7 @@ def slot_counts(df: DataFrame, cfg: Config, rules) -> DataFrame:
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p, allowMissingColumns=True)
-    rows = rows.repartition("src_ip", "_slot")
+    rows = rows.repartition(4 * n, "src_ip", "_slot")  # a row may bring changes to three counts
 
     def running(delta: str, key: str | None) -> Column:
         w = Window.partitionBy("src_ip", "_slot", *([key] if key else [])).orderBy("at", "eid", "is_row")
@@ -132,7 +134,7 @@ def behaviour_counts(df: DataFrame, cfg: Config = DEFAULT, rules=RULES) -> DataF
     """Every traffic row with the trailing counts the requested rules compare to thresholds."""
     if cfg.behaviour_slot_us and "beacon" not in rules:
         return slot_counts(df, cfg, rules)
-    rows = chunked(_base(df), _horizon(cfg, rules), cfg.chunk_us).repartition("src_ip", "_chunk")
+    rows = chunked(_base(df), _horizon(cfg, rules), cfg.chunk_us).repartition(tasks_for(df), "src_ip", "_chunk")
 
     pair_port = Window.partitionBy("src_ip", "_chunk", "dst_ip", "_dport").orderBy("ts_us", "event_id")
     prev_us, next_us = F.lag("ts_us").over(pair_port), F.lead("ts_us").over(pair_port)

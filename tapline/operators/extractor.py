@@ -9,6 +9,7 @@ from tapline.config import DEFAULT, Config
 from tapline.operators import windows
 from tapline.operators.features import combine_slots, iat_columns
 from tapline.operators.spectral import histogram_peak
+from tapline.session import tasks_for
 
 COLUMNS = [
     "packets", "bytes", "duration", "pps", "bps", "unique_src_ips", "unique_dst_ips", "unique_dst_ports",
@@ -67,8 +68,9 @@ def extract(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...] =
             emit_partial: bool = False, presented: bool = False) -> DataFrame:
     """One row per window. ``presented`` rounds as the published schema does (2 to 4 places)."""
     keys = [*group_cols, "window_end"]
-    w = combine_slots(windows.slots(df, cfg, group_cols), cfg, group_cols, whole)
-    counts = windows.value_counts(df, cfg, group_cols, ["src", "dst", "dport"], whole)
+    tasks = tasks_for(df)
+    w = combine_slots(windows.slots(df, cfg, group_cols, tasks=tasks), cfg, group_cols, whole, tasks=tasks)
+    counts = windows.value_counts(df, cfg, group_cols, ["src", "dst", "dport"], whole, tasks)
     is_ = lambda f: F.col("field") == f
     v = counts.groupBy(*keys).agg(
         F.count_if(is_("src")).alias("unique_src_ips"), F.count_if(is_("dst")).alias("unique_dst_ips"),

@@ -10,6 +10,7 @@ from tapline.functions.math import floor_div, merge_moments, pin
 from tapline.functions.protocol import modbus
 from tapline.operators import bigfft, windows
 from tapline.operators.spectral import SPECTRAL, spectral_of_times
+from tapline.session import tasks_for
 
 # Addresses with a presence column in the model schema.
 MODEL_SRC_IPS = ["192.168.1.2", "192.168.1.3"]
@@ -57,12 +58,16 @@ def merged_iats(cfg: Config) -> Column:
 
 
 def combine_slots(slots: DataFrame, cfg: Config, group_cols: tuple[str, ...] = (), whole: bool = False,
-                  times: bool = False) -> DataFrame:
-    """Slot rows to window rows. A sliding window gathers at most window/slot slot rows."""
+                  times: bool = False, tasks: int | None = None) -> DataFrame:
+    """Slot rows to window rows. A sliding window gathers at most window/slot slot rows; ``tasks`` share the slots."""
     parts = ["slot", "first_us", "last_us", "len_m", "iat_m"] + (["times"] if times else [])
-    rows = windows.explode_slots(slots, cfg, whole)
+    chunk = ["_chunk"] if tasks and not whole else []
+    if chunk:
+        rows = windows.dealt(slots, windows.pane_of_slot(F.col("slot"), cfg), cfg, [*group_cols], tasks)
+    else:
+        rows = windows.explode_slots(slots, cfg, whole)
     either = lambda c: F.max(c).alias(c)
-    out = rows.groupBy(*group_cols, "window_end").agg(
+    out = rows.groupBy(*group_cols, *chunk, "window_end").agg(
         *[F.sum(c).alias(c) for c in ("n", "bytes", "ttl_n", "ttl_sum", "tcp_n", "udp_n", "icmp_n", "syn_n",
                                       "rst_n", "altered_n", "spoofed_n")],
         F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"),
@@ -78,7 +83,7 @@ def combine_slots(slots: DataFrame, cfg: Config, group_cols: tuple[str, ...] = (
     if times:
         whole_array = ~F.exists("_slots", lambda x: x["times"].isNull())
         out = out.withColumn("times", F.when(whole_array, F.flatten(F.transform("_slots", lambda x: x["times"]))))
-    return out.drop("_slots")
+    return out.drop("_slots", *chunk)
 
 
 def iat_columns(cfg: Config) -> dict[str, Column]:
@@ -125,8 +130,9 @@ def window_features(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str,
 
     ``df`` is traffic with the `altered` and `spoofed` booleans (absent means false).
     """
-    w = combine_slots(windows.slots(df, cfg, group_cols, times=spectral), cfg, group_cols, whole, times=spectral)
-    v = value_features(windows.value_counts(df, cfg, group_cols, whole=whole), group_cols)
+    n = tasks_for(df)
+    w = combine_slots(windows.slots(df, cfg, group_cols, times=spectral, tasks=n), cfg, group_cols, whole, times=spectral, tasks=n)
+    v = value_features(windows.value_counts(df, cfg, group_cols, whole=whole, tasks=n), group_cols)
     f = w.join(v, [*group_cols, "window_end"])
     if not whole:
         f = windows.complete_only(f, df, emit_partial)

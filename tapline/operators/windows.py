@@ -61,8 +61,9 @@ def slot_capacity(cfg: Config) -> int:
     return max(1, cfg.fft_array_limit // (cfg.window_us // cfg.slot_us))
 
 
-def slots(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = (), times: bool = False) -> DataFrame:
-    """One row per occupied slot with everything windows can combine."""
+def slots(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = (), times: bool = False,
+          tasks: int | None = None) -> DataFrame:
+    """One row per occupied slot with everything windows can combine; ``tasks`` sets how many share the events."""
     _check(cfg)
     have = set(df.columns)
     false = F.lit(False)
@@ -77,6 +78,8 @@ def slots(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = ()
         F.when((port("src_port") == 502) | (port("dst_port") == 502), F.nullif("payload_hex", F.lit("")))
         .alias("modbus_hex"),
         slot_of(cfg).alias("slot"))
+    if tasks:
+        p = p.repartition(tasks, *group_cols, "slot")
     w = Window.partitionBy(*group_cols, "slot").orderBy("ts_us", "event_id")
     prev = F.lag("ts_us").over(w)
     if cfg.iat_mode == "double":
@@ -118,8 +121,11 @@ def slots(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = ()
 
 
 def pane_counts(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = (),
-                fields: list[str] | None = None, whole: bool = False) -> DataFrame:
-    """Occurrences per (slide interval, field, value); all fields share one pass."""
+                fields: list[str] | None = None, whole: bool = False, tasks: int | None = None) -> DataFrame:
+    """Occurrences per (slide interval, field, value); all fields share one pass.
+
+    With ``tasks`` the events are dealt out by slot, counted there, and the counts of slots dealt out by value.
+    """
     _check(cfg)
     text = {
         "flow": F.concat_ws("|", "src_ip", "dst_ip", F.coalesce(F.col("src_port").cast("string"), F.lit("-")),
@@ -139,23 +145,53 @@ def pane_counts(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...
                         (seen_at if name == "proto" else F.lit(None)).cast("decimal(38,0)").alias("seen"))
                for name in fields or FIELDS]
     pane = F.lit(0).cast("bigint") if whole else floor_div(F.col("ts_us") - cfg.origin_us - 1, cfg.slide_us) + 1
-    rows = (df.select(*group_cols, pane.alias("pane"), F.explode(F.array(*entries)).alias("e"))
-            .select(*group_cols, "pane", "e.*").filter("value IS NOT NULL"))
-    return rows.groupBy(*group_cols, "pane", "field", "value").agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("seen"))
-
-
-def window_counts(per_pane: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = ()) -> DataFrame:
+    keys = [*group_cols, "pane", "field", "value"]
+    counted = [F.count(F.lit(1)).alias("n"), F.min("seen").alias("seen")]
+    if not tasks or whole:
+        rows = df.select(*group_cols, pane.alias("pane"), F.explode(F.array(*entries)).alias("e"))
+        return rows.select(*group_cols, "pane", "e.*").filter("value IS NOT NULL").groupBy(*keys).agg(*counted)
+    rows = (df.withColumn("_slot", slot_of(cfg)).repartition(tasks, *group_cols, "_slot")
+            .select(*group_cols, "_slot", pane.alias("pane"), F.explode(F.array(*entries)).alias("e"))
+            .select(*group_cols, "_slot", "pane", "e.*").filter("value IS NOT NULL"))
+    by_slot = rows.groupBy("_slot", *keys).agg(*counted).drop("_slot")
+    return by_slot.repartition(tasks, *keys).groupBy(*keys).agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
+
+
+def dealt(rows: DataFrame, first_pane: Column, cfg: Config, keys: list[str], tasks: int) -> DataFrame:
+    """Every row for each window of its slide interval, as `window_end`, in ``tasks`` tasks by ``keys`` and `_chunk`.
+
+    A task gets the rows of a chunk of twice as many windows as an interval belongs to, so a row is sent once or twice and
+    multiplied where it is used.
+    """
+    span = cfg.window_us // cfg.slide_us
+    size, last = 2 * span, F.col("_first") + (span - 1)
+    ends = F.sequence(F.greatest(F.col("_first"), F.col("_chunk") * size), F.least(last, F.col("_chunk") * size + (size - 1)))
+    return (rows.withColumn("_first", first_pane)
+            .withColumn("_chunk", F.explode(F.sequence(floor_div(F.col("_first"), size), floor_div(last, size))))
+            .repartition(tasks, *keys, "_chunk")
+            .withColumn("window_end", F.explode(F.transform(ends, lambda k: k * cfg.slide_us + cfg.origin_us))).drop("_first"))
+
+
+#: Parts over which the values of a window are counted.
+VALUE_PARTS = 8
+
+
+def window_counts(per_pane: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = (), tasks: int | None = None) -> DataFrame:
     """Occurrences per (window, field, value) from those of its slide intervals."""
-    return (per_pane.withColumn("window_end", F.explode(_ends(F.col("pane"), cfg)))
-            .groupBy(*group_cols, "window_end", "field", "value").agg(
-                F.sum("n").alias("n"), F.min("seen").alias("seen")))
+    sums = [F.sum("n").alias("n"), F.min("seen").alias("seen")]
+    if not tasks:
+        return (per_pane.withColumn("window_end", F.explode(_ends(F.col("pane"), cfg)))
+                .groupBy(*group_cols, "window_end", "field", "value").agg(*sums))
+    part = F.pmod(F.xxhash64("field", "value"), F.lit(VALUE_PARTS))
+    rows = dealt(per_pane.withColumn("_part", part), F.col("pane"), cfg, [*group_cols, "_part"], tasks)
+    return rows.groupBy(*group_cols, "_part", "_chunk", "window_end", "field", "value").agg(*sums).drop("_part", "_chunk")
 
 
 def value_counts(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = (),
-                 fields: list[str] | None = None, whole: bool = False) -> DataFrame:
-    """Occurrences per (window, field, value), with one shuffle per level."""
-    per_pane = pane_counts(df, cfg, group_cols, fields, whole)
-    return per_pane.withColumnRenamed("pane", "window_end") if whole else window_counts(per_pane, cfg, group_cols)
+                 fields: list[str] | None = None, whole: bool = False, tasks: int | None = None) -> DataFrame:
+    """Occurrences per (window, field, value)."""
+    per_pane = pane_counts(df, cfg, group_cols, fields, whole, tasks)
+    return per_pane.withColumnRenamed("pane", "window_end") if whole else window_counts(per_pane, cfg, group_cols, tasks)
 
 
 def last_end(pane: Column, cfg: Config) -> Column:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FALLBACK: dict[str, str] = {}
+#: Events of a task of the operators that gather, sort or multiply them, where the number of tasks follows the table.
+TASK_ROWS = 50_000
 
 
 def build(app: str = "tapline", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -39,6 +41,11 @@ def scratch(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+def tasks_for(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """Tasks for a shuffle of a table's rows, so that one holds about ``rows`` of them however many there are."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def materialise(df, purpose: str):
     """Cut lineage through a written table, which survives the loss of executors."""
     spark = df.sparkSession

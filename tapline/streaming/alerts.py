@@ -24,6 +24,7 @@ from pyspark.sql.types import StructType
 from tapline.config import DEFAULT, Config
 from tapline.operators import baseline, features, persistence, windows
 from tapline.plans import window_alerts
+from tapline.session import tasks_for
 from tapline.streaming.state import State
 
 #: What a waiting row must keep; absent columns stay absent.
@@ -61,14 +62,15 @@ def closed_features(batch: DataFrame, state: State, cfg: Config = DEFAULT, laten
         old = state.before(name)
         return state.keep(name, new if old is None else old.filter(alive).unionByName(new))
 
-    slots = held("slots", windows.slots(judged, cfg, group_cols, times=True), windows.last_end(windows.pane_of_slot(F.col("slot"), cfg), cfg) > begun)
-    panes = held("panes", windows.pane_counts(judged, cfg, group_cols), windows.last_end(F.col("pane"), cfg) > begun)
+    n = tasks_for(judged)
+    slots = held("slots", windows.slots(judged, cfg, group_cols, times=True, tasks=n), windows.last_end(windows.pane_of_slot(F.col("slot"), cfg), cfg) > begun)
+    panes = held("panes", windows.pane_counts(judged, cfg, group_cols, tasks=n), windows.last_end(F.col("pane"), cfg) > begun)
     times = held("times", judged.select(*group_cols, "ts_us", "event_id"), F.col("ts_us") > begun - cfg.window_us)
     horizon = due if due is not None else -(1 << 62)
     ends_at = (1 << 62) if flush and emit_partial else horizon
     fresh = (F.col("window_end") > begun) & (F.col("window_end") <= ends_at)
-    w = features.combine_slots(slots, cfg, group_cols, times=True).filter(fresh)
-    v = features.value_features(windows.window_counts(panes, cfg, group_cols).filter(fresh), group_cols)
+    w = features.combine_slots(slots, cfg, group_cols, times=True, tasks=n).filter(fresh)
+    v = features.value_features(windows.window_counts(panes, cfg, group_cols, n).filter(fresh), group_cols)
     out = features.feature_columns(w.join(v, [*group_cols, "window_end"]), times, cfg, group_cols)
     return state.keep("features", out), horizon
 
