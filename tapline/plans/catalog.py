@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from tapline.operators import (
     persistence, reporting, scoring, signatures, splits,
 )
 from tapline.plans import detection, training, window_alerts
-from tapline.session import materialise, scratch
+from tapline.session import materialise, scratch, tasks_for
 from tapline.sources import captures, labelled, sinks, tables
 from tapline.sources import events as ev_src
 from tapline.sources.keyed import KeyedTable
@@ -119,7 +120,12 @@ def tshark_export(spark, sf):
     path = scratch(spark, "export")
     rows = t.select("event_id", F.concat(F.when(F.col("event_id") == 0, F.lit("[\n")).otherwise(F.lit(",\n")), doc).alias("value"))
     end = spark.range(1).select(F.lit((1 << 62)).alias("event_id"), F.lit("]").alias("value"))
-    rows.unionByName(end).orderBy("event_id").coalesce(1).select("value").write.text(path)
+    rows = rows.unionByName(end)
+    # sorted by many tasks and stored, so that the one task that writes the file only passes the lines on
+    rows = rows.repartitionByRange(tasks_for(rows), "event_id").sortWithinPartitions("event_id").select("value").persist(StorageLevel.DISK_ONLY)
+    rows.count()
+    rows.coalesce(1).write.text(path)
+    rows.unpersist()
     out = captures.read_tshark_json(spark, path)
     return out.groupBy("src_ip", "protocol", md.altered(F.col("metadata")).alias("altered")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("packet_len").alias("bytes"), F.max("ts_us").alias("last_us"))

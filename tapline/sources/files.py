@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapline.operators import ordered
+from tapline.session import tasks_for
 
 BOM = b"\xef\xbb\xbf"
+CHUNK_LINES = 1 << 14  # lines of a split over which running totals are taken together
+LINES_A_TASK = 1 << 18
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -74,16 +77,18 @@ def json_elements(spark: SparkSession, path: str) -> DataFrame:
     """One variant `element` per element of the array that a file holds, or per top-level document of a file without one.
 
     A file may be read by many tasks. Lines that begin inside an element belong to the line that opened it; depths are running
-    totals over splits and lines. An element is gathered in one task, and so is a line that holds several.
+    totals over splits, chunks of their lines, and lines. An element is gathered in one task, and so is a line that holds several.
     """
-    rows = lines(spark, path).filter(F.trim("value") != "").withColumn("_d", _depth(F.col("value")))
+    rows = lines(spark, path).withColumn("chunk", F.shiftright("pos", CHUNK_LINES.bit_length() - 1))
+    tasks = tasks_for(rows, LINES_A_TASK)
+    rows = rows.filter(F.trim("value") != "").withColumn("_d", _depth(F.col("value"))).repartition(tasks, "file", "block", "chunk")
     first = rows.groupBy("file").agg(F.min_by(F.substring(F.ltrim("value"), 1, 1), F.struct("block", "pos")).alias("_root"))
-    rows = ordered.running_totals(rows, ["block"], ["pos"], {"_after": F.col("_d")}, ("file",)).join(first, "file")
+    rows = ordered.running_totals(rows, ["block", "chunk"], ["pos"], {"_after": F.col("_d")}, ("file",)).join(first, "file")
     inside = F.when(F.col("_root") == "[", F.lit(1)).otherwise(F.lit(0))
     rows = rows.withColumn("_opens", F.when(F.col("_after") - F.col("_d") <= inside, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
-    rows = ordered.running_totals(rows, ["block"], ["pos"], {"_group": F.col("_opens")}, ("file",))
+    rows = ordered.running_totals(rows, ["block", "chunk"], ["pos"], {"_group": F.col("_opens")}, ("file",))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "pos", "value"))), lambda r: r["value"]), "\n")
-    groups = rows.groupBy("file", "_group").agg(
+    groups = rows.repartition(tasks, "file", "_group").groupBy("file", "_group").agg(
         text.alias("t"), F.min_by(F.col("_after") - F.col("_d"), F.struct("block", "pos")).alias("_before"),
         F.max_by("_after", F.struct("block", "pos")).alias("_end"), F.first("_root").alias("_root"))
     array = F.col("_root") == "["
