@@ -4,8 +4,10 @@ States emit symbols: the commonest training words (at most ``head``, cut where c
 their first and last two bytes. A rarer word costs its class in the HMM and, inside the class, (c + 0.1) /
 (N_class + 0.1 * (V_class + 1)), where the remainder is an unknown word's; so the probabilities of all texts sum to one.
 Counts of all training words are summed in Spark and joined to the rarer words of the texts; only the
-head and the classes, bounded by parameters, are broadcast. Expectation steps over a sample of the training texts, which
-grows with them (``SAMPLE_SHARE``, at least ``sample_texts``), only part the states; ``full_steps`` over all texts follow.
+head and the classes, bounded by parameters, are broadcast. Expectation steps are incremental first: the training texts are
+dealt into shares (a ``SAMPLE_SHARE`` of them, at least ``sample_texts``), and a step renews the counts of one share and
+goes on with those of all shares seen so far, round after round until ``sample_steps`` are done. A round takes every
+training text once. ``full_steps`` over all texts follow. Steps work in single precision, sums and scores in double.
 
 Defined results: null text is empty, i.e. the end alone; a null id falls into the held-out fold (crc of the empty text
 is 0); without training rows N is 0 and the smoothed formulas still hold; an empty table gives an empty table.
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -162,8 +164,9 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, held_out) -> DataFrame:
 
 
 class Parameters:
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, counts: np.ndarray | None = None):
         self.start, self.move, self.emit = start, move, emit  # emit: symbols x states
+        self.counts = counts  # what they were made from
 
     @staticmethod
     def initial(unigram: np.ndarray, states: int, seed: int = 7) -> Parameters:
@@ -178,7 +181,10 @@ class Parameters:
         s = len(unigram)
         emit = counts[:s] + 50.0 * unigram[:, None]
         move, start = counts[s:s + states] + SMOOTH, counts[s + states] + SMOOTH
-        return Parameters(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        return Parameters(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), counts)
+
+    def single(self) -> Parameters:
+        return Parameters(*[x.astype(np.float32) for x in (self.start, self.move, self.emit)])
 
 
 def _lockstep(seqs: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
@@ -227,20 +233,20 @@ def expected(seqs: list[np.ndarray], p: Parameters) -> np.ndarray:
             alpha = (alphas[-1][:n] @ p.move if t else p.start) * emits[-1]
             totals.append(alpha.sum(axis=1))
             alphas.append(alpha / totals[-1][:, None])
-        beta = np.ones((active[-1], states))
+        beta = np.ones((active[-1], states), p.emit.dtype)
         for t in range(len(grid) - 1, -1, -1):
             if t < len(grid) - 1:
                 n = active[t + 1]
                 ahead = emits[t + 1] * beta / totals[t + 1][:, None]
                 moves += alphas[t][:n].T @ ahead
-                beta = np.ones((active[t], states))
+                beta = np.ones((active[t], states), p.emit.dtype)
                 beta[:n] = ahead @ p.move.T
             alphas[t] = alphas[t] * beta
         symbols = np.concatenate([grid[t, :active[t]] for t in range(len(grid))])
         gamma = np.concatenate(alphas)
         for k in range(states):
             counts[:len(p.emit), k] += np.bincount(symbols, gamma[:, k], len(p.emit))
-        counts[-1] += alphas[0].sum(axis=0)
+        counts[-1] += alphas[0].sum(axis=0, dtype=float)
     counts[len(p.emit):-1] = moves * p.move
     return counts
 
@@ -252,7 +258,7 @@ def _sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
 def step(rows: DataFrame, p: Parameters, unigram: np.ndarray) -> Parameters:
     """One expectation step over rows, summed by Spark, and the parameters that follow."""
     states = len(p.start)
-    held = rows.sparkSession.sparkContext.broadcast(p)
+    held = rows.sparkSession.sparkContext.broadcast(p.single())
     names = [f"k{k}" for k in range(states)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,16 +286,34 @@ def train(rows: DataFrame, vocabulary: Vocabulary, states: int = STATES, sample_
     p = Parameters.initial(unigram, states)
     learn = rows.filter("NOT held_out")
     if vocabulary.n_texts:
-        share = min(1.0, max(SAMPLE_SHARE, sample_texts / vocabulary.n_texts))
-        draw = F.pmod(F.xxhash64("_uid"), F.lit(1 << 30)) < int(share * (1 << 30))
-        sample = saved(learn.filter(draw).select("sym"), "hmm-sample")
-        for _ in range(sample_steps):
-            p = step(sample, p, unigram)
+        shares = max(1, int(1 / min(1.0, max(SAMPLE_SHARE, sample_texts / vocabulary.n_texts))))
+        rounds = -(-sample_steps // shares)
+        dealt = _dealt(learn, shares)
+        total, latest = 0, {}
+        for i in range(rounds * shares):
+            found = step(dealt(i % shares), p, unigram).counts
+            total = total + found - latest.get(i % shares, 0)
+            if i < (rounds - 1) * shares:  # renewed in the next round
+                latest[i % shares] = found
+            p = Parameters.from_counts(np.maximum(total, 0), unigram, states)
         for _ in range(full_steps):
             p = step(learn, p, unigram)
     return p
 
 
+def _dealt(learn: DataFrame, shares: int) -> Callable[[int], DataFrame]:
+    """The training texts by share, stored so that a step reads one share only."""
+    if shares == 1:
+        return lambda k: learn
+    path = shared_folder(learn.sparkSession, "hmm-shares")
+    dealt = learn.select("sym", F.pmod(F.xxhash64("_uid"), F.lit(shares)).cast("int").alias("share"))
+    dealt.write.partitionBy("share").option("compression", "zstd").parquet(path)
+    schema = learn.select("sym").schema
+    held = {r["share"] for r in learn.sparkSession.read.parquet(path).select("share").distinct().collect()}
+    return lambda k: (learn.sparkSession.read.schema(schema).parquet(f"{path}/share={k}") if k in held
+                      else learn.select("sym").limit(0))
+
+
 def scored(rows: DataFrame, words: DataFrame, vocabulary: Vocabulary, p: Parameters) -> DataFrame:
     """The contract's columns: HMM likelihood plus the joined counts of rarer words."""
     held = rows.sparkSession.sparkContext.broadcast(p)
