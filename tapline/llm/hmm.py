@@ -7,7 +7,7 @@ Counts of all training words are summed in Spark and joined to the rarer words o
 head and the classes, bounded by parameters, are broadcast. Expectation steps are incremental first: the training texts are
 dealt into shares (a ``SAMPLE_SHARE`` of them, at least ``sample_texts``), and a step renews the counts of one share and
 goes on with those of all shares seen so far, round after round until ``sample_steps`` are done. A round takes every
-training text once. ``full_steps`` over all texts follow. Steps work in single precision, sums and scores in double.
+training text once. ``full_steps`` over all texts follow.
 
 Defined results: null text is empty, i.e. the end alone; a null id falls into the held-out fold (crc of the empty text
 is 0); without training rows N is 0 and the smoothed formulas still hold; an empty table gives an empty table.
@@ -183,9 +183,6 @@ class Parameters:
         move, start = counts[s:s + states] + SMOOTH, counts[s + states] + SMOOTH
         return Parameters(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), counts)
 
-    def single(self) -> Parameters:
-        return Parameters(*[x.astype(np.float32) for x in (self.start, self.move, self.emit)])
-
 
 def _lockstep(seqs: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """Groups of sequences, longest first: their positions, symbols by (time, sequence), active sequences by time."""
@@ -233,20 +230,20 @@ def expected(seqs: list[np.ndarray], p: Parameters) -> np.ndarray:
             alpha = (alphas[-1][:n] @ p.move if t else p.start) * emits[-1]
             totals.append(alpha.sum(axis=1))
             alphas.append(alpha / totals[-1][:, None])
-        beta = np.ones((active[-1], states), p.emit.dtype)
+        beta = np.ones((active[-1], states))
         for t in range(len(grid) - 1, -1, -1):
             if t < len(grid) - 1:
                 n = active[t + 1]
                 ahead = emits[t + 1] * beta / totals[t + 1][:, None]
                 moves += alphas[t][:n].T @ ahead
-                beta = np.ones((active[t], states), p.emit.dtype)
+                beta = np.ones((active[t], states))
                 beta[:n] = ahead @ p.move.T
             alphas[t] = alphas[t] * beta
         symbols = np.concatenate([grid[t, :active[t]] for t in range(len(grid))])
         gamma = np.concatenate(alphas)
         for k in range(states):
             counts[:len(p.emit), k] += np.bincount(symbols, gamma[:, k], len(p.emit))
-        counts[-1] += alphas[0].sum(axis=0, dtype=float)
+        counts[-1] += alphas[0].sum(axis=0)
     counts[len(p.emit):-1] = moves * p.move
     return counts
 
@@ -258,7 +255,7 @@ def _sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
 def step(rows: DataFrame, p: Parameters, unigram: np.ndarray) -> Parameters:
     """One expectation step over rows, summed by Spark, and the parameters that follow."""
     states = len(p.start)
-    held = rows.sparkSession.sparkContext.broadcast(p.single())
+    held = rows.sparkSession.sparkContext.broadcast(Parameters(p.start, p.move, p.emit))
     names = [f"k{k}" for k in range(states)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

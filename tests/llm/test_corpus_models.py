@@ -155,6 +155,22 @@ def test_expectation_steps_grow_with_the_corpus(spark, monkeypatch):
     assert seen[-2:] == [3000, 3000] and all(60 <= n <= 140 for n in seen[:-2])
 
 
+def test_a_round_of_expectation_steps_takes_every_text_once(spark, monkeypatch):
+    docs = documents(spark, [f"a b{i % 7} c{i} d{i % 5}" for i in range(300)])
+    vocabulary = hmm.Vocabulary(hmm.word_counts(docs, F.lit(True)), 300, head=8)
+    rows, seen, plain = hmm.encoded(docs, vocabulary, F.lit(False)), [], hmm.step
+    texts = sorted(bytes(r.sym) for r in rows.select("sym").collect())
+
+    def step(r, p, u):
+        seen.append([bytes(x.sym) for x in r.select("sym").collect()])
+        return plain(r, p, u)
+
+    monkeypatch.setattr(hmm, "step", step)
+    p = hmm.train(rows, vocabulary, states=2, sample_texts=50, sample_steps=4, full_steps=0)
+    assert len(seen) == 6 and sorted(x for part in seen for x in part) == texts
+    assert np.allclose(p.counts[:vocabulary.symbols].sum(), sum(len(x) // 2 for x in texts))  # every position counts once
+
+
 # --- language identification ------------------------------------------------------------------
 
 
