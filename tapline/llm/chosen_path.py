@@ -200,28 +200,34 @@ def _dense(big: DataFrame, further: DataFrame) -> DataFrame:
         F.col("stays") >= DENSE).select("bucket"), "near-dense")
 
 
+def _dealt_anew(further: DataFrame, again: DataFrame, level: int) -> DataFrame:
+    """bucket, uid: the tokens of the sets of a run that are in a bucket still too large, each once whatever those buckets hold."""
+    rows = further.join(fitting(again), ["uid", "run"], "left_semi")
+    return rows.select(F.expr(f"(xxhash64({level}, token) & ~7L) | run").alias("bucket"), "uid")
+
+
 def families(reps: DataFrame) -> DataFrame:
     """node, root: sets that may be similar, by chosen paths."""
     now = reps.select(F.explode("l1").alias("bucket"), F.col("_uid").alias("uid"))
     small, edges = [], []
     for level in range(2, DEPTH + 2):
-        counted = saved(now.groupBy("bucket").agg(
+        counted = now.groupBy("bucket").agg(
             F.count("*").alias("m"), F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("s"),
-            F.min("uid").alias("least")).filter("m > 1"), "near-buckets")
+            F.min("uid").alias("least")).filter("m > 1")
         # buckets of the same sets are the same work: the first stands for all
-        kept = counted.groupBy("m", "s").agg(F.min("bucket").alias("bucket"), F.min("least").alias("least")).drop("s")
-        if level > DEPTH or counted.filter(F.col("m") > SPLIT).isEmpty():
-            small.append(now.join(kept, "bucket").select("bucket", "uid", "m"))
+        kept = saved(counted.groupBy("m", "s").agg(F.min("bucket").alias("bucket"), F.min("least").alias("least")).drop("s"),
+                     "near-buckets")
+        if level > DEPTH or kept.filter(F.col("m") > SPLIT).isEmpty():
+            small.append(now.join(fitting(kept), "bucket").select("bucket", "uid", "m"))
             break
-        small.append(now.join(kept.filter(F.col("m") <= SPLIT), "bucket").select("bucket", "uid", "m"))
-        big = saved(now.join(kept.filter(F.col("m") > SPLIT), "bucket").withColumn("run", F.expr("bucket & 7L")), "near-big")
+        small.append(now.join(fitting(kept.filter(F.col("m") <= SPLIT)), "bucket").select("bucket", "uid", "m"))
+        big = saved(now.join(fitting(kept.filter(F.col("m") > SPLIT)), "bucket").withColumn("run", F.expr("bucket & 7L")), "near-big")
         further = reps.select(F.col("_uid").alias("uid"), F.explode(f"l{level}").alias("token")).withColumn(
             "run", F.expr("token & 7L"))
         dense = _dense(big, further)
         edges.append(big.join(dense, "bucket", "left_semi").select(F.col("uid").alias("u"), F.col("least").alias("v")))
-        # all sets of a run that are in a bucket still too large are dealt anew, once each
-        again = big.join(dense, "bucket", "left_anti").select("uid", "run").distinct()
-        now = again.join(further, ["uid", "run"]).select(F.expr(f"(xxhash64({level}, token) & ~7L) | run").alias("bucket"), "uid")
+        again = saved(big.join(dense, "bucket", "left_anti").select("uid", "run").distinct(), "near-split")
+        now = _dealt_anew(further, again, level)
     members = small[0]
     for more in small[1:]:
         members = members.unionByName(more)
