@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,34 +184,38 @@ class Parameters:
         return Parameters(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), counts)
 
 
-def _lockstep(seqs: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Groups of sequences, longest first: their positions, symbols by (time, sequence), active sequences by time."""
+def _lockstep(seqs: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, list[int]]]:
+    """Groups of sequences, longest first: their positions, symbols in order of time, bounds of the times.
+
+    A group holds ``CELLS`` symbols, so the few long sequences of a batch step together; the sequences still active at a
+    time are the first of their group.
+    """
     order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
     at = 0
     while at < len(order):
-        longest = len(seqs[order[at]])
-        part = order[at:at + max(1, CELLS // longest)]
-        at += len(part)
+        end, held = at, 0
+        while end < len(order) and (end == at or held + len(seqs[order[end]]) <= CELLS):
+            held += len(seqs[order[end]])
+            end += 1
+        part = order[at:end]
+        at = end
         lengths = np.array([len(seqs[i]) for i in part])
-        grid = np.zeros((longest, len(part)), np.int64)
-        for j, i in enumerate(part):
-            grid[:lengths[j], j] = seqs[i]
-        yield part, grid, np.searchsorted(-lengths, -np.arange(longest), side="left")
+        times = np.arange(held) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        by_time = np.argsort(times.astype(np.min_scalar_type(lengths[0])), kind="stable")
+        active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+        yield part, np.concatenate([seqs[i] for i in part])[by_time], [0, *np.cumsum(active).tolist()]
 
 
 def forward(seqs: list[np.ndarray], p: Parameters) -> np.ndarray:
     """Exact natural-log likelihood of each sequence by scaled forward recursion."""
     out = np.zeros(len(seqs))
-    for part, grid, active in _lockstep(seqs):
-        alpha = p.start * p.emit[grid[0]]
-        total = alpha.sum(axis=1)
-        logs = np.log(total)
-        alpha /= total[:, None]
-        for t in range(1, len(grid)):
-            n = active[t]
-            alpha = alpha[:n] @ p.move * p.emit[grid[t, :n]]
-            total = alpha.sum(axis=1)
-            logs[:n] += np.log(total)
+    one = np.ones(len(p.start))
+    for part, symbols, bounds in _lockstep(seqs):
+        emit, logs, alpha = p.emit[symbols], np.zeros(len(part)), None
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            alpha = (p.start if alpha is None else alpha[:b - a] @ p.move) * emit[a:b]
+            total = alpha @ one
+            logs[:b - a] += np.log(total)
             alpha /= total[:, None]
         out[part] = logs
     return out
@@ -222,28 +226,27 @@ def expected(seqs: list[np.ndarray], p: Parameters) -> np.ndarray:
     states = len(p.start)
     counts = np.zeros((len(p.emit) + states + 1, states))
     moves = np.zeros((states, states))
-    for _, grid, active in _lockstep(seqs):
-        alphas, totals, emits = [], [], []
-        for t in range(len(grid)):
-            n = active[t]
-            emits.append(p.emit[grid[t, :n]])
-            alpha = (alphas[-1][:n] @ p.move if t else p.start) * emits[-1]
-            totals.append(alpha.sum(axis=1))
-            alphas.append(alpha / totals[-1][:, None])
-        beta = np.ones((active[-1], states))
-        for t in range(len(grid) - 1, -1, -1):
-            if t < len(grid) - 1:
-                n = active[t + 1]
-                ahead = emits[t + 1] * beta / totals[t + 1][:, None]
-                moves += alphas[t][:n].T @ ahead
-                beta = np.ones((active[t], states))
-                beta[:n] = ahead @ p.move.T
-            alphas[t] = alphas[t] * beta
-        symbols = np.concatenate([grid[t, :active[t]] for t in range(len(grid))])
-        gamma = np.concatenate(alphas)
+    one, back = np.ones(states), np.ascontiguousarray(p.move.T)
+    for _, symbols, bounds in _lockstep(seqs):
+        spans = list(zip(bounds[:-1], bounds[1:]))
+        emit = p.emit[symbols]
+        alpha, beta, total = np.empty_like(emit), np.ones_like(emit), np.empty(len(emit))
+        for t, (a, b) in enumerate(spans):
+            ahead = (alpha[spans[t - 1][0]:][:b - a] @ p.move if t else p.start) * emit[a:b]
+            total[a:b] = ahead @ one
+            np.divide(ahead, total[a:b, None], out=alpha[a:b])
+        emit /= total[:, None]
+        for (before, _), (a, b) in zip(spans[-2::-1], spans[:0:-1]):
+            emit[a:b] *= beta[a:b]
+            np.matmul(emit[a:b], back, out=beta[before:before + b - a])
+        width = spans[0][1]
+        sizes = np.diff(bounds)
+        came = np.arange(width, len(emit)) - np.repeat(sizes[:-1], sizes[1:])  # each symbol's predecessor
+        moves += alpha[came].T @ emit[width:]
+        alpha *= beta
         for k in range(states):
-            counts[:len(p.emit), k] += np.bincount(symbols, gamma[:, k], len(p.emit))
-        counts[-1] += alphas[0].sum(axis=0)
+            counts[:len(p.emit), k] += np.bincount(symbols, alpha[:, k], len(p.emit))
+        counts[-1] += alpha[:width].sum(axis=0)
     counts[len(p.emit):-1] = moves * p.move
     return counts
 
@@ -252,24 +255,29 @@ def _sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column("sym").to_pylist()]
 
 
-def step(rows: DataFrame, p: Parameters, unigram: np.ndarray) -> Parameters:
-    """One expectation step over rows, summed by Spark, and the parameters that follow."""
-    states = len(p.start)
-    held = rows.sparkSession.sparkContext.broadcast(Parameters(p.start, p.move, p.emit))
-    names = [f"k{k}" for k in range(states)]
-
+def _partial_counts(rows: DataFrame, p: Broadcast, names: list[str]) -> DataFrame:
+    """Counts by task: a core sums what it holds of the texts, so the tables to be added are as many as cores, not as files."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
-                found = expected(_sequences(batch), held.value)
+                found = expected(_sequences(batch), p.value)
                 total = found if total is None else total + found
         if total is not None:
             some = np.flatnonzero(total.sum(axis=1) > 0)
             yield pa.RecordBatch.from_pydict({"i": pa.array(some, pa.int32())} | {
                 n: pa.array(total[some, k]) for k, n in enumerate(names)})
 
-    sums = rows.select("sym").mapInArrow(run, "i int, " + ", ".join(f"{n} double" for n in names)).groupBy("i").agg(
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.select("sym").coalesce(cores).mapInArrow(run, "i int, " + ", ".join(f"{n} double" for n in names))
+
+
+def step(rows: DataFrame, p: Parameters, unigram: np.ndarray) -> Parameters:
+    """One expectation step over rows, summed by Spark, and the parameters that follow."""
+    states = len(p.start)
+    held = rows.sparkSession.sparkContext.broadcast(Parameters(p.start, p.move, p.emit))
+    names = [f"k{k}" for k in range(states)]
+    sums = _partial_counts(rows, held, names).groupBy("i").agg(
         *[F.sum(n).alias(n) for n in names]).toPandas()  # one row per symbol and state
     counts = np.zeros((len(unigram) + states + 1, states))
     counts[sums["i"].to_numpy()] = sums[names].to_numpy()
@@ -323,7 +331,7 @@ def scored(rows: DataFrame, words: DataFrame, vocabulary: Vocabulary, p: Paramet
                                           "head_base double, hmm double")
     mass = F.array(*[F.lit(float(x)) for x in vocabulary.class_mass()])
     rare = rows.select("_uid", F.explode("tail").alias("t")).select("_uid", "t.*")
-    rare = rare.join(vocabulary.tail(words).select("word", "c"), "word", "left")
+    rare = rare.join(vocabulary.tail(words).select("word", "c").hint("shuffle_hash"), "word", "left")  # sorting words costs more
     c = F.coalesce("c", F.lit(0)) + F.lit(SMOOTH)
     sums = rare.groupBy("_uid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known"),

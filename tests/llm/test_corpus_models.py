@@ -171,6 +171,22 @@ def test_a_round_of_expectation_steps_takes_every_text_once(spark, monkeypatch):
     assert np.allclose(p.counts[:vocabulary.symbols].sum(), sum(len(x) // 2 for x in texts))  # every position counts once
 
 
+def test_long_texts_step_together(monkeypatch):
+    monkeypatch.setattr(hmm, "CELLS", 2000)
+    assert [len(part) for part, _, _ in hmm._lockstep([np.zeros(n, np.int64) for n in [10] * 100 + [1000]])] == [101]
+
+
+def test_counts_are_passed_on_once_a_core(spark):
+    docs = documents(spark, [f"a b{i % 7} c{i} d{i % 5}" for i in range(90)])
+    vocabulary = hmm.Vocabulary(hmm.word_counts(docs, F.lit(True)), 90, head=8)
+    p = hmm.Parameters.initial(vocabulary.unigram(), 2)
+    rows = hmm.encoded(docs, vocabulary, F.lit(False)).select("sym").repartition(40)
+    got = hmm._partial_counts(rows, spark.sparkContext.broadcast(p), ["k0", "k1"])
+    assert got.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    total = hmm.expected([np.frombuffer(r.sym, "<u2").astype(np.int64) for r in rows.collect()], p)
+    assert got.agg(F.sum("k0") + F.sum("k1")).first()[0] == pytest.approx(total.sum())
+
+
 # --- language identification ------------------------------------------------------------------
 
 
@@ -400,6 +416,13 @@ def test_near_duplicates(spark, monkeypatch, split):
     assert [got[i]["first"] for i in range(len(texts))] == [root[i] == i for i in range(len(texts))]
 
 
+def test_sets_dealt_anew_are_as_many_as_their_tokens(spark):
+    further = spark.createDataFrame([(u, 8 * t + 1, 1) for u in range(5) for t in range(3)], "uid long, token long, run long")
+    again = spark.createDataFrame([(u, 1) for u in range(4) for _ in range(7)] + [(4, 2)], "uid long, run long")
+    got = chosen_path._dealt_anew(further, again, 2).collect()
+    assert len(got) == 12 and len(set(got)) == 12 and {r.bucket & 7 for r in got} == {1}
+
+
 def test_near_duplicates_ids_and_empty(spark):
     text = " ".join(f"w{i}" for i in range(50))
     got = chosen_path.near_duplicates(documents(spark, ["x y"], [(7, text, None, None), (7, text, None, None), (None, text, None, None)])).collect()
