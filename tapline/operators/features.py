@@ -102,8 +102,20 @@ def iat_columns(cfg: Config) -> dict[str, Column]:
     }
 
 
-def value_features(counts: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct counts, entropies, dominant protocol and presence flags per window."""
+#: Fields whose values are only counted; the dominant protocol compares texts, which would make Spark sort all counts.
+COUNTED = [f for f in windows.FIELDS if f != "proto"]
+
+
+def value_features(counts: DataFrame, protocols: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct counts, entropies, dominant protocol and presence flags per window, from the counts of the fields
+    ``COUNTED`` and from those of the protocols. Every window has a `flow`, so none is in ``protocols`` alone."""
+    dominant = protocols.groupBy(*group_cols, "window_end").agg(
+        F.max_by("value", F.struct("n", (-F.col("seen")).alias("early"))).alias("protocol"))
+    return value_sums(counts, group_cols).join(dominant, [*group_cols, "window_end"], "left")
+
+
+def value_sums(counts: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct counts, entropies and presence flags per window: numbers alone, summed by hash."""
     is_ = lambda f: F.col("field") == f
     distinct = lambda f, name: F.count_if(is_(f)).cast("double").alias(name)
     token = lambda t: F.coalesce(F.max(F.when(is_("tcp_flags"), F.array_contains(
@@ -116,7 +128,6 @@ def value_features(counts: DataFrame, group_cols: tuple[str, ...] = ()) -> DataF
         *[windows.entropy_bits(F.col("n"), is_(f)).alias(f"{f}_entropy")
           for f in ("ip_id", "ip_flags", "tcp_flags", "dscp")],
         windows.entropy_bits(F.col("n"), is_("dport")).alias("port_entropy"),
-        F.max_by("value", F.when(is_("proto"), F.struct("n", (-F.col("seen")).alias("early")))).alias("protocol"),
         *[present("src", ip).alias(f"src_ip_{ip}") for ip in MODEL_SRC_IPS],
         *[present("dst", ip).alias(f"dst_ip_{ip}") for ip in MODEL_DST_IPS],
         token("FIN").alias("_fin"), token("SYN").alias("_syn"), token("ACK").alias("_ack"),
@@ -132,7 +143,8 @@ def window_features(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str,
     """
     n = tasks_for(df)
     w = combine_slots(windows.slots(df, cfg, group_cols, times=spectral, tasks=n), cfg, group_cols, whole, times=spectral, tasks=n)
-    v = value_features(windows.value_counts(df, cfg, group_cols, whole=whole, tasks=n), group_cols)
+    v = value_features(windows.value_counts(df, cfg, group_cols, COUNTED, whole, n),
+                       windows.value_counts(df, cfg, group_cols, ["proto"], whole), group_cols)
     f = w.join(v, [*group_cols, "window_end"])
     if not whole:
         f = windows.complete_only(f, df, emit_partial)

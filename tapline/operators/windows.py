@@ -124,7 +124,7 @@ def pane_counts(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...
                 fields: list[str] | None = None, whole: bool = False, tasks: int | None = None) -> DataFrame:
     """Occurrences per (slide interval, field, value); all fields share one pass.
 
-    With ``tasks`` the events are dealt out by slot, counted there, and the counts of slots dealt out by value.
+    Protocols also have `seen`, which breaks ties between them; without them the column is left out. With ``tasks`` the events are dealt out by slot, counted there, and the counts of slots dealt out by value.
     """
     _check(cfg)
     text = {
@@ -141,12 +141,14 @@ def pane_counts(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...
     # Order of first appearance, needed only to break ties between protocols. A decimal keeps the
     # hash aggregate, which a struct buffer would turn into a sort.
     seen_at = F.col("ts_us").cast("decimal(38,0)") * F.lit(1 << 62) + F.col("event_id")
-    entries = [F.struct(F.lit(name).alias("field"), text[name].alias("value"),
-                        (seen_at if name == "proto" else F.lit(None)).cast("decimal(38,0)").alias("seen"))
-               for name in fields or FIELDS]
+    fields = fields or FIELDS
+    seen = {name: (seen_at if name == "proto" else F.lit(None)).cast("decimal(38,0)").alias("seen") for name in fields}
+    entries = [F.struct(F.lit(name).alias("field"), text[name].alias("value"), *([seen[name]] if "proto" in fields else []))
+               for name in fields]
     pane = F.lit(0).cast("bigint") if whole else floor_div(F.col("ts_us") - cfg.origin_us - 1, cfg.slide_us) + 1
     keys = [*group_cols, "pane", "field", "value"]
-    counted = [F.count(F.lit(1)).alias("n"), F.min("seen").alias("seen")]
+    first = [F.min("seen").alias("seen")] if "proto" in fields else []
+    counted = [F.count(F.lit(1)).alias("n"), *first]
     if not tasks or whole:
         rows = df.select(*group_cols, pane.alias("pane"), F.explode(F.array(*entries)).alias("e"))
         return rows.select(*group_cols, "pane", "e.*").filter("value IS NOT NULL").groupBy(*keys).agg(*counted)
@@ -154,7 +156,7 @@ def pane_counts(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...
             .select(*group_cols, "_slot", pane.alias("pane"), F.explode(F.array(*entries)).alias("e"))
             .select(*group_cols, "_slot", "pane", "e.*").filter("value IS NOT NULL"))
     by_slot = rows.groupBy("_slot", *keys).agg(*counted).drop("_slot")
-    return by_slot.repartition(tasks, *keys).groupBy(*keys).agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
+    return by_slot.repartition(tasks, *keys).groupBy(*keys).agg(F.sum("n").alias("n"), *first)
 
 
 def dealt(rows: DataFrame, first_pane: Column, cfg: Config, keys: list[str], tasks: int) -> DataFrame:
@@ -178,7 +180,7 @@ VALUE_PARTS = 8
 
 def window_counts(per_pane: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = (), tasks: int | None = None) -> DataFrame:
     """Occurrences per (window, field, value) from those of its slide intervals."""
-    sums = [F.sum("n").alias("n"), F.min("seen").alias("seen")]
+    sums = [F.sum("n").alias("n"), *([F.min("seen").alias("seen")] if "seen" in per_pane.columns else [])]
     if not tasks:
         return (per_pane.withColumn("window_end", F.explode(_ends(F.col("pane"), cfg)))
                 .groupBy(*group_cols, "window_end", "field", "value").agg(*sums))

@@ -70,7 +70,9 @@ def closed_features(batch: DataFrame, state: State, cfg: Config = DEFAULT, laten
     ends_at = (1 << 62) if flush and emit_partial else horizon
     fresh = (F.col("window_end") > begun) & (F.col("window_end") <= ends_at)
     w = features.combine_slots(slots, cfg, group_cols, times=True, tasks=n).filter(fresh)
-    v = features.value_features(windows.window_counts(panes, cfg, group_cols, n).filter(fresh), group_cols)
+    counted, protocols = panes.filter("field <> 'proto'").drop("seen"), panes.filter("field = 'proto'")
+    v = features.value_features(windows.window_counts(counted, cfg, group_cols, n).filter(fresh),
+                                windows.window_counts(protocols, cfg, group_cols).filter(fresh), group_cols)
     out = features.feature_columns(w.join(v, [*group_cols, "window_end"]), times, cfg, group_cols)
     return state.keep("features", out), horizon
 

@@ -51,3 +51,19 @@ def test_export_totals_run_over_chunks_of_lines(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "CHUNK_LINES", 16)
     got = captures.read_tshark_json(spark, str(tmp_path / "x.json"))
     assert sorted(r.packet_len for r in got.collect()) == list(range(60))
+
+
+def test_value_counts_are_summed_by_hash(spark, capsys):
+    counts = windows.value_counts(mixed(spark), fields=features.COUNTED, tasks=13)
+    features.value_sums(counts).explain()
+    plan = capsys.readouterr().out
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert "seen" not in counts.columns  # only protocols carry their order of appearance
+
+
+def test_dominant_protocol_of_windows(spark):
+    """Most events, then the earliest, and windows without any protocol."""
+    df = traffic(spark, [{"at": 0.1 + 0.1 * i, "protocol": p} for i, p in enumerate(["udp", "TCP", "tcp", "UDP", "icmp"])] + [
+        {"at": 30.0, "protocol": None}, {"at": 31.0, "protocol": None}])
+    got = {r.protocol: r for r in features.window_features(df, emit_partial=True, spectral=False).collect()}
+    assert set(got) == {"UDP", None}
