@@ -74,7 +74,7 @@ def closed_features(batch: DataFrame, state: State, cfg: Config = DEFAULT, laten
     v = features.value_features(windows.window_counts(counted, cfg, group_cols, n).filter(fresh),
                                 windows.window_counts(protocols, cfg, group_cols).filter(fresh), group_cols)
     out = features.feature_columns(w.join(v, [*group_cols, "window_end"]), times, cfg, group_cols)
-    return state.keep("features", out), horizon
+    return state.keep("features", out.orderBy(*group_cols, "window_end")), horizon
 
 
 def assessed_batch(batch: DataFrame, path: str, batch_id: int, cfg: Config = DEFAULT, lateness_us: int | None = None,
