@@ -187,23 +187,32 @@ def _in_parts(df: DataFrame, key: str, size: str, part: int) -> DataFrame:
             .withColumns({"i": F.least("part", "_o"), "j": F.greatest("part", "_o")}).drop("_o"))
 
 
-def _dense(big: DataFrame, further: DataFrame) -> DataFrame:
+def _dense(big: DataFrame, sets: DataFrame) -> DataFrame:
     """Buckets whose sets are alike, judged by how the next tokens would deal some ``PROBE`` of them.
 
     The probe only decides how a bucket is worked on: a dense one is joined whole, any other is split whole.
     """
-    probe = big.filter(F.pmod(F.xxhash64("uid", "bucket"), F.col("m")) < PROBE).join(further, ["uid", "run"])
-    sizes = probe.groupBy("bucket", "token").agg(F.count("*").alias("c"))
-    n = probe.groupBy("bucket").agg(F.countDistinct("uid").alias("n"))
+    probe = big.filter(F.pmod(F.xxhash64("uid", "bucket"), F.col("m")) < PROBE).select("uid", "bucket", "run")
+    drawn = sets.join(fitting(probe), "uid").select("bucket", F.expr("filter(tokens, t -> (t & 7L) = run)").alias("tokens")).filter(
+        F.size("tokens") > 0)
+    sizes = drawn.select("bucket", F.explode("tokens").alias("token")).groupBy("bucket", "token").agg(F.count("*").alias("c"))
+    n = drawn.groupBy("bucket").agg(F.count("*").alias("n"))
     stays = F.sum(F.when(F.col("c") * 2 >= F.col("n"), F.col("c")).otherwise(0)) / F.sum("c")
     return saved(sizes.join(n, "bucket").groupBy("bucket").agg(stays.alias("stays")).filter(
         F.col("stays") >= DENSE).select("bucket"), "near-dense")
 
 
 def _dealt_anew(further: DataFrame, again: DataFrame, level: int) -> DataFrame:
-    """bucket, uid: the tokens of the sets of a run that are in a bucket still too large, each once whatever those buckets hold."""
-    rows = further.join(fitting(again), ["uid", "run"], "left_semi")
-    return rows.select(F.expr(f"(xxhash64({level}, token) & ~7L) | run").alias("bucket"), "uid")
+    """bucket, uid: the tokens of the sets of a run that are in a bucket still too large, each once whatever those buckets hold.
+
+    ``further`` has the tokens of a set as an array (uid, tokens), or one a row. A set is joined once, with all its runs.
+    """
+    if "tokens" not in further.columns:
+        further = further.groupBy("uid").agg(F.collect_set("token").alias("tokens"))
+    runs = saved(again.groupBy("uid").agg(F.expr("bit_or(1L << int(run))").alias("runs")), "near-split")
+    rows = further.join(fitting(runs), "uid").select(
+        "uid", F.expr("explode(filter(tokens, t -> ((runs >> int(t & 7L)) & 1L) = 1L))").alias("token"))
+    return rows.select(F.expr(f"(xxhash64({level}, token) & ~7L) | (token & 7L)").alias("bucket"), "uid")
 
 
 def families(reps: DataFrame) -> DataFrame:
@@ -217,17 +226,17 @@ def families(reps: DataFrame) -> DataFrame:
         # buckets of the same sets are the same work: the first stands for all
         kept = saved(counted.groupBy("m", "s").agg(F.min("bucket").alias("bucket"), F.min("least").alias("least")).drop("s"),
                      "near-buckets")
-        if level > DEPTH or kept.filter(F.col("m") > SPLIT).isEmpty():
-            small.append(now.join(fitting(kept), "bucket").select("bucket", "uid", "m"))
+        few, many = kept.agg(F.count_if(F.col("m") <= SPLIT), F.count_if(F.col("m") > SPLIT)).first()
+        if level > DEPTH or not many:
+            small.append(now.join(fitting(kept, counted=few + many), "bucket").select("bucket", "uid", "m"))
             break
-        small.append(now.join(fitting(kept.filter(F.col("m") <= SPLIT)), "bucket").select("bucket", "uid", "m"))
-        big = saved(now.join(fitting(kept.filter(F.col("m") > SPLIT)), "bucket").withColumn("run", F.expr("bucket & 7L")), "near-big")
-        further = reps.select(F.col("_uid").alias("uid"), F.explode(f"l{level}").alias("token")).withColumn(
-            "run", F.expr("token & 7L"))
-        dense = _dense(big, further)
+        small.append(now.join(fitting(kept.filter(F.col("m") <= SPLIT), counted=few), "bucket").select("bucket", "uid", "m"))
+        big = saved(now.join(fitting(kept.filter(F.col("m") > SPLIT), counted=many), "bucket").withColumn("run", F.expr("bucket & 7L")),
+                    "near-big")
+        sets = reps.select(F.col("_uid").alias("uid"), F.col(f"l{level}").alias("tokens"))
+        dense = _dense(big, sets)
         edges.append(big.join(dense, "bucket", "left_semi").select(F.col("uid").alias("u"), F.col("least").alias("v")))
-        again = saved(big.join(dense, "bucket", "left_anti").select("uid", "run").distinct(), "near-split")
-        now = _dealt_anew(further, again, level)
+        now = _dealt_anew(sets, big.join(dense, "bucket", "left_anti").select("uid", "run"), level)
     members = small[0]
     for more in small[1:]:
         members = members.unionByName(more)

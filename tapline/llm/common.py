@@ -41,12 +41,13 @@ def saved(df: DataFrame, purpose: str, codec: str = "snappy") -> DataFrame:
     """Write below spark.checkpoint.dir and read back: cuts the lineage and survives lost executors."""
     path = scratch(df.sparkSession, purpose)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fitting(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def fitting(df: DataFrame, rows: int = BROADCAST_ROWS, counted: int | None = None) -> DataFrame:
     """A stored table of a few numbers a row, broadcast if it has at most ``rows`` rows; else the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n = df.limit(rows + 1).count() if counted is None else counted
+    return F.broadcast(df) if n <= rows else df
 
 
 def struct_of(df: DataFrame, columns: tuple[str, ...]) -> StructType:

@@ -10,26 +10,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tapline.llm.common import saved
+from tapline.llm.common import BROADCAST_ROWS, saved
 
 SALTS = 64
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Every node hands its smallest neighbour to its larger (or, small star, its smaller) neighbours."""
+def _star(edges: DataFrame, large: bool, small: bool = False) -> DataFrame:
+    """Every node hands its smallest neighbour to its larger (or, small star, its smaller) neighbours; rows may repeat.
+
+    ``small`` says that the nodes fit a broadcast, so that the edges stay where they are.
+    """
     both = edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
     if large:
         both = both.union(edges.select("v", "u"))
-    # edges of a node meet in SALTS parts, so that the root of a large family is the work of many tasks
-    both = both.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    parts = both.groupBy("a", "_salt").agg(F.min("b").alias("m"))
-    least = parts.groupBy("a").agg(F.min("m").alias("m")).withColumn("m", F.least("a", "m"))
-    out = both.join(parts.select("a", "_salt").join(least, "a"), ["a", "_salt"])
+    if small:
+        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        out = both.join(F.broadcast(least), "a")
+    else:
+        # edges of a node meet in SALTS parts, so that the root of a large family is the work of many tasks
+        both = both.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+        parts = both.groupBy("a", "_salt").agg(F.min("b").alias("m"))
+        least = parts.groupBy("a").agg(F.min("m").alias("m")).withColumn("m", F.least("a", "m"))
+        out = both.join(parts.select("a", "_salt").join(least, "a"), ["a", "_salt"])
     if large:
         out = out.filter("b > a").select(F.col("b").alias("u"), F.col("m").alias("v"))
     else:
         out = out.select(F.col("b").alias("u"), F.col("m").alias("v")).union(least.select("a", "m"))
-    return out.filter("u > v").distinct()
+    return out.filter("u > v")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -42,7 +49,8 @@ def components(edges: DataFrame) -> DataFrame:
             roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.union(roots.select("root", "root")).distinct()
         before = state
-        now = saved(_star(_star(now, True), False), "components")
+        small = 2 * state[0] <= BROADCAST_ROWS
+        now = saved(_star(_star(now, True, small), False, small).distinct(), "components")
 
 
 def streamed_groups(df: DataFrame, keys: list[str], fn: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:

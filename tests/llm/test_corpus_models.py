@@ -423,6 +423,14 @@ def test_sets_dealt_anew_are_as_many_as_their_tokens(spark):
     assert len(got) == 12 and len(set(got)) == 12 and {r.bucket & 7 for r in got} == {1}
 
 
+def test_sets_dealt_anew_join_once_with_their_tokens(spark):
+    further = spark.createDataFrame([(u, [8 * t + r for t in range(3) for r in range(2)]) for u in range(5)], "uid long, tokens array<long>")
+    again = spark.createDataFrame([(u, 1) for u in range(4) for _ in range(7)] + [(0, 0), (4, 2)], "uid long, run long")
+    got = chosen_path._dealt_anew(further, again, 2).collect()
+    assert len(got) == len(set(got)) == 15 and {r.bucket & 7 for r in got if r.uid} == {1}
+    assert sum(r.uid == 0 for r in got) == 6
+
+
 def test_near_duplicates_ids_and_empty(spark):
     text = " ".join(f"w{i}" for i in range(50))
     got = chosen_path.near_duplicates(documents(spark, ["x y"], [(7, text, None, None), (7, text, None, None), (None, text, None, None)])).collect()
@@ -430,6 +438,14 @@ def test_near_duplicates_ids_and_empty(spark):
     assert chosen_path.near_duplicates(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("most", [graph.BROADCAST_ROWS, 0])
+def test_stars_that_broadcast_and_stars_in_parts_agree(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", most)
+    edges = [(0, i) for i in range(1, 40)] + [(50 + i, 51 + i) for i in range(6)] + [(53, 53), (51, 50)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(40)} | {i: 50 for i in range(50, 57)}
+
+
 def test_components(spark):
     rng = random.Random(10)
     edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(80)] + [(i, i + 1) for i in range(200, 260)]
