@@ -106,32 +106,49 @@ def iat_columns(cfg: Config) -> dict[str, Column]:
 COUNTED = [f for f in windows.FIELDS if f != "proto"]
 
 
-def value_features(counts: DataFrame, protocols: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
+def value_features(counts: DataFrame, protocols: DataFrame, group_cols: tuple[str, ...] = (), tasks: int | None = None) -> DataFrame:
     """Distinct counts, entropies, dominant protocol and presence flags per window, from the counts of the fields
     ``COUNTED`` and from those of the protocols. Every window has a `flow`, so none is in ``protocols`` alone."""
-    dominant = protocols.groupBy(*group_cols, "window_end").agg(
+    keys = [*group_cols, "window_end"]
+    dominant = (protocols.repartition(tasks, *keys) if tasks else protocols).groupBy(*keys).agg(
         F.max_by("value", F.struct("n", (-F.col("seen")).alias("early"))).alias("protocol"))
-    return value_sums(counts, group_cols).join(dominant, [*group_cols, "window_end"], "left")
+    return value_sums(counts, group_cols, tasks).join(dominant, keys, "left")
+
+
+#: Fields with an entropy.
+ENTROPIES = ["ip_id", "ip_flags", "tcp_flags", "dscp", "dport"]
 
 
-def value_sums(counts: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct counts, entropies and presence flags per window: numbers alone, summed by hash."""
+def value_sums(counts: DataFrame, group_cols: tuple[str, ...] = (), tasks: int | None = None) -> DataFrame:
+    """Distinct counts, entropies and presence flags per window: numbers alone, summed by hash.
+
+    With ``tasks`` the counts of a window, which lie in parts, are summed where they are before the windows are dealt out.
+    """
     is_ = lambda f: F.col("field") == f
-    distinct = lambda f, name: F.count_if(is_(f)).cast("double").alias(name)
-    token = lambda t: F.coalesce(F.max(F.when(is_("tcp_flags"), F.array_contains(
-        F.split(F.upper("value"), ","), t))), F.lit(False))
-    present = lambda f, ip: F.coalesce(F.max((is_(f) & (F.col("value") == ip)).cast("double")), F.lit(0.0))
-    return counts.groupBy(*group_cols, "window_end").agg(
-        distinct("flow", "flow_count"), distinct("dport", "port_diversity"),
-        distinct("dst", "destination_diversity"), distinct("src", "source_diversity"),
-        distinct("subnet", "subnet_diversity"), distinct("ttl", "ttl_distinct"),
-        *[windows.entropy_bits(F.col("n"), is_(f)).alias(f"{f}_entropy")
-          for f in ("ip_id", "ip_flags", "tcp_flags", "dscp")],
-        windows.entropy_bits(F.col("n"), is_("dport")).alias("port_entropy"),
-        *[present("src", ip).alias(f"src_ip_{ip}") for ip in MODEL_SRC_IPS],
-        *[present("dst", ip).alias(f"dst_ip_{ip}") for ip in MODEL_DST_IPS],
-        token("FIN").alias("_fin"), token("SYN").alias("_syn"), token("ACK").alias("_ack"),
-        token("SYN-ACK").alias("_synack"))
+    token = lambda t: F.max(F.when(is_("tcp_flags"), F.array_contains(F.split(F.upper("value"), ","), t)))
+    present = lambda f, ip: F.max((is_(f) & (F.col("value") == ip)).cast("double"))
+    distinct = {"flow_count": "flow", "port_diversity": "dport", "destination_diversity": "dst", "source_diversity": "src",
+                "subnet_diversity": "subnet", "ttl_distinct": "ttl"}
+    seen = {**{f"src_ip_{ip}": present("src", ip) for ip in MODEL_SRC_IPS}, **{f"dst_ip_{ip}": present("dst", ip) for ip in MODEL_DST_IPS}}
+    tokens = {"_fin": token("FIN"), "_syn": token("SYN"), "_ack": token("ACK"), "_synack": token("SYN-ACK")}
+    keys = [*group_cols, "window_end"]
+    places = [c for c in windows.PLACES if c in counts.columns]
+    parts = counts.groupBy(*keys, *places).agg(
+        *[F.count_if(is_(f)).alias(name) for name, f in distinct.items()],
+        *[x.alias(f"_{f}_{name}") for f in ENTROPIES for name, x in windows.entropy_sums(F.col("n"), is_(f)).items()],
+        *[c.alias(name) for name, c in {**seen, **tokens}.items()])
+    if tasks:
+        parts = parts.repartition(tasks, *keys)
+    out = parts.groupBy(*keys).agg(
+        *[F.sum(name).alias(name) for name in distinct],
+        *[F.sum(f"_{f}_{name}").alias(f"_{f}_{name}") for f in ENTROPIES for name in ("total", "logs")],
+        *[F.max(q(name)).alias(name) for name in (*seen, *tokens)]) if places else parts
+    return out.select(
+        *keys, *[F.col(name).cast("double").alias(name) for name in distinct],
+        *[windows.entropy_of(F.col(f"_{f}_total"), F.col(f"_{f}_logs")).alias("port_entropy" if f == "dport" else f"{f}_entropy")
+          for f in ENTROPIES],
+        *[F.coalesce(q(name), F.lit(0.0)).alias(name) for name in seen],
+        *[F.coalesce(name, F.lit(False)).alias(name) for name in tokens])
 
 
 def window_features(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = (), whole: bool = False,
@@ -143,9 +160,9 @@ def window_features(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str,
     """
     n = tasks_for(df)
     w = combine_slots(windows.slots(df, cfg, group_cols, times=spectral, tasks=n), cfg, group_cols, whole, times=spectral, tasks=n)
-    v = value_features(windows.value_counts(df, cfg, group_cols, COUNTED, whole, n),
-                       windows.value_counts(df, cfg, group_cols, ["proto"], whole), group_cols)
-    f = w.join(v, [*group_cols, "window_end"])
+    v = value_features(windows.value_counts(df, cfg, group_cols, COUNTED, whole, n, parts=True),
+                       windows.value_counts(df, cfg, group_cols, ["proto"], whole, n), group_cols, n)
+    f = w.repartition(n, *group_cols, "window_end").join(v, [*group_cols, "window_end"])
     if not whole:
         f = windows.complete_only(f, df, emit_partial)
     return feature_columns(f, df, cfg, group_cols, whole, baseline, spectral)

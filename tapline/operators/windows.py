@@ -176,24 +176,27 @@ def dealt(rows: DataFrame, first_pane: Column, cfg: Config, keys: list[str], tas
 
 #: Parts over which the values of a window are counted.
 VALUE_PARTS = 8
+#: Columns that tell in which of the parts of a window its counts lie.
+PLACES = ["_part", "_chunk"]
 
 
-def window_counts(per_pane: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = (), tasks: int | None = None) -> DataFrame:
-    """Occurrences per (window, field, value) from those of its slide intervals."""
+def window_counts(per_pane: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = (), tasks: int | None = None,
+                  parts: bool = False) -> DataFrame:
+    """Occurrences per (window, field, value) from those of its slide intervals; ``parts`` keeps ``PLACES``."""
     sums = [F.sum("n").alias("n"), *([F.min("seen").alias("seen")] if "seen" in per_pane.columns else [])]
     if not tasks:
         return (per_pane.withColumn("window_end", F.explode(_ends(F.col("pane"), cfg)))
                 .groupBy(*group_cols, "window_end", "field", "value").agg(*sums))
     part = F.pmod(F.xxhash64("field", "value"), F.lit(VALUE_PARTS))
     rows = dealt(per_pane.withColumn("_part", part), F.col("pane"), cfg, [*group_cols, "_part"], tasks)
-    return rows.groupBy(*group_cols, "_part", "_chunk", "window_end", "field", "value").agg(*sums).drop("_part", "_chunk")
+    return rows.groupBy(*group_cols, *PLACES, "window_end", "field", "value").agg(*sums).drop(*([] if parts else PLACES))
 
 
 def value_counts(df: DataFrame, cfg: Config = DEFAULT, group_cols: tuple[str, ...] = (),
-                 fields: list[str] | None = None, whole: bool = False, tasks: int | None = None) -> DataFrame:
+                 fields: list[str] | None = None, whole: bool = False, tasks: int | None = None, parts: bool = False) -> DataFrame:
     """Occurrences per (window, field, value)."""
     per_pane = pane_counts(df, cfg, group_cols, fields, whole, tasks)
-    return per_pane.withColumnRenamed("pane", "window_end") if whole else window_counts(per_pane, cfg, group_cols, tasks)
+    return per_pane.withColumnRenamed("pane", "window_end") if whole else window_counts(per_pane, cfg, group_cols, tasks, parts)
 
 
 def last_end(pane: Column, cfg: Config) -> Column:
@@ -205,8 +208,16 @@ def pane_of_slot(slot: Column, cfg: Config) -> Column:
     return floor_div(slot - 1, cfg.slide_us // cfg.slot_us) + 1
 
 
+def entropy_sums(n: Column, when: Column) -> dict[str, Column]:
+    """Aggregates that add up: what the entropy of counts is made of."""
+    return {"total": F.sum(F.when(when, n)), "logs": F.sum(F.when(when, n * F.log2(n)))}
+
+
+def entropy_of(total: Column, logs: Column) -> Column:
+    """Shannon entropy in bits, as log2(total) - sum(n log2 n) / total."""
+    return F.greatest(F.lit(0.0), F.coalesce(F.log2(total) - logs / total, F.lit(0.0)))
+
+
 def entropy_bits(n: Column, when: Column) -> Column:
-    """Aggregate: Shannon entropy of counts, as log2(total) - sum(n log2 n) / total."""
-    total = F.sum(F.when(when, n))
-    h = F.log2(total) - F.sum(F.when(when, n * F.log2(n))) / total
-    return F.greatest(F.lit(0.0), F.coalesce(h, F.lit(0.0)))
+    """Aggregate: Shannon entropy of counts."""
+    return entropy_of(**entropy_sums(n, when))

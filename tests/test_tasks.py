@@ -61,6 +61,18 @@ def test_value_counts_are_summed_by_hash(spark, capsys):
     assert "seen" not in counts.columns  # only protocols carry their order of appearance
 
 
+def test_windows_are_put_together_in_as_many_tasks_as_asked(spark, monkeypatch):
+    """Not in one that Spark makes of them all, and with the sums that undivided counts have."""
+    df = mixed(spark)
+    want = rows_of(features.value_sums(windows.value_counts(df, fields=features.COUNTED)))
+    counts = windows.value_counts(df, fields=features.COUNTED, tasks=37, parts=True)
+    assert rows_of(features.value_sums(counts, tasks=37)) == want
+    protocols = windows.value_counts(df, fields=["proto"], tasks=37)
+    assert features.value_features(counts, protocols, tasks=37).rdd.getNumPartitions() == 37
+    monkeypatch.setattr(features, "tasks_for", lambda rows: 37)
+    assert features.window_features(df, spectral=False).rdd.getNumPartitions() == 37
+
+
 def test_dominant_protocol_of_windows(spark):
     """Most events, then the earliest, and windows without any protocol."""
     df = traffic(spark, [{"at": 0.1 + 0.1 * i, "protocol": p} for i, p in enumerate(["udp", "TCP", "tcp", "UDP", "icmp"])] + [
