@@ -35,6 +35,12 @@ MAGIC = b"TPL1"
 BLOCK = 1 << 16
 END_ID = 2
 CACHE = 500_000  # pieces of a generation
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: ASCII letters and digits, and the letters of U+00C0 to U+024F: the pre-tokenizer always cuts between one of them and ASCII punctuation.
+LETTERS = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+BEFORE_CUT = f"[{LETTERS}]$"
+#: One line end between such characters is a token of its own; there a text is cut too, and the line's first piece is marked.
+LINE, MARK = f"([{LETTERS}!-/:-@\\[-`{{-~])\\n([{LETTERS}])", "\0"
 READ_ROWS = 8192
 
 
@@ -44,7 +50,9 @@ class Encoder:
     The pre-tokenizer never joins a non-space with a following space, so a text whose spaces all follow
     non-spaces is the sequence of its pieces " x"; any other text, and any that holds an added token's string
     (the library takes that out before it splits), goes to the library whole. Unknown pieces are encoded many at a
-    time: no id inside a piece begins with a space, so ids that do mark where pieces start. The cache has two
+    time: no id inside a piece begins with a space, so ids that do mark where pieces start. A piece that ends in ASCII
+    punctuation after a letter or digit is its core and that ending, so one core serves all its endings; lines that follow each
+    other without a space are cut at the line end, where the library cuts as well (texts that hold ``MARK`` go whole). The cache has two
     generations: when the newer one is full it becomes the older, and pieces still in use move on.
     """
 
@@ -57,49 +65,57 @@ class Encoder:
         self.starts = np.array([(self.lib.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.endings: dict[str, bytes] = {}
         added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.uneasy = [c + " " for c in map(chr, range(0x3001)) if c.isspace()] + added
+        spaces = "".join(f"\\x{{{i:x}}}" for i in range(0x3001) if chr(i).isspace())
+        self.uneasy = "|".join([f"[{spaces}] "] + ["".join(f"\\x{{{ord(c):x}}}" for c in a) for a in added] + ["\\x00"])
+        self.line = self.lib.token_to_id("Ċ")
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        easy = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()]
-        for at in range(0, len(easy), 1000):
-            part = easy[at:at + 1000]
-            ids = np.array(self.whole_ids(" " + " ".join(part)), "<u4")
-            cuts = (np.flatnonzero(self.starts[ids]) * 4).tolist()
-            if len(cuts) == len(part):
-                raw = ids.tobytes()
-                self.known.update(zip(part, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)]))))
-            else:
-                self.known.update(zip(part, self.whole([" " + p for p in part])))
-        rest = [p for p in pieces if not p or p[0].isspace() or p[-1].isspace()]
-        self.known.update(zip(rest, self.whole([" " + p for p in rest])))
+        lines = [p for p in pieces if p[:1] == MARK]
+        words = [p for p in pieces if p[:1] != MARK]
+        for found, before, begins in ((words, " ", self.starts), (lines, "\n", np.arange(len(self.starts)) == self.line)):
+            bare = [p.removeprefix(MARK) for p in found]
+            easy = [(p, b) for p, b in zip(found, bare) if b and b.strip() == b]
+            for at in range(0, len(easy), 1000):
+                part, texts = zip(*easy[at:at + 1000])
+                ids = np.array(self.whole_ids(before + before.join(texts)), "<u4")
+                cuts = (np.flatnonzero(begins[ids]) * 4).tolist()
+                if len(cuts) == len(part):
+                    raw = ids.tobytes()
+                    self.known.update(zip(part, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)]))))
+                else:
+                    self.known.update(zip(part, self.whole([before + b for b in texts])))
+            rest = [(p, b) for p, b in zip(found, bare) if not b or b.strip() != b]
+            self.known.update(zip([p for p, _ in rest], self.whole([before + b for _, b in rest])))
 
     def whole_ids(self, text: str) -> list[int]:
         return self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        odd = [i for i, t in enumerate(texts) if any(map(t.__contains__, self.uneasy))]
+        if not texts:
+            return []
+        odd = np.flatnonzero(pc.match_substring_regex(pa.array(texts, pa.large_string()), self.uneasy).to_numpy(zero_copy_only=False)).tolist()
         easy = sorted(set(range(len(texts))) - set(odd))
         out = dict(zip(odd, self.whole([texts[i] for i in odd])))
         out.update(zip(easy, self._pieced([texts[i] for i in easy])))
         return [out[i] for i in range(len(texts))]
 
     def _pieced(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of texts cut at spaces: every distinct piece is looked up once, its ids are gathered by position."""
+        """Ids of texts cut at spaces and line ends: every distinct piece is looked up once, its ids are gathered by position."""
         if not texts:
             return
-        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        split = pc.split_pattern(pc.replace_substring_regex(pa.array(texts, pa.large_string()), LINE, f"\\1 {MARK}\\2"), " ")
         coded = split.flatten().dictionary_encode()
-        pieces, edges = coded.dictionary.to_pylist(), split.offsets.to_numpy()
+        pieces, edges = coded.dictionary, split.offsets.to_numpy()
         at = coded.indices.to_numpy().astype(np.int64)
         names, head = np.unique(at[edges[:-1]], return_inverse=True)  # first pieces follow no space
         at[edges[:-1]] = len(pieces) + head
-        self._know(pieces)
-        raw = list(map(self.known.__getitem__, pieces)) + self.whole([pieces[i] for i in names])
+        raw = self._ids(pieces) + self.whole(_strings(pieces.take(pa.array(names))))
         sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
         begins, n = np.cumsum(sizes) - sizes, sizes[at]
         ends = np.concatenate([[0], np.cumsum(n)])
@@ -108,6 +124,25 @@ class Encoder:
         for a, b in zip(bounds[:-1], bounds[1:]):
             yield ids[a:b].tobytes()
 
+    def _ids(self, pieces: pa.Array) -> list[bytes]:
+        """Ids of distinct pieces that follow a space, or a line end if marked."""
+        bare = pc.utf8_rtrim(pieces, PUNCTUATION)
+        cut = pc.and_(pc.not_equal(bare, pieces), pc.match_substring_regex(bare, BEFORE_CUT))
+        coded = pc.if_else(cut, bare, pieces).dictionary_encode()
+        cores = _strings(coded.dictionary)
+        self._know(cores)
+        raw = list(map(list(map(self.known.__getitem__, cores)).__getitem__, coded.indices.to_numpy().tolist()))
+        for i, p, c in zip(np.flatnonzero(cut.to_numpy(zero_copy_only=False)).tolist(), _strings(pieces.filter(cut)), _strings(bare.filter(cut))):
+            raw[i] += self._ending(p[len(c):])
+        return raw
+
+    def _ending(self, text: str) -> bytes:
+        if text not in self.endings:
+            if len(self.endings) >= CACHE:
+                self.endings.clear()
+            self.endings[text] = self.whole([text])[0]
+        return self.endings[text]
+
     def _know(self, pieces: list[str]) -> None:
         """Put all the pieces into the newer generation."""
         new = [p for p in pieces if p not in self.known]
@@ -118,6 +153,10 @@ class Encoder:
         self._learn([p for p in new if p not in held])
 
 
+def _strings(found: pa.Array) -> list[str]:
+    return found.to_numpy(zero_copy_only=False).tolist()
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

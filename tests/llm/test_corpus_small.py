@@ -198,6 +198,13 @@ def library_ids(texts):
     return [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_one_core_serves_all_endings_and_lines():
+    e = bitplanes.Encoder(bitplanes.tokenizer_file())
+    texts = ["a haus haus, haus. haus!!\nhaus, it's' 12, über; x\u00b2. haus.\n\nhaus", "a\nb\nhaus.\nEs haus,\n", "a \0 b", "\u00d7, haus\u3000\nhaus", ""]
+    assert e.encode(texts) == [e.whole([t])[0] for t in texts]
+    assert {"haus", "\0haus"} <= set(e.known) and not {"haus,", "haus!!", "haus!!\nhaus,"} & set(e.known)
+
+
 def test_encoder_special_strings_and_generations(monkeypatch):
     monkeypatch.setattr(bitplanes, "CACHE", 40)
     e, rng = bitplanes.Encoder(bitplanes.tokenizer_file()), random.Random(6)
