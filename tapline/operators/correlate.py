@@ -29,7 +29,8 @@ def _order() -> Column:
     return F.struct("ts_us", "event_id", "seq")
 
 
-def _fragments(signals: DataFrame, cfg: Config) -> DataFrame:
+def fragments(signals: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """One row per key and gap-long bucket, with the incident it belongs to."""
     frag = (signals.withColumn("_bucket", floor_div(F.col("ts_us"), cfg.incident_gap_us))
             .groupBy(*KEY, "_bucket").agg(
                 F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"),
@@ -54,9 +55,11 @@ def incidents(signals: DataFrame, cfg: Config = DEFAULT, state: str = "final") -
     """One row per incident.
 
     ``state="final"`` holds what the incident has grown to; ``state="first"`` is the row emitted at
-    its first signal, which is never revised.
+    its first signal, which is never revised. ``signals`` may be their fragments, so that both states
+    come from one table of fragments and no task sorts stored signals again.
     """
-    merged = _fragments(signals, cfg).groupBy("incident_id", *KEY, "_start").agg(
+    parts = signals if "_start" in signals.columns else fragments(signals, cfg)
+    merged = parts.groupBy("incident_id", *KEY, "_start").agg(
         F.max("last_us").alias("last_us"), F.sum("event_count").alias("event_count"),
         F.max("_rank").alias("_rank"),
         # Distinct method lists only: at most one per combination of methods.
@@ -88,7 +91,7 @@ def incident_evidence(signals: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     Texts are deduplicated per key and bucket before they move; the rank filter is applied per task
     before the final shuffle, so a long incident never gathers its texts in one place.
     """
-    where = _fragments(signals, cfg).select(*KEY, "_bucket", "incident_id")
+    where = fragments(signals, cfg).select(*KEY, "_bucket", "incident_id")
     texts = (signals.filter("evidence <> ''")
              .withColumn("_bucket", floor_div(F.col("ts_us"), cfg.incident_gap_us))
              .groupBy(*KEY, "_bucket", "evidence").agg(F.min(_order()).alias("_at")))

@@ -919,7 +919,7 @@ def assets_upserted(spark, sf):
 @query
 def incidents_upserted(spark, sf):
     """Incidents stored in their first state, then updated to the final one and read back."""
-    s = materialise(detection.signals(_traffic(spark, sf), _verdicts(spark)), "signals")
+    s = materialise(correlate.fragments(detection.signals(_traffic(spark, sf), _verdicts(spark))), "fragments")
     table = KeyedTable(spark, scratch(spark, "incidents"), "incident_id", 16)
     for version, state in ((1, "first"), (2, "final")):
         table.merge(correlate.incidents(s, state=state), version)
@@ -950,7 +950,7 @@ def newest_model_scores(spark, sf):
 def alerts_stored_latest(spark, sf):
     """Alerts stored in both states, read back by latest version with their JSON evidence."""
     path = scratch(spark, "alert-store")
-    s = materialise(detection.signals(_traffic(spark, sf), _verdicts(spark)), "signals")
+    s = materialise(correlate.fragments(detection.signals(_traffic(spark, sf), _verdicts(spark))), "fragments")
     for state in ("first", "final"):
         sinks.save_alerts(correlate.incident_alerts(correlate.incidents(s, state=state)), path)
     stored = sinks.read(spark, f"{path}/alerts")

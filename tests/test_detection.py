@@ -156,6 +156,13 @@ def test_long_incident_spans_buckets(spark):
     assert correlate.incident_evidence(s).first().evidence == [f"e{i}" for i in range(10)]
 
 
+def test_both_states_follow_from_one_table_of_fragments(spark):
+    s = _signal_rows(spark, [("A", "m", "LOW", f"e{i}", i * 9.5 + (i > 7) * 40) for i in range(20)] + [("B", "n", "HIGH", "x", 3)])
+    parts = correlate.fragments(s)
+    for state in ("first", "final"):
+        assert sorted(correlate.incidents(parts, state=state).collect()) == sorted(correlate.incidents(s, state=state).collect())
+
+
 def test_alert_rows(spark):
     s = _signal_rows(spark, [("INSECURE_PROTOCOL", "Signature Detection", "MEDIUM", "x", 0)])
     a = correlate.incident_alerts(correlate.incidents(s, state="first")).first()
