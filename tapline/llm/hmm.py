@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,16 +48,32 @@ def word_class(word: bytes) -> int:
     return zlib.crc32(word[:2] + b"|" + word[-2:]) % CLASSES
 
 
+def word_classes(words: pa.Array) -> np.ndarray:
+    """``word_class`` of every word."""
+    ends = pc.binary_join_element_wise(pc.binary_slice(words, 0, 2), pc.binary_slice(words, -2), pa.scalar(b"|", words.type)).dictionary_encode()
+    return np.array([zlib.crc32(x) % CLASSES for x in ends.dictionary.to_pylist()], np.int64)[ends.indices.to_numpy()]
+
+
+def words_of(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words (as ``tokens`` gives them) of a batch, their positions in it by token, and the bounds of its texts."""
+    texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = split.flatten().cast(pa.large_binary()).dictionary_encode()
+    at, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    solid = pc.not_equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # outer spaces leave empty words
+    held = solid[at] if len(at) else np.empty(0, bool)
+    edges = np.concatenate([[0], np.cumsum(held)])[split.offsets.to_numpy()]
+    return words.filter(pa.array(solid)), (np.cumsum(solid) - 1)[at[held]], edges
+
+
 def word_counts(docs: DataFrame, learn) -> DataFrame:
     """word, cls, c over all training texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            words = list(held)
             return pa.RecordBatch.from_pydict({
-                "word": pa.array(words, pa.binary()), "cls": pa.array([word_class(w) for w in words], pa.int32()),
-                "n": pa.array(list(held.values()), pa.int64())})
+                "word": pa.array(list(held), pa.binary()), "n": pa.array(list(held.values()), pa.int64())})
 
         for batch in batches:
             for text in texts_of(batch):
@@ -66,8 +83,9 @@ def word_counts(docs: DataFrame, learn) -> DataFrame:
                 held.clear()
         yield out()
 
-    counted = docs.filter(learn).select("text").mapInArrow(run, "word binary, cls int, n long")
-    return saved(counted.groupBy("word", "cls").agg(F.sum("n").alias("c")), "hmm-words")
+    counted = docs.filter(learn).select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    cls = F.expr(f"cast(crc32(concat(substring(word, 1, 2), cast('|' as binary), substring(word, -2, 2))) % {CLASSES} as int)")  # as ``word_class``
+    return saved(counted.select("word", cls.alias("cls"), "c"), "hmm-words")
 
 
 class Vocabulary:
@@ -131,27 +149,28 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, held_out) -> DataFrame:
         start = state.get("n", 0) + (TaskContext.get().partitionId() << 36)
         state["n"] = state.get("n", 0) + batch.num_rows
         out: dict[str, list] = {k: [] for k in ("n_tokens", "sym", "head_known", "head_base")}
-        words, classes, counts, offsets = [], [], [], [0]
-        for text in texts_of(batch):
-            found = tokens(text)
-            ids = np.array([head.get(w, -1) for w in found] + [end], np.int64)
-            rare = np.flatnonzero(ids < 0)
-            in_head = ids[ids >= 0]
+        words, at, edges = words_of(batch)
+        of = np.fromiter((head.get(w, -1) for w in words.to_numpy(zero_copy_only=False).tolist()), np.int64, len(words))
+        rare = np.flatnonzero(of < 0)
+        classes = np.zeros(len(words), np.int64)
+        classes[rare] = word_classes(words.take(pa.array(rare)))
+        of[rare] = classes[rare] + end + 1
+        symbols = of[at]
+        for a, b in zip(edges[:-1], edges[1:]):
+            ids = np.append(symbols[a:b], end)
+            in_head = ids[ids <= end]
             out["head_known"].append(len(in_head) - (n_texts == 0))
             out["head_base"].append(float(logs[in_head].sum()))
-            if len(rare):
-                cls = [word_class(found[i]) for i in rare]
-                ids[rare] = np.array(cls) + end + 1
-                of = dict(zip((found[i] for i in rare), cls))
-                rest = Counter(found[i] for i in rare)
-                words += rest.keys()
-                counts += rest.values()
-                classes += [of[w] for w in rest]
-            offsets.append(len(words))
             out["n_tokens"].append(len(ids))
             out["sym"].append(ids.astype("<u2").tobytes())
+        # rarer words of every text, each once with its count
+        where = np.flatnonzero(symbols > end)
+        text = np.searchsorted(edges, where, side="right") - 1
+        pairs, counts = np.unique(text * max(1, len(words)) + at[where], return_counts=True)
+        text, which = np.divmod(pairs, max(1, len(words)))
+        offsets = np.searchsorted(text, np.arange(batch.num_rows + 1))
         tail = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(
-            [pa.array(words, pa.binary()), pa.array(classes, pa.int32()), pa.array(counts, pa.int32())], fields=list(kind)))
+            [words.take(pa.array(which)).cast(pa.binary()), pa.array(classes[which], pa.int32()), pa.array(counts, pa.int32())], fields=list(kind)))
         return out | {"_uid": np.arange(start, start + batch.num_rows), "doc_id": batch.column("doc_id"),
                       "held_out": batch.column("held_out"), "tail": tail}
 

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -492,3 +493,25 @@ def test_pipeline_stages(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, str(tmp_path))
         assert empty.count() == 0
+
+
+def test_words_of_a_batch_are_looked_up_once(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aÄb \t\n\x0b\x0c\r\x1c\x85\xa0日X.\0") for _ in range(rng.randint(0, 30))) for _ in range(300)] + [None, "", " "]
+    words, at, edges = hmm.words_of(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}))
+    found = words.to_pylist()
+    assert len(set(found)) == len(found) and b"" not in found
+    assert [[found[i] for i in at[a:b]] for a, b in zip(edges[:-1], edges[1:])] == [hmm.tokens((t or "").encode()) for t in texts]
+    assert hmm.word_classes(words).tolist() == [hmm.word_class(w) for w in found]
+    counted = hmm.word_counts(documents(spark, texts), F.lit(True)).collect()
+    assert {bytes(r["word"]): (r["cls"], r["c"]) for r in counted} == {w: (hmm.word_class(w), int((at == i).sum())) for i, w in enumerate(found)}
+
+
+def test_rows_dealt_anew_grow_as_the_sets(spark):
+    def dealt(n: int) -> int:
+        """Sets of 19 chosen tokens, of which two runs are in large buckets, one of them in many."""
+        sets = spark.createDataFrame([(i, [(i * 50 + t) << 3 | t % 5 for t in range(19)]) for i in range(n)], "uid long, tokens array<long>")
+        again = spark.createDataFrame([(i, run) for i in range(n) for run in (0, 0, 0, 3)], "uid long, run long")
+        return chosen_path._dealt_anew(sets, again, 2).count()
+
+    assert [dealt(100), dealt(200), dealt(400)] == [800, 1600, 3200]
