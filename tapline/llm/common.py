@@ -37,10 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
-def saved(df: DataFrame, purpose: str, codec: str = "snappy") -> DataFrame:
-    """Write below spark.checkpoint.dir and read back: cuts the lineage and survives lost executors."""
+def saved(df: DataFrame, purpose: str, codec: str = "snappy", block: int | None = None) -> DataFrame:
+    """Write below spark.checkpoint.dir and read back: cuts the lineage and survives lost executors.
+
+    ``block`` bounds the bytes of a row group, for tables of large rows.
+    """
     path = scratch(df.sparkSession, purpose)
-    df.write.option("compression", codec).parquet(path)
+    writer = df.write.option("compression", codec)
+    (writer.option("parquet.block.size", block) if block else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by inner product: an NN-descent graph and greedy search on it.
 
 Vectors go to shards of at most ``SHARD_FLOATS`` numbers by a hash of their row; every row is in one. Inside a shard a
-neighbour graph starts from random-projection blocks and is improved by rounds of NN-descent: a Spark join brings
-every node the neighbours of its neighbours (forward and sampled reverse ones), which are compared with the node and
-the best kept. A query enters each shard, at its own node if it lives there, and expands the best unexpanded nodes
+neighbour graph starts from random-projection blocks and is improved by rounds of NN-descent: the neighbours of a node's
+neighbours (forward and sampled reverse ones) are compared with the node and the best kept, a block of nodes in a task that
+holds its shard. Shards travel and are stored in rows of some ``PART_BYTES``, and a task holds one shard at a time, whatever the
+table's size; queries stream through the tasks of the search. A query enters each shard, at its own node if it lives there, and expands the best unexpanded nodes
 of a beam until none is left. The graph is built on vectors lengthened to one norm, so that nearness by inner product is a
 distance. Scores are inner products of the original vectors in double precision.
 
@@ -16,10 +17,17 @@ their own, a query's own row excepted; fewer candidates than asked for give fewe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby, pairwise
+from operator import itemgetter
+from typing import NamedTuple
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, FloatType, StructType
 
 from tapline.llm.common import saved, table
 
@@ -32,41 +40,135 @@ BEAM = 512
 STEP = 8
 NODE_BLOCK = 4096
 QUERY_BLOCK = 512
+QUERY_TASK = 1 << 15
 NEIGHBOURS = 20
+#: Bytes of a shard's matrix in one row, and of a row group of such rows.
+PART_BYTES = 1 << 14
+GROUP_BYTES = 1 << 24
+#: Nodes of a shard that are worked on at once.
+SLICE = 4096
 
 
 def points(df: DataFrame, vector: str = "embedding") -> DataFrame:
-    """_uid, vec_id, dim, vec, shard of the rows that take part."""
+    """_uid, vec_id, dim, vec, shard of the rows that take part; shards are numbered from 0, a vector length has neighbouring ones."""
     v = F.col("vec")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = df.select("vec_id", F.col(vector).cast("array<double>").alias("vec")).filter(
+    given = df.schema[vector].dataType
+    kind = "array<float>" if isinstance(given, ArrayType) and isinstance(given.elementType, FloatType) else "array<double>"
+    rows = df.select("vec_id", F.col(vector).cast(kind).alias("vec")).filter(
         v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0))
     rows = saved(rows.select(F.monotonically_increasing_id().alias("_uid"), F.col("vec_id").cast("bigint").alias("vec_id"),
                              F.size("vec").alias("dim"), "vec"), "nn-points")
-    counts = rows.groupBy("dim").agg(F.ceil(F.count("*") * F.col("dim") / SHARD_FLOATS).cast("int").alias("_s"))
-    return rows.join(F.broadcast(counts), "dim").withColumn(  # one row per vector length
-        "shard", F.col("dim").cast("bigint") * (1 << 32) + F.pmod(F.xxhash64("_uid"), F.col("_s"))).drop("_s")
+    counts = rows.groupBy("dim").agg(F.ceil(F.count("*") * F.col("dim") / SHARD_FLOATS).cast("int").alias("_s")).withColumn(
+        "_o", F.sum("_s").over(Window.orderBy("dim")) - F.col("_s"))  # one row per vector length
+    return rows.join(F.broadcast(counts), "dim").withColumn(
+        "shard", F.col("_o") + F.pmod(F.xxhash64("_uid"), F.col("_s"))).drop("_s", "_o")
+
+
+class Sizes(NamedTuple):
+    cores: int
+    shards: int
+    nodes: int
+    numbers: int
+    largest: int
+
+    def tasks(self, blocks: int) -> int:
+        """A task for each block of each shard; shards far below the bound, as of many vector lengths, share tasks."""
+        return max(1, min(self.shards * blocks, 4 * self.cores + blocks * -(-self.numbers // SHARD_FLOATS)))
+
+
+def sizes(shards: DataFrame) -> Sizes:
+    n = F.col("n").cast("long")
+    return Sizes(shards.sparkSession.sparkContext.defaultParallelism, *(x or 0 for x in shards.filter("first = 0").agg(
+        F.count("*"), F.sum(n), F.sum(n * F.col("dim")), F.max(n)).first()))
+
+
+def sliced(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Batches cut where one of the keys, which are numbers, changes."""
+    for batch in batches:
+        at = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(at)]
+        for a, b in pairwise(cuts):
+            if b > a:
+                yield tuple(at[a].tolist()), batch.slice(a, b - a)
+
+
+def dealt(rows: DataFrame, keys: list[str], order: list[str], task: Column, tasks: int, fn, schema: str) -> DataFrame:
+    """``fn(key, batches of one key) -> lists of columns``; batches arrive in order and are not gathered."""
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, group in groupby(sliced(batches, keys), itemgetter(0)):
+            for columns in fn(key, (batch for _, batch in group)):
+                yield pa.RecordBatch.from_arrays(
+                    [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
+
+    return rows.repartitionById(tasks, F.pmod(task, F.lit(tasks)).cast("int")).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def cut(step: int, *arrays: np.ndarray, some: int = 256) -> Iterator[tuple[list[int], list[list[bytes]]]]:
+    """Starts and bytes of ``step`` rows each of the arrays, ``some`` pieces at a time."""
+    starts = range(0, len(arrays[0]), step)
+    for a in range(0, len(starts), some):
+        yield [*starts[a:a + some]], [[x[i:i + step].tobytes() for i in starts[a:a + some]] for x in arrays]
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """One row per shard: its vectors as a matrix, ids in the order of ties."""
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["vec_id", "_uid"], na_position="last")
-        return pd.DataFrame({
-            "shard": [pdf["shard"].iloc[0]], "n": [len(pdf)], "dim": [int(pdf["dim"].iloc[0])],
-            "ids": [pdf["vec_id"].fillna(0).to_numpy(np.int64).tobytes()],
-            "named": [pdf["vec_id"].notna().to_numpy().astype(np.uint8).tobytes()],
-            "uids": [pdf["_uid"].to_numpy(np.int64).tobytes()], "matrix": [np.stack(pdf["vec"].to_numpy()).tobytes()]})
+    """The matrices of shards in rows of some ``PART_BYTES``: the first node and the ids of its vectors, in the order of ties."""
+    def pack(key: tuple, batches: Iterator[pa.RecordBatch]):
+        held = [(b.column("vec_id"), b.column("_uid").to_numpy(), vectors(b)) for b in batches]
+        ids = np.concatenate([i.fill_null(0).to_numpy() for i, _, _ in held])
+        named = np.concatenate([i.is_valid().to_numpy(zero_copy_only=False) for i, _, _ in held])
+        uids, x = (np.concatenate([h[c] for h in held]) for c in (1, 2))
+        del held
+        order = np.lexsort((uids, ids, ~named))
+        for at, pieces in cut(max(1, PART_BYTES // x[0].nbytes), order):
+            nodes = [np.frombuffer(p, order.dtype) for p in pieces[0]]
+            yield ([key[0]] * len(at), [len(x)] * len(at), [x.shape[1]] * len(at), at, [ids[i].tobytes() for i in nodes],
+                   [named[i].tobytes() for i in nodes], [uids[i].tobytes() for i in nodes], [x[i].tobytes() for i in nodes])
+
+    size = sizes(rows.groupBy("shard", "dim").agg(F.count("*").alias("n")).withColumn("first", F.lit(0)))
+    return saved(dealt(rows.select("shard", "_uid", "vec_id", "vec"), ["shard"], [], F.col("shard"), size.tasks(1), pack,
+                       "shard long, n int, dim int, first int, ids binary, named binary, uids binary, matrix binary"),
+                 "nn-shards", block=GROUP_BYTES)
+
+
+def vectors(batch: pa.RecordBatch) -> np.ndarray:
+    """The vectors of a batch, which are of one length."""
+    return batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
-    return saved(rows.groupBy("shard").applyInPandas(
-        pack, "shard long, n int, dim int, ids binary, named binary, uids binary, matrix binary"), "nn-shards")
 
+def matrix_of(part: bytes, named: bytes, dim: int) -> np.ndarray:
+    """The vectors of a part, as doubles or as the floats they were."""
+    return np.frombuffer(part, f"f{len(part) // (len(named) * dim)}").reshape(-1, dim)
 
-def lengthened(matrix: bytes, dim: int) -> np.ndarray:
+
+def filled(whole: np.ndarray | None, n: int, first: int, part: np.ndarray) -> np.ndarray:
+    """Puts a part's rows into the shard's array, which the first part makes."""
+    if whole is None:
+        whole = np.empty((n, *part.shape[1:]), part.dtype)
+    whole[first:first + len(part)] = part
+    return whole
+
+
+def lengthened(x: np.ndarray) -> np.ndarray:
     """Vectors with one more component that brings all to the largest norm."""
-    x = np.frombuffer(matrix).reshape(-1, dim)
-    square = (x * x).sum(axis=1)
-    return np.concatenate([x, np.sqrt(np.maximum(square.max() - square, 0))[:, None]], axis=1).astype(np.float32)
+    square, out = np.empty(len(x)), np.empty((len(x), x.shape[1] + 1), np.float32)
+    for a in range(0, len(x), SLICE):
+        part = x[a:a + SLICE].astype(float)
+        square[a:a + SLICE], out[a:a + SLICE, :-1] = (part * part).sum(axis=1), part
+    out[:, -1] = np.sqrt(np.maximum(square.max() - square, 0))
+    return out
+
+
+def top(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row, whose ids differ, best first; -1 pads."""
+    if ids.shape[1] > k:
+        some = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+        ids, sims = np.take_along_axis(ids, some, 1), np.take_along_axis(sims, some, 1)
+    order = np.argsort(-sims, axis=1, kind="stable")
+    ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+    return np.where(np.isneginf(sims), -1, ids), sims
 
 
 def best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,12 +177,7 @@ def best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1).copy()
     sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -np.inf
     sims[ids < 0] = -np.inf
-    if ids.shape[1] > k:
-        top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        ids, sims = np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1)
-    order = np.argsort(-sims, axis=1, kind="stable")
-    ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-    return np.where(np.isneginf(sims), -1, ids), sims
+    return top(ids, sims, k)
 
 
 def seeded(x: np.ndarray, degree: int, trees: int, leaf: int) -> np.ndarray:
@@ -102,99 +199,136 @@ def seeded(x: np.ndarray, degree: int, trees: int, leaf: int) -> np.ndarray:
                 top = np.argpartition(-near, k - 1, axis=1)[:, :k]
                 ids[part, tree * degree:tree * degree + k] = part[top]
                 sims[part, tree * degree:tree * degree + k] = np.take_along_axis(near, top, 1)
-    return best(ids, sims, degree)[0]
-
-
-def improved(x: np.ndarray, nodes: np.ndarray, candidates: list[np.ndarray], degree: int) -> np.ndarray:
-    """The nearest of each node's candidates."""
-    out = np.full((len(nodes), degree), -1, np.int64)
+    return np.concatenate([best(ids[a:a + SLICE], sims[a:a + SLICE], degree)[0] for a in range(0, n, SLICE)])
+
+
+def hashed(*columns: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of columns of ints."""
+    p1, p2, p3, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = np.full(len(columns[0]), 42, np.uint64)
+    for column in columns:
+        h += p5 + np.uint64(4)
+        h ^= column.astype(np.uint32).astype(np.uint64) * p1
+        h = (h << np.uint64(23) | h >> np.uint64(41)) * p2 + p3
+        h ^= h >> np.uint64(33)
+        h *= p2
+        h ^= h >> np.uint64(29)
+        h *= p3
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+def around(near: np.ndarray) -> np.ndarray:
+    """Adds to each node at most as many nodes that list it, one for each residue of a hash; -1 pads."""
+    n, degree = near.shape
+    back, low = np.full(n * degree, -1, np.int32), np.full(n * degree, np.iinfo(np.int64).max)
+    for a in range(0, n, SLICE):
+        u, c = np.nonzero(near[a:a + SLICE] >= 0)
+        u += a
+        node = near[u, c]
+        h = hashed(u, node)
+        at = node * np.int64(degree) + h % degree
+        np.minimum.at(low, at, h)
+        least = h == low[at]
+        back[at[least]] = u[least]
+    back = back.reshape(n, degree)
+    for a in range(0, n, SLICE):
+        part = back[a:a + SLICE]
+        for c in near[a:a + SLICE].T:
+            part[part == c[:, None]] = -1
+    return np.concatenate([near, back], axis=1)
+
+
+def improved(x: np.ndarray, nodes: np.ndarray, near: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """The nearest of the nodes around each node and of those these list."""
+    out = np.empty((len(nodes), near.shape[1]), np.int32)
     for a in range(0, len(nodes), 128):
-        u, part = nodes[a:a + 128], candidates[a:a + 128]
-        width = max(map(len, part))
-        ids = np.full((len(u), max(width, degree)), -1, np.int64)
-        for i, c in enumerate(part):
-            ids[i, :len(c)] = c
+        u = nodes[a:a + 128]
+        mid = links[u]
+        ids = near[np.maximum(mid, 0)]
+        ids[mid < 0] = -1
+        ids = np.concatenate([mid, ids.reshape(len(u), -1)], axis=1)
         ids[ids == u[:, None]] = -1
         ids.sort(axis=1)
         ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
         sims = np.full(ids.shape, -np.inf, np.float32)
-        r, c = np.nonzero(ids >= 0)
-        sims[r, c] = np.einsum("ij,ij->i", x[u[r]], x[ids[r, c]])
-        out[a:a + 128] = best(ids, sims, degree)[0]
+        for i, v in enumerate(u):
+            c = np.flatnonzero(ids[i] >= 0)
+            sims[i, c] = x.take(ids[i, c], 0) @ x[v]
+        out[a:a + 128] = top(ids, sims, near.shape[1])[0]
     return out
 
 
 def graph(shards: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
-    """shard, node, near (forward neighbours, best first) and around (those and sampled reverse ones)."""
-    def first(pdfs):
-        for pdf in pdfs:
-            for row in pdf.itertuples():
-                near = seeded(lengthened(row.matrix, row.dim), degree, trees, leaf)
-                yield pd.DataFrame({"shard": row.shard, "node": np.arange(len(near), dtype=np.int32),
-                                    "near": [x[x >= 0] for x in near]})
-
-    def refine(key, candidates: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        if not len(candidates) or not len(shard):
-            return pd.DataFrame({"shard": [], "node": [], "near": []})
-        x = lengthened(shard["matrix"].iloc[0], int(shard["dim"].iloc[0]))
-        nodes = candidates["node"].to_numpy(np.int64)
-        near = improved(x, nodes, [np.asarray(c, np.int64) for c in candidates["candidates"]], degree)
-        return pd.DataFrame({"shard": key[0], "node": nodes.astype(np.int32), "near": [n[n >= 0] for n in near]})
-
-    schema = "shard long, node int, near array<int>"
-    now = saved(shards.select("shard", "dim", "matrix").mapInPandas(first, schema), "nn-graph")
-    blocks = shards.select("shard", "dim", "matrix", F.explode(F.sequence(
-        F.lit(0), F.floor((F.col("n") - 1) / NODE_BLOCK).cast("int"))).alias("block"))
+    """shard, n, width, first, x (lengthened vectors) and near (neighbours, best first; -1 pads) of a part's nodes."""
+    size = sizes(shards)
+    # few shards are improved by many tasks each, of which every one gets the whole shard
+    share = max(NODE_BLOCK, -(-size.nodes // (2 * size.cores)))
+    blocks = -(-size.largest // share)
+
+    def parts(shard: int, x: np.ndarray, near: np.ndarray, low: int, n: int):
+        for at, pieces in cut(max(1, PART_BYTES // x[0].nbytes), x, near):
+            yield [shard] * len(at), [n] * len(at), [x.shape[1]] * len(at), [low + a for a in at], *pieces
+
+    def begin(key: tuple, batches: Iterator[pa.RecordBatch]):
+        x = None
+        for b in batches:
+            for n, dim, first, named, part in zip(*(b.column(c).to_pylist() for c in ("n", "dim", "first", "named", "matrix"))):
+                x = filled(x, n, first, matrix_of(part, named, dim))
+        x = lengthened(x)
+        yield from parts(key[0], x, seeded(x, degree, trees, leaf), 0, len(x))
+
+    def refine(key: tuple, batches: Iterator[pa.RecordBatch]):
+        x = near = None
+        for b in batches:
+            for n, width, first, some, listed in zip(*(b.column(c).to_pylist() for c in ("n", "width", "first", "x", "near"))):
+                x = filled(x, n, first, np.frombuffer(some, np.float32).reshape(-1, width))
+                near = filled(near, n, first, np.frombuffer(listed, np.int32).reshape(-1, degree))
+        nodes = np.arange(key[1] * share, min(len(x), (key[1] + 1) * share), dtype=np.int32)
+        better = improved(x, nodes, near, around(near))
+        yield from parts(key[0], x[nodes[0]:nodes[-1] + 1], better, int(nodes[0]), len(x))
+
+    schema = "shard long, n int, width int, first int, x binary, near binary"
+    now = saved(dealt(shards.select("shard", "n", "dim", "first", "named", "matrix"), ["shard"], ["first"], F.col("shard"),
+                      size.tasks(1), begin, schema), "nn-graph", block=GROUP_BYTES)
     for _ in range(rounds):
-        around = _around(now, degree)
-        # neighbours of neighbours: the lists of all nodes around a node meet at it
-        reach = around.select("shard", F.col("node").alias("u"), F.explode("around").alias("node")).join(
-            now, ["shard", "node"]).groupBy("shard", "u").agg(F.flatten(F.collect_list("near")).alias("_c"))
-        reach = around.select("shard", F.col("node").alias("u"), "around").join(reach, ["shard", "u"], "left").select(
-            "shard", F.col("u").alias("node"), F.floor(F.col("u") / NODE_BLOCK).cast("int").alias("block"),
-            F.concat("around", F.coalesce("_c", F.array().cast("array<int>"))).alias("candidates"))
-        now = saved(reach.groupBy("shard", "block").cogroup(blocks.groupBy("shard", "block")).applyInPandas(refine, schema),
-                    "nn-graph")
-    return _around(now, degree)
-
-
-def _around(now: DataFrame, degree: int) -> DataFrame:
-    """Adds to each node at most ``degree`` nodes that list it, one for each residue of a hash."""
-    back = now.select("shard", F.col("node").alias("u"), F.explode("near").alias("node"))
-    back = back.withColumn("_h", F.xxhash64("u", "node")).groupBy("shard", "node", F.pmod("_h", F.lit(degree)).alias("_r")).agg(
-        F.min_by("u", "_h").alias("u")).groupBy("shard", "node").agg(F.collect_list("u").alias("back"))
-    return now.join(back, ["shard", "node"], "left").select(
-        "shard", "node", "near", F.array_distinct(F.concat("near", F.coalesce("back", F.array().cast("array<int>")))).alias("around"))
+        # neighbours of neighbours: a node's lists and those of all nodes around it meet in the task of its block
+        placed = now.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / share).cast("int"))))
+        now = saved(dealt(placed, ["shard", "block"], ["first"], F.col("shard") * blocks + F.col("block"), size.tasks(blocks), refine,
+                          schema), "nn-graph", block=GROUP_BYTES)
+    return now
 
 
 def walked(x: np.ndarray, links: np.ndarray, q: np.ndarray, own: np.ndarray, beam: int, step: int = STEP) -> np.ndarray:
     """Greedy beam search for all rows of q in lock step; ``own`` is a query's node here or -1. Returns beams of nodes."""
     n, m = len(x), len(q)
     rows = np.arange(m)
-    seen = np.zeros((m, n), bool)
-    seen[rows[own >= 0], own[own >= 0]] = True
-    doors = np.linspace(0, n - 1, min(n, 16)).astype(np.int64)
+    seen = np.zeros(m * n, bool)
+    seen[(rows * n + own)[own >= 0]] = True
+    doors = np.linspace(0, n - 1, min(n, 16)).astype(links.dtype)
     fresh = np.concatenate([np.repeat(doors[None], m, 0), links[np.maximum(own, 0)]], axis=1)
     fresh[own < 0, len(doors):] = -1
-    ids, sims = np.full((m, beam), -1, np.int64), np.full((m, beam), -np.inf, np.float32)
+    ids, sims = np.full((m, beam), -1, links.dtype), np.full((m, beam), -np.inf, np.float32)
     done = np.ones((m, beam), bool)
     while True:
-        fresh.sort(axis=1)
-        ok = fresh >= 0
-        ok[:, 1:] &= fresh[:, 1:] != fresh[:, :-1]
-        ok &= ~seen[rows[:, None], np.maximum(fresh, 0)]
-        r, c = np.nonzero(ok)
-        if not len(r):
-            found = np.full(fresh.shape, -np.inf, np.float32)
-        else:
-            seen[r, fresh[r, c]] = True
-            found = np.full(fresh.shape, -np.inf, np.float32)
-            found[r, c] = np.einsum("ij,ij->i", q[r], x[fresh[r, c]])
-        ids, sims = np.concatenate([ids, fresh], 1), np.concatenate([sims, found], 1)
-        done = np.concatenate([done, ~ok], 1)
-        top = np.argpartition(-sims, beam - 1, axis=1)[:, :beam]
-        ids, sims, done = (np.take_along_axis(a, top, 1) for a in (ids, sims, done))
-        done |= np.isneginf(sims)
+        r, c = np.nonzero(fresh >= 0)
+        at = r * n + fresh[r, c]
+        at = np.sort(at[~seen.take(at)])
+        at = at[np.diff(at, prepend=-1) > 0]
+        seen[at] = True
+        r, c = np.divmod(at, n)
+        found = np.einsum("ij,ij->i", q.take(r, 0), x.take(c, 0))
+        better = found > sims.min(axis=1)[r]  # the others do not reach the beam
+        r, c, found = r[better], c[better], found[better]
+        if len(r):
+            count = np.bincount(r, minlength=m)
+            place = np.arange(len(r)) - (np.cumsum(count) - count)[r]
+            more, near = np.full((m, count.max()), -1, ids.dtype), np.full((m, count.max()), -np.inf, np.float32)
+            more[r, place], near[r, place] = c, found
+            ids, sims = np.concatenate([ids, more], 1), np.concatenate([sims, near], 1)
+            done = np.concatenate([done, more < 0], 1)
+            kept = np.argpartition(-sims, beam - 1, axis=1)[:, :beam] + (rows * sims.shape[1])[:, None]
+            ids, sims, done = (a.take(kept) for a in (ids, sims, done))
         open_ = np.where(done, -np.inf, sims)
         pick = np.argpartition(-open_, step - 1, axis=1)[:, :step]
         live = ~np.isneginf(np.take_along_axis(open_, pick, 1))
@@ -202,56 +336,86 @@ def walked(x: np.ndarray, links: np.ndarray, q: np.ndarray, own: np.ndarray, bea
             return np.where(np.isneginf(sims), -1, ids)
         np.put_along_axis(done, pick, True, 1)
         nodes = np.take_along_axis(ids, pick, 1)
-        fresh = np.where(live[:, :, None], links[np.maximum(nodes, 0)], -1).reshape(m, -1).astype(np.int64)
+        fresh = np.where(live[:, :, None], links[np.maximum(nodes, 0)], -1).reshape(m, -1)
+
+
+class Shard:
+    """What a task of the search holds: vectors and ids of one shard, and the links of its nodes."""
+
+    def __init__(self) -> None:
+        self.x = self.ids = self.named = self.uids = self.near = self.links = None
+
+    def put(self, kind: int, batch: pa.RecordBatch) -> None:
+        names = ("at", "n", "dim", "degree", "matrix", "ids", "named", "uids")
+        for at, n, dim, degree, matrix, ids, named, uids in zip(*(batch.column(c).to_pylist() for c in names)):
+            if kind:
+                self.near = filled(self.near, n, at, np.frombuffer(matrix, np.int32).reshape(-1, degree))
+            else:
+                self.x = filled(self.x, n, at, matrix_of(matrix, named, dim))
+                self.ids, self.uids = (filled(a, n, at, np.frombuffer(b, np.int64)) for a, b in ((self.ids, ids), (self.uids, uids)))
+                self.named = filled(self.named, n, at, np.frombuffer(named, np.uint8))
+
+    def nodes(self, uids: np.ndarray) -> np.ndarray:
+        """The nodes of these rows; -1 for those of other shards."""
+        at = self.order[np.minimum(np.searchsorted(self.uids, uids, sorter=self.order), len(self.uids) - 1)]
+        return np.where(self.uids[at] == uids, at, -1)
+
+    def answers(self, asked: list[tuple[np.ndarray, ...]], k: int, beam: int):
+        if self.links is None:
+            self.links, self.order = around(self.near), np.argsort(self.uids)
+        every = [np.concatenate(a) for a in zip(*asked)]
+        for a in range(0, len(every[0]), 128):
+            uid, vec_id, known, q = (c[a:a + 128] for c in every)
+            own = self.nodes(uid)
+            found = walked(self.x.astype(np.float32, copy=False), self.links, q.astype(np.float32), own,
+                           min(max(beam, 4 * k), len(self.x) + 32))
+            rows, scores = [], []
+            for i, row in enumerate(found):
+                row, one = row[(row >= 0) & (row != own[i])], q[i].astype(float)
+                x = self.x[row].astype(float)
+                order = np.lexsort((self.uids[row], self.ids[row], 1 - self.named[row], -(x @ one)))[:k]
+                rows.append(row[order])
+                scores += [float(np.dot(x[j], one)) for j in order]
+            counts, row = [len(r) for r in rows], np.concatenate(rows)
+            yield (np.repeat(uid, counts), pa.array(np.repeat(vec_id, counts), mask=~np.repeat(known, counts)),
+                   pa.array(self.ids[row], mask=self.named[row] == 0), self.uids[row], scores)
 
 
 def search(shards: DataFrame, linked: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score for queries (_uid, vec_id, dim, vec)."""
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        width = max(map(len, pdf["around"]))
-        links = np.full((int(pdf["node"].max()) + 1, max(1, width)), -1, np.int32)
-        for node, around in zip(pdf["node"], pdf["around"]):
-            links[node, :len(around)] = around
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "width": [links.shape[1]], "links": [links.tobytes()]})
-
-    whole = saved(shards.join(linked.select("shard", "node", "around").groupBy("shard").applyInPandas(
-        pack, "shard long, width int, links binary"), "shard"), "nn-index")
-    total = queries.groupBy("dim").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
-    placed = whole.join(F.broadcast(total), "dim").withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    # every block of queries visits every shard of its vector length
-    places = whole.select(F.col("dim").alias("dim"), F.col("shard").alias("place"))
-    visits = queries.join(F.broadcast(total), "dim").join(places, "dim").select(
-        F.col("place").alias("shard"), F.pmod(F.xxhash64("_uid"), "blocks").cast("int").alias("block"),
-        F.col("_uid").alias("_uid"), F.col("vec_id").alias("vec_id"), F.col("vec").alias("vec"))
-
-    def visit(key, ask: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query": [], "query_id": [], "vec_id": [], "uid": [], "score": []}
-        if len(ask) and len(shard):
-            s = shard.iloc[0]
-            x = np.frombuffer(s["matrix"]).reshape(-1, s["dim"])
-            ids, uids = np.frombuffer(s["ids"], np.int64), np.frombuffer(s["uids"], np.int64)
-            named, links = np.frombuffer(s["named"], np.uint8), np.frombuffer(s["links"], np.int32).reshape(len(x), -1)
-            at = {u: i for i, u in enumerate(uids.tolist())}
-            for a in range(0, len(ask), 128):
-                part = ask.iloc[a:a + 128]
-                q = np.stack(part["vec"].to_numpy())
-                own = np.array([at.get(u, -1) for u in part["_uid"]])
-                width = min(max(beam, 4 * k), len(x) + 32)
-                found = walked(x.astype(np.float32), links, q.astype(np.float32), own, width)
-                for i, row in enumerate(found):
-                    row = row[(row >= 0) & (row != own[i])]
-                    exact = x[row] @ q[i]
-                    order = np.lexsort((uids[row], ids[row], 1 - named[row], -exact))[:k]
-                    out["query"] += [part["_uid"].iloc[i]] * len(order)
-                    out["query_id"] += [part["vec_id"].iloc[i]] * len(order)
-                    out["vec_id"] += [int(ids[j]) if named[j] else None for j in row[order]]
-                    out["uid"] += uids[row[order]].tolist()
-                    out["score"] += [float(np.dot(x[j], q[i])) for j in row[order]]
-        return pd.DataFrame(out).astype({"vec_id": "Int64"})
-
-    found = visits.groupBy("shard", "block").cogroup(placed.groupBy("shard", "block")).applyInPandas(
-        visit, "query long, query_id long, vec_id long, uid long, score double")
+    size = sizes(shards)
+    most = max(-(-2 * size.cores // max(1, size.shards)), -(-queries.count() // QUERY_TASK))
+    total = queries.groupBy("dim").agg(F.least(F.ceil(F.count("*") / QUERY_BLOCK), F.lit(most)).cast("int").alias("blocks"))
+    # every query visits every shard of its vector length; a task gets one shard and streams a block of queries through it
+    places = shards.filter("first = 0").groupBy("dim").agg(F.min("shard").alias("_low"), F.max("shard").alias("_high"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    index = shards.join(F.broadcast(total), "dim").select(
+        "shard", each, F.lit(0).alias("kind"), F.col("first").cast("long").alias("at"), "n", "dim", "ids", "named", "uids", "matrix")
+    links = linked.withColumn("dim", F.col("width") - 1).join(F.broadcast(total), "dim").select(
+        "shard", each, F.lit(1).alias("kind"), F.col("first").cast("long").alias("at"), "n", "dim", F.col("near").alias("matrix"),
+        (F.length("near") * F.col("width") / F.length("x")).cast("int").alias("degree"))
+    visits = queries.join(F.broadcast(total), "dim").join(F.broadcast(places), "dim").select(
+        F.explode(F.sequence("_low", "_high")).alias("shard"), F.pmod(F.xxhash64("_uid"), "blocks").cast("int").alias("block"),
+        F.lit(2).alias("kind"), F.col("_uid").alias("at"), "vec_id", "vec")
+
+    def visit(key: tuple, batches: Iterator[pa.RecordBatch]):
+        shard, asked = Shard(), []
+        for (kind,), b in sliced(batches, ["kind"]):
+            if kind < 2:
+                shard.put(kind, b)
+                continue
+            ids = b.column("vec_id")
+            asked.append((b.column("at").to_numpy(), ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), vectors(b)))
+            if sum(len(a[0]) for a in asked) >= QUERY_BLOCK:
+                yield from shard.answers(asked, k, beam)
+                asked = []
+        if asked:
+            yield from shard.answers(asked, k, beam)
+
+    names = ["shard", "block", "kind", "at", "n", "dim", "ids", "named", "uids", "matrix", "degree", "vec_id", "vec"]
+    rows = index.unionByName(links, True).unionByName(visits, True).select(*names)
+    found = dealt(rows, ["shard", "block"], ["kind", "at"], F.col("shard") * most + F.col("block"), size.tasks(most), visit,
+                  "query long, query_id long, vec_id long, uid long, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "uid")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

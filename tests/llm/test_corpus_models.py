@@ -300,6 +300,66 @@ def test_neighbours_awkward_rows(spark):
     assert nn_descent.neighbours(vectors_of(spark, []), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_shards_in_small_rows(spark, monkeypatch):
+    for name, value in (("SHARD_FLOATS", 16 * 1500), ("NODE_BLOCK", 200), ("QUERY_BLOCK", 16), ("PART_BYTES", 4096)):
+        monkeypatch.setattr(nn_descent, name, value, raising=False)
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(2400, 16)).astype(np.float32), rng.normal(size=(40, 3)).astype(np.float32)
+    rows = [(i, v.tolist(), 0, 5, "s") for i, v in enumerate([*x, *y])]
+    placed = nn_descent.points(vectors_of(spark, rows))
+    shards = nn_descent.packed(placed)
+    linked = nn_descent.graph(shards, degree=12)
+    for df in (shards, linked):  # no row grows with a shard
+        for c in (c for c, kind in df.dtypes if kind == "binary"):
+            assert df.agg(F.max(F.length(c))).first()[0] <= 4500, c
+    parts = shards.orderBy("shard", "first").collect()
+    assert len({p["shard"] for p in parts}) == 3
+    ids = [i for p in parts for i in np.frombuffer(p["ids"], np.int64).tolist()]
+    assert sorted(ids) == list(range(2440))
+    for p in parts:
+        here = np.frombuffer(p["ids"], np.int64)
+        vecs = np.frombuffer(p["matrix"], np.float32).reshape(-1, p["dim"])
+        assert (np.diff(here) > 0).all() and all((v == (x[i] if i < 2400 else y[i - 2400])).all() for i, v in zip(here, vecs))
+    nodes = {}
+    for p in linked.collect():
+        n = len(p["near"]) // 4 // 12
+        nodes.setdefault(p["shard"], []).extend(range(p["first"], p["first"] + n))
+        assert np.frombuffer(p["near"], np.int32).max() < p["n"]
+    assert {s: sorted(n) for s, n in nodes.items()} == {p["shard"]: list(range(p["n"])) for p in parts}
+    got = nn_descent.search(shards, linked, placed.filter("vec_id % 20 = 0").drop("shard"), beam=128).toPandas()
+    exact = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(exact, -np.inf)
+    hit = [len(set(got.loc[got["query_id"] == q, "vec_id"]) & set(np.argsort(-exact[q])[:20])) for q in range(0, 2400, 20)]
+    assert np.mean(hit) >= 18
+    small = y.astype(float) @ y.astype(float).T
+    np.fill_diagonal(small, -np.inf)
+    for q in (0, 20):
+        part = got[got["query_id"] == 2400 + q].sort_values("rank")
+        assert part["vec_id"].tolist() == (2400 + np.argsort(-small[q])[:20]).tolist()
+
+
+def test_neighbours_of_doubles(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 5))
+    got = nn_descent.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"),
+                                F.col("vec_id") == 7).orderBy("rank").collect()
+    assert [r.score for r in got] == pytest.approx(sorted(np.delete(x @ x[7], 7))[::-1][:20], abs=1e-14)
+
+
+def test_neighbours_reverse_lists(spark):
+    """Of the nodes that list a node, the least by Spark's hash for each residue of it."""
+    rng = np.random.default_rng(10)
+    near = np.stack([rng.permutation(300)[:4] for _ in range(300)]).astype(np.int32)
+    near[5:9, 2:] = -1
+    edges = spark.createDataFrame([(u, int(v)) for u in range(300) for v in near[u] if v >= 0], "u int, node int")
+    least = edges.withColumn("h", F.xxhash64("u", "node")).groupBy("node", F.pmod("h", F.lit(4)).alias("r")).agg(F.min_by("u", "h").alias("u"))
+    want = {n: set(near[n].tolist()) - {-1} for n in range(300)}
+    for r in least.collect():
+        want[r["node"]].add(r["u"])
+    got = nn_descent.around(near)
+    assert got.shape == (300, 8) and {n: set(got[n].tolist()) - {-1} for n in range(300)} == want
+
+
 # --- personal data ----------------------------------------------------------------------------
 
 PATTERNS = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
